@@ -445,19 +445,19 @@ def _(spark, sf):
 
 @query("c01_signature")
 def _(spark, sf):
-    return t.events(spark, sf).select("seq", signature(F.col("message")).alias("signature"))
+    return t.events(spark, sf).select("seq", signature("message").alias("signature"))
 
 
 @query("c01_document_line_clusters")
 def _(spark, sf):
-    lines = t.document_lines(spark, sf).select("asset_id", signature(F.col("value")).alias("signature"))
+    lines = t.document_lines(spark, sf).select("asset_id", signature("value").alias("signature"))
     return lines.groupBy("asset_id", "signature").agg(F.count("*").alias("lines"))
 
 
 @query("c02_cluster_id")
 def _(spark, sf):
     pairs = clusters.with_signature(t.events(spark, sf)).select("source", "signature").distinct()
-    return pairs.withColumn("cluster_id", cluster_id(F.col("source"), F.col("signature")))
+    return pairs.withColumn("cluster_id", cluster_id())
 
 
 @query("c03_ignore_filtered")
@@ -503,8 +503,8 @@ def _anomaly_columns(df: DataFrame, *more) -> DataFrame:
 
 @query("c06_rare_patterns")
 def _(spark, sf):
-    top = clusters.top_clusters(clusters.clusters(window(spark, sf)), 30)
-    return _anomaly_columns(anomalies.rare_patterns(top), text("evidence", " | ").alias("evidence"))
+    profile = anomalies.cluster_profile(window(spark, sf))
+    return _anomaly_columns(anomalies.rare_patterns(profile), text("evidence", " | ").alias("evidence"))
 
 
 @query("c07_split_recent")
@@ -521,7 +521,7 @@ def _(spark, sf):
 
 @query("c09_burst_rates")
 def _(spark, sf):
-    return anomalies.burst_rates(window(spark, sf)).select(
+    return anomalies.cluster_profile(window(spark, sf)).select(
         "asset_id", "cluster_id", "events_count", "recent_count",
         *[F.round(c, 6).alias(c) for c in ("recent_rate", "older_rate", "hourly_baseline")],
     )
@@ -529,7 +529,7 @@ def _(spark, sf):
 
 @query("c09_burst_patterns")
 def _(spark, sf):
-    return _anomaly_columns(anomalies.burst_patterns(window(spark, sf)))
+    return _anomaly_columns(anomalies.burst_patterns(anomalies.cluster_profile(window(spark, sf))))
 
 
 @query("c10_metric_stats")

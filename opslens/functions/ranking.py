@@ -19,26 +19,22 @@ def top_n_per_key(
 
     Two rounds: the rows of one input partition share a salt, so the map side already cuts each
     key to n rows and a hot key is merged by `salt` tasks; the second round sees at most
-    salt * n rows of a key.
+    salt * n rows of a key. salt=1 leaves the first round out, for input that holds few rows per key.
     """
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt)))
-    first = W.partitionBy(*keys, "_salt").orderBy(*order)
+    rank = F.row_number()
+    if salt > 1:
+        df = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt)))
+        first = W.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_rn", rank.over(first)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
     second = W.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("_rn", F.row_number().over(first))
-        .filter(F.col("_rn") <= n)
-        .drop("_rn", "_salt")
-        .withColumn("_rn", F.row_number().over(second))
-        .filter(F.col("_rn") <= n)
-        .drop("_rn")
-    )
+    return df.withColumn("_rn", rank.over(second)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def latest_per_asset(events: DataFrame, n: int | None = 1000) -> DataFrame:
+def latest_per_asset(events: DataFrame, n: int | None = 1000, *, salt: int = SALT_BUCKETS) -> DataFrame:
     """The newest n events of every asset in arrival order; all of them for n=None."""
     if n is None:
         return events
-    return top_n_per_key(events, ["asset_id"], [F.col("seq").desc()], n)
+    return top_n_per_key(events, ["asset_id"], [F.col("seq").desc()], n, salt)
 
 
 def clamp(value: int, low: int, high: int) -> int:

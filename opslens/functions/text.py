@@ -1,7 +1,12 @@
-"""Column expressions on log text."""
+"""Expressions on log text.
+
+Expressions are built as SQL text: one call into the JVM per expression instead of one per node.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,43 +23,42 @@ SIGNATURE_CHARS = 200
 SUSPICIOUS_WORDS = ("error", "fail", "timeout", "panic", "denied", "refused", "critical")
 
 
-def signature(message: Column) -> Column:
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def signature(column: str = "message") -> Column:
     """Message with its variable parts replaced, so that repeats of one message compare equal."""
-    text = F.lower(message)
+    text = f"lower({column})"
     for pattern, placeholder in PLACEHOLDERS:
         # (?U): letters of any alphabet are word characters
-        text = F.regexp_replace(text, "(?U)" + pattern, placeholder)
-    return F.substring(F.trim(text), 1, SIGNATURE_CHARS)
+        text = f"regexp_replace({text}, {quoted('(?U)' + pattern)}, {quoted(placeholder)})"
+    return F.expr(f"substring(trim({text}), 1, {SIGNATURE_CHARS})")
 
 
-def cluster_id(source: Column, sig: Column) -> Column:
+def cluster_id(source: str = "source", sig: str = "signature") -> Column:
     """Short stable name of a (source, signature) pair."""
-    letters = F.substring(F.regexp_replace(F.lower(source), "[^a-z0-9]", ""), 1, 6)
-    digest = F.substring(F.sha1(F.concat(source, F.lit("|"), sig).cast("binary")), 1, 8)
-    return F.concat(
-        F.lit("cl-"), F.when(letters == "", F.lit("src")).otherwise(letters), F.lit("-"), digest
-    )
+    letters = f"substring(regexp_replace(lower({source}), '[^a-z0-9]', ''), 1, 6)"
+    digest = f"substring(sha1(concat({source}, '|', {sig})), 1, 8)"
+    return F.expr(f"concat('cl-', coalesce(nullif({letters}, ''), 'src'), '-', {digest})")
 
 
-def contains_any(text: Column, words) -> Column:
-    """True if lower-cased text holds at least one of the words."""
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+def any_word(text: str, words: Sequence[str]) -> str:
+    """SQL condition: the text holds at least one of the words."""
+    return "(" + " OR ".join(f"contains({text}, {quoted(w)})" for w in words) + ")" if words else "false"
 
 
-def severity_from(text: Column, warning=(), critical=()) -> Column:
+def severity_from(text: str, warning: Sequence[str] = (), critical: Sequence[str] = ()) -> Column:
     """Severity by keywords of lower-cased text; a critical keyword wins over a warning one."""
-    return (
-        F.when(contains_any(text, critical), F.lit("critical"))
-        .when(contains_any(text, warning), F.lit("warning"))
-        .otherwise(F.lit("info"))
+    return F.expr(
+        f"CASE WHEN {any_word(text, critical)} THEN 'critical' "
+        f"WHEN {any_word(text, warning)} THEN 'warning' ELSE 'info' END"
     )
 
 
-def severity_rank(severity: Column) -> Column:
-    return F.when(severity == "critical", 2).when(severity == "warning", 1).otherwise(0)
+def severity_rank(column: str = "severity") -> Column:
+    return F.expr(f"CASE {column} WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END")
 
 
 def strip(text: Column) -> Column:
@@ -62,6 +66,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def share(part: Column, whole: Column, digits: int = 3) -> Column:
+def share(part: str, whole: str, digits: int = 3) -> Column:
     """part / whole, rounded; 0.0 when there is nothing to divide by."""
-    return F.when(whole > 0, F.round(part / whole, digits)).otherwise(F.lit(0.0))
+    return F.expr(f"CASE WHEN {whole} > 0 THEN round({part} / {whole}, {digits}) ELSE 0.0D END")

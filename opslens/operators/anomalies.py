@@ -1,18 +1,17 @@
 """Rare patterns, bursts, metric outliers and their ranking (C-06, C-08 ... C-11).
 
-Each detector takes an analysis window (clusters.analysis_window) of all assets at once and
-returns rows of one shape: asset_id, kind, severity, confidence, reason_code, related_cluster_id,
-related_metric, evidence, kind_order, first_seq.
+Everything works on the analysis window (clusters.analysis_window) of all assets at once. Findings
+have one shape: asset_id, kind, severity, confidence, reason_code, related_cluster_id,
+related_metric, evidence, kind_order, first_seq, cluster_rank.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from opslens.functions.text import SUSPICIOUS_WORDS, cluster_id, contains_any
-from opslens.operators.clusters import CLUSTER, clusters, severity_counts, top_clusters
+from opslens.functions.text import SUSPICIOUS_WORDS, any_word, cluster_id, quoted
+from opslens.operators.clusters import CLUSTER, severity_counts, with_cluster_rank
 
 # fixed values of the detectors
 RARE_SHARE = 0.05
@@ -24,169 +23,198 @@ REASONS = {
     "metric_outlier": "Metric value far outside its usual range",
 }
 KIND_ORDER = {"rare_pattern": 0, "burst_pattern": 1, "metric_outlier": 2}
-ANOMALY_COLUMNS = [
-    "asset_id", "kind", "severity", "confidence", "reason_code", "related_cluster_id",
-    "related_metric", "evidence", "kind_order", "first_seq",
-]
-
-
-def _pct(rate: Column) -> Column:
-    return F.concat(F.round(rate * 100, 0).cast("int").cast("string"), F.lit("%"))
-
-
-def _anomaly(kind: str, severity: Column, confidence: Column, cluster: Column, metric: Column,
-             first_seq: Column, *evidence: Column) -> list[Column]:
-    return [
-        F.col("asset_id"), F.lit(kind).alias("kind"), severity.alias("severity"),
-        confidence.cast("double").alias("confidence"), F.lit(kind).alias("reason_code"),
-        cluster.cast("string").alias("related_cluster_id"),
-        metric.cast("string").alias("related_metric"),
-        F.array(*evidence).alias("evidence"), F.lit(KIND_ORDER[kind]).alias("kind_order"),
-        first_seq.alias("first_seq"),
-    ]
-
-
-def rare_patterns(top: DataFrame) -> DataFrame:
-    """Small clusters among the top ones with a critical event or a suspicious first message."""
-    limit = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(RARE_SHARE)))
-    critical = F.col("critical_count") > 0
-    suspicious = contains_any(F.lower("example_message"), SUSPICIOUS_WORDS)
-    hits = top.filter((F.col("events_count") <= limit) & (critical | suspicious))
-    return hits.select(*_anomaly(
-        "rare_pattern",
-        F.when(critical, F.lit("critical")).otherwise(F.lit("warning")),
-        F.when(critical, F.lit(0.84)).otherwise(F.lit(0.72)),
-        F.col("cluster_id"), F.lit(None), F.col("first_seq"),
-        F.concat(F.lit("Rule: count <= "), limit.cast("string"), F.lit(" (5% of the window)")),
-        F.concat(F.lit("Cluster "), "cluster_id", F.lit(": "), F.col("events_count").cast("string"),
-                 F.lit(" of "), F.col("total").cast("string"), F.lit(" events")),
-        F.concat(F.lit("Example: "), F.substring("example_message", 1, 180)),
-    ))
+
+
+def _finding(kind: str, severity: str, confidence: str, first_seq: str, evidence: list[str],
+             *, cluster: str = "NULL", metric: str = "NULL", rank: str = "0") -> str:
+    """SQL of one finding; evidence holds SQL texts."""
+    return (
+        f"struct('{kind}' AS kind, {severity} AS severity, cast({confidence} AS double) AS confidence, "
+        f"'{kind}' AS reason_code, cast({cluster} AS string) AS related_cluster_id, "
+        f"cast({metric} AS string) AS related_metric, array({', '.join(evidence)}) AS evidence, "
+        f"{KIND_ORDER[kind]} AS kind_order, {first_seq} AS first_seq, {rank} AS cluster_rank)"
+    )
+
+
+def _pct(rate: str) -> str:
+    return f"cast(round({rate} * 100, 0) AS int), '%'"
+
+
+RARE_LIMIT = f"greatest(1, floor(total * {RARE_SHARE}D))"
+RARE = (
+    f"CASE WHEN events_count <= {RARE_LIMIT} AND (critical_count > 0 "
+    f"OR {any_word('lower(example_message)', SUSPICIOUS_WORDS)}) THEN "
+    + _finding(
+        "rare_pattern", "if(critical_count > 0, 'critical', 'warning')", "if(critical_count > 0, 0.84D, 0.72D)",
+        "first_seq",
+        [
+            f"concat('Rule: count <= ', {RARE_LIMIT}, ' (5% of the window)')",
+            "concat('Cluster ', cluster_id, ': ', events_count, ' of ', total, ' events')",
+            "concat('Example: ', substring(example_message, 1, 180))",
+        ],
+        cluster="cluster_id", rank="cluster_rank",
+    ) + " END"
+)
+BURST = (
+    f"CASE WHEN total > recent_rows AND recent_count >= {BURST_MIN_EVENTS} "
+    f"AND recent_rate >= {BURST_MIN_RECENT}D AND older_rate <= {BURST_MAX_OLDER}D "
+    f"AND hourly_baseline <= {BURST_MAX_HOURLY}D THEN "
+    + _finding(
+        "burst_pattern", "if(critical_count > 0, 'critical', 'warning')", "if(critical_count > 0, 0.86D, 0.8D)",
+        "first_recent_seq",
+        [
+            "'Rule: recent count >= 3, recent rate >= 40%, older rate <= 20%, hourly baseline <= 15%'",
+            "concat('Cluster ', cluster_id, ': recent ', recent_count, '/', recent_rows, ' (', "
+            f"{_pct('recent_rate')}, ')')",
+            "concat('Older rate: ', events_count - recent_count, '/', total - recent_rows, ' (', "
+            f"{_pct('older_rate')}, ')')",
+            f"concat('Hourly baseline (hour ', recent_hour, '): ', {_pct('hourly_baseline')})",
+        ],
+        cluster="cluster_id", rank="cluster_rank",
+    ) + " END"
+)
+OUTLIER = (
+    f"CASE WHEN samples >= {OUTLIER_MIN_VALUES} AND robust_z >= {OUTLIER_Z} THEN "
+    + _finding(
+        "metric_outlier", "'warning'", "least(0.95D, round(0.65D + robust_z / 10, 2))", "metric_seq",
+        [
+            "'Rule: robust z >= 3 on median and MAD'",
+            "format_string('Latest value: %.2f', last_value)",
+            "format_string('Median: %.2f, MAD: %.2f, robust z: %.2f', median_value, mad, robust_z)",
+        ],
+        metric="metric",
+    ) + " END"
+)
+SAMPLE = "coalesce(metric <> '' AND value IS NOT NULL, false)"
+
+
+def _findings(rows: DataFrame, *candidates: str) -> DataFrame:
+    """One output row per candidate that is not null."""
+    found = rows.selectExpr("asset_id", f"explode(array_compact(array({', '.join(candidates)}))) AS a")
+    return found.select("asset_id", "a.*")
 
 
 def with_hourly_baseline(window: DataFrame) -> DataFrame:
     """Add, for each row's hour of day, the older events and the older events of its cluster (C-08)."""
-    older = F.when(~F.col("is_recent"), 1)
-    return window.withColumns({
-        "older_in_hour": F.count(older).over(W.partitionBy("asset_id", "hour")),
-        "older_in_hour_of_cluster": F.count(older).over(W.partitionBy(*CLUSTER, "hour")),
-    })
-
-
-def burst_rates(window: DataFrame) -> DataFrame:
-    """Per cluster: recent and older rate, and the hourly baseline at its last recent event."""
-    at_last = F.max_by(
-        F.struct("hour", "older_in_hour", "older_in_hour_of_cluster"),
-        F.when(F.col("is_recent"), F.col("seq")),
-    )
-    rows = with_hourly_baseline(window).groupBy(*CLUSTER).agg(
-        F.count("*").alias("events_count"),
-        F.min("seq").alias("first_seq"),
-        F.max("total").alias("total"),
-        F.max("recent_rows").alias("recent_rows"),
-        F.count_if("is_recent").alias("recent_count"),
-        F.min(F.when(F.col("is_recent"), F.col("seq"))).alias("first_recent_seq"),
-        at_last.alias("last"),
-        *severity_counts(),
+    return window.selectExpr(
+        "*", "count_if(NOT is_recent) OVER (PARTITION BY asset_id, hour) AS older_in_hour",
+        "count_if(NOT is_recent) OVER (PARTITION BY asset_id, source, signature, hour) AS older_in_hour_of_cluster",
     )
-    older = F.col("total") - F.col("recent_rows")
-    older_rate = F.when(older > 0, (F.col("events_count") - F.col("recent_count")) / older).otherwise(0.0)
-    return rows.withColumns({
-        "cluster_id": cluster_id(F.col("source"), F.col("signature")),
-        "recent_rate": F.col("recent_count") / F.col("recent_rows"),
-        "older_rate": older_rate,
-        "recent_hour": F.col("last.hour"),
-    }).withColumn(
-        "hourly_baseline",
-        F.when(F.col("last.older_in_hour") > 0,
-               F.col("last.older_in_hour_of_cluster") / F.col("last.older_in_hour"))
-        .otherwise(F.col("older_rate")),
-    ).drop("last")
-
-
-def burst_patterns(window: DataFrame, *, max_clusters: int = 30) -> DataFrame:
-    """Top clusters that fill the recent part of the window but were rare before."""
-    rates = top_clusters(burst_rates(window), max_clusters)
-    critical = F.col("critical_count") > 0
-    hits = rates.filter(
-        (F.col("total") > F.col("recent_rows"))
-        & (F.col("recent_count") >= BURST_MIN_EVENTS)
-        & (F.col("recent_rate") >= BURST_MIN_RECENT)
-        & (F.col("older_rate") <= BURST_MAX_OLDER)
-        & (F.col("hourly_baseline") <= BURST_MAX_HOURLY)
+
+
+def _profile_aggregates() -> list[Column]:
+    at_last = "struct(hour, older_in_hour, older_in_hour_of_cluster)"
+    return [F.expr(e) for e in (
+        "count(*) AS events_count", "min(seq) AS first_seq", "min_by(message, seq) AS example_message",
+        "max(total) AS total", "max(recent_rows) AS recent_rows", "count_if(is_recent) AS recent_count",
+        "min(if(is_recent, seq, NULL)) AS first_recent_seq",
+        f"max_by({at_last}, if(is_recent, seq, NULL)) AS last",
+    )] + severity_counts()
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "*", "recent_count / recent_rows AS recent_rate", "last.hour AS recent_hour",
+        "if(total > recent_rows, (events_count - recent_count) / (total - recent_rows), 0.0D) AS older_rate",
+    ).selectExpr(
+        "*", "if(last.older_in_hour > 0, last.older_in_hour_of_cluster / last.older_in_hour, older_rate) "
+        "AS hourly_baseline",
+    ).drop("last").withColumn("cluster_id", cluster_id())
+
+
+def cluster_profile(window: DataFrame) -> DataFrame:
+    """Clusters of an analysis window with their recent and older rate and their rank.
+
+    hourly_baseline is the rate among the older events of the hour of day of the cluster's last
+    recent event.
+    """
+    rows = with_hourly_baseline(window).groupBy(*CLUSTER).agg(*_profile_aggregates())
+    return with_cluster_rank(_with_rates(rows))
+
+
+def rare_patterns(profile: DataFrame, *, max_clusters: int = 30) -> DataFrame:
+    """Small clusters among the top ones with a critical event or a suspicious first message (C-06)."""
+    return _findings(profile.filter(f"cluster_rank <= {int(max_clusters)}"), RARE)
+
+
+def burst_patterns(profile: DataFrame, *, max_clusters: int = 30) -> DataFrame:
+    """Top clusters that fill the recent part of the window but were rare before (C-09)."""
+    return _findings(profile.filter(f"cluster_rank <= {int(max_clusters)}"), BURST)
+
+
+def _with_median(window: DataFrame) -> DataFrame:
+    return window.selectExpr(
+        "*", f"median(if({SAMPLE}, value, NULL)) OVER (PARTITION BY asset_id, metric) AS med"
     )
-    older = F.col("total") - F.col("recent_rows")
-    return hits.select(*_anomaly(
-        "burst_pattern",
-        F.when(critical, F.lit("critical")).otherwise(F.lit("warning")),
-        F.when(critical, F.lit(0.86)).otherwise(F.lit(0.8)),
-        F.col("cluster_id"), F.lit(None), F.col("first_recent_seq"),
-        F.lit("Rule: recent count >= 3, recent rate >= 40%, older rate <= 20%, hourly baseline <= 15%"),
-        F.concat(F.lit("Cluster "), "cluster_id", F.lit(": recent "), F.col("recent_count").cast("string"),
-                 F.lit("/"), F.col("recent_rows").cast("string"), F.lit(" ("), _pct(F.col("recent_rate")), F.lit(")")),
-        F.concat(F.lit("Older rate: "), (F.col("events_count") - F.col("recent_count")).cast("string"),
-                 F.lit("/"), older.cast("string"), F.lit(" ("), _pct(F.col("older_rate")), F.lit(")")),
-        F.concat(F.lit("Hourly baseline (hour "), F.col("recent_hour").cast("string"), F.lit("): "),
-                 _pct(F.col("hourly_baseline"))),
-    ))
+
+
+def _metric_aggregates(counts: str) -> list[Column]:
+    """Statistics of one metric over the rows for which the condition `counts` holds."""
+    return [F.expr(e) for e in (
+        f"count(if({counts}, value, NULL)) AS samples", f"min(if({counts}, seq, NULL)) AS metric_seq",
+        f"max(if({counts}, med, NULL)) AS median_value", f"median(if({counts}, abs(value - med), NULL)) AS mad",
+        f"max_by(value, if({counts}, seq, NULL)) AS last_value",
+    )]
+
+
+def _with_robust_z(stats: DataFrame) -> DataFrame:
+    z = f"abs(last_value - median_value) / ({MAD_SCALE}D * mad)"
+    return stats.selectExpr("*", f"if(mad <> 0, {z}, NULL) AS robust_z")
 
 
 def metric_stats(window: DataFrame) -> DataFrame:
     """Per (asset, metric) of a window: values, median, median absolute deviation, last value, robust z."""
-    key = W.partitionBy("asset_id", "metric")
-    samples = window.filter((F.col("metric") != "") & F.col("value").isNotNull()).withColumn(
-        "med", F.median("value").over(key)
-    )
-    stats = samples.groupBy("asset_id", "metric").agg(
-        F.count("*").alias("samples"),
-        F.min("seq").alias("first_seq"),
-        F.max("med").alias("median_value"),
-        F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"),
-        F.max_by("value", "seq").alias("last_value"),
-    )
-    z = F.abs(F.col("last_value") - F.col("median_value")) / (F.lit(MAD_SCALE) * F.col("mad"))
-    return stats.withColumn("robust_z", F.when(F.col("mad") != 0, z))
+    rows = _with_median(window.filter(SAMPLE)).groupBy("asset_id", "metric")
+    return _with_robust_z(rows.agg(*_metric_aggregates("true")))
 
 
 def metric_outliers(window: DataFrame) -> DataFrame:
-    """Metrics whose latest value lies three robust deviations or more from the median."""
-    hits = metric_stats(window).filter(
-        (F.col("samples") >= OUTLIER_MIN_VALUES) & (F.col("robust_z") >= OUTLIER_Z)
+    """Metrics whose latest value lies three robust deviations or more from the median (C-10)."""
+    return _findings(metric_stats(window), OUTLIER)
+
+
+def detect(window: DataFrame, *, max_clusters: int = 30) -> DataFrame:
+    """Findings of all detectors on one window, not ranked yet.
+
+    Every row counts for its cluster and, if it carries a sample, for its metric. Both kinds of
+    groups are formed by one aggregation, so the events are read and cut to the window once.
+    """
+    groups = f"""array_compact(array(
+        struct('cluster' AS role, source, signature, cast(NULL AS string) AS metric),
+        if({SAMPLE}, struct('metric' AS role, cast(NULL AS string) AS source,
+                            cast(NULL AS string) AS signature, metric), NULL)))"""
+    rows = (
+        _with_median(with_hourly_baseline(window))
+        .withColumn("g", F.expr(f"explode({groups})")).drop("source", "signature", "metric").select("*", "g.*")
+    )
+    stats = rows.groupBy("asset_id", "role", "source", "signature", "metric").agg(
+        *_profile_aggregates(), *_metric_aggregates("role = 'metric'")
+    )
+    ranked = with_cluster_rank(_with_robust_z(_with_rates(stats)), "role")
+    top = f"role = 'cluster' AND cluster_rank <= {int(max_clusters)}"
+    return _findings(
+        ranked, f"if({top}, {RARE}, NULL)", f"if({top}, {BURST}, NULL)", f"if(role = 'metric', {OUTLIER}, NULL)"
     )
 
-    def two(name):
-        return F.format_string("%.2f", F.col(name))
-
-    return hits.select(*_anomaly(
-        "metric_outlier", F.lit("warning"),
-        F.least(F.lit(0.95), F.round(F.lit(0.65) + F.col("robust_z") / 10, 2)),
-        F.lit(None), F.col("metric"), F.col("first_seq"),
-        F.lit("Rule: robust z >= 3 on median and MAD"),
-        F.concat(F.lit("Latest value: "), two("last_value")),
-        F.concat(F.lit("Median: "), two("median_value"), F.lit(", MAD: "), two("mad"),
-                 F.lit(", robust z: "), two("robust_z")),
-    ))
 
+def rank_anomalies(found: DataFrame, m: int = 20, *, max_clusters: int | None = None) -> DataFrame:
+    """The m most confident findings per asset, in `anomaly_rank` order (C-11).
 
-def rank_anomalies(parts: list[DataFrame], m: int = 20) -> DataFrame:
-    """Merge detector rows and keep the m most confident per asset, in `anomaly_rank` order."""
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    order = W.partitionBy("asset_id").orderBy(F.col("confidence").desc(), "kind_order", "first_seq")
-    return merged.withColumn("anomaly_rank", F.row_number().over(order)).filter(F.col("anomaly_rank") <= m)
+    max_clusters narrows the findings to those of larger clusters, so that one detection can serve
+    several depths.
+    """
+    rows = found if max_clusters is None else found.filter(f"cluster_rank <= {int(max_clusters)}")
+    return rows.selectExpr(
+        "*", "row_number() OVER (PARTITION BY asset_id ORDER BY confidence DESC, kind_order, first_seq) AS anomaly_rank"
+    ).filter(f"anomaly_rank <= {int(m)}")
 
 
 def find_anomalies(window: DataFrame, *, max_clusters: int = 30, max_anomalies: int = 20) -> DataFrame:
     """All detectors on one window, ranked per asset."""
-    top = top_clusters(clusters(window), max_clusters)
-    return rank_anomalies(
-        [rare_patterns(top), burst_patterns(window, max_clusters=max_clusters), metric_outliers(window)],
-        max_anomalies,
-    )
+    return rank_anomalies(detect(window, max_clusters=max_clusters), max_anomalies)
 
 
-def reason(code: Column) -> Column:
-    """Reader's text of a reason code."""
-    pairs = [item for pair in REASONS.items() for item in (F.lit(pair[0]), F.lit(pair[1]))]
-    return F.create_map(*pairs)[code]
+# SQL: reader's text of a finding's reason code
+REASON = "CASE reason_code " + " ".join(
+    f"WHEN {quoted(code)} THEN {quoted(text)}" for code, text in REASONS.items()
+) + " END"

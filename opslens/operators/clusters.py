@@ -13,40 +13,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opslens.functions.ranking import clamp, latest_per_asset
-from opslens.functions.text import cluster_id, share, signature
+from opslens.functions.ranking import SALT_BUCKETS, clamp, latest_per_asset
+from opslens.functions.text import cluster_id, quoted, share, signature
 from opslens.schemas import SEVERITIES
 
 CLUSTER = ["asset_id", "source", "signature"]
 
 
 def severity_counts() -> list[Column]:
-    return [
-        F.count_if(F.col("severity") == name).alias(f"{name}_count") for name in SEVERITIES
-    ]
-
-
-def severity_mix(row: Column) -> Column:
-    """Map severity -> count out of the three count fields of a struct, without the zeros."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("k"), row[f"{s}_count"].alias("v")) for s in SEVERITIES])
-    return F.map_filter(F.map_from_entries(pairs), lambda _, n: n > 0)
+    return [F.expr(f"count_if(severity = '{s}') AS {s}_count") for s in SEVERITIES]
 
 
 def ranked_documents(rank: str, fields: list[str]) -> Column:
     """Aggregate: the rows of a group as structs in rank order, their severity counts as a map."""
-    counts = [f"{s}_count" for s in SEVERITIES]
-    rows = F.sort_array(F.collect_list(F.struct(rank, *fields, *counts)))
-    return F.transform(rows, lambda r: F.struct(
-        *[r[name].alias(name) for name in (rank, *fields)], severity_mix(r).alias("severity_mix")
-    ))
+    inner = ", ".join([rank, *fields, *[f"{s}_count" for s in SEVERITIES]])
+    outer = ", ".join(f"r.{name} AS {name}" for name in (rank, *fields))
+    pairs = ", ".join(f"struct('{s}' AS k, r.{s}_count AS v)" for s in SEVERITIES)
+    mix = f"map_filter(map_from_entries(array({pairs})), (k, v) -> v > 0)"
+    return F.expr(
+        f"transform(sort_array(collect_list(struct({inner}))), r -> struct({outer}, {mix} AS severity_mix))"
+    )
 
 
 def with_signature(events: DataFrame) -> DataFrame:
-    return events.withColumn("signature", signature(F.col("message")))
+    return events.withColumn("signature", signature("message"))
 
 
-def _clean(items) -> list[str]:
-    return sorted({item.strip().lower() for item in (items or ()) if item and item.strip()})
+def _literals(items) -> str:
+    clean = sorted({item.strip().lower() for item in (items or ()) if item and item.strip()})
+    return ", ".join(quoted(item) for item in clean) or "NULL"
 
 
 def flag_ignored(events: DataFrame, filters=None) -> DataFrame:
@@ -57,72 +52,65 @@ def flag_ignored(events: DataFrame, filters=None) -> DataFrame:
     """
     if filters is None:
         return events.withColumn("ignored", F.lit(False))
-    source = F.lower("source")
     if not isinstance(filters, DataFrame):
-        sources, signatures = (_clean(items) for items in filters)
-        return events.withColumn("ignored", source.isin(sources) | F.col("signature").isin(signatures))
-    items = filters.select(
-        "field", F.lower(F.trim("item")).alias("item")
-    ).filter(F.col("item") != "").distinct()
-    by_source = items.filter(F.col("field") == "source").select(
-        F.col("item").alias("_src"), F.lit(True).alias("_hit_source")
-    )
-    by_signature = items.filter(F.col("field") == "signature").select(
-        F.col("item").alias("_sig"), F.lit(True).alias("_hit_signature")
-    )
+        sources, signatures = (_literals(items) for items in filters)
+        hit = f"coalesce(lower(source) IN ({sources}), false) OR coalesce(signature IN ({signatures}), false)"
+        return events.withColumn("ignored", F.expr(hit))
+    items = filters.selectExpr("field", "lower(trim(item)) AS item").filter("item <> ''").distinct()
+    by_source = items.filter("field = 'source'").selectExpr("item AS _src", "true AS _hit_source")
+    by_signature = items.filter("field = 'signature'").selectExpr("item AS _sig", "true AS _hit_signature")
     return (
-        events.join(by_source, source == F.col("_src"), "left")
-        .join(by_signature, F.col("signature") == F.col("_sig"), "left")
-        .withColumn("ignored", F.coalesce("_hit_source", F.lit(False)) | F.coalesce("_hit_signature", F.lit(False)))
+        events.join(by_source, F.expr("lower(source) = _src"), "left")
+        .join(by_signature, F.expr("signature = _sig"), "left")
+        .withColumn("ignored", F.expr("coalesce(_hit_source, false) OR coalesce(_hit_signature, false)"))
         .drop("_src", "_sig", "_hit_source", "_hit_signature")
     )
 
 
 def apply_ignore(events: DataFrame, filters=None) -> DataFrame:
     """Drop the events on an ignore list (C-03)."""
-    return flag_ignored(events, filters).filter(~F.col("ignored")).drop("ignored")
+    if filters is None:
+        return events
+    return flag_ignored(events, filters).filter("NOT ignored").drop("ignored")
 
 
 def excluded_counts(events: DataFrame, filters=None) -> DataFrame:
     """Per asset: events, how many an ignore list takes out, how many stay."""
     return flag_ignored(events, filters).groupBy("asset_id").agg(
-        F.count("*").alias("total_events"),
-        F.count_if("ignored").alias("excluded_events"),
-        F.count_if(~F.col("ignored")).alias("analyzed_events"),
+        F.expr("count(*) AS total_events"),
+        F.expr("count_if(ignored) AS excluded_events"),
+        F.expr("count_if(NOT ignored) AS analyzed_events"),
     )
 
 
-def analysis_window(events: DataFrame, *, limit: int = 300, filters=None) -> DataFrame:
+def analysis_window(
+    events: DataFrame, *, limit: int = 300, filters=None, salt: int = SALT_BUCKETS
+) -> DataFrame:
     """Newest `limit` events per asset minus the ignored ones, numbered by arrival.
 
-    Adds signature, hour, pos (1 = oldest), total (events left), recent_rows (size of the recent
-    part: a third of the window, 10 at least) and is_recent.
+    filters as for flag_ignored, salt as for top_n_per_key. Adds signature, hour, pos (1 = oldest),
+    total (events left), recent_rows (size of the recent part: a third of the window, 10 at least)
+    and is_recent (C-07).
     """
-    newest = with_signature(latest_per_asset(events, clamp(limit, 1, 2000)))
-    kept = apply_ignore(newest, filters)
-    asset = W.partitionBy("asset_id")
-    recent = F.least(F.greatest(F.lit(10), F.floor(F.col("total") / 3)), F.col("total"))
-    return (
-        kept.withColumn("hour", F.hour(F.col("ts").cast("timestamp")))
-        .withColumn("pos", F.row_number().over(asset.orderBy("seq")))
-        .withColumn("total", F.count("*").over(asset))
-        .withColumn("recent_rows", recent)
-        .withColumn("is_recent", F.col("pos") > F.col("total") - F.col("recent_rows"))
+    newest = with_signature(latest_per_asset(events, clamp(limit, 1, 2000), salt=salt))
+    return apply_ignore(newest, filters).selectExpr(
+        "*", "hour(cast(ts AS timestamp)) AS hour",
+        "row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS pos",
+        "count(*) OVER (PARTITION BY asset_id) AS total",
+    ).selectExpr("*", "least(greatest(10, total div 3), total) AS recent_rows").selectExpr(
+        "*", "pos > total - recent_rows AS is_recent"
     )
 
 
 def clusters(window: DataFrame) -> DataFrame:
-    """One row per (asset, source, signature) of an analysis window."""
+    """One row per (asset, source, signature) of an analysis window (C-04)."""
     return window.groupBy(*CLUSTER).agg(
-        F.count("*").alias("events_count"),
-        F.min("seq").alias("first_seq"),
-        F.min_by("message", "seq").alias("example_message"),
-        F.max("total").alias("total"),
+        F.expr("count(*) AS events_count"),
+        F.expr("min(seq) AS first_seq"),
+        F.expr("min_by(message, seq) AS example_message"),
+        F.expr("max(total) AS total"),
         *severity_counts(),
-    ).withColumns({
-        "cluster_id": cluster_id(F.col("source"), F.col("signature")),
-        "share": share(F.col("events_count"), F.col("total")),
-    })
+    ).withColumns({"cluster_id": cluster_id(), "share": share("events_count", "total")})
 
 
 def cluster_totals(events: DataFrame) -> DataFrame:
@@ -131,22 +119,23 @@ def cluster_totals(events: DataFrame) -> DataFrame:
     Plain aggregates with map-side combine; nothing of an asset but its clusters is brought together.
     """
     rows = with_signature(events).groupBy(*CLUSTER).agg(
-        F.count("*").alias("events_count"), F.min("seq").alias("first_seq"),
-        F.min_by("message", "seq").alias("example_message"), *severity_counts(),
+        F.expr("count(*) AS events_count"), F.expr("min(seq) AS first_seq"),
+        F.expr("min_by(message, seq) AS example_message"), *severity_counts(),
+    )
+    totals = rows.groupBy("asset_id").agg(F.expr("sum(events_count) AS total"))
+    return rows.join(totals, "asset_id").withColumns(
+        {"cluster_id": cluster_id(), "share": share("events_count", "total")}
     )
-    totals = rows.groupBy(F.col("asset_id")).agg(F.sum("events_count").alias("total"))
-    return rows.join(totals, "asset_id").withColumns({
-        "cluster_id": cluster_id(F.col("source"), F.col("signature")),
-        "share": share(F.col("events_count"), F.col("total")),
-    })
 
 
-def with_cluster_rank(table: DataFrame) -> DataFrame:
+def with_cluster_rank(table: DataFrame, *inside: str) -> DataFrame:
     """Add cluster_rank: most events first, the earlier first appearance on ties."""
-    by_size = W.partitionBy("asset_id").orderBy(F.col("events_count").desc(), "first_seq")
-    return table.withColumn("cluster_rank", F.row_number().over(by_size))
+    keys = ", ".join(["asset_id", *inside])
+    return table.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {keys} ORDER BY events_count DESC, first_seq) AS cluster_rank"
+    )
 
 
 def top_clusters(table: DataFrame, k: int = 30) -> DataFrame:
     """The k largest clusters of every asset (C-05)."""
-    return with_cluster_rank(table).filter(F.col("cluster_rank") <= k)
+    return with_cluster_rank(table).filter(f"cluster_rank <= {int(k)}")

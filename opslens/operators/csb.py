@@ -57,7 +57,7 @@ def csb_to_events(parsed: DataFrame, source: str = SOURCE) -> DataFrame:
     return parsed.select(
         *extra, "asset_id", F.lit(source).alias("source"), F.col("raw").alias("message"),
         F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"),
-        severity_from(F.lower("payload"), warning=ERROR_WORDS).alias("severity"), "ts",
+        severity_from("lower(payload)", warning=ERROR_WORDS).alias("severity"), "ts",
     )
 
 

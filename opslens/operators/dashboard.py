@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.merging import union_all
 from opslens.functions.ranking import latest_per_asset
 from opslens.operators.rules import ALERTS, DEFAULT_RULES, EVENTS_READ, asset_facts
 from opslens.operators.tables import tenant_scope
@@ -104,4 +105,4 @@ def filter_options(assets: DataFrame, events: DataFrame) -> DataFrame:
     """(kind, id, name): the assets and the sources a dashboard can be filtered by (F-09)."""
     named = assets.select(F.lit("asset").alias("kind"), "id", "name")
     sources = events.select(F.lit("source").alias("kind"), F.col("source").alias("id"), F.col("source").alias("name"))
-    return named.unionByName(sources.distinct()).orderBy("kind", "id")
+    return union_all(named, sources.distinct()).orderBy("kind", "id")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.merging import union_all
 from opslens.functions.ranking import BLOCK_ROWS, running
 
 SHORT_ISLAND_ROWS = 10_000
@@ -177,4 +178,4 @@ def dedup_events(
         .groupBy("fp", "island", "chunk")
         .applyInPandas(_chunk_walk(window_us), "seq bigint")
     )
-    return events.join(short.unionByName(walked), "seq", "left_semi")
+    return events.join(union_all(short, walked), "seq", "left_semi")

@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opslens.functions.ranking import clamp, latest_per_asset
+from opslens.functions.ranking import SALT_BUCKETS, clamp, latest_per_asset
 from opslens.functions.text import share
 from opslens.operators.clusters import CLUSTER, with_signature
 
 
-def asset_signatures(events: DataFrame, *, limit: int = 300) -> DataFrame:
+def asset_signatures(events: DataFrame, *, limit: int = 300, salt: int = SALT_BUCKETS) -> DataFrame:
     """Distinct (asset, source, signature) of each asset's newest events: at most `limit` per asset."""
-    return with_signature(latest_per_asset(events, clamp(limit, 1, 2000))).select(*CLUSTER).distinct()
+    newest = latest_per_asset(events, clamp(limit, 1, 2000), salt=salt)
+    return with_signature(newest).select(*CLUSTER).distinct()
 
 
-def dependency_edges(events: DataFrame, *, limit: int = 300, k: int = 20) -> DataFrame:
+def dependency_edges(
+    events: DataFrame, *, limit: int = 300, k: int = 20, salt: int = SALT_BUCKETS
+) -> DataFrame:
     """Per asset the k strongest source pairs by shared signatures, in `edge_rank` order.
 
     The join is keyed by (asset, signature), so only sources that really share a message meet; with
     at most `limit` (source, signature) rows per asset the pairs of an asset are bounded too, and
     they are counted before they leave the task.
     """
-    sets = asset_signatures(events, limit=limit)
+    sets = asset_signatures(events, limit=limit, salt=salt)
     sized = sets.withColumn("signatures", F.count("*").over(W.partitionBy("asset_id", "source")))
     left = sized.select(
         "asset_id", "signature", F.col("source").alias("source_a"), F.col("signatures").alias("size_a")
@@ -40,7 +43,7 @@ def dependency_edges(events: DataFrame, *, limit: int = 300, k: int = 20) -> Dat
             F.min("signature").alias("example_signature"),
             F.least(F.max("size_a"), F.max("size_b")).alias("_smaller"),
         )
-        .withColumn("co_occurrence_score", share(F.col("shared_signatures"), F.col("_smaller")))
+        .withColumn("co_occurrence_score", share("shared_signatures", "_smaller"))
         .drop("_smaller")
     )
     order = W.partitionBy("asset_id").orderBy(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens import schemas as S
+from opslens.functions.merging import union_all
 from opslens.functions.ranking import clamp, top_n_per_key
 from opslens.functions.text import severity_from, strip
 
@@ -49,7 +50,7 @@ def normalize_host_log(lines: DataFrame, *, source: str = "logfile", tail: int |
     """(asset_id, file, line_no, value, collected_ts) -> events; the last `tail` lines per file and poll."""
     if tail is not None:
         lines = top_n_per_key(lines, ["asset_id", "file", "collected_ts"], [F.col("line_no").desc()], tail)
-    severity = severity_from(F.lower("value"), warning=("error", "failed"), critical=("panic", "critical"))
+    severity = severity_from("lower(value)", warning=("error", "failed"), critical=("panic", "critical"))
     return lines.select(
         *_event(
             F.col("asset_id"), F.lit(source), F.substring("value", 1, LOG_MESSAGE_CHARS),
@@ -94,7 +95,7 @@ def parse_winevents(raw: DataFrame) -> DataFrame:
 
 def normalize_winevent(records: DataFrame, *, with_record_id: bool = True, mode: str = "device") -> DataFrame:
     """Windows event records -> events. with_record_id=False is the agent's shorter message form."""
-    level = F.lower(F.coalesce(F.col("LevelDisplayName"), F.lit("")))
+    level = "lower(coalesce(LevelDisplayName, ''))"
 
     def part(name):
         return F.coalesce(F.col(name), F.lit("Unknown"))
@@ -197,14 +198,16 @@ def normalize_snmp(raw: DataFrame) -> DataFrame:
     )
 
 
-def _text(doc: Column, *paths: str) -> Column:
-    """First non-empty value among the paths, as text."""
-    found = [F.try_variant_get(doc, path, "string") for path in paths]
-    return F.coalesce(*[F.when(value != "", value) for value in found])
+def _text(doc: str, *paths: str) -> str:
+    """SQL: first non-empty value among the paths, as text."""
+    return "coalesce(" + ", ".join(f"nullif(try_variant_get({doc}, '{p}', 'string'), '')" for p in paths) + ")"
 
 
-def _has(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant").isNotNull()
+def _has(doc: str, path: str) -> str:
+    return f"try_variant_get({doc}, {path}, 'variant') IS NOT NULL"
+
+
+MESSAGE_PATH = "'$.Message'"
 
 
 def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
@@ -214,30 +217,22 @@ def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
     first `limit` of those are followed.
     """
     limit = clamp(limit, 1, 500)
-    parsed = payloads.withColumn("doc", F.try_parse_json("payload"))
-    members = F.coalesce(
-        *[F.try_variant_get("doc", path, "array<variant>") for path in LIST_PATHS + LINK_PATHS]
-    )
-    alone = _has(F.col("doc"), "$.Message") | _has(F.col("doc"), "$.Severity") | _has(F.col("doc"), "$.Name")
-    entries = F.when(F.size("members") > 0, F.col("members")).when(alone, F.array("doc"))
-    only_links = F.forall(
-        "entries", lambda e: _has(e, "$['@odata.id']") & ~_has(e, "$.Message")
-    )
+    lists = ", ".join(f"try_variant_get(doc, '{path}', 'array<variant>')" for path in LIST_PATHS + LINK_PATHS)
+    alone = " OR ".join(_has("doc", f"'$.{name}'") for name in ("Message", "Severity", "Name"))
+    ref = "\"$['@odata.id']\""
+    only_links = f"forall(entries, e -> {_has('e', ref)} AND NOT {_has('e', MESSAGE_PATH)})"
     wide = (
-        parsed.withColumn("members", members)
-        .withColumn("entries", entries)
-        .filter(F.size("entries") > 0)
-        .withColumn("is_link", only_links)
+        payloads.withColumn("doc", F.try_parse_json("payload"))
+        .withColumn("members", F.expr(f"coalesce({lists})"))
+        .withColumn("entries", F.expr(f"CASE WHEN size(members) > 0 THEN members WHEN {alone} THEN array(doc) END"))
+        .filter("size(entries) > 0")
+        .withColumn("is_link", F.expr(only_links))
     )
-    return wide.select(
-        *[c for c in payloads.columns if c != "payload"], "is_link",
-        F.posexplode("entries").alias("entry_no", "entry"),
-    ).withColumn(
-        "link",
-        F.when(
-            F.col("is_link") & (F.col("entry_no") < limit),
-            F.trim(F.try_variant_get("entry", "$['@odata.id']", "string")),
-        ),
+    kept = [c for c in payloads.columns if c != "payload"]
+    return (
+        wide.select(*kept, "is_link", F.posexplode("entries").alias("entry_no", "e"))
+        .withColumn("link", F.expr(f"CASE WHEN is_link AND entry_no < {limit} THEN trim(try_variant_get(e, {ref}, 'string')) END"))
+        .withColumnRenamed("e", "entry")
     )
 
 
@@ -263,15 +258,11 @@ def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _entry_id(entry: Column) -> Column:
-    texts = [
-        F.try_variant_get(entry, f"$.{name}", "string") for name in ("Id", "Number", "RecordId", "EntryId")
-    ]
-    return F.coalesce(*[F.regexp_replace(strip(t), r"\.+$", "").try_cast("bigint") for t in texts])
-
-
-def _created(entry: Column) -> Column:
-    return _text(entry, "$.Created", "$.CreatedTime", "$.created")
+ENTRY_ID = "coalesce(" + ", ".join(
+    f"try_cast(rtrim('.', trim(try_variant_get(entry, '$.{name}', 'string'))) AS bigint)"
+    for name in ("Id", "Number", "RecordId", "EntryId")
+) + ")"
+CREATED = _text("entry", "$.Created", "$.CreatedTime", "$.created")
 
 
 def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -281,8 +272,8 @@ def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, Dat
     compared by number; entries without one pass unless a time cursor already covers them. The
     time cursor moves only for targets that never showed a number.
     """
-    with_id = entries.withColumn("entry_id", _entry_id(F.col("entry"))).withColumn(
-        "created", F.try_to_timestamp(_created(F.col("entry")))
+    with_id = entries.withColumns(
+        {"entry_id": F.expr(ENTRY_ID), "created": F.expr(f"try_to_timestamp({CREATED})")}
     )
     cursors = state.select(
         "target_id", F.coalesce("cursor_id", F.lit(0)).alias("cursor_id"), "cursor_created"
@@ -306,27 +297,22 @@ def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, Dat
 
 def normalize_redfish(entries: DataFrame, *, mode: str = "collected") -> DataFrame:
     """Redfish / IML log entries -> events."""
-    entry = F.col("entry")
-    level = F.lower(F.coalesce(_text(entry, "$.Severity", "$.severity", "$.Oem.Severity"), F.lit("")))
-    shown = F.coalesce(
-        F.try_variant_get(entry, "$.Severity", "string"),
-        F.try_variant_get(entry, "$.severity", "string"), F.lit("Unknown"),
-    )
-    created = _created(entry)
-    message = F.concat(
-        F.lit("[iLO] Entry="),
-        F.coalesce(_text(entry, "$.Id", "$.Number", "$.RecordId", "$.EntryCode"), F.lit("unknown")),
-        F.lit(" Created="), F.coalesce(created, F.lit("")),
-        F.lit(" Severity="), shown, F.lit(" :: "),
-        F.coalesce(
-            _text(entry, "$.Message", "$.Name", "$.Description", "$.MessageId"), F.lit("iLO log entry")
-        ),
+    level = f"lower(coalesce({_text('entry', '$.Severity', '$.severity', '$.Oem.Severity')}, ''))"
+    shown = "coalesce(" + ", ".join(
+        f"try_variant_get(entry, '$.{name}', 'string')" for name in ("Severity", "severity")
+    ) + ", 'Unknown')"
+    number = f"coalesce({_text('entry', '$.Id', '$.Number', '$.RecordId', '$.EntryCode')}, 'unknown')"
+    body = f"coalesce({_text('entry', '$.Message', '$.Name', '$.Description', '$.MessageId')}, 'iLO log entry')"
+    message = F.expr(
+        f"concat('[iLO] Entry=', {number}, ' Created=', coalesce({CREATED}, ''), "
+        f"' Severity=', {shown}, ' :: ', {body})"
     )
+    device = F.expr(f"try_to_timestamp({CREATED})")
     return entries.select(
         *_event(
             F.col("asset_id"), F.lit("ilo_iml"), message,
             severity_from(level, warning=("warn", "caution"), critical=("crit", "fatal")),
-            event_time(mode, F.try_to_timestamp(created), F.col("collected_ts").cast("timestamp")),
+            event_time(mode, device, F.col("collected_ts").cast("timestamp")),
         )
     )
 
@@ -350,12 +336,7 @@ def normalize_all(
         (winrm, normalize_winevent), (ssh, normalize_ssh), (snmp, normalize_snmp),
         (ilo, normalize_redfish), (csb_merp_share, lambda raw: csb_to_events(parse_csb(raw))),
     )
-    merged = None
-    for raw, make in makers:
-        if raw is None:
-            continue
-        events = make(raw).select(*S.BARE_EVENT_COLUMNS)
-        merged = events if merged is None else merged.unionByName(events)
-    if merged is None:
+    parts = [make(raw).select(*S.BARE_EVENT_COLUMNS) for raw, make in makers if raw is not None]
+    if not parts:
         raise ValueError("no raw table given")
-    return merged
+    return union_all(*parts)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from opslens.functions.merging import union_all
 from opslens.functions.ranking import clamp, latest_per_asset
 from opslens.functions.text import cluster_id, share
 from opslens.operators.clusters import CLUSTER, flag_ignored, ranked_documents, severity_counts, with_signature
@@ -82,7 +83,7 @@ def resolve_filters(
     if not explicit:
         return merged
     named = policies.sparkSession.createDataFrame(explicit, "field string, item string")
-    return merged.unionByName(named).distinct()
+    return union_all(merged, named).distinct()
 
 
 def impact_score(mode: str = "weighted") -> Column:
@@ -106,8 +107,8 @@ def dry_run_totals(events: DataFrame, filters, *, limit: int = 300) -> DataFrame
         F.count("*").alias("total_events"), F.count_if("ignored").alias("filtered_events")
     ).withColumn("remaining_events", F.col("total_events") - F.col("filtered_events"))
     return counts.withColumns({
-        "filtered_share": share(F.col("filtered_events"), F.col("total_events")),
-        "remaining_share": share(F.col("remaining_events"), F.col("total_events")),
+        "filtered_share": share("filtered_events", "total_events"),
+        "remaining_share": share("remaining_events", "total_events"),
     })
 
 
@@ -119,7 +120,7 @@ def dry_run_impact(
     hit = (
         _flagged(events, filters, limit).filter("ignored").groupBy(*CLUSTER)
         .agg(F.count("*").alias("events_filtered"), *severity_counts())
-        .withColumns({"impact_score": score, "cluster_id": cluster_id(F.col("source"), F.col("signature"))})
+        .withColumns({"impact_score": score, "cluster_id": cluster_id()})
     )
     order = W.partitionBy("asset_id").orderBy(
         F.col("impact_score").desc(), F.col("events_filtered").desc(),

@@ -11,10 +11,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from opslens.functions.ranking import clamp, latest_per_asset
-from opslens.operators.anomalies import reason
+from opslens.functions.merging import union_all
+from opslens.functions.ranking import SALT_BUCKETS, latest_per_asset
+from opslens.functions.text import quoted
+from opslens.operators.anomalies import REASON
 
 
 class Correlation(NamedTuple):
@@ -48,82 +49,86 @@ ALERTS = (  # reason, severity
     ("Thermal warning", "critical"),
     ("SMART degradation", "critical"),
 )
+ALERT_WEIGHTS = (0.2, 0.15, 0.2)
 ALERT_ACTIONS = (
     "High iowait: check the controller queue and LUN latency.",
     "Thermal events: check cooling and airflow.",
     "SMART degradation: prepare a disk replacement.",
 )
+HINT_ANOMALIES = 5
+# SQL: what to do about a finding
+ANOMALY_ACTION = (
+    """concat("Check the runbook for '", kind, "' and verify the origin: ", """
+    "coalesce(related_cluster_id, related_metric, 'n/a'))"
+)
 DEFAULT_HINT = (
     "No critical patterns", "No high-confidence anomalies or correlations in current window.",
     "Keep monitoring, compare trends daily, keep the basic runbook check.", 0.4,
 )
 
 
-def _message() -> Column:
-    return F.lower("message")
+TEXT = "lower(message)"
 
 
 def _alert_flags() -> list[Column]:
-    iowait = (F.col("metric") == "iowait") & (F.coalesce("value", F.lit(0.0)) >= IOWAIT_LIMIT)
-    return [
-        F.coalesce(F.bool_or(F.coalesce(iowait, F.lit(False))), F.lit(False)).alias("alert_0"),
-        F.bool_or(F.contains(_message(), F.lit("thermal"))).alias("alert_1"),
-        F.bool_or(F.contains(_message(), F.lit("smart"))).alias("alert_2"),
-    ]
+    return [F.expr(e) for e in (
+        f"coalesce(bool_or(coalesce(metric = 'iowait' AND coalesce(value, 0) >= {IOWAIT_LIMIT}, false)), false) AS alert_0",
+        f"bool_or(contains({TEXT}, 'thermal')) AS alert_1",
+        f"bool_or(contains({TEXT}, 'smart')) AS alert_2",
+    )]
+
+
+def _matches(rule: Correlation) -> str:
+    return f"(source = {quoted(rule.source)} AND {TEXT} RLIKE {quoted(rule.pattern)})"
 
 
 def _rule_counts(rules: Sequence[Correlation]) -> list[Column]:
-    return [
-        F.count_if((F.col("source") == rule.source) & _message().rlike(rule.pattern)).alias(f"rule_{i}")
-        for i, rule in enumerate(rules)
-    ]
+    return [F.expr(f"count_if({_matches(rule)}) AS rule_{i}") for i, rule in enumerate(rules)]
 
 
 def asset_facts(
-    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ
+    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ,
+    salt: int = SALT_BUCKETS,
 ) -> DataFrame:
     """One row per asset with every count the rules need, over its newest `limit` events (None = all)."""
-    return latest_per_asset(events, limit).groupBy("asset_id").agg(
+    return latest_per_asset(events, limit, salt=salt).groupBy("asset_id").agg(
         F.count("*").alias("events_total"),
-        F.count_if(F.col("severity") == "critical").alias("critical_count"),
-        F.count_if(F.col("severity") == "warning").alias("warning_count"),
+        F.expr("count_if(severity = 'critical') AS critical_count"),
+        F.expr("count_if(severity = 'warning') AS warning_count"),
         *_alert_flags(), *_rule_counts(rules),
     )
 
 
-def _alert_array() -> Column:
-    return F.array_compact(F.array(*[
-        F.when(F.col(f"alert_{i}"), F.struct(
-            F.lit(i).alias("alert_no"), F.lit(severity).alias("severity"), F.lit(text).alias("reason"),
-        ))
+def _alert_array() -> str:
+    return "array_compact(array(" + ", ".join(
+        f"if(alert_{i}, struct({i} AS alert_no, {quoted(severity)} AS severity, {quoted(text)} AS reason), NULL)"
         for i, (text, severity) in enumerate(ALERTS)
-    ]))
+    ) + "))"
 
 
-def _hit_array(rules: Sequence[Correlation]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(F.col(f"rule_{i}") >= rule.min_count, F.struct(
-            F.lit(i).alias("rule_no"), F.lit(rule.title).alias("title"),
-            F.lit(rule.confidence).alias("confidence"), F.col(f"rule_{i}").alias("evidence_count"),
-            F.lit(rule.recommendation).alias("recommendation"),
-        ))
+def hit_array(rules: Sequence[Correlation]) -> str:
+    return "array_compact(array(" + ", ".join(
+        f"if(rule_{i} >= {rule.min_count}, struct({i} AS rule_no, {quoted(rule.title)} AS title, "
+        f"{rule.confidence}D AS confidence, rule_{i} AS evidence_count, "
+        f"{quoted(rule.recommendation)} AS recommendation), NULL)"
         for i, rule in enumerate(rules)
-    ]))
+    ) + "))"
 
 
 def alerts(events: DataFrame, *, limit: int | None = EVENTS_READ) -> DataFrame:
     """(asset_id, severity, reason) rows (E-01)."""
-    return asset_facts(events, (), limit=limit).select(
-        "asset_id", F.explode(_alert_array()).alias("a")
+    return asset_facts(events, (), limit=limit).selectExpr(
+        "asset_id", f"explode({_alert_array()}) AS a"
     ).select("asset_id", "a.alert_no", "a.severity", "a.reason")
 
 
 def correlations(
-    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ
+    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ,
+    salt: int = SALT_BUCKETS,
 ) -> DataFrame:
     """Rules that found enough evidence in an asset's newest events (E-02)."""
-    return asset_facts(events, rules, limit=limit).select(
-        "asset_id", F.explode(_hit_array(rules)).alias("r")
+    return asset_facts(events, rules, limit=limit, salt=salt).selectExpr(
+        "asset_id", f"explode({hit_array(rules)}) AS r"
     ).select("asset_id", "r.*")
 
 
@@ -137,9 +142,7 @@ def correlation_events(
     if chosen is None:
         out = latest_per_asset(scope, 20)
     else:
-        out = latest_per_asset(scope, 10000).filter(
-            (F.col("source") == chosen.source) & _message().rlike(chosen.pattern)
-        )
+        out = latest_per_asset(scope, 10000).filter(_matches(chosen))
     return out.orderBy("asset_id", F.col("seq").desc())
 
 
@@ -149,35 +152,28 @@ def runbook_hints(anomalies: DataFrame, found: DataFrame, assets: DataFrame | No
     anomalies: ranked rows (anomalies.rank_anomalies); found: correlations(); assets: (asset_id)
     of all assets that must have a hint.
     """
-    target = F.coalesce("related_cluster_id", "related_metric", F.lit("n/a"))
-    from_anomalies = anomalies.filter(F.col("anomaly_rank") <= 5).select(
-        "asset_id", F.lit(0).alias("part"), F.col("anomaly_rank").alias("place"),
-        F.concat("kind", F.lit(": "), "severity").alias("title"),
-        reason(F.col("reason_code")).alias("rationale"),
-        F.concat(F.lit("Check the runbook for '"), "kind", F.lit("' and verify the origin: "), target).alias("action"),
-        F.round("confidence", 2).alias("confidence"),
+    from_anomalies = anomalies.filter(f"anomaly_rank <= {HINT_ANOMALIES}").select(
+        "asset_id", F.expr(f"{REASON} AS rationale"),
+        F.expr("0 AS part"), F.expr("anomaly_rank AS place"), F.expr("concat(kind, ': ', severity) AS title"),
+        F.expr(f"{ANOMALY_ACTION} AS action"),
+        F.expr("round(confidence, 2) AS confidence"),
     )
-    from_rules = found.select(
-        "asset_id", F.lit(1).alias("part"), F.col("rule_no").alias("place"), "title",
-        F.concat(F.lit("Correlation evidence count: "), F.col("evidence_count").cast("string")).alias("rationale"),
-        F.col("recommendation").alias("action"), F.round("confidence", 2).alias("confidence"),
+    from_rules = found.selectExpr(
+        "asset_id", "concat('Correlation evidence count: ', evidence_count) AS rationale", "1 AS part",
+        "rule_no AS place", "title", "recommendation AS action", "round(confidence, 2) AS confidence",
     )
-    hints = from_anomalies.unionByName(from_rules)
+    parts = [from_anomalies, from_rules]
     if assets is not None:
         title, rationale, action, confidence = DEFAULT_HINT
-        hints = hints.unionByName(
-            assets.select("asset_id").distinct().select(
-                "asset_id", F.lit(2).alias("part"), F.lit(0).alias("place"), F.lit(title).alias("title"),
-                F.lit(rationale).alias("rationale"), F.lit(action).alias("action"),
-                F.lit(confidence).alias("confidence"),
-            )
-        )
-    order = W.partitionBy("asset_id").orderBy("part", "place")
-    ranked = hints.withColumn("hint_rank", F.row_number().over(order))
-    # the default stays only where nothing ranks before it
-    return ranked.filter((F.col("hint_rank") <= 10) & ((F.col("part") < 2) | (F.col("hint_rank") == 1))).drop(
-        "part", "place"
+        parts.append(assets.select("asset_id").distinct().selectExpr(
+            "asset_id", f"{quoted(rationale)} AS rationale", "2 AS part", "0 AS place", f"{quoted(title)} AS title",
+            f"{quoted(action)} AS action", f"{confidence}D AS confidence",
+        ))
+    ranked = union_all(*parts).selectExpr(
+        "*", "row_number() OVER (PARTITION BY asset_id ORDER BY part, place) AS hint_rank"
     )
+    # the default stays only where nothing ranks before it
+    return ranked.filter("hint_rank <= 10 AND (part < 2 OR hint_rank = 1)").drop("part", "place")
 
 
 def recommendations(
@@ -188,34 +184,21 @@ def recommendations(
     facts = asset_facts(events, rules, limit=limit)
     if assets is not None:
         facts = assets.select("asset_id").distinct().join(facts, "asset_id", "left")
-    hits = _hit_array(rules)
-    weights = (0.2, 0.15, 0.2)
-    score = (
-        F.lit(0.1)
-        + F.least(F.col("critical_count") * 0.2, F.lit(0.5))
-        + F.least(F.col("warning_count") * 0.05, F.lit(0.2))
-    )
-    for i, weight in enumerate(weights):
-        score = score + F.when(F.col(f"alert_{i}"), F.lit(weight)).otherwise(F.lit(0.0))
-    score = F.least(score + F.least(F.size(hits) * 0.08, F.lit(0.2)), F.lit(0.99))
-    quiet = F.coalesce("events_total", F.lit(0)) == 0
-    risk = F.when(quiet, F.lit(0.05)).otherwise(score)
-    actions = F.concat(
-        F.array_compact(F.array(*[
-            F.when(F.col(f"alert_{i}"), F.lit(text)) for i, text in enumerate(ALERT_ACTIONS)
-        ])),
-        F.transform(hits, lambda h: F.concat(
-            F.lit("Correlation: "), h["title"], F.lit(" ("), h["evidence_count"].cast("string"), F.lit(" events)")
-        )),
-    )
-    return facts.select(
-        "asset_id", risk.alias("risk"),
-        F.when(quiet, F.array(F.lit("Keep monitoring"), F.lit("Check trends once a day")))
-        .when(F.size(actions) == 0, F.array(F.lit("Check the runbook and alert thresholds")))
-        .otherwise(actions).alias("actions"),
-    ).select(
-        "asset_id", F.round("risk", 2).alias("risk_score"),
-        F.when(F.col("risk") >= 0.75, F.lit("high"))
-        .when(F.col("risk") >= 0.4, F.lit("moderate")).otherwise(F.lit("low")).alias("risk_level"),
-        "actions",
+    hits = hit_array(rules)
+    score = " + ".join([
+        "0.1D", "least(critical_count * 0.2D, 0.5D)", "least(warning_count * 0.05D, 0.2D)",
+        *[f"if(alert_{i}, {weight}D, 0.0D)" for i, weight in enumerate(ALERT_WEIGHTS)],
+        f"least(size({hits}) * 0.08D, 0.2D)",
+    ])
+    quiet = "coalesce(events_total, 0) = 0"
+    texts = ", ".join(f"if(alert_{i}, {quoted(text)}, NULL)" for i, text in enumerate(ALERT_ACTIONS))
+    return facts.selectExpr(
+        "asset_id", f"if({quiet}, 0.05D, least({score}, 0.99D)) AS risk", f"{quiet} AS quiet",
+        f"""concat(array_compact(array({texts})), transform({hits}, h ->
+            concat('Correlation: ', h.title, ' (', h.evidence_count, ' events)'))) AS actions""",
+    ).selectExpr(
+        "asset_id", "round(risk, 2) AS risk_score",
+        "CASE WHEN risk >= 0.75D THEN 'high' WHEN risk >= 0.4D THEN 'moderate' ELSE 'low' END AS risk_level",
+        """CASE WHEN quiet THEN array('Keep monitoring', 'Check trends once a day')
+           WHEN size(actions) = 0 THEN array('Check the runbook and alert thresholds') ELSE actions END AS actions""",
     )

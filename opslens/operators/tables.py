@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opslens.functions.merging import union_all
 from opslens.schemas import SECRET_MASK
 
 
@@ -33,8 +34,9 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str) ->
     columns = base.columns
     rest = [c for c in columns if c not in keys]
     nothing = F.lit(None).cast(updates.schema[order].dataType)
-    merged = base.select(*columns, F.lit(0).alias("_new"), nothing.alias("_order")).unionByName(
-        updates.select(*columns, F.lit(1).alias("_new"), F.col(order).alias("_order"))
+    merged = union_all(
+        base.select(*columns, F.lit(0).alias("_new"), nothing.alias("_order")),
+        updates.select(*columns, F.lit(1).alias("_new"), F.col(order).alias("_order")),
     )
     latest = F.max_by(F.struct(*rest), F.struct("_new", "_order"))
     return merged.groupBy(*keys).agg(latest.alias("_row")).select(*keys, "_row.*").select(*columns)
@@ -42,7 +44,7 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str) ->
 
 def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Add the rows whose key the table does not have yet."""
-    return base.unionByName(rows.join(base.select(*keys), keys, "left_anti").dropDuplicates(keys))
+    return union_all(base, rows.join(base.select(*keys), keys, "left_anti").dropDuplicates(keys))
 
 
 def delete_assets(

@@ -2,69 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp
-from opslens.operators.anomalies import find_anomalies, reason
+from opslens.functions.ranking import clamp, latest_per_asset
+from opslens.functions.text import quoted
+from opslens.operators.anomalies import REASON, detect, rank_anomalies
 from opslens.operators.clusters import analysis_window
 from opslens.operators.dependency import dependency_edges, first_assets
-from opslens.operators.rules import correlations, runbook_hints
+from opslens.operators.rules import (
+    ANOMALY_ACTION, DEFAULT_HINT, DEFAULT_RULES, EVENTS_READ, HINT_ANOMALIES, asset_facts, correlations,
+    hit_array, runbook_hints,
+)
+from opslens.schemas import EVENT_COLUMNS
+from opslens.session import stage
 
 QUIET = "No significant incident patterns in current window"
+BRIEF_CLUSTERS, HINT_CLUSTERS, TOP = 10, 15, 3
 
 
-def _first(df: DataFrame, rank: str, text, name: str, n: int = 3) -> DataFrame:
-    """asset_id and the texts of its n best rows, in rank order."""
-    return df.filter(F.col(rank) <= n).groupBy("asset_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(rank), text.alias("t")))), lambda r: r["t"]).alias(name)
-    )
+def _newest(events: DataFrame, limit: int) -> DataFrame:
+    """All that the branches of a brief look at, staged: the newest events of every asset."""
+    columns = [c for c in events.columns if c in EVENT_COLUMNS]
+    return stage(latest_per_asset(events.select(*columns), max(limit, EVENTS_READ)), "newest-events")
 
 
 def asset_hints(events: DataFrame, assets: DataFrame, *, limit: int = 300) -> DataFrame:
     """Runbook hints of every asset in assets(asset_id), from 15 clusters and 15 anomalies."""
-    window = analysis_window(events, limit=limit)
-    return runbook_hints(
-        find_anomalies(window, max_clusters=15, max_anomalies=15), correlations(events), assets
-    )
+    newest = _newest(events, limit)
+    found = detect(analysis_window(newest, limit=limit, salt=1), max_clusters=HINT_CLUSTERS)
+    return runbook_hints(rank_anomalies(found, HINT_CLUSTERS), correlations(newest, salt=1), assets)
+
+
+def _first(rank: str, text: str, n: int, name: str, only: str = "true") -> Column:
+    """Aggregate: the texts of a group's n best rows in rank order."""
+    rows = f"collect_list(CASE WHEN {only} AND {rank} <= {n} THEN struct({rank} AS r, {text} AS t) END)"
+    return F.expr(f"transform(sort_array({rows}), x -> x.t) AS {name}")
 
 
 def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int = 300) -> DataFrame:
-    """One row per asset: headline, confidence, top reasons, actions and dependency hotspots."""
-    window = analysis_window(events, limit=limit)
-    found = find_anomalies(window, max_clusters=10, max_anomalies=10)
-    edges = dependency_edges(events, limit=limit, k=5)
-    reasons = _first(found, "anomaly_rank", reason(F.col("reason_code")), "anomaly_reasons")
-    hotspot = F.concat(
-        "source_a", F.lit(" <-> "), "source_b", F.lit(" ("), F.col("shared_signatures").cast("string"), F.lit(")")
-    )
-    hotspots = _first(edges, "edge_rank", hotspot, "dependency_hotspots")
-    actions = _first(asset_hints(events, assets, limit=limit), "hint_rank", F.col("action"), "runbook_actions")
-    best = found.filter(F.col("anomaly_rank") == 1).select("asset_id", F.col("confidence").alias("_anomaly"))
-    strongest = edges.filter(F.col("edge_rank") == 1).select("asset_id", F.col("co_occurrence_score").alias("_edge"))
+    """One row per asset: headline, confidence, top reasons, actions and dependency hotspots.
 
+    The hints look at 15 clusters, the brief itself at 10; one detection serves both. Each branch
+    ends in one row per asset before anything is joined.
+    """
+    limit = clamp(limit, 20, 2000)
+    newest = _newest(events, limit)
+    order = "ORDER BY confidence DESC, kind_order, first_seq"
+    own = f"cluster_rank <= {BRIEF_CLUSTERS}"
+    anomalies = (
+        detect(analysis_window(newest, limit=limit, salt=1), max_clusters=HINT_CLUSTERS)
+        .selectExpr(
+            "*", f"row_number() OVER (PARTITION BY asset_id {order}) AS hint_place",
+            f"row_number() OVER (PARTITION BY asset_id, {own} {order}) AS own_place",
+        )
+        .groupBy("asset_id").agg(
+            _first("own_place", REASON, TOP, "anomaly_reasons", only=own),
+            F.expr(f"max(CASE WHEN {own} THEN confidence END) AS top_anomaly"),
+            _first("hint_place", ANOMALY_ACTION, HINT_ANOMALIES, "anomaly_actions"),
+        )
+    )
+    rules = asset_facts(newest, salt=1).selectExpr(
+        "asset_id", f"transform({hit_array(DEFAULT_RULES)}, h -> h.recommendation) AS rule_actions"
+    )
+    edges = dependency_edges(newest, limit=limit, k=5, salt=1).groupBy("asset_id").agg(
+        _first("edge_rank", "concat(source_a, ' <-> ', source_b, ' (', shared_signatures, ')')", TOP,
+               "dependency_hotspots"),
+        F.expr("max(CASE WHEN edge_rank = 1 THEN co_occurrence_score END) AS top_edge"),
+    )
     rows = assets.select("asset_id").distinct()
-    for part in (reasons, hotspots, actions, best, strongest):
+    for part in (anomalies, rules, edges):
         rows = rows.join(part, "asset_id", "left")
-    rows = rows.withColumns({
-        c: F.coalesce(c, F.array().cast("array<string>"))
-        for c in ("anomaly_reasons", "dependency_hotspots", "runbook_actions")
-    })
-    confidence = (
-        F.lit(0.35)
-        + F.coalesce(F.least(F.lit(0.35), F.col("_anomaly") * 0.4), F.lit(0.0))
-        + F.coalesce(F.least(F.lit(0.2), F.col("_edge") * 0.2), F.lit(0.0))
-        + F.when(F.size("runbook_actions") > 0, F.lit(0.1)).otherwise(F.lit(0.0))
-    )
-    return rows.select(
+    none = "cast(array() AS array<string>)"
+    return rows.selectExpr(
+        "asset_id", f"coalesce(anomaly_reasons, {none}) AS anomaly_reasons",
+        f"coalesce(dependency_hotspots, {none}) AS dependency_hotspots",
+        f"concat(coalesce(anomaly_actions, {none}), coalesce(rule_actions, {none})) AS actions",
+        "coalesce(least(0.35D, top_anomaly * 0.4D), 0.0D) AS from_anomaly",
+        "coalesce(least(0.2D, top_edge * 0.2D), 0.0D) AS from_edge",
+    ).selectExpr(
         "asset_id",
-        F.coalesce(
-            F.get("anomaly_reasons", F.lit(0)),
-            F.concat(F.lit("Dependency hotspot: "), F.get("dependency_hotspots", F.lit(0))),
-            F.lit(QUIET),
-        ).alias("headline"),
-        F.round(F.least(confidence, F.lit(0.99)), 2).alias("confidence"),
-        "anomaly_reasons", "runbook_actions", "dependency_hotspots",
+        "coalesce(get(anomaly_reasons, 0), concat('Dependency hotspot: ', get(dependency_hotspots, 0)), "
+        f"{quoted(QUIET)}) AS headline",
+        # every asset has a hint, which is worth 0.1
+        "round(least(0.35D + from_anomaly + from_edge + 0.1D, 0.99D), 2) AS confidence",
+        "anomaly_reasons",
+        f"if(size(actions) = 0, array({quoted(DEFAULT_HINT[2])}), slice(actions, 1, {TOP})) AS runbook_actions",
+        "dependency_hotspots",
     )
 
 
@@ -75,6 +99,7 @@ def incident_overview(
     """Briefs of the first max_assets assets with at least min_confidence, most certain first."""
     looked_at = first_assets(assets, clamp(max_assets, 1, 200))
     scope = events.join(looked_at, "asset_id", "left_semi")
-    briefs = incident_briefs(scope, looked_at, limit=clamp(limit_per_asset, 20, 2000))
     floor = min(max(min_confidence, 0.0), 1.0)
-    return briefs.filter(F.col("confidence") >= floor).orderBy(F.col("confidence").desc(), "asset_id")
+    return incident_briefs(scope, looked_at, limit=limit_per_asset).filter(
+        F.col("confidence") >= floor
+    ).orderBy(F.col("confidence").desc(), "asset_id")

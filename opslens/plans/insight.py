@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.ranking import clamp, latest_per_asset
 from opslens.functions.text import severity_rank
-from opslens.operators.anomalies import find_anomalies, reason
+from opslens.operators.anomalies import REASON, find_anomalies
 from opslens.operators.clusters import (
     analysis_window, clusters, excluded_counts, ranked_documents, top_clusters, with_signature,
 )
@@ -39,7 +39,7 @@ def log_insight(
     )
     anomaly_rows = (
         find_anomalies(window, max_clusters=max_clusters, max_anomalies=max_anomalies)
-        .withColumn("reason", reason(F.col("reason_code")))
+        .withColumn("reason", F.expr(REASON))
         .groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct(
             "anomaly_rank", "kind", "severity", "confidence", "reason_code", "reason", "evidence",
             "related_cluster_id", "related_metric",
@@ -117,7 +117,7 @@ def asset_summaries(
 def rank_summaries(summaries: DataFrame) -> DataFrame:
     """Worst asset first: most anomalies, worst top severity, most events."""
     return summaries.orderBy(
-        F.col("anomalies_total").desc(), severity_rank(F.col("top_severity")).desc(),
+        F.col("anomalies_total").desc(), severity_rank("top_severity").desc(),
         F.col("analyzed_events").desc(), "asset_id",
     )
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings. None of them changes a result; they shape the physical plan.
+# Runtime SQL settings that shape the physical plan.
 PLAN_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
+    # see functions.merging.union_all
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the per-asset stages are heavy on CPU and light on bytes: do not merge their partitions to 1 MB
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # row_number() <= n is pruned before the shuffle only up to this n (Spark's default is 1000,
     # the largest analysis window is 2000)
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
@@ -38,3 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="opslens-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For a reduced table that several branches of a plan use: the input behind it is read once, and a
+    lost executor costs a re-read of this table only. The files stay until the folder is cleaned.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
