@@ -332,8 +332,8 @@ CTES = {
         SELECT a.asset_id,
           coalesce(r.reasons[1], 'Dependency hotspot: ' || e.spots[1],
             'No significant incident patterns in current window') AS headline,
-          round(least(0.35::DOUBLE + coalesce(least(0.35::DOUBLE, r.best * 0.4::DOUBLE), 0)
-            + coalesce(least(0.2::DOUBLE, e.best * 0.2::DOUBLE), 0) + 0.1::DOUBLE, 0.99::DOUBLE), 2) AS confidence,
+          round(least(0.35::DOUBLE + least(0.35::DOUBLE, coalesce(r.best * 0.4::DOUBLE, 0))
+            + least(0.2::DOUBLE, coalesce(e.best * 0.2::DOUBLE, 0)) + 0.1::DOUBLE, 0.99::DOUBLE), 2) AS confidence,
           coalesce(array_to_string(r.reasons, '; '), '') AS anomaly_reasons,
           coalesce(array_to_string(e.spots, '; '), '') AS dependency_hotspots, h.actions, h.actions_text
         FROM (SELECT DISTINCT asset_id FROM ev) a

@@ -18,13 +18,10 @@ LOG_MESSAGE_CHARS = 500
 HOST_LOG_TAIL = 20
 DISK_WARNING_PCT = 85
 LOAD_METRICS = ("load1", "load5", "load15")
-# fixed values: places where a device payload may keep its entry list, in order of preference
-LIST_PATHS = ("$.Members", "$.Items", "$.items", "$.value", "$.members")
-LINK_PATHS = tuple(
-    f"$.{block}.{member}"
-    for block in ("links", "link", "Links")
-    for member in ("Member", "Members", "member", "members")
-)
+# fixed values: keys under which a device payload may keep its entry list, in order of preference
+LIST_KEYS = ("Members", "Items", "items", "value", "members")
+LINK_KEYS = ("links", "link", "Links")
+LINK_MEMBER_KEYS = ("Member", "Members", "member", "members")
 
 
 def _event(asset_id, source, message, severity, ts, metric=None, value=None) -> list[Column]:
@@ -198,16 +195,20 @@ def normalize_snmp(raw: DataFrame) -> DataFrame:
     )
 
 
-def _text(doc: str, *paths: str) -> str:
-    """SQL: first non-empty value among the paths, as text."""
-    return "coalesce(" + ", ".join(f"nullif(try_variant_get({doc}, '{p}', 'string'), '')" for p in paths) + ")"
+def _keys(names) -> str:
+    return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def _has(doc: str, path: str) -> str:
-    return f"try_variant_get({doc}, {path}, 'variant') IS NOT NULL"
+def _first_text(*names: str) -> str:
+    """SQL: first non-empty value among the keys of an entry's `fields`."""
+    return "coalesce(" + ", ".join(f"nullif(fields['{n}'], '')" for n in names) + ")"
 
 
-MESSAGE_PATH = "'$.Message'"
+def with_fields(entries: DataFrame) -> DataFrame:
+    """Read each entry's keys once into a map of texts; rows that are not objects are dropped."""
+    return entries.withColumn("fields", F.expr("try_variant_get(entry, '$', 'map<string,string>')")).filter(
+        "fields IS NOT NULL"
+    )
 
 
 def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
@@ -217,22 +218,30 @@ def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
     first `limit` of those are followed.
     """
     limit = clamp(limit, 1, 500)
-    lists = ", ".join(f"try_variant_get(doc, '{path}', 'array<variant>')" for path in LIST_PATHS + LINK_PATHS)
-    alone = " OR ".join(_has("doc", f"'$.{name}'") for name in ("Message", "Severity", "Name"))
-    ref = "\"$['@odata.id']\""
-    only_links = f"forall(entries, e -> {_has('e', ref)} AND NOT {_has('e', MESSAGE_PATH)})"
+    direct = f"transform({_keys(LIST_KEYS)}, k -> try_variant_get(doc[k], '$', 'array<variant>'))"
+    linked = (
+        f"flatten(transform({_keys(LINK_KEYS)}, l -> transform({_keys(LINK_MEMBER_KEYS)}, k -> "
+        "try_variant_get(try_variant_get(doc[l], '$', 'map<string,variant>')[k], '$', 'array<variant>'))))"
+    )
+    alone = " OR ".join(f"map_contains_key(doc, '{name}')" for name in ("Message", "Severity", "Name"))
     wide = (
-        payloads.withColumn("doc", F.try_parse_json("payload"))
-        .withColumn("members", F.expr(f"coalesce({lists})"))
-        .withColumn("entries", F.expr(f"CASE WHEN size(members) > 0 THEN members WHEN {alone} THEN array(doc) END"))
+        payloads.withColumn("whole", F.try_parse_json("payload"))
+        .withColumn("doc", F.expr("try_variant_get(whole, '$', 'map<string,variant>')"))
+        .withColumn("lists", F.expr(f"filter(concat({direct}, {linked}), x -> x IS NOT NULL)"))
+        .withColumn("members", F.expr("get(lists, 0)"))
+        .withColumn("entries", F.expr(f"CASE WHEN size(members) > 0 THEN members WHEN {alone} THEN array(whole) END"))
         .filter("size(entries) > 0")
-        .withColumn("is_link", F.expr(only_links))
+        .withColumn("maps", F.expr("transform(entries, e -> try_variant_get(e, '$', 'map<string,variant>'))"))
+        .withColumn("is_link", F.expr(
+            "forall(maps, m -> coalesce(map_contains_key(m, '@odata.id') AND NOT map_contains_key(m, 'Message'), false))"
+        ))
     )
     kept = [c for c in payloads.columns if c != "payload"]
-    return (
-        wide.select(*kept, "is_link", F.posexplode("entries").alias("entry_no", "e"))
-        .withColumn("link", F.expr(f"CASE WHEN is_link AND entry_no < {limit} THEN trim(try_variant_get(e, {ref}, 'string')) END"))
-        .withColumnRenamed("e", "entry")
+    return wide.select(*kept, "is_link", F.posexplode("entries").alias("entry_no", "entry")).withColumn(
+        "link", F.expr(
+            f"CASE WHEN is_link AND entry_no < {limit} "
+            "THEN trim(try_variant_get(entry, '$', 'map<string,string>')['@odata.id']) END"
+        )
     )
 
 
@@ -259,10 +268,9 @@ def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 ENTRY_ID = "coalesce(" + ", ".join(
-    f"try_cast(rtrim('.', trim(try_variant_get(entry, '$.{name}', 'string'))) AS bigint)"
-    for name in ("Id", "Number", "RecordId", "EntryId")
+    f"try_cast(rtrim('.', trim(fields['{name}'])) AS bigint)" for name in ("Id", "Number", "RecordId", "EntryId")
 ) + ")"
-CREATED = _text("entry", "$.Created", "$.CreatedTime", "$.created")
+CREATED = _first_text("Created", "CreatedTime", "created")
 
 
 def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,9 +280,9 @@ def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, Dat
     compared by number; entries without one pass unless a time cursor already covers them. The
     time cursor moves only for targets that never showed a number.
     """
-    with_id = entries.withColumns(
+    with_id = with_fields(entries).withColumns(
         {"entry_id": F.expr(ENTRY_ID), "created": F.expr(f"try_to_timestamp({CREATED})")}
-    )
+    ).drop("fields")
     cursors = state.select(
         "target_id", F.coalesce("cursor_id", F.lit(0)).alias("cursor_id"), "cursor_created"
     )
@@ -297,18 +305,17 @@ def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, Dat
 
 def normalize_redfish(entries: DataFrame, *, mode: str = "collected") -> DataFrame:
     """Redfish / IML log entries -> events."""
-    level = f"lower(coalesce({_text('entry', '$.Severity', '$.severity', '$.Oem.Severity')}, ''))"
-    shown = "coalesce(" + ", ".join(
-        f"try_variant_get(entry, '$.{name}', 'string')" for name in ("Severity", "severity")
-    ) + ", 'Unknown')"
-    number = f"coalesce({_text('entry', '$.Id', '$.Number', '$.RecordId', '$.EntryCode')}, 'unknown')"
-    body = f"coalesce({_text('entry', '$.Message', '$.Name', '$.Description', '$.MessageId')}, 'iLO log entry')"
+    oem = "try_variant_get(entry, '$.Oem.Severity', 'string')"
+    level = f"lower(coalesce({_first_text('Severity', 'severity')}, {oem}, ''))"
+    shown = "coalesce(fields['Severity'], fields['severity'], 'Unknown')"
+    number = f"coalesce({_first_text('Id', 'Number', 'RecordId', 'EntryCode')}, 'unknown')"
+    body = f"coalesce({_first_text('Message', 'Name', 'Description', 'MessageId')}, 'iLO log entry')"
     message = F.expr(
         f"concat('[iLO] Entry=', {number}, ' Created=', coalesce({CREATED}, ''), "
         f"' Severity=', {shown}, ' :: ', {body})"
     )
     device = F.expr(f"try_to_timestamp({CREATED})")
-    return entries.select(
+    return with_fields(entries).select(
         *_event(
             F.col("asset_id"), F.lit("ilo_iml"), message,
             severity_from(level, warning=("warn", "caution"), critical=("crit", "fatal")),

@@ -78,8 +78,9 @@ def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int = 300) -
         "asset_id", f"coalesce(anomaly_reasons, {none}) AS anomaly_reasons",
         f"coalesce(dependency_hotspots, {none}) AS dependency_hotspots",
         f"concat(coalesce(anomaly_actions, {none}), coalesce(rule_actions, {none})) AS actions",
-        "coalesce(least(0.35D, top_anomaly * 0.4D), 0.0D) AS from_anomaly",
-        "coalesce(least(0.2D, top_edge * 0.2D), 0.0D) AS from_edge",
+        # least() skips nulls
+        "least(0.35D, coalesce(top_anomaly * 0.4D, 0.0D)) AS from_anomaly",
+        "least(0.2D, coalesce(top_edge * 0.2D, 0.0D)) AS from_edge",
     ).selectExpr(
         "asset_id",
         "coalesce(get(anomaly_reasons, 0), concat('Dependency hotspot: ', get(dependency_hotspots, 0)), "
