@@ -229,7 +229,7 @@ def _(spark, sf):
     entries = normalize.hydrate_links(normalize.redfish_entries(payloads), docs)
     return entries.select(
         "payload_id", F.col("entry_no").cast("bigint").alias("entry_no"),
-        F.try_variant_get("entry", "$.Message", "string").alias("message"),
+        F.expr("entry['Message'] AS message"),
     )
 
 

@@ -199,50 +199,41 @@ def _keys(names) -> str:
     return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def _first_text(*names: str) -> str:
-    """SQL: first non-empty value among the keys of an entry's `fields`."""
-    return "coalesce(" + ", ".join(f"nullif(fields['{n}'], '')" for n in names) + ")"
+MAP = "'map<string,string>'"
 
 
-def with_fields(entries: DataFrame) -> DataFrame:
-    """Read each entry's keys once into a map of texts; rows that are not objects are dropped."""
-    return entries.withColumn("fields", F.expr("try_variant_get(entry, '$', 'map<string,string>')")).filter(
-        "fields IS NOT NULL"
-    )
+def _first_text(*names: str) -> str:
+    """SQL: first non-empty value among the keys of an entry."""
+    return "coalesce(" + ", ".join(f"nullif(entry['{n}'], '')" for n in names) + ")"
 
 
 def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
-    """Device payloads (JSON text in `payload`) -> one row per log entry in `entry`.
+    """Device payloads (JSON text in `payload`) -> one row per log entry, its keys in the map `entry`.
 
     `is_link` marks entries of a payload that holds nothing but links to its entries; only the
-    first `limit` of those are followed.
+    first `limit` of those are followed. Members that are no objects are dropped.
     """
     limit = clamp(limit, 1, 500)
-    direct = f"transform({_keys(LIST_KEYS)}, k -> try_variant_get(doc[k], '$', 'array<variant>'))"
+    direct = [f"from_json(doc['{key}'], 'array<string>')" for key in LIST_KEYS]
     linked = (
-        f"flatten(transform({_keys(LINK_KEYS)}, l -> transform({_keys(LINK_MEMBER_KEYS)}, k -> "
-        "try_variant_get(try_variant_get(doc[l], '$', 'map<string,variant>')[k], '$', 'array<variant>'))))"
+        f"get(filter(flatten(transform({_keys(LINK_KEYS)}, l -> transform({_keys(LINK_MEMBER_KEYS)}, k -> "
+        f"from_json(from_json(doc[l], {MAP})[k], 'array<string>')))), x -> x IS NOT NULL), 0)"
     )
     alone = " OR ".join(f"map_contains_key(doc, '{name}')" for name in ("Message", "Severity", "Name"))
+    bare = "coalesce(map_contains_key(m, '@odata.id') AND NOT map_contains_key(m, 'Message'), false)"
     wide = (
-        payloads.withColumn("whole", F.try_parse_json("payload"))
-        .withColumn("doc", F.expr("try_variant_get(whole, '$', 'map<string,variant>')"))
-        .withColumn("lists", F.expr(f"filter(concat({direct}, {linked}), x -> x IS NOT NULL)"))
-        .withColumn("members", F.expr("get(lists, 0)"))
-        .withColumn("entries", F.expr(f"CASE WHEN size(members) > 0 THEN members WHEN {alone} THEN array(whole) END"))
-        .filter("size(entries) > 0")
-        .withColumn("maps", F.expr("transform(entries, e -> try_variant_get(e, '$', 'map<string,variant>'))"))
-        .withColumn("is_link", F.expr(
-            "forall(maps, m -> coalesce(map_contains_key(m, '@odata.id') AND NOT map_contains_key(m, 'Message'), false))"
+        payloads.withColumn("doc", F.expr(f"from_json(payload, {MAP})"))
+        .withColumn("members", F.expr(f"coalesce({', '.join(direct)}, {linked})"))
+        .withColumn("entries", F.expr(
+            f"CASE WHEN size(members) > 0 THEN transform(members, e -> from_json(e, {MAP})) "
+            f"WHEN {alone} THEN array(doc) END"
         ))
+        .withColumn("is_link", F.expr(f"forall(entries, m -> {bare})"))
     )
     kept = [c for c in payloads.columns if c != "payload"]
-    return wide.select(*kept, "is_link", F.posexplode("entries").alias("entry_no", "entry")).withColumn(
-        "link", F.expr(
-            f"CASE WHEN is_link AND entry_no < {limit} "
-            "THEN trim(try_variant_get(entry, '$', 'map<string,string>')['@odata.id']) END"
-        )
-    )
+    return wide.select(*kept, "is_link", F.posexplode("entries").alias("entry_no", "entry")).filter(
+        "entry IS NOT NULL"
+    ).withColumn("link", F.expr(f"CASE WHEN is_link AND entry_no < {limit} THEN trim(entry['@odata.id']) END"))
 
 
 def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -252,7 +243,7 @@ def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """
     # a document that landed twice counts once
     bodies = docs.filter(F.col("odata_id").startswith("/")).groupBy(F.col("odata_id").alias("link"))
-    bodies = bodies.agg(F.max("body").alias("_body")).withColumn("_doc", F.try_parse_json("_body"))
+    bodies = bodies.agg(F.max("body").alias("_body")).withColumn("_doc", F.expr(f"from_json(_body, {MAP})"))
     bodies = bodies.filter(F.col("_doc").isNotNull()).drop("_body")
     joined = entries.join(bodies, "link", "left")
     resolved = (
@@ -268,7 +259,7 @@ def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 ENTRY_ID = "coalesce(" + ", ".join(
-    f"try_cast(rtrim('.', trim(fields['{name}'])) AS bigint)" for name in ("Id", "Number", "RecordId", "EntryId")
+    f"try_cast(rtrim('.', trim(entry['{name}'])) AS bigint)" for name in ("Id", "Number", "RecordId", "EntryId")
 ) + ")"
 CREATED = _first_text("Created", "CreatedTime", "created")
 
@@ -280,9 +271,9 @@ def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, Dat
     compared by number; entries without one pass unless a time cursor already covers them. The
     time cursor moves only for targets that never showed a number.
     """
-    with_id = with_fields(entries).withColumns(
+    with_id = entries.withColumns(
         {"entry_id": F.expr(ENTRY_ID), "created": F.expr(f"try_to_timestamp({CREATED})")}
-    ).drop("fields")
+    )
     cursors = state.select(
         "target_id", F.coalesce("cursor_id", F.lit(0)).alias("cursor_id"), "cursor_created"
     )
@@ -305,9 +296,9 @@ def redfish_cursor(entries: DataFrame, state: DataFrame) -> tuple[DataFrame, Dat
 
 def normalize_redfish(entries: DataFrame, *, mode: str = "collected") -> DataFrame:
     """Redfish / IML log entries -> events."""
-    oem = "try_variant_get(entry, '$.Oem.Severity', 'string')"
+    oem = "get_json_object(entry['Oem'], '$.Severity')"
     level = f"lower(coalesce({_first_text('Severity', 'severity')}, {oem}, ''))"
-    shown = "coalesce(fields['Severity'], fields['severity'], 'Unknown')"
+    shown = "coalesce(entry['Severity'], entry['severity'], 'Unknown')"
     number = f"coalesce({_first_text('Id', 'Number', 'RecordId', 'EntryCode')}, 'unknown')"
     body = f"coalesce({_first_text('Message', 'Name', 'Description', 'MessageId')}, 'iLO log entry')"
     message = F.expr(
@@ -315,7 +306,7 @@ def normalize_redfish(entries: DataFrame, *, mode: str = "collected") -> DataFra
         f"' Severity=', {shown}, ' :: ', {body})"
     )
     device = F.expr(f"try_to_timestamp({CREATED})")
-    return with_fields(entries).select(
+    return entries.select(
         *_event(
             F.col("asset_id"), F.lit("ilo_iml"), message,
             severity_from(level, warning=("warn", "caution"), critical=("crit", "fatal")),
