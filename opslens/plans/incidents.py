@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp, latest_per_asset
+from opslens.functions.ranking import clamp
 from opslens.functions.text import quoted
 from opslens.operators.anomalies import REASON, detect, rank_anomalies
 from opslens.operators.clusters import analysis_window
@@ -14,22 +14,15 @@ from opslens.operators.rules import (
     ANOMALY_ACTION, DEFAULT_HINT, DEFAULT_RULES, EVENTS_READ, HINT_ANOMALIES, asset_facts, correlations,
     hit_array, runbook_hints,
 )
-from opslens.schemas import EVENT_COLUMNS
-from opslens.session import stage
+from opslens.plans.newest import newest_events
 
 QUIET = "No significant incident patterns in current window"
 BRIEF_CLUSTERS, HINT_CLUSTERS, TOP = 10, 15, 3
 
 
-def _newest(events: DataFrame, limit: int) -> DataFrame:
-    """All that the branches of a brief look at, staged: the newest events of every asset."""
-    columns = [c for c in events.columns if c in EVENT_COLUMNS]
-    return stage(latest_per_asset(events.select(*columns), max(limit, EVENTS_READ)), "newest-events")
-
-
 def asset_hints(events: DataFrame, assets: DataFrame, *, limit: int = 300) -> DataFrame:
     """Runbook hints of every asset in assets(asset_id), from 15 clusters and 15 anomalies."""
-    newest = _newest(events, limit)
+    newest = newest_events(events, max(limit, EVENTS_READ))
     found = detect(analysis_window(newest, limit=limit, salt=1), max_clusters=HINT_CLUSTERS)
     return runbook_hints(rank_anomalies(found, HINT_CLUSTERS), correlations(newest, salt=1), assets)
 
@@ -47,7 +40,7 @@ def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int = 300) -
     ends in one row per asset before anything is joined.
     """
     limit = clamp(limit, 20, 2000)
-    newest = _newest(events, limit)
+    newest = newest_events(events, max(limit, EVENTS_READ))
     order = "ORDER BY confidence DESC, kind_order, first_seq"
     own = f"cluster_rank <= {BRIEF_CLUSTERS}"
     anomalies = (

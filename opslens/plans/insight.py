@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp, latest_per_asset
+from opslens.functions.ranking import clamp
 from opslens.functions.text import severity_rank
 from opslens.operators.anomalies import REASON, find_anomalies
 from opslens.operators.clusters import (
     analysis_window, clusters, excluded_counts, ranked_documents, top_clusters, with_signature,
 )
 from opslens.operators.dependency import first_assets
+from opslens.plans.newest import newest_events
 
 NO_DATA = "Not enough data to analyse the logs"
 
@@ -31,7 +32,8 @@ def log_insight(
     """
     limit, max_clusters = clamp(limit, 20, 2000), clamp(max_clusters, 5, 100)
     max_anomalies = clamp(max_anomalies, 1, 100)
-    window = analysis_window(events, limit=limit, filters=filters)
+    newest = newest_events(events, limit)
+    window = analysis_window(newest, limit=limit, filters=filters, salt=1)
     cluster_rows = top_clusters(clusters(window), max_clusters).groupBy("asset_id").agg(
         ranked_documents(
             "cluster_rank", ["cluster_id", "source", "signature", "example_message", "events_count", "share"]
@@ -45,7 +47,7 @@ def log_insight(
             "related_cluster_id", "related_metric",
         ))).alias("anomalies"))
     )
-    counts = excluded_counts(with_signature(latest_per_asset(events, limit)), filters)
+    counts = excluded_counts(with_signature(newest), filters)
     rows = (
         assets.select("asset_id").distinct()
         .join(counts, "asset_id", "left")
@@ -89,7 +91,7 @@ def asset_summaries(
     looked_at = first_assets(assets, clamp(max_assets, 1, 200))
     limit = clamp(limit_per_asset, 20, 2000)
     scope = events.join(looked_at, "asset_id", "left_semi")
-    window = analysis_window(scope, limit=limit, filters=filters)
+    window = analysis_window(newest_events(scope, limit), limit=limit, filters=filters, salt=1)
     found = find_anomalies(
         window, max_clusters=clamp(max_clusters, 5, 100), max_anomalies=clamp(max_anomalies, 1, 100)
     )
