@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
 from opslens.functions.ranking import BLOCK_ROWS, running
+from opslens.session import stage
 
 SHORT_ISLAND_ROWS = 10_000
 CHUNK_WINDOWS = 64
@@ -141,41 +142,41 @@ def dedup_events(
 ) -> DataFrame:
     """Drop repeats of an event that follow the last kept one within window_sec seconds.
 
-    Needs unique arrival numbers in `seq`, times in `ts` and the identity of a row in `key`.
+    Needs unique arrival numbers in `seq`, times in `ts` and the identity of a row in `key` (not null).
+    Runs one job when called: it writes the rows that may be kept to the shared folder.
     """
     window_us = int(window_sec * 1_000_000)
     rows = events.select(
         F.col(key).alias("fp"), "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
     )
-    islands = _islands(rows, window_us, block_rows)
-    sizes = islands.groupBy("fp", "island").agg(F.count("*").alias("n"))
+    group = ["fp", "island", "chunk"]
+    # read by four branches below, hence written once
+    islands = stage(
+        _islands(rows, window_us, block_rows)
+        .withColumn("chunk", F.expr(f"(t - island) div {chunk_windows * window_us}")),
+        "dedup-islands",
+    )
+    # island sizes by way of chunk sizes: joined back per chunk, so that a long island stays spread out
+    chunks = islands.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = chunks.groupBy("fp", "island").agg(F.sum("n").alias("size"))
+    long_chunks = chunks.join(sizes.filter(F.col("size") > short_island_rows), ["fp", "island"], "left_semi")
 
     # rows of a short island meet in one array of at most short_island_rows entries
     short = (
-        islands.join(sizes.filter(F.col("n") <= short_island_rows).drop("n"), ["fp", "island"], "left_semi")
+        islands.join(long_chunks, group, "left_anti")
         .groupBy("fp", "island")
         .agg(F.sort_array(F.collect_list(F.struct("t", "seq"))).alias("rows"))
         .select(F.explode(_fold(F.col("rows"), window_us)).alias("seq"))
     )
 
-    long = islands.join(
-        sizes.filter(F.col("n") > short_island_rows).drop("n"), ["fp", "island"], "left_semi"
-    ).withColumn(
-        "chunk", F.floor((F.col("t") - F.col("island")) / F.lit(chunk_windows * window_us)).cast("long")
-    )
-    tables = long.groupBy("fp", "island", "chunk").applyInPandas(
-        _chunk_table(window_us),
-        "fp string, island bigint, chunk bigint, entry bigint, last bigint",
+    long = islands.join(long_chunks, group, "left_semi")
+    tables = long.groupBy(*group).applyInPandas(
+        _chunk_table(window_us), "fp string, island bigint, chunk bigint, entry bigint, last bigint"
     )
     entries = (
-        tables
-        .repartition("fp", "island")
+        tables.repartition("fp", "island")
         .sortWithinPartitions("fp", "island", "chunk", "entry")
         .mapInPandas(_chain_entries(window_us), "fp string, island bigint, chunk bigint, before bigint")
     )
-    walked = (
-        long.join(entries, ["fp", "island", "chunk"])
-        .groupBy("fp", "island", "chunk")
-        .applyInPandas(_chunk_walk(window_us), "seq bigint")
-    )
+    walked = long.join(entries, group).groupBy(*group).applyInPandas(_chunk_walk(window_us), "seq bigint")
     return events.join(union_all(short, walked), "seq", "left_semi")
