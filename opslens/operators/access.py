@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.ranking import clamp
+from opslens.functions.text import quoted
 from opslens.schemas import ROLES, TOKEN_CLAIMS
 
 AUDIT_KEEP = 500
@@ -49,33 +50,31 @@ DEFAULT_RULES = tuple(AccessRule(*row) for row in (
 ))
 
 
-def role_rank(role: Column) -> Column:
-    """viewer 0, operator 1, admin 2; an unknown role ranks as a viewer."""
-    return F.coalesce(
-        *[F.when(F.lower(F.trim(role)) == name, F.lit(rank)) for rank, name in enumerate(ROLES)], F.lit(0)
-    )
+def role_rank(column: str) -> str:
+    """SQL: viewer 0, operator 1, admin 2."""
+    return f"CASE {column} " + " ".join(f"WHEN '{name}' THEN {rank}" for rank, name in enumerate(ROLES)) + " END"
 
 
 def evaluate_access(requests: DataFrame, rules: Sequence[AccessRule] = DEFAULT_RULES) -> DataFrame:
     """Request log -> audit rows: one allow or deny per request that a rule covers (G-01).
 
     The rule list is a CASE expression, so first match wins by construction and nothing is joined.
-    A request without a role is judged with the default role of its rule.
+    A request without a role is judged with the default role of its rule, an unknown role as viewer.
     """
-    matched = F.lit(None).cast("struct<min_role:string,action:string,default_role:string>")
-    for rule in reversed(rules):
-        hit = (F.col("method") == rule.method) & F.col("path").startswith(rule.prefix)
-        matched = F.when(hit, F.struct(
-            F.lit(rule.min_role).alias("min_role"), F.lit(rule.action).alias("action"),
-            F.lit(rule.default_role).alias("default_role"),
-        )).otherwise(matched)
-    covered = requests.withColumn("rule", matched).filter(F.col("rule").isNotNull())
-    role = F.coalesce(F.nullif(F.lower(F.trim("role")), F.lit("")), F.col("rule.default_role"))
-    judged = covered.withColumn("role", F.when(role.isin(*ROLES), role).otherwise(F.lit("viewer")))
-    allowed = role_rank(F.col("role")) >= role_rank(F.col("rule.min_role"))
-    return judged.select(
-        "id", "ts", "path", "role", F.col("rule.action").alias("action"),
-        F.when(allowed, F.lit("allow")).otherwise(F.lit("deny")).alias("result"),
+    cases = " ".join(
+        f"WHEN method = {quoted(r.method)} AND startswith(path, {quoted(r.prefix)}) THEN struct("
+        f"{quoted(r.min_role)} AS min_role, {quoted(r.action)} AS action, {quoted(r.default_role)} AS default_role)"
+        for r in rules
+    )
+    known = ", ".join(quoted(name) for name in ROLES)
+    return (
+        requests.withColumn("rule", F.expr(f"CASE {cases} END")).filter("rule IS NOT NULL")
+        .withColumn("given", F.expr("coalesce(nullif(lower(trim(role)), ''), rule.default_role)"))
+        .withColumn("role", F.expr(f"if(given IN ({known}), given, 'viewer')"))
+        .selectExpr(
+            "id", "ts", "path", "role", "rule.action AS action",
+            f"if({role_rank('role')} >= {role_rank('rule.min_role')}, 'allow', 'deny') AS result",
+        )
     )
 
 
