@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
 from opslens.functions.ranking import BLOCK_ROWS, running
-from opslens.session import stage
+from opslens.session import ship, stage
+
+ship(__name__)
 
 SHORT_ISLAND_ROWS = 10_000
 CHUNK_WINDOWS = 64

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings that shape the physical plan.
@@ -54,3 +56,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(module: str) -> None:
+    """Send the module's code along with its tasks, so that workers need no installed package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

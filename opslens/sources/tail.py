@@ -15,6 +15,10 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from opslens.session import ship
+
+ship(__name__)
+
 SPLIT_BYTES = 64 * 1024 * 1024
 PROBE_BYTES = 64 * 1024
 

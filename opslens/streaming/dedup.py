@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from opslens.session import ship
+
+ship(__name__)
+
 
 def kept_positions(times: np.ndarray, last: int | None, window_us: int) -> tuple[list[int], int | None]:
     """Positions kept by the chain over times in arrival order, and the last kept time."""
