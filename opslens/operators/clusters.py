@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from opslens.functions.ranking import SALT_BUCKETS, clamp, latest_per_asset
 from opslens.functions.text import cluster_id, quoted, share, signature
