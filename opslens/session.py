@@ -23,6 +23,9 @@ PLAN_SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
+# spark.checkpoint.dir itself cannot be set once the session runs
+STAGING_KEY = "spark.opslens.staging"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply PLAN_SETTINGS to a session and return it."""
@@ -35,15 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and staged tables.
 
     The cluster names it in spark.checkpoint.dir. Only a local session may fall back to a
-    temporary folder of this machine.
+    temporary folder of this machine, which is kept under STAGING_KEY for the session's later calls.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGING_KEY, None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; name a folder all executors share")
     folder = tempfile.mkdtemp(prefix="opslens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(STAGING_KEY, folder)
     return folder
 
 
