@@ -139,10 +139,10 @@ def verdict(rules: Sequence[Rule], counts: Mapping[str, Column]) -> Column:
 
 def rejected_by(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents with rejected_by: the first rule of the cascade that rejects, null for kept ones."""
+    order = ranked(docs, rules)
     every = sorted({u for r in rules for u in r.uses})
-    held = docs.withColumn("_w", words(F.col("text")))
-    counts = counts_of(F.col("text"), F.col("_w"), every)
-    return held.withColumn("rejected_by", verdict(ranked(docs, rules), counts)).drop("_w")
+    text = F.col("text")
+    return docs.withColumn("rejected_by", let(words(text), lambda w: verdict(order, counts_of(text, w, every))))
 
 
 def apply(docs: DataFrame) -> DataFrame:
