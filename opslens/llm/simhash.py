@@ -122,7 +122,7 @@ def spanning_links(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.n
         if not len(here):
             break
         near = here[root[here] != root[here + step]]
-        x = fps[near] ^ fps[near + step]
+        x = (fps[near] ^ fps[near + step]).view(np.uint64)  # bits of a negative number are not counted
         shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
         tallied = shared >= 8 - MAX_BITS
         near, x = near[tallied], x[tallied]
