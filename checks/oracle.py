@@ -13,7 +13,7 @@ def sig(expr: str) -> str:
         (r"\s+", " "),
     ):
         out = f"regexp_replace({out}, '{pattern}', '{placeholder}', 'g')"
-    return f"substr(trim({out}), 1, 200)"
+    return f"trim({out})"
 
 
 def cid(source: str, signature: str) -> str:
@@ -167,7 +167,7 @@ CTES = {
           generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
         FROM documents""",
     "docevents": """
-        SELECT asset_id, file, line_no, 'logfile' AS source, substr(value, 1, 500) AS message,
+        SELECT asset_id, file, line_no, 'logfile' AS source, value AS message,
           NULL::VARCHAR AS metric, NULL::DOUBLE AS value,
           CASE WHEN lower(value) LIKE '%panic%' OR lower(value) LIKE '%critical%' THEN 'critical'
             WHEN lower(value) LIKE '%error%' OR lower(value) LIKE '%failed%' THEN 'warning' ELSE 'info' END AS severity,
@@ -207,8 +207,7 @@ CTES = {
         FROM csb WHERE parsed""",
     "win0": f"""
         SELECT *, {sig("message")} AS signature
-        FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY seq DESC) AS newest FROM ev)
-        WHERE newest <= 2000""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY seq DESC) AS newest FROM ev)""",
     "win": """
         SELECT *, hour(ts) AS hour, pos > total - recent_rows AS is_recent
         FROM (SELECT *, least(greatest(10, total // 3), total) AS recent_rows
@@ -226,7 +225,7 @@ CTES = {
           CASE WHEN critical_count > 0 THEN 0.84::DOUBLE ELSE 0.72::DOUBLE END AS confidence,
           cluster_id AS related_cluster_id, NULL::VARCHAR AS related_metric, first_seq, 0 AS kind_order, cluster_rank,
           'Rule: count <= ' || cap || ' (5% of the window) | Cluster ' || cluster_id || ': ' || events_count || ' of '
-            || total || ' events | Example: ' || substr(example_message, 1, 180) AS evidence
+            || total || ' events | Example: ' || example_message AS evidence
         FROM (SELECT *, greatest(1, floor(total * 0.05::DOUBLE)::BIGINT) AS cap FROM cl)
         WHERE events_count <= cap AND (critical_count > 0
           OR regexp_matches(lower(example_message), 'error|fail|timeout|panic|denied|refused|critical'))""",
@@ -291,7 +290,7 @@ CTES = {
           ('burst_pattern', 'Burst of one repeated pattern among the latest events'),
           ('metric_outlier', 'Metric value far outside its usual range')) AS r(kind, reason)""",
     "last1000": """
-        SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY seq DESC) <= 1000""",
+        SELECT * FROM ev""",
     "alerts": """
         SELECT asset_id, 'warning' AS severity, 'High iowait' AS reason, 0 AS no FROM last1000
           WHERE metric = 'iowait' AND value >= 25 GROUP BY asset_id
@@ -466,8 +465,8 @@ IGNORED = (
     "(lower(source) IN ('linux') OR signature IN ('click request <num> done', "
     "'eventid=<num> failed login user=<num>'))"
 )
-# the asset ids an overview over n assets looks at
-FIRST = "(SELECT DISTINCT asset_id FROM ev ORDER BY asset_id LIMIT {n})"
+# the asset ids an overview looks at
+EVERY = "(SELECT DISTINCT asset_id FROM ev)"
 
 
 def csv(*cells: str) -> str:
@@ -673,7 +672,7 @@ ORACLE: dict[str, str] = {
           top_reason_code, coalesce(rare_pattern, 0) AS rare_pattern, coalesce(burst_pattern, 0) AS burst_pattern,
           coalesce(metric_outlier, 0) AS metric_outlier, coalesce(warning, 0) AS warning,
           coalesce(critical, 0) AS critical
-        FROM {FIRST.format(n=50)} JOIN (SELECT asset_id, count(*) AS n FROM win GROUP BY asset_id) USING (asset_id)
+        FROM {EVERY} JOIN (SELECT asset_id, count(*) AS n FROM win GROUP BY asset_id) USING (asset_id)
         LEFT JOIN (SELECT asset_id, count(*) AS anomalies_total, arg_min(severity, anomaly_rank) AS top_severity,
             arg_min(kind, anomaly_rank) AS top_reason_code,
             count(*) FILTER (WHERE kind = 'rare_pattern') AS rare_pattern,
@@ -683,14 +682,14 @@ ORACLE: dict[str, str] = {
             count(*) FILTER (WHERE severity = 'critical') AS critical
           FROM ranked GROUP BY asset_id) USING (asset_id)"""),
     "c13_overview_totals": sql("ranked", f"""
-        SELECT (SELECT count(*) FROM {FIRST.format(n=50)}) AS assets_considered,
+        SELECT (SELECT count(*) FROM {EVERY}) AS assets_considered,
           count(DISTINCT asset_id) AS assets_with_anomalies, count(*) AS total_anomalies,
           count(*) FILTER (WHERE kind = 'rare_pattern') AS rare_pattern,
           count(*) FILTER (WHERE kind = 'burst_pattern') AS burst_pattern,
           count(*) FILTER (WHERE kind = 'metric_outlier') AS metric_outlier,
           count(*) FILTER (WHERE severity = 'warning') AS warning,
           count(*) FILTER (WHERE severity = 'critical') AS critical
-        FROM ranked WHERE asset_id IN {FIRST.format(n=50)}"""),
+        FROM ranked WHERE asset_id IN {EVERY}"""),
 
     "d01_policy_merge_union": sql("items", """
         SELECT DISTINCT field, item FROM items UNION SELECT 'source', 'syslog' UNION SELECT 'signature', 'a, b'"""),
@@ -750,8 +749,7 @@ ORACLE: dict[str, str] = {
     "e01_alerts": sql("alerts", "SELECT asset_id, severity, reason FROM alerts"),
     "e02_correlations": sql("corr", "SELECT asset_id, title, confidence, evidence_count FROM corr"),
     "e03_correlation_events": sql("ev", """
-        SELECT asset_id, seq, source, severity, message, ts FROM
-          (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY seq DESC) <= 10000)
+        SELECT asset_id, seq, source, severity, message, ts FROM ev
         WHERE source = 'windows_eventlog' AND regexp_matches(lower(message), 'eventid=(7|51|55|153)')"""),
     "e04_runbook_hints": sql("hints", "SELECT asset_id, hint_rank, title, rationale, action, confidence FROM hints"),
     "e05_dependency_edges": sql("edges", f"SELECT {EDGE}, edge_rank FROM edges WHERE edge_rank <= 20"),
@@ -760,11 +758,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT asset_id, count(DISTINCT source) AS total_sources FROM sets GROUP BY asset_id)
         LEFT JOIN (SELECT asset_id, count(*) AS n FROM edges WHERE edge_rank <= 20 GROUP BY asset_id) USING (asset_id)"""),
     "e06_dependency_overview": sql("edges", f"""
-        SELECT {EDGE} FROM edges WHERE edge_rank <= 30 AND asset_id IN {FIRST.format(n=50)}
+        SELECT {EDGE} FROM edges WHERE edge_rank <= 30 AND asset_id IN {EVERY}
         ORDER BY shared_signatures DESC, co_occurrence_score DESC, asset_id DESC, source_a, source_b LIMIT 30"""),
     "e07_incident_briefs": sql("briefs", f"SELECT {BRIEF} FROM briefs"),
     "e08_incident_overview": sql("briefs", f"""
-        SELECT {BRIEF} FROM briefs WHERE asset_id IN {FIRST.format(n=25)} AND confidence >= 0.9::DOUBLE"""),
+        SELECT {BRIEF} FROM briefs WHERE asset_id IN {EVERY} AND confidence >= 0.9::DOUBLE"""),
     "e09_recommendations": sql("last1000 alerts corr", """
         SELECT asset_id, round(risk, 2) AS risk_score,
           CASE WHEN risk >= 0.75::DOUBLE THEN 'high' WHEN risk >= 0.4::DOUBLE THEN 'moderate' ELSE 'low' END AS risk_level,
@@ -819,7 +817,7 @@ ORACLE: dict[str, str] = {
         FROM runs GROUP BY ROLLUP (collector_type)"""),
     "f12_diagnostics_trend": sql("runs", """
         SELECT row_number() OVER (ORDER BY id) - 1 AS idx, id, accepted_events, last_error IS NOT NULL AS has_error
-        FROM (SELECT * FROM runs ORDER BY id DESC LIMIT 1000)"""),
+        FROM runs"""),
     "f13_collector_status": sql("targets state", """
         SELECT t.id AS target_id, collector_type, enabled, last_error IS NULL AND last_run_ts IS NOT NULL AS last_ok,
           coalesce(last_error, 'ok') AS last_message, last_cursor, coalesce(failure_streak, 0) AS failure_streak,
@@ -861,7 +859,7 @@ ORACLE: dict[str, str] = {
            FROM (SELECT reason, count(*) AS n FROM rej WHERE ts <= 1706659200 GROUP BY reason)) AS jwt_rejects
         FROM newest""").replace(
             "\nSELECT 'cr-",
-            ",\nnewest AS (SELECT * FROM audit WHERE ts <= 1706659200 ORDER BY id DESC LIMIT 2000)\nSELECT 'cr-"),
+            ",\nnewest AS (SELECT * FROM audit WHERE ts <= 1706659200)\nSELECT 'cr-"),
     "g07_route_reports": """
         SELECT epoch(o_orderdate)::BIGINT AS ts, 'cr-' || o_orderkey AS report_id, channel, destination, status
         FROM orders CROSS JOIN (VALUES ('webhook', 'https://hook.example', 'configured'),
@@ -897,9 +895,9 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'user', user_id || ' ' || user_name FROM csbp WHERE user_id IS NOT NULL
         UNION ALL SELECT DISTINCT 'sscc', unnest(string_split(sscc, ',')) FROM csbp WHERE sscc <> ''"""),
     "k03_chain_errors": sql("csbp", """
-        SELECT seq, error_code, error_message FROM csbp WHERE error_code IS NOT NULL ORDER BY seq LIMIT 100"""),
+        SELECT seq, error_code, error_message FROM csbp WHERE error_code IS NOT NULL """),
     "k04_chain_tail": sql("csbp", """
-        SELECT seq, ts_text AS timestamp, kind, command, sscc FROM csbp ORDER BY seq DESC LIMIT 500"""),
+        SELECT seq, ts_text AS timestamp, kind, command, sscc FROM csbp"""),
     "k05_csb_report": sql("csbp", """
         SELECT 't0:csb' AS asset_id, (SELECT count(*) FROM lines) AS total_lines, count(*) AS matched_lines,
           'berg' AS user_filter, string_agg(DISTINCT user_id || ' ' || user_name, ',' ORDER BY user_id || ' ' || user_name)
@@ -913,13 +911,13 @@ ORACLE: dict[str, str] = {
 ORACLE["h04_brief_csv"] = sql("briefs", f"""
     SELECT {csv('q:asset_id', 'q:confidence', 'q:headline', 'q:anomaly_reasons', "q:actions_text",
                 'q:dependency_hotspots')} AS line
-    FROM briefs WHERE asset_id IN {FIRST.format(n=25)}""")
+    FROM briefs WHERE asset_id IN {EVERY}""")
 ORACLE["c12_log_insight"] = sql("ranked reasons", """
     SELECT asset_id, analyzed_events, coalesce(cluster_ids, '') AS cluster_ids,
       coalesce(anomaly_kinds, '') AS anomaly_kinds,
       CASE WHEN analyzed_events = 0
         THEN 'All events are excluded by ignore rules: ' || excluded || ' of ' || total_events
-        ELSE 'Events analysed: ' || analyzed_events || ' (limit 2000) | Clusters: ' || clusters || ' (top 30) | Anomalies: '
+        ELSE 'Events analysed: ' || analyzed_events || ' (whole history) | Clusters: ' || clusters || ' (top 30) | Anomalies: '
           || coalesce(anomalies, 0) || ' (top 20)'
           || CASE WHEN excluded > 0 THEN ' | Excluded by ignore rules: ' || excluded || ' of ' || total_events ELSE '' END
           || CASE WHEN anomalies > 0 THEN ' | Top reason: ' || top_reason ELSE '' END END AS summary

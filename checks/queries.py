@@ -30,7 +30,7 @@ from opslens.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-WINDOW = 2000  # the largest window the analytics accept
+WINDOW = None  # the whole history
 COLLECTED = "2024-02-01 00:00:00"
 NOW = dt.datetime(2024, 1, 31)
 NOW_EPOCH = 1706659200
@@ -565,7 +565,7 @@ def _(spark, sf):
 @query("c13_analytics_overview")
 def _(spark, sf):
     ranked, _ = insight.analytics_overview(
-        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW, max_assets=50
+        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW
     )
     return ranked
 
@@ -573,7 +573,7 @@ def _(spark, sf):
 @query("c13_overview_totals")
 def _(spark, sf):
     _, totals = insight.analytics_overview(
-        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW, max_assets=50
+        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW
     )
     return totals
 
@@ -820,7 +820,7 @@ def _(spark, sf):
 
 @query("f12_diagnostics_trend")
 def _(spark, sf):
-    return collectors.diagnostics_trend(t.runs(spark, sf), 1000).select("idx", "id", "accepted_events", "has_error")
+    return collectors.diagnostics_trend(t.runs(spark, sf)).select("idx", "id", "accepted_events", "has_error")
 
 
 @query("f13_collector_status")

@@ -37,8 +37,31 @@ def latest_per_asset(events: DataFrame, n: int | None = 1000, *, salt: int = SAL
     return top_n_per_key(events, ["asset_id"], [F.col("seq").desc()], n, salt)
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(int(value), high))
+def at_least_one(limit: int | None) -> int | None:
+    """A limit as asked for; None is everything."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit must be at least 1, or None for everything")
+    return limit
+
+
+def with_position(df: DataFrame, key: str, order: str, *, buckets: int = 4096) -> DataFrame:
+    """Adds pos (from 1, in the order of a unique integer column) and total per key.
+
+    Each key's range of `order` is cut into buckets. Rows are ranked inside a bucket, and the counts of the
+    buckets before are added, so a key of any size is spread over its buckets.
+    """
+    span = df.groupBy(F.col(key).alias("_k")).agg(
+        F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("total"))
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets)
+    cut = df.join(span, F.col(key).eqNullSafe(F.col("_k"))).withColumn(
+        "_b", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_k", "_lo", "_hi")
+    before = W.partitionBy("_k").orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).count().select(
+        "_k", "_kb", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(key, "_b").orderBy(order))
+    return cut.withColumn("_rank", inside).join(
+        starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))
+    ).withColumn("pos", F.col("_start") + F.col("_rank")).drop("_k", "_kb", "_b", "_start", "_rank")
 
 
 def running(

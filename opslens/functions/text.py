@@ -18,7 +18,6 @@ PLACEHOLDERS = (
     (r"\b\d+\b", "<num>"),
     (r"\s+", " "),
 )
-SIGNATURE_CHARS = 200
 # fixed values: words that make a rare message suspicious
 SUSPICIOUS_WORDS = ("error", "fail", "timeout", "panic", "denied", "refused", "critical")
 
@@ -34,7 +33,7 @@ def signature(column: str = "message") -> Column:
     for pattern, placeholder in PLACEHOLDERS:
         # (?U): letters of any alphabet are word characters
         text = f"regexp_replace({text}, {quoted('(?U)' + pattern)}, {quoted(placeholder)})"
-    return F.expr(f"substring(trim({text}), 1, {SIGNATURE_CHARS})")
+    return F.expr(f"trim({text})")
 
 
 def cluster_id(source: str = "source", sig: str = "signature") -> Column:

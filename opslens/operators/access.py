@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp
+from opslens.functions.ranking import at_least_one
 from opslens.functions.text import quoted
 from opslens.schemas import ROLES, TOKEN_CLAIMS
 
@@ -78,13 +78,15 @@ def evaluate_access(requests: DataFrame, rules: Sequence[AccessRule] = DEFAULT_R
     )
 
 
-def keep_last(df: DataFrame, n: int = AUDIT_KEEP, order: Sequence[str] = ("id",)) -> DataFrame:
-    """The newest n rows; a retention ring (G-02)."""
+def keep_last(df: DataFrame, n: int | None = AUDIT_KEEP, order: Sequence[str] = ("id",)) -> DataFrame:
+    """The newest n rows, all for None; a retention ring (G-02)."""
+    if at_least_one(n) is None:
+        return df
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
 def list_audit(audit: DataFrame, limit: int = 100) -> DataFrame:
-    return keep_last(audit, clamp(limit, 1, AUDIT_KEEP))
+    return keep_last(audit, limit)
 
 
 def audit_summary(audit: DataFrame, *, top_actions: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,7 +104,7 @@ def audit_summary(audit: DataFrame, *, top_actions: int = 10) -> tuple[DataFrame
 def deny_alerts(audit: DataFrame, lookback: int = 200, threshold: int = 20) -> DataFrame:
     """One row if the newest `lookback` audit rows hold `threshold` denies or more, else none (G-04)."""
     threshold = max(1, threshold)
-    newest = keep_last(audit, clamp(lookback, 1, 5000))
+    newest = keep_last(audit, lookback)
     return (
         newest.agg(F.count_if(F.col("result") == "deny").alias("deny"))
         .filter(F.col("deny") >= threshold)
@@ -136,15 +138,15 @@ def reject_telemetry(rejects: DataFrame, limit: int = 100) -> tuple[DataFrame, D
     return (
         read.groupBy("reason").agg(F.count("*").alias("n")),
         read.groupBy("issuer", "client").agg(F.count("*").alias("n")),
-        keep_last(read, clamp(limit, 1, 500)),
+        keep_last(read, limit),
     )
 
 
 def compliance_report(
-    audit: DataFrame, rejects: DataFrame, *, ts: int, trigger: str = "manual", limit: int = 2000
+    audit: DataFrame, rejects: DataFrame, *, ts: int, trigger: str = "manual", limit: int | None = None
 ) -> DataFrame:
-    """One report row as of epoch second `ts`: totals of the newest audit rows, all rejects by reason (G-06)."""
-    newest = keep_last(audit.filter(F.col("ts") <= ts), clamp(limit, 1, 5000))
+    """One report row as of epoch second `ts`: totals of all or the newest `limit` audit rows, all rejects by reason (G-06)."""
+    newest = keep_last(audit.filter(F.col("ts") <= ts), limit)
     totals = newest.agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("result") == "allow").alias("allow"),
@@ -184,7 +186,7 @@ def report_history(reports: DataFrame, *, limit: int = 20, retention: int = 100,
     kept = keep_last(reports, max(10, retention), order=("ts", "id"))
     if report_id is not None:
         return kept.filter(F.col("id") == report_id)
-    return keep_last(kept, clamp(limit, 1, 200), order=("ts", "id"))
+    return keep_last(kept, limit, order=("ts", "id"))
 
 
 def purge(

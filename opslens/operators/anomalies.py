@@ -50,7 +50,7 @@ RARE = (
         [
             f"concat('Rule: count <= ', {RARE_LIMIT}, ' (5% of the window)')",
             "concat('Cluster ', cluster_id, ': ', events_count, ' of ', total, ' events')",
-            "concat('Example: ', substring(example_message, 1, 180))",
+            "concat('Example: ', example_message)",
         ],
         cluster="cluster_id", rank="cluster_rank",
     ) + " END"

@@ -1,7 +1,7 @@
 """Analysis window and message clusters (C-01 ... C-05, C-07).
 
 Everything here is keyed by asset. `analysis_window` cuts each asset to its newest `limit` events
-first (at most 2000, spread over salted tasks while it does), and leaves the rows partitioned by
+first (spread over salted tasks while it does), and leaves the rows partitioned by
 asset. All later windows and aggregates of the log analytics reuse that partitioning: the clusters,
 the burst rates and the metric statistics of all assets need no further shuffle, and no task holds
 more than `limit` rows of an asset.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import SALT_BUCKETS, clamp, latest_per_asset
+from opslens.functions.ranking import SALT_BUCKETS, at_least_one, latest_per_asset, with_position
 from opslens.functions.text import cluster_id, quoted, share, signature
 from opslens.schemas import SEVERITIES
 
@@ -83,20 +83,24 @@ def excluded_counts(events: DataFrame, filters=None) -> DataFrame:
 
 
 def analysis_window(
-    events: DataFrame, *, limit: int = 300, filters=None, salt: int = SALT_BUCKETS
+    events: DataFrame, *, limit: int | None = None, filters=None, salt: int = SALT_BUCKETS
 ) -> DataFrame:
-    """Newest `limit` events per asset minus the ignored ones, numbered by arrival.
+    """Newest `limit` events per asset (all for None) minus the ignored ones, numbered by arrival.
 
     filters as for flag_ignored, salt as for top_n_per_key. Adds signature, hour, pos (1 = oldest),
     total (events left), recent_rows (size of the recent part: a third of the window, 10 at least)
-    and is_recent (C-07).
+    and is_recent (C-07). A whole history is numbered in buckets, a bounded window in one go.
     """
-    newest = with_signature(latest_per_asset(events, clamp(limit, 1, 2000), salt=salt))
-    return apply_ignore(newest, filters).selectExpr(
-        "*", "hour(cast(ts AS timestamp)) AS hour",
-        "row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS pos",
-        "count(*) OVER (PARTITION BY asset_id) AS total",
-    ).selectExpr("*", "least(greatest(10, total div 3), total) AS recent_rows").selectExpr(
+    newest = with_signature(latest_per_asset(events, at_least_one(limit), salt=salt))
+    rows = apply_ignore(newest, filters).selectExpr("*", "hour(cast(ts AS timestamp)) AS hour")
+    if limit is None:
+        numbered = with_position(rows, "asset_id", "seq")
+    else:
+        numbered = rows.selectExpr(
+            "*", "row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS pos",
+            "count(*) OVER (PARTITION BY asset_id) AS total",
+        )
+    return numbered.selectExpr("*", "least(greatest(10, total div 3), total) AS recent_rows").selectExpr(
         "*", "pos > total - recent_rows AS is_recent"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opslens.functions.ranking import BLOCK_ROWS, clamp, running
+from opslens.functions.ranking import BLOCK_ROWS, at_least_one, running, with_position
 from opslens.operators.tables import tenant_scope
 
 CRITICAL_STREAK = 3
@@ -91,7 +91,7 @@ def query_history(
         out = out.filter(error if has_error else ~error)
     if role == "viewer":
         limit = min(limit, VIEWER_ROWS)
-    return out.orderBy(F.col("id").desc()).limit(clamp(limit, 1, 1000))
+    return out.orderBy(F.col("id").desc()).limit(at_least_one(limit))
 
 
 def diagnostics_summary(history: DataFrame) -> DataFrame:
@@ -105,11 +105,11 @@ def diagnostics_summary(history: DataFrame) -> DataFrame:
     )
 
 
-def diagnostics_trend(history: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest runs as a chronological series with an index from 0 (F-12). At most 1000 points."""
-    newest = history.orderBy(F.col("id").desc()).limit(clamp(limit, 1, 1000))
-    return newest.select(
-        (F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("idx"), "id", "ts", "accepted_events",
+def diagnostics_trend(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """All runs, or the newest `limit`, as a chronological series with an index from 0 (F-12)."""
+    newest = history if at_least_one(limit) is None else history.orderBy(F.col("id").desc()).limit(limit)
+    return with_position(newest.withColumn("_all", F.lit(0)), "_all", "id").select(
+        (F.col("pos") - 1).cast("bigint").alias("idx"), "id", "ts", "accepted_events",
         F.coalesce(F.col("last_error") != "", F.lit(False)).alias("has_error"),
     )
 

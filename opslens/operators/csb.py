@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp
+from opslens.functions.ranking import at_least_one
 from opslens.functions.text import severity_from, strip
 
 # fixed values: the line format and the fields inside a payload
@@ -84,11 +84,11 @@ def csb_ingest_summary(
     )
 
 
-def csb_lines_of(events: DataFrame, asset_id: str, limit: int = 3000) -> DataFrame:
+def csb_lines_of(events: DataFrame, asset_id: str, limit: int | None = None) -> DataFrame:
     """The warehouse lines among the newest events of one asset: raw lines before parsing."""
     newest = (
         events.filter(F.col("asset_id") == asset_id)
-        .orderBy(F.col("seq").desc()).limit(clamp(limit, 100, 20000))
+        .orderBy(F.col("seq").desc()).limit(at_least_one(limit))
     )
     return newest.filter(F.col("source") == SOURCE).select("seq", F.col("message").alias("value"))
 
@@ -127,19 +127,20 @@ def touched(fields: DataFrame) -> DataFrame:
     )
 
 
-def chain_errors(fields: DataFrame, k: int = MAX_ERRORS) -> DataFrame:
-    """The first k errors in arrival order."""
-    return (
+def chain_errors(fields: DataFrame, k: int | None = None) -> DataFrame:
+    """The first k errors in arrival order; all for None."""
+    found = (
         fields.filter(F.col("error_code").isNotNull())
-        .select("seq", "error_code", "error_message").orderBy("seq").limit(k)
+        .select("seq", "error_code", "error_message")
     )
+    return found if k is None else found.orderBy("seq").limit(k)
 
 
-def chain_tail(fields: DataFrame, k: int = MAX_CHAIN) -> DataFrame:
-    """The last k lines of a chain; sort by seq for arrival order."""
+def chain_tail(fields: DataFrame, k: int | None = None) -> DataFrame:
+    """The last k lines of a chain, all for None; sort by seq for arrival order."""
+    kept = fields if k is None else fields.orderBy(F.col("seq").desc()).limit(k)
     return (
-        fields.orderBy(F.col("seq").desc()).limit(k)
-        .select(
+        kept.select(
             "seq", F.col("ts_text").alias("timestamp"), "session", "thread_id", "kind", "command",
             "payload", "sscc", "script", "user_id", "user_name", "error_code", "error_message",
         )
@@ -165,13 +166,13 @@ def csb_report(
         F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(name)
         for kind, name in (("sscc", "sscc_touched"), ("script", "scripts_touched"), ("user", "users_touched"))
     ])
-    errors = chain_errors(chain).agg(
+    errors = chain_errors(chain, MAX_ERRORS).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("seq", "error_code", "error_message"))),
             lambda e: F.struct(e["error_code"].alias("code"), e["error_message"].alias("message")),
         ).alias("errors")
     )
-    tail = chain_tail(chain).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("chain"))
+    tail = chain_tail(chain, MAX_CHAIN).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("chain"))
     totals = lines.agg(F.count("*").alias("total_lines"))
     matched = chain.agg(F.count("*").alias("matched_lines"))
     out = totals.select(one, "*")

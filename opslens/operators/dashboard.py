@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
 from opslens.functions.ranking import latest_per_asset
-from opslens.operators.rules import ALERTS, DEFAULT_RULES, EVENTS_READ, asset_facts
+from opslens.operators.rules import ALERTS, DEFAULT_RULES, asset_facts
 from opslens.operators.tables import tenant_scope
 
 
@@ -84,7 +84,7 @@ def recent_alerts(events: DataFrame, k: int = 7) -> DataFrame:
 
 
 def asset_table(
-    assets: DataFrame, filtered: DataFrame, events: DataFrame, *, limit: int | None = EVENTS_READ
+    assets: DataFrame, filtered: DataFrame, events: DataFrame, *, limit: int | None = None
 ) -> DataFrame:
     """Per asset: filtered events, alerts and correlations of its newest events; zeros kept (F-08)."""
     facts = asset_facts(events, DEFAULT_RULES, limit=limit)

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opslens.functions.ranking import SALT_BUCKETS, clamp, latest_per_asset
+from opslens.functions.ranking import SALT_BUCKETS, at_least_one, latest_per_asset
 from opslens.functions.text import share
 from opslens.operators.clusters import CLUSTER, with_signature
 
 
-def asset_signatures(events: DataFrame, *, limit: int = 300, salt: int = SALT_BUCKETS) -> DataFrame:
+def asset_signatures(events: DataFrame, *, limit: int | None = None, salt: int = SALT_BUCKETS) -> DataFrame:
     """Distinct (asset, source, signature) of each asset's newest events: at most `limit` per asset."""
-    newest = latest_per_asset(events, clamp(limit, 1, 2000), salt=salt)
+    newest = latest_per_asset(events, at_least_one(limit), salt=salt)
     return with_signature(newest).select(*CLUSTER).distinct()
 
 
 def dependency_edges(
-    events: DataFrame, *, limit: int = 300, k: int = 20, salt: int = SALT_BUCKETS
+    events: DataFrame, *, limit: int | None = None, k: int = 20, salt: int = SALT_BUCKETS
 ) -> DataFrame:
     """Per asset the k strongest source pairs by shared signatures, in `edge_rank` order.
 
@@ -52,7 +52,7 @@ def dependency_edges(
     return edges.withColumn("edge_rank", F.row_number().over(order)).filter(F.col("edge_rank") <= k)
 
 
-def dependency_map(events: DataFrame, *, limit: int = 300, k: int = 20) -> DataFrame:
+def dependency_map(events: DataFrame, *, limit: int | None = None, k: int = 20) -> DataFrame:
     """One nested row per asset: number of sources, number of edges kept, the edges."""
     sources = asset_signatures(events, limit=limit).groupBy("asset_id").agg(
         F.countDistinct("source").alias("total_sources")
@@ -70,19 +70,19 @@ def dependency_map(events: DataFrame, *, limit: int = 300, k: int = 20) -> DataF
     })
 
 
-def first_assets(assets: DataFrame, n: int) -> DataFrame:
-    """The first n asset ids: what a cross-asset overview looks at."""
-    return assets.select("asset_id").distinct().orderBy("asset_id").limit(n)
+def first_assets(assets: DataFrame, n: int | None = None) -> DataFrame:
+    """The asset ids that a cross-asset overview looks at: all, or the first n."""
+    ids = assets.select("asset_id").distinct()
+    return ids if at_least_one(n) is None else ids.orderBy("asset_id").limit(n)
 
 
 def dependency_overview(
-    events: DataFrame, assets: DataFrame, *, limit_per_asset: int = 300, max_assets: int = 50, max_edges: int = 30
+    events: DataFrame, assets: DataFrame, *, limit_per_asset: int | None = None, max_assets: int | None = None, max_edges: int = 30
 ) -> DataFrame:
     """The strongest edges over the first max_assets assets (E-06). assets: (asset_id)."""
-    max_edges = clamp(max_edges, 1, 100)
-    looked_at = first_assets(assets, clamp(max_assets, 1, 200))
+    looked_at = first_assets(assets, max_assets)
     scope = events.join(looked_at, "asset_id", "left_semi")
-    edges = dependency_edges(scope, limit=clamp(limit_per_asset, 20, 2000), k=max_edges).drop("edge_rank")
+    edges = dependency_edges(scope, limit=limit_per_asset, k=max_edges).drop("edge_rank")
     return edges.orderBy(
         F.col("shared_signatures").desc(), F.col("co_occurrence_score").desc(),
         F.col("asset_id").desc(), "source_a", "source_b",

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from opslens import schemas as S
 from opslens.functions.merging import union_all
-from opslens.functions.ranking import clamp, top_n_per_key
+from opslens.functions.ranking import at_least_one, top_n_per_key
 from opslens.functions.text import severity_from, strip
 
-LOG_MESSAGE_CHARS = 500
 HOST_LOG_TAIL = 20
 DISK_WARNING_PCT = 85
 LOAD_METRICS = ("load1", "load5", "load15")
@@ -50,7 +49,7 @@ def normalize_host_log(lines: DataFrame, *, source: str = "logfile", tail: int |
     severity = severity_from("lower(value)", warning=("error", "failed"), critical=("panic", "critical"))
     return lines.select(
         *_event(
-            F.col("asset_id"), F.lit(source), F.substring("value", 1, LOG_MESSAGE_CHARS),
+            F.col("asset_id"), F.lit(source), F.col("value"),
             severity, F.col("collected_ts"),
         )
     )
@@ -120,16 +119,18 @@ def numeric_cursor(text: Column) -> Column:
 def advance_cursor(records: DataFrame, state: DataFrame, batch: int = 50) -> tuple[DataFrame, DataFrame]:
     """Rows behind each target's cursor, the first `batch` by record id, and the moved cursors.
 
-    records: target_id, record_id, ...; state: target_id, last_cursor. Returns (rows, new state).
+    records: target_id, record_id, ...; state: target_id, last_cursor. Returns (rows, new state). Record
+    ids may repeat, as logs of a target count on their own: all rows of the last id come with the batch.
     """
-    batch = clamp(batch, 1, 500)
+    if batch < 1:
+        raise ValueError("batch must be at least 1")
     cursors = state.select("target_id", numeric_cursor(F.col("last_cursor")).alias("_cursor"))
     fresh = records.join(cursors, "target_id", "left").filter(
         F.col("record_id") > F.coalesce("_cursor", F.lit(0))
     ).drop("_cursor")
-    order = [F.col("record_id").asc()] + [F.col(c) for c in ("LogName", "Id") if c in records.columns]
-    rows = top_n_per_key(fresh, ["target_id"], order, batch)
-    moved = rows.groupBy("target_id").agg(F.max("record_id").alias("_top"))
+    first = top_n_per_key(fresh.select("target_id", "record_id"), ["target_id"], [F.col("record_id").asc()], batch)
+    moved = first.groupBy("target_id").agg(F.max("record_id").alias("_top"))
+    rows = fresh.join(moved, "target_id").filter(F.col("record_id") <= F.col("_top")).drop("_top")
     new_state = cursors.join(moved, "target_id", "full").select(
         "target_id",
         F.greatest(F.coalesce("_cursor", F.lit(0)), F.coalesce("_top", F.lit(0)))
@@ -207,13 +208,13 @@ def _first_text(*names: str) -> str:
     return "coalesce(" + ", ".join(f"nullif(entry['{n}'], '')" for n in names) + ")"
 
 
-def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
+def redfish_entries(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Device payloads (JSON text in `payload`) -> one row per log entry, its keys in the map `entry`.
 
-    `is_link` marks entries of a payload that holds nothing but links to its entries; only the
-    first `limit` of those are followed. Members that are no objects are dropped.
+    `is_link` marks entries of a payload that holds nothing but links to its entries; all of
+    those are followed, or the first `limit`. Members that are no objects are dropped.
     """
-    limit = clamp(limit, 1, 500)
+    followed = "true" if at_least_one(limit) is None else f"entry_no < {limit}"
     direct = [f"from_json(doc['{key}'], 'array<string>')" for key in LIST_KEYS]
     linked = (
         f"get(filter(flatten(transform({_keys(LINK_KEYS)}, l -> transform({_keys(LINK_MEMBER_KEYS)}, k -> "
@@ -233,7 +234,7 @@ def redfish_entries(payloads: DataFrame, *, limit: int = 50) -> DataFrame:
     kept = [c for c in payloads.columns if c != "payload"]
     return wide.select(*kept, "is_link", F.posexplode("entries").alias("entry_no", "entry")).filter(
         "entry IS NOT NULL"
-    ).withColumn("link", F.expr(f"CASE WHEN is_link AND entry_no < {limit} THEN trim(entry['@odata.id']) END"))
+    ).withColumn("link", F.expr(f"CASE WHEN is_link AND {followed} THEN trim(entry['@odata.id']) END"))
 
 
 def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -241,9 +242,10 @@ def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
 
     Links without a document are dropped, unless no link of the payload (payload_id) has one.
     """
-    # a document that landed twice counts once
-    bodies = docs.filter(F.col("odata_id").startswith("/")).groupBy(F.col("odata_id").alias("link"))
-    bodies = bodies.agg(F.max("body").alias("_body")).withColumn("_doc", F.expr(f"from_json(_body, {MAP})"))
+    # of a document that landed twice the later one counts
+    landed = docs.filter(F.col("odata_id").startswith("/")).withColumn("_place", F.monotonically_increasing_id())
+    bodies = landed.groupBy(F.col("odata_id").alias("link"))
+    bodies = bodies.agg(F.max_by("body", "_place").alias("_body")).withColumn("_doc", F.expr(f"from_json(_body, {MAP})"))
     bodies = bodies.filter(F.col("_doc").isNotNull()).drop("_body")
     joined = entries.join(bodies, "link", "left")
     resolved = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from opslens.functions.merging import union_all
-from opslens.functions.ranking import clamp, latest_per_asset
+from opslens.functions.ranking import at_least_one, latest_per_asset
 from opslens.functions.text import cluster_id, share
 from opslens.operators.clusters import CLUSTER, flag_ignored, ranked_documents, severity_counts, with_signature
 from opslens.schemas import IMPACT_MODES, MERGE_STRATEGIES, POLICY_DETAILS, POLICY_FIELDS
@@ -66,6 +66,13 @@ def merge_policies(policies: DataFrame, strategy: str = "union") -> DataFrame:
     return holders.select("field", "item")
 
 
+def _refused(missing: DataFrame) -> DataFrame:
+    """No rows; an error that names the ids if there are any."""
+    ids = missing.agg(F.array_join(F.sort_array(F.collect_list("id")), ", ").alias("ids"))
+    item = F.when(F.col("ids") != "", F.raise_error(F.concat(F.lit("Unknown policy ids: "), F.col("ids"))))
+    return ids.select(F.lit(None).cast("string").alias("field"), item.cast("string").alias("item")).filter("item IS NOT NULL")
+
+
 def resolve_filters(
     policies: DataFrame,
     ids: DataFrame | Sequence[str] = (),
@@ -76,10 +83,10 @@ def resolve_filters(
     tenant: str | None = None,
 ) -> DataFrame:
     """The effective ignore lists as (field, item): explicit lists plus the merged policies (D-01)."""
-    found, _ = lookup_policies(policies, ids, tenant)
+    found, missing = lookup_policies(policies, ids, tenant)
     explicit = [("source", s.strip().lower()) for s in ignore_sources if s.strip()]
     explicit += [("signature", s.strip().lower()) for s in ignore_signatures if s.strip()]
-    merged = merge_policies(found, strategy)
+    merged = union_all(merge_policies(found, strategy), _refused(missing))
     if not explicit:
         return merged
     named = policies.sparkSession.createDataFrame(explicit, "field string, item string")
@@ -97,11 +104,11 @@ def impact_score(mode: str = "weighted") -> Column:
     return sum((F.col(f"{s}_count") * IMPACT_WEIGHTS[s] for s in named), F.lit(0)).cast("double")
 
 
-def _flagged(events: DataFrame, filters, limit: int) -> DataFrame:
-    return flag_ignored(with_signature(latest_per_asset(events, clamp(limit, 1, 2000))), filters)
+def _flagged(events: DataFrame, filters, limit: int | None) -> DataFrame:
+    return flag_ignored(with_signature(latest_per_asset(events, at_least_one(limit))), filters)
 
 
-def dry_run_totals(events: DataFrame, filters, *, limit: int = 300) -> DataFrame:
+def dry_run_totals(events: DataFrame, filters, *, limit: int | None = None) -> DataFrame:
     """Per asset: how many of its newest events the filters would hide and leave."""
     counts = _flagged(events, filters, limit).groupBy("asset_id").agg(
         F.count("*").alias("total_events"), F.count_if("ignored").alias("filtered_events")
@@ -113,7 +120,7 @@ def dry_run_totals(events: DataFrame, filters, *, limit: int = 300) -> DataFrame
 
 
 def dry_run_impact(
-    events: DataFrame, filters, *, limit: int = 300, mode: str = "weighted", k: int = TOP_IMPACTED
+    events: DataFrame, filters, *, limit: int | None = None, mode: str = "weighted", k: int = TOP_IMPACTED
 ) -> DataFrame:
     """Per asset: the k clusters the filters hit hardest, in `impact_rank` order."""
     score = impact_score(mode)
@@ -130,7 +137,7 @@ def dry_run_impact(
 
 
 def policy_dry_run(
-    events: DataFrame, filters: DataFrame, *, limit: int = 300, mode: str = "weighted"
+    events: DataFrame, filters: DataFrame, *, limit: int | None = None, mode: str = "weighted"
 ) -> DataFrame:
     """One nested row per asset: totals, applied lists, top impacted clusters (D-03)."""
     totals = dry_run_totals(events, filters, limit=limit)
@@ -241,12 +248,12 @@ def query_audit(
         raise ValueError("sort must be 'asc' or 'desc'")
     order = F.col("id").asc() if sort == "asc" else F.col("id").desc()
     page = filter_audit(audit, **filters).orderBy(order)
-    return page.offset(max(0, offset)).limit(clamp(limit, 1, 1000))
+    return page.offset(max(0, offset)).limit(at_least_one(limit))
 
 
 def audit_pages(audit: DataFrame, *, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
     """One row: matching rows, current and last page, offsets of the neighbouring pages (D-07)."""
-    limit = clamp(limit, 1, 1000)
+    limit = at_least_one(limit)
     offset = max(0, offset)
     total = filter_audit(audit, **filters).agg(F.count("*").alias("total_rows"))
     last = F.greatest(F.lit(1), F.ceil(F.col("total_rows") / limit))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
-from opslens.functions.ranking import SALT_BUCKETS, latest_per_asset
+from opslens.functions.ranking import SALT_BUCKETS, at_least_one, latest_per_asset
 from opslens.functions.text import quoted
 from opslens.operators.anomalies import REASON
 
@@ -43,7 +43,6 @@ DEFAULT_RULES = (
                 2, 0.82, "Check SMART state and the array controller; prepare a disk replacement."),
 )
 IOWAIT_LIMIT = 25
-EVENTS_READ = 1000
 ALERTS = (  # reason, severity
     ("High iowait", "warning"),
     ("Thermal warning", "critical"),
@@ -87,7 +86,7 @@ def _rule_counts(rules: Sequence[Correlation]) -> list[Column]:
 
 
 def asset_facts(
-    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ,
+    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = None,
     salt: int = SALT_BUCKETS,
 ) -> DataFrame:
     """One row per asset with every count the rules need, over its newest `limit` events (None = all)."""
@@ -115,7 +114,7 @@ def hit_array(rules: Sequence[Correlation]) -> str:
     ) + "))"
 
 
-def alerts(events: DataFrame, *, limit: int | None = EVENTS_READ) -> DataFrame:
+def alerts(events: DataFrame, *, limit: int | None = None) -> DataFrame:
     """(asset_id, severity, reason) rows (E-01)."""
     return asset_facts(events, (), limit=limit).selectExpr(
         "asset_id", f"explode({_alert_array()}) AS a"
@@ -123,7 +122,7 @@ def alerts(events: DataFrame, *, limit: int | None = EVENTS_READ) -> DataFrame:
 
 
 def correlations(
-    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ,
+    events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = None,
     salt: int = SALT_BUCKETS,
 ) -> DataFrame:
     """Rules that found enough evidence in an asset's newest events (E-02)."""
@@ -134,15 +133,16 @@ def correlations(
 
 def correlation_events(
     events: DataFrame, title: str | None = None, rules: Sequence[Correlation] = DEFAULT_RULES,
-    *, asset_id: str | None = None,
+    *, asset_id: str | None = None, limit: int | None = None, newest: int = 20,
 ) -> DataFrame:
-    """Events behind a rule, newest first: per asset among its newest 10000; without a rule the newest 20."""
+    """Events behind a rule, newest first: among the newest `limit` of an asset (None = all);
+    without a rule each asset's `newest` events."""
     chosen = next((rule for rule in rules if rule.title == (title or "").strip()), None)
     scope = events if asset_id is None else events.filter(F.col("asset_id") == asset_id)
     if chosen is None:
-        out = latest_per_asset(scope, 20)
+        out = latest_per_asset(scope, newest)
     else:
-        out = latest_per_asset(scope, 10000).filter(_matches(chosen))
+        out = latest_per_asset(scope, at_least_one(limit)).filter(_matches(chosen))
     return out.orderBy("asset_id", F.col("seq").desc())
 
 
@@ -178,7 +178,7 @@ def runbook_hints(anomalies: DataFrame, found: DataFrame, assets: DataFrame | No
 
 def recommendations(
     events: DataFrame, assets: DataFrame | None = None,
-    rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = EVENTS_READ,
+    rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = None,
 ) -> DataFrame:
     """Risk score, level and actions per asset (E-09). assets: (asset_id); those without events get 0.05."""
     facts = asset_facts(events, rules, limit=limit)

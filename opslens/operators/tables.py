@@ -42,9 +42,13 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str) ->
     return merged.groupBy(*keys).agg(latest.alias("_row")).select(*keys, "_row.*").select(*columns)
 
 
-def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the rows whose key the table does not have yet."""
-    return union_all(base, rows.join(base.select(*keys), keys, "left_anti").dropDuplicates(keys))
+def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Add the rows whose key the table does not have yet: of each new key the first by `order`, or as the rows stand."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    fresh = rows.withColumn("_place", place).join(base.select(*keys), keys, "left_anti")
+    rest = [c for c in base.columns if c not in keys]
+    first = fresh.groupBy(*keys).agg(F.min_by(F.struct(F.lit(0).alias("_"), *rest), "_place").alias("_row"))
+    return union_all(base, first.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*base.columns))
 
 
 def delete_assets(

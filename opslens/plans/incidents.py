@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp
+
 from opslens.functions.text import quoted
 from opslens.operators.anomalies import REASON, detect, rank_anomalies
 from opslens.operators.clusters import analysis_window
 from opslens.operators.dependency import dependency_edges, first_assets
 from opslens.operators.rules import (
-    ANOMALY_ACTION, DEFAULT_HINT, DEFAULT_RULES, EVENTS_READ, HINT_ANOMALIES, asset_facts, correlations,
+    ANOMALY_ACTION, DEFAULT_HINT, DEFAULT_RULES, HINT_ANOMALIES, asset_facts, correlations,
     hit_array, runbook_hints,
 )
 from opslens.plans.newest import newest_events
@@ -20,9 +20,9 @@ QUIET = "No significant incident patterns in current window"
 BRIEF_CLUSTERS, HINT_CLUSTERS, TOP = 10, 15, 3
 
 
-def asset_hints(events: DataFrame, assets: DataFrame, *, limit: int = 300) -> DataFrame:
+def asset_hints(events: DataFrame, assets: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Runbook hints of every asset in assets(asset_id), from 15 clusters and 15 anomalies."""
-    newest = newest_events(events, max(limit, EVENTS_READ))
+    newest = newest_events(events, limit)
     found = detect(analysis_window(newest, limit=limit, salt=1), max_clusters=HINT_CLUSTERS)
     return runbook_hints(rank_anomalies(found, HINT_CLUSTERS), correlations(newest, salt=1), assets)
 
@@ -33,14 +33,13 @@ def _first(rank: str, text: str, n: int, name: str, only: str = "true") -> Colum
     return F.expr(f"transform(sort_array({rows}), x -> x.t) AS {name}")
 
 
-def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int = 300) -> DataFrame:
+def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int | None = None) -> DataFrame:
     """One row per asset: headline, confidence, top reasons, actions and dependency hotspots.
 
     The hints look at 15 clusters, the brief itself at 10; one detection serves both. Each branch
     ends in one row per asset before anything is joined.
     """
-    limit = clamp(limit, 20, 2000)
-    newest = newest_events(events, max(limit, EVENTS_READ))
+    newest = newest_events(events, limit)
     order = "ORDER BY confidence DESC, kind_order, first_seq"
     own = f"cluster_rank <= {BRIEF_CLUSTERS}"
     anomalies = (
@@ -87,11 +86,11 @@ def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int = 300) -
 
 
 def incident_overview(
-    events: DataFrame, assets: DataFrame, *, limit_per_asset: int = 300, max_assets: int = 25,
+    events: DataFrame, assets: DataFrame, *, limit_per_asset: int | None = None, max_assets: int | None = None,
     min_confidence: float = 0.0,
 ) -> DataFrame:
-    """Briefs of the first max_assets assets with at least min_confidence, most certain first."""
-    looked_at = first_assets(assets, clamp(max_assets, 1, 200))
+    """Briefs of all assets (or the first max_assets) with at least min_confidence, most certain first."""
+    looked_at = first_assets(assets, max_assets)
     scope = events.join(looked_at, "asset_id", "left_semi")
     floor = min(max(min_confidence, 0.0), 1.0)
     return incident_briefs(scope, looked_at, limit=limit_per_asset).filter(

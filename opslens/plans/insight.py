@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.ranking import clamp
+
 from opslens.functions.text import severity_rank
 from opslens.operators.anomalies import REASON, find_anomalies
 from opslens.operators.clusters import (
@@ -21,7 +21,7 @@ def log_insight(
     events: DataFrame,
     assets: DataFrame,
     *,
-    limit: int = 300,
+    limit: int | None = None,
     max_clusters: int = 30,
     max_anomalies: int = 20,
     filters=None,
@@ -30,8 +30,6 @@ def log_insight(
 
     assets: (asset_id). An asset without events, or with all of them ignored, has empty lists.
     """
-    limit, max_clusters = clamp(limit, 20, 2000), clamp(max_clusters, 5, 100)
-    max_anomalies = clamp(max_anomalies, 1, 100)
     newest = newest_events(events, limit)
     window = analysis_window(newest, limit=limit, filters=filters, salt=1)
     cluster_rows = top_clusters(clusters(window), max_clusters).groupBy("asset_id").agg(
@@ -60,7 +58,7 @@ def log_insight(
         F.col("excluded_events").cast("string"), F.lit(" of "), F.col("total_events").cast("string")
     )
     lines = F.array_compact(F.array(
-        F.concat(F.lit("Events analysed: "), F.col("analyzed_events").cast("string"), F.lit(f" (limit {limit})")),
+        F.concat(F.lit("Events analysed: "), F.col("analyzed_events").cast("string"), F.lit(" (whole history)" if limit is None else f" (limit {limit})")),
         F.concat(F.lit("Clusters: "), F.size("clusters").cast("string"), F.lit(f" (top {max_clusters})")),
         F.concat(F.lit("Anomalies: "), F.size("anomalies").cast("string"), F.lit(f" (top {max_anomalies})")),
         F.when(F.col("excluded_events") > 0, F.concat(F.lit("Excluded by ignore rules: "), excluded)),
@@ -81,19 +79,19 @@ def asset_summaries(
     events: DataFrame,
     assets: DataFrame,
     *,
-    limit_per_asset: int = 300,
-    max_assets: int = 50,
+    limit_per_asset: int | None = None,
+    max_assets: int | None = None,
     max_clusters: int = 30,
     max_anomalies: int = 20,
     filters=None,
 ) -> DataFrame:
     """Per looked-at asset: analysed events, kept anomalies by kind and severity, top anomaly."""
-    looked_at = first_assets(assets, clamp(max_assets, 1, 200))
-    limit = clamp(limit_per_asset, 20, 2000)
+    looked_at = first_assets(assets, max_assets)
+    limit = limit_per_asset
     scope = events.join(looked_at, "asset_id", "left_semi")
     window = analysis_window(newest_events(scope, limit), limit=limit, filters=filters, salt=1)
     found = find_anomalies(
-        window, max_clusters=clamp(max_clusters, 5, 100), max_anomalies=clamp(max_anomalies, 1, 100)
+        window, max_clusters=max_clusters, max_anomalies=max_anomalies
     )
     kinds = [
         F.count_if(F.col("kind") == kind).alias(kind)

@@ -14,12 +14,16 @@ def explode_batches(batches: DataFrame, now: Column | None = None) -> DataFrame:
     """(batch_id, events) -> events with defaults: severity info, time `now`.
 
     The landing process numbers its batches in arrival order. An event's seq is the batch number
-    followed by the place in the batch, so numbering needs no sort.
+    followed by the place in the batch, so numbering needs no sort. Events of a batch without a number
+    get negative ones in the order they are read (not in a stream, where seq stays null).
     """
     now = F.current_timestamp() if now is None else now
     rows = batches.select("batch_id", F.posexplode("events").alias("pos", "e"))
+    seq = F.shiftleft(F.col("batch_id"), BATCH_BITS) + F.col("pos")
+    if not batches.isStreaming:
+        seq = F.coalesce(seq, F.monotonically_increasing_id() + F.lit(-(1 << 62)))
     return rows.select(
-        (F.shiftleft(F.col("batch_id"), BATCH_BITS) + F.col("pos")).alias("seq"),
+        seq.alias("seq"),
         "e.asset_id", "e.source", "e.message", "e.metric", "e.value",
         F.coalesce("e.severity", F.lit("info")).alias("severity"),
         F.when(F.col("e.timestamp").isNull(), now.cast("timestamp"))
@@ -27,6 +31,13 @@ def explode_batches(batches: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
+def broken_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(line, file): lines of a folder of batches that are no JSON object, for quarantine."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    parsed = F.get_json_object("line", "$")
+    return lines.filter((F.col("line") != "") & (parsed.isNull() | ~F.startswith("line", F.lit("{"))))
+
+
 def read_event_batches(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
     """Read a folder of batches, one JSON object {"batch_id": n, "events": [...]} per line."""
     return explode_batches(spark.read.schema(EVENT_BATCH).json(path), now)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opslens.functions.ranking import clamp
+from opslens.functions.ranking import at_least_one
 
 FILE_BITS = 40
 
@@ -21,17 +21,14 @@ def list_text_logs(spark: SparkSession, path: str, *, glob: str = "*.txt", recur
 
 
 def scan_text_logs(
-    spark: SparkSession, path: str, *, glob: str = "*.txt", recursive: bool = True, max_files: int = 5000
+    spark: SparkSession, path: str, *, glob: str = "*.txt", recursive: bool = True, max_files: int | None = None
 ) -> DataFrame:
-    """(seq, file, line_no, value): the lines of the first max_files files in path order.
+    """(seq, file, line_no, value): the lines of all files, or of the first max_files with lines in path order.
 
-    Big files are read in splits. A line is numbered inside its split, and the line counts of the
-    splits before it are added, so no file has to pass through one task.
+    Big files are read in splits. Inside a split lines have consecutive running ids, so a line's number is its
+    id less the split's first, plus the line counts of the splits before: lines meet only a table of
+    splits and are not shuffled to be numbered.
     """
-    files = list_text_logs(spark, path, glob=glob, recursive=recursive)
-    files = files.orderBy("file").limit(clamp(max_files, 1, 50000))
-    # at most max_files rows
-    numbered = files.withColumn("file_no", F.row_number().over(W.orderBy("file")).cast("long"))
     lines = (
         spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
         .text(path)
@@ -41,15 +38,18 @@ def scan_text_logs(
             F.monotonically_increasing_id().alias("at"),
             "value",
         )
-        .join(numbered, "file")
     )
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = lines.groupBy("file", "split").agg(F.count("*").alias("n")).select(
-        "file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    # a row per split, a file's number is its rank among them
+    numbered = splits.select(
+        "file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.dense_rank().over(W.orderBy("file")).cast("long").alias("file_no"),
     )
-    inside = F.row_number().over(W.partitionBy("file", "split").orderBy("at"))
-    out = lines.withColumn("here", inside).join(offsets, ["file", "split"])
-    line_no = (F.col("offset") + F.col("here")).cast("long")
+    if at_least_one(max_files) is not None:
+        numbered = numbered.filter(F.col("file_no") <= max_files)
+    out = lines.join(numbered, ["file", "split"])
+    line_no = F.col("offset") + F.col("at") - F.col("first") + 1
     return out.select(
         (F.shiftleft(F.col("file_no"), FILE_BITS) + line_no).alias("seq"),
         "file", line_no.alias("line_no"), "value",

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens import schemas as S
-from opslens.operators import access, collectors, dashboard, ingest, policies, tables
+from opslens.functions.ranking import with_position
+from opslens.operators import access, collectors, dashboard, ingest, normalize, policies, tables
 from opslens.sinks import exports
+from opslens.sources import batches, text_logs
 from opslens.streaming import feeds
 
 AT = dt.datetime(2024, 5, 1, 12, 0, 0)
@@ -306,8 +308,8 @@ def test_csv_files_and_lines(spark, tmp_path):
     assert exports.csv_lines(brief, exports.BRIEF_CSV, quote_all=True).first().line == (
         '"a","0.5","say ""x""","r1; r2","","h"')
     exports.write_json(brief, str(tmp_path / "json"))
-    doc = json.loads(next((tmp_path / "json").glob("part-*")).read_text().splitlines()[0])
-    assert doc["anomaly_reasons"] == ["r1", "r2"]
+    docs = [json.loads(x) for p in (tmp_path / "json").glob("part-*") for x in p.read_text().splitlines()]
+    assert [doc["anomaly_reasons"] for doc in docs] == [["r1", "r2"]]
 
 
 def test_event_table_is_partitioned_by_day(spark, make_events, tmp_path):
@@ -334,3 +336,55 @@ def test_streams(spark, tmp_path, make_events):
     run = exports.stream_events(stream, out, str(tmp_path / "s2")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.read.parquet(out).select("event_date").distinct().count() == 4
+
+
+def test_first_row_of_a_new_key_wins(spark):
+    base = spark.createDataFrame([("a", 1, 0)], "id string, v int, at int")
+    rows = spark.createDataFrame([("b", 2, 9), ("b", 3, 1), ("a", 4, 2)], "id string, v int, at int").coalesce(1)
+    assert sorted(tuple(r) for r in tables.insert_or_ignore(base, rows, ["id"]).collect()) == [("a", 1, 0), ("b", 2, 9)]
+    assert sorted(tuple(r) for r in tables.insert_or_ignore(base, rows, ["id"], "at").collect()) == [("a", 1, 0), ("b", 3, 1)]
+
+
+def test_batches_without_number_and_broken_lines(spark, tmp_path):
+    event = '{"asset_id":"a","source":"s","message":"%s"}'
+    (tmp_path / "b.json").write_text(
+        f'{{"events":[{event % "m1"},{event % "m2"}]}}\nno json\n{{"batch_id":2,"events":[{event % "m3"}]}}\n')
+    rows = batches.read_event_batches(spark, str(tmp_path)).collect()
+    assert sorted(r.message for r in rows) == ["m1", "m2", "m3"]
+    assert len({r.seq for r in rows}) == 3 and None not in {r.seq for r in rows}
+    assert [r.line for r in batches.broken_batches(spark, str(tmp_path)).collect()] == ["no json"]
+
+
+def test_text_logs_with_any_file_name(spark, tmp_path):
+    names = ["a b.txt", "c%20d.txt", "plain.txt", "ü.txt"]
+    for n in names:
+        (tmp_path / n).write_text("one\ntwo\nthree\n")
+    rows = text_logs.scan_text_logs(spark, str(tmp_path)).collect()
+    assert len(rows) == 12 and len({r.seq for r in rows}) == 12 and len({r.file for r in rows}) == 4
+    assert {(r.line_no, r.value) for r in rows} == {(1, "one"), (2, "two"), (3, "three")}
+    assert text_logs.scan_text_logs(spark, str(tmp_path), max_files=2).count() == 6
+
+
+def test_cursor_loses_no_repeated_record_ids(spark):
+    rows = spark.createDataFrame([("t", 1, "App"), ("t", 2, "App"), ("t", 2, "Sys"), ("t", 3, "App")],
+                                 "target_id string, record_id long, LogName string")
+    state, seen = spark.createDataFrame([("t", "0")], "target_id string, last_cursor string"), []
+    for _ in range(3):
+        got, state = normalize.advance_cursor(rows, state, 2)
+        seen += [(r.record_id, r.LogName) for r in got.collect()]
+    assert sorted(seen) == [(1, "App"), (2, "App"), (2, "Sys"), (3, "App")]
+
+
+def test_unknown_policy_is_an_error(spark):
+    held = spark.createDataFrame([("p1", None, True, ["a"], [])],
+                                 "id string, tenant_id string, enabled boolean, ignore_sources array<string>, ignore_signatures array<string>")
+    assert [tuple(r) for r in policies.resolve_filters(held, ["p1"]).collect()] == [("source", "a")]
+    with pytest.raises(Exception, match="Unknown policy ids: nope"):
+        policies.resolve_filters(held, ["p1", "nope"]).collect()
+
+
+def test_positions_over_buckets(spark):
+    rows = spark.createDataFrame([(k, s * s) for k in ("x", None) for s in range(50)], "k string, seq long")
+    got = with_position(rows, "k", "seq", buckets=7).collect()
+    assert sorted((str(r.k), r.seq, r.pos, r.total) for r in got) == sorted(
+        (str(k), s * s, s + 1, 50) for k in ("x", None) for s in range(50))
