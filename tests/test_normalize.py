@@ -88,7 +88,7 @@ def test_host_log_and_metrics(spark):
     ]
     raw = spark.createDataFrame(lines, "asset_id string, file string, line_no int, value string, collected_ts timestamp")
     got = normalize.normalize_host_log(raw).collect()
-    assert len(got) == 20 and max(len(r.message) for r in got) == 500
+    assert len(got) == 20 and max(len(r.message) for r in got) == 616
     assert sorted(r.severity for r in got if r.severity != "info") == ["critical", "warning"]
     samples = spark.createDataFrame(
         [("a", 0.5, 85.0, 100.0, AT), ("b", 1.0, 1.0, 3.0, AT)],
