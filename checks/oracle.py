@@ -793,9 +793,7 @@ ORACLE: dict[str, str] = {
         SELECT count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'warning') AS warning,
           count(*) FILTER (WHERE severity = 'critical') AS critical FROM month"""),
     "f05_daily_trend": sql("month", "SELECT ts::DATE AS day, count(*) AS events FROM month GROUP BY ts::DATE"),
-    "f05_daily_trend_stream": sql("ev", """
-        SELECT day, events FROM (SELECT ts::DATE AS day, count(*) AS events FROM ev GROUP BY ts::DATE)
-        WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM ev)"""),
+    "f05_daily_trend_stream": sql("ev", "SELECT ts::DATE AS day, count(*) AS events FROM ev GROUP BY ts::DATE"),
     "f06_top_assets": sql("month", """
         SELECT asset_id, count(*) AS events FROM month GROUP BY asset_id ORDER BY events DESC, asset_id LIMIT 5"""),
     "f07_recent_alerts": sql("month", """

@@ -72,34 +72,41 @@ def running(
     *,
     include_current: bool = True,
     block_rows: int = BLOCK_ROWS,
+    levels: int = 2,
 ) -> DataFrame:
     """Running sum or max per key in the order of a unique integer column.
 
     specs maps an output name to ("sum" | "max", value). The order axis is cut into blocks of
     block_rows numbers, so a window never holds more than block_rows rows however hot the key is;
-    what came before a block is joined in as one row per (key, block). The key must not be null.
+    what came before a block is joined in as one row per (key, block). Sparse numbers make many blocks, so the
+    blocks are summed up in blocks of blocks in turn: with two levels only one row per block_rows**2
+    numbers of a key meets in a window. The key must not be null.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
+    block = f"_block{levels}"
+    blocked = df.withColumn(block, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
     for name, (_, value) in specs.items():
         blocked = blocked.withColumn(f"_v_{name}", value)
     how = {"sum": F.sum, "max": F.max}
 
     before = (
-        blocked.groupBy(key, "_block")
+        blocked.groupBy(key, block)
         .agg(*[how[kind](f"_v_{name}").alias(f"_b_{name}") for name, (kind, _) in specs.items()])
     )
-    earlier = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select(
-        F.col(key).alias("_k"), F.col("_block").alias("_kb"),
-        *[how[kind](f"_b_{name}").over(earlier).alias(f"_p_{name}") for name, (kind, _) in specs.items()],
-    )
-
-    here = W.partitionBy(key, "_block").orderBy(order).rowsBetween(
+    if levels > 1:
+        sums = {f"_p_{name}": (kind, F.col(f"_b_{name}")) for name, (kind, _) in specs.items()}
+        before = running(before, key, block, sums, include_current=False, block_rows=block_rows, levels=levels - 1)
+    else:
+        earlier = W.partitionBy(key).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+        before = before.withColumns(
+            {f"_p_{name}": how[kind](f"_b_{name}").over(earlier) for name, (kind, _) in specs.items()})
+    before = before.select(F.col(key).alias("_k"), F.col(block).alias("_kb"), *[f"_p_{name}" for name in specs])
+
+    here = W.partitionBy(key, block).orderBy(order).rowsBetween(
         W.unboundedPreceding, W.currentRow if include_current else -1
     )
     out = blocked.withColumns(
         {f"_l_{name}": how[kind](f"_v_{name}").over(here) for name, (kind, _) in specs.items()}
-    ).join(before, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_kb")))
+    ).join(before, (F.col(key) == F.col("_k")) & (F.col(block) == F.col("_kb")))
     for name, (kind, _) in specs.items():
         local, prior = F.col(f"_l_{name}"), F.col(f"_p_{name}")
         if kind == "sum":

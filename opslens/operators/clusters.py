@@ -23,14 +23,14 @@ def severity_counts() -> list[Column]:
     return [F.expr(f"count_if(severity = '{s}') AS {s}_count") for s in SEVERITIES]
 
 
-def ranked_documents(rank: str, fields: list[str]) -> Column:
-    """Aggregate: the rows of a group as structs in rank order, their severity counts as a map."""
+def ranked_documents(rank: str, fields: list[str], where: str = "true") -> Column:
+    """Aggregate: a group's rows (`where`) as structs in rank order, their severity counts as a map."""
     inner = ", ".join([rank, *fields, *[f"{s}_count" for s in SEVERITIES]])
     outer = ", ".join(f"r.{name} AS {name}" for name in (rank, *fields))
     pairs = ", ".join(f"struct('{s}' AS k, r.{s}_count AS v)" for s in SEVERITIES)
     mix = f"map_filter(map_from_entries(array({pairs})), (k, v) -> v > 0)"
     return F.expr(
-        f"transform(sort_array(collect_list(struct({inner}))), r -> struct({outer}, {mix} AS severity_mix))"
+        f"transform(sort_array(collect_list(struct({inner})) FILTER (WHERE {where})), r -> struct({outer}, {mix} AS severity_mix))"
     )
 
 

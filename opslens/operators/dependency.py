@@ -17,6 +17,15 @@ def asset_signatures(events: DataFrame, *, limit: int | None = None, salt: int =
     return with_signature(newest).select(*CLUSTER).distinct()
 
 
+def _sized(sets: DataFrame) -> DataFrame:
+    """Adds signatures, how many the source has, and opens: true once per source."""
+    of_source = W.partitionBy("asset_id", "source")
+    return sets.withColumns({
+        "signatures": F.count("*").over(of_source),
+        "opens": F.row_number().over(of_source.orderBy("signature")) == 1,
+    })
+
+
 def dependency_edges(
     events: DataFrame, *, limit: int | None = None, k: int = 20, salt: int = SALT_BUCKETS
 ) -> DataFrame:
@@ -26,8 +35,10 @@ def dependency_edges(
     at most `limit` (source, signature) rows per asset the pairs of an asset are bounded too, and
     they are counted before they leave the task.
     """
-    sets = asset_signatures(events, limit=limit, salt=salt)
-    sized = sets.withColumn("signatures", F.count("*").over(W.partitionBy("asset_id", "source")))
+    return _edges(_sized(asset_signatures(events, limit=limit, salt=salt)), k)
+
+
+def _edges(sized: DataFrame, k: int) -> DataFrame:
     left = sized.select(
         "asset_id", "signature", F.col("source").alias("source_a"), F.col("signatures").alias("size_a")
     )
@@ -53,11 +64,13 @@ def dependency_edges(
 
 
 def dependency_map(events: DataFrame, *, limit: int | None = None, k: int = 20) -> DataFrame:
-    """One nested row per asset: number of sources, number of edges kept, the edges."""
-    sources = asset_signatures(events, limit=limit).groupBy("asset_id").agg(
-        F.countDistinct("source").alias("total_sources")
-    )
-    edges = dependency_edges(events, limit=limit, k=k).groupBy("asset_id").agg(
+    """One nested row per asset: number of sources, number of edges kept, the edges.
+
+    Both sides of the edges and the number of sources come from one exchange of distinct signatures.
+    """
+    sized = _sized(asset_signatures(events, limit=limit))
+    sources = sized.groupBy("asset_id").agg(F.count_if("opens").alias("total_sources"))
+    edges = _edges(sized, k).groupBy("asset_id").agg(
         F.count("*").alias("total_edges"),
         F.sort_array(F.collect_list(F.struct(
             "edge_rank", "source_a", "source_b", "shared_signatures", "co_occurrence_score",

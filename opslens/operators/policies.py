@@ -104,47 +104,63 @@ def impact_score(mode: str = "weighted") -> Column:
     return sum((F.col(f"{s}_count") * IMPACT_WEIGHTS[s] for s in named), F.lit(0)).cast("double")
 
 
-def _flagged(events: DataFrame, filters, limit: int | None) -> DataFrame:
-    return flag_ignored(with_signature(latest_per_asset(events, at_least_one(limit))), filters)
+def _cluster_counts(events: DataFrame, filters, limit: int | None) -> DataFrame:
+    """Events and severities per (asset, source, signature) and whether the filters hide it."""
+    newest = latest_per_asset(events, at_least_one(limit))
+    return flag_ignored(with_signature(newest), filters).groupBy(*CLUSTER, "ignored").agg(
+        F.count("*").alias("events_filtered"), *severity_counts())
 
 
-def dry_run_totals(events: DataFrame, filters, *, limit: int | None = None) -> DataFrame:
-    """Per asset: how many of its newest events the filters would hide and leave."""
-    counts = _flagged(events, filters, limit).groupBy("asset_id").agg(
-        F.count("*").alias("total_events"), F.count_if("ignored").alias("filtered_events")
-    ).withColumn("remaining_events", F.col("total_events") - F.col("filtered_events"))
+def _with_impact_rank(clusters: DataFrame, mode: str) -> DataFrame:
+    """Adds impact_score, cluster_id and impact_rank; ignored clusters of an asset rank before the others."""
+    order = W.partitionBy("asset_id").orderBy(
+        F.col("ignored").desc(), F.col("impact_score").desc(), F.col("events_filtered").desc(),
+        F.col("source").desc(), F.col("signature").desc(),
+    )
+    scored = clusters.withColumns({"impact_score": impact_score(mode), "cluster_id": cluster_id()})
+    return scored.withColumn("impact_rank", F.row_number().over(order))
+
+
+def _totals(total: Column, hidden: Column) -> list[Column]:
+    return [total.alias("total_events"), hidden.alias("filtered_events"), (total - hidden).alias("remaining_events")]
+
+
+def _with_shares(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "filtered_share": share("filtered_events", "total_events"),
         "remaining_share": share("remaining_events", "total_events"),
     })
 
 
+def dry_run_totals(events: DataFrame, filters, *, limit: int | None = None) -> DataFrame:
+    """Per asset: how many of its newest events the filters would hide and leave."""
+    flagged = flag_ignored(with_signature(latest_per_asset(events, at_least_one(limit))), filters)
+    return _with_shares(flagged.groupBy("asset_id").agg(*_totals(F.count("*"), F.count_if("ignored"))))
+
+
 def dry_run_impact(
     events: DataFrame, filters, *, limit: int | None = None, mode: str = "weighted", k: int = TOP_IMPACTED
 ) -> DataFrame:
     """Per asset: the k clusters the filters hit hardest, in `impact_rank` order."""
-    score = impact_score(mode)
-    hit = (
-        _flagged(events, filters, limit).filter("ignored").groupBy(*CLUSTER)
-        .agg(F.count("*").alias("events_filtered"), *severity_counts())
-        .withColumns({"impact_score": score, "cluster_id": cluster_id()})
-    )
-    order = W.partitionBy("asset_id").orderBy(
-        F.col("impact_score").desc(), F.col("events_filtered").desc(),
-        F.col("source").desc(), F.col("signature").desc(),
-    )
-    return hit.withColumn("impact_rank", F.row_number().over(order)).filter(F.col("impact_rank") <= k)
+    hit = _cluster_counts(events, filters, limit).filter("ignored")
+    return _with_impact_rank(hit, mode).filter(F.col("impact_rank") <= k).drop("ignored")
 
 
 def policy_dry_run(
-    events: DataFrame, filters: DataFrame, *, limit: int | None = None, mode: str = "weighted"
+    events: DataFrame, filters: DataFrame, *, limit: int | None = None, mode: str = "weighted", k: int = TOP_IMPACTED
 ) -> DataFrame:
-    """One nested row per asset: totals, applied lists, top impacted clusters (D-03)."""
-    totals = dry_run_totals(events, filters, limit=limit)
-    impact = dry_run_impact(events, filters, limit=limit, mode=mode).groupBy("asset_id").agg(
+    """One nested row per asset: totals, applied lists, top impacted clusters (D-03).
+
+    Totals and ranks come from one table of cluster counts, so the events are read once.
+    """
+    ranked = _with_impact_rank(_cluster_counts(events, filters, limit), mode)
+    top = F.col("ignored") & (F.col("impact_rank") <= k)
+    n = F.col("events_filtered")
+    rows = ranked.withColumn("top", top).groupBy("asset_id").agg(
+        *_totals(F.sum(n), F.sum(F.when(F.col("ignored"), n).otherwise(0))),
         ranked_documents(
-            "impact_rank", ["source", "signature", "cluster_id", "events_filtered", "impact_score"]
-        ).alias("top_impacted_clusters")
+            "impact_rank", ["source", "signature", "cluster_id", "events_filtered", "impact_score"], where="top"
+        ).alias("top_impacted_clusters"),
     )
 
     def applied(field: str) -> Column:
@@ -153,9 +169,7 @@ def policy_dry_run(
             .agg(F.sort_array(F.collect_set("item")).alias("items")).select("items").scalar()
         )
 
-    empty = F.array().cast(impact.schema["top_impacted_clusters"].dataType)
-    return totals.join(impact, "asset_id", "left").withColumns({
-        "top_impacted_clusters": F.coalesce("top_impacted_clusters", empty),
+    return _with_shares(rows).withColumns({
         "applied_sources": applied("source"),
         "applied_signatures": applied("signature"),
         "impact_mode": F.lit(mode.strip().lower() or "weighted"),

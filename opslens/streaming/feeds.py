@@ -20,11 +20,15 @@ def diagnostics_stream(history: DataFrame) -> DataFrame:
     )
 
 
-def daily_trend_stream(events: DataFrame, *, late: str = "1 day") -> DataFrame:
-    """Events per day; a day is final once the watermark has passed its end."""
+def daily_trend_stream(events: DataFrame, *, late: str | None = None) -> DataFrame:
+    """Events per day, open days included; write it in complete (or update) mode.
+
+    State is a row per day, so it is kept and no late event is lost. With `late` a day is final, and its
+    state released, once the watermark has passed its end; append mode then emits closed days.
+    """
+    seen = events if late is None else events.withWatermark("ts", late)
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
-        .agg(F.count("*").alias("events"))
+        seen.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("events"))
         .select(F.to_date("w.start").alias("day"), "events")
     )
 
