@@ -47,7 +47,8 @@ def dedup_stream(events: DataFrame, window_sec: float = 300, key: str = "fingerp
         last = state.get[0] if state.exists else None
         kept, last = kept_positions(rows["_t"].to_numpy(np.int64), last, window_us)
         state.update((last,))
-        yield rows.iloc[kept][columns]
+        if kept:
+            yield rows.iloc[kept][columns]
 
     return keyed.groupBy("_fp").applyInPandasWithState(
         step, events.schema, "last_kept bigint", "append", GroupStateTimeout.NoTimeout

@@ -224,7 +224,8 @@ def test_tail_reader(tmp_path):
 
     def read(start):
         end = reader.latestOffset()
-        return [row[2] for part in reader.partitions(start, end) for row in reader.read(part)], end
+        found = [batch for part in reader.partitions(start, end) for batch in reader.read(part)]
+        return [value for batch in found for value in batch["value"].to_pylist()], end
 
     path.write_text("one\ntwo")
     got, at = read(reader.initialOffset())
@@ -235,7 +236,30 @@ def test_tail_reader(tmp_path):
     assert got == ["two more"] + [f"line {i}" for i in range(20)]
     assert read(at)[0] == []
     path.write_text("new\n")
-    assert read(at)[0] == ["new"]
+    got, at = read(at)
+    assert got == ["new"]
+
+    for i in range(2100):
+        (tmp_path / f"a{i:04d}.txt").write_text("first\n")
+    got, at = read(at)
+    assert got == ["first"] * 2100  # more files than fit any limit, all sorted before x.txt
+    path.rename(tmp_path / "x.away")
+    got, at = read(at)
+    assert got == []
+    (tmp_path / "x.away").rename(path)
+    with path.open("a") as fh:
+        fh.write("later\n")
+    got, at = read(at)
+    assert got == ["later"]  # what was read before it went is not read again
+    with path.open("a") as fh:
+        fh.write("lost\n")
+    end = reader.latestOffset()
+    path.unlink()
+    assert [b for part in reader.partitions(at, end) for b in reader.read(part)] == []
+    again = tail.TailReader({"path": str(tmp_path)})
+    assert again.partitions(end, again.latestOffset()) == []
+    with pytest.raises(ValueError):
+        tail.TailReader({"path": str(tmp_path), "maxFiles": "0"})
 
 
 def test_tail_stream(spark, tmp_path):
