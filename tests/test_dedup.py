@@ -98,6 +98,17 @@ def test_running_values_across_blocks(spark):
         assert (r.s, r.m) == (total[r.k], top[r.k])
 
 
+def test_running_values_of_sparse_and_negative_numbers(spark):
+    df = spark.range(1, 41).select(
+        ((F.col("id") - 20) * 1000).alias("seq"), F.lit("k").alias("k"), F.expr("id * 5 % 11").alias("v"))
+    for levels in (1, 2, 3):
+        got = running(df, "k", "seq", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, block_rows=16, levels=levels)
+        seen = []
+        for r in got.orderBy("seq").collect():
+            seen.append(r.v)
+            assert (r.s, r.m) == (sum(seen), max(seen))
+
+
 def test_kept_positions_carries_state():
     kept, last = kept_positions(np.array([0, 200, 301]), None, 300)
     assert (kept, last) == ([0, 2], 301)
