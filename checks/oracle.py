@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def sig(expr: str) -> str:
     out = f"lower({expr})"
@@ -927,3 +929,18 @@ ORACLE["c12_log_insight"] = sql("ranked reasons", """
                  arg_min(reason, anomaly_rank) AS top_reason
                FROM ranked JOIN reasons USING (kind) GROUP BY asset_id) USING (asset_id)""".replace("IGNORED", IGNORED)
 ).replace("AS total FROM win0)", f"AS total FROM win0 WHERE NOT {IGNORED})")
+
+
+def every_cluster(name: str) -> str:
+    """The SQL of a query without its condition on the rank of a cluster."""
+    text = re.sub(r" WHERE cluster_rank <= (10|15|30)\b", "", ORACLE[name])
+    if text == ORACLE[name]:
+        raise ValueError(f"{name} has no condition on the rank of a cluster")
+    return text
+
+
+for _name in (
+    "c06_rare_patterns", "c09_burst_patterns", "c11_anomalies_ranked", "c12_log_insight", "e04_runbook_hints",
+    "e07_incident_briefs", "e08_incident_overview", "h04_brief_csv",
+):
+    ORACLE[f"{_name}_all"] = every_cluster(_name).replace("' (top 30) |", "' (all) |")

@@ -508,10 +508,23 @@ def _anomaly_columns(df: DataFrame, *more) -> DataFrame:
     )
 
 
+# the SQL twins of these look at the largest clusters only; the queries named ..._all look at every cluster
+LARGEST, HINT_LARGEST, BRIEF_LARGEST = 30, 15, 10
+
+
+def _rare(spark, sf, max_clusters=None) -> DataFrame:
+    found = anomalies.rare_patterns(anomalies.cluster_profile(window(spark, sf)), max_clusters=max_clusters)
+    return _anomaly_columns(found, text("evidence", " | ").alias("evidence"))
+
+
 @query("c06_rare_patterns")
 def _(spark, sf):
-    profile = anomalies.cluster_profile(window(spark, sf))
-    return _anomaly_columns(anomalies.rare_patterns(profile), text("evidence", " | ").alias("evidence"))
+    return _rare(spark, sf, LARGEST)
+
+
+@query("c06_rare_patterns_all")
+def _(spark, sf):
+    return _rare(spark, sf)
 
 
 @query("c07_split_recent")
@@ -535,6 +548,12 @@ def _(spark, sf):
 
 
 @query("c09_burst_patterns")
+def _(spark, sf):
+    profile = anomalies.cluster_profile(window(spark, sf))
+    return _anomaly_columns(anomalies.burst_patterns(profile, max_clusters=LARGEST))
+
+
+@query("c09_burst_patterns_all")
 def _(spark, sf):
     return _anomaly_columns(anomalies.burst_patterns(anomalies.cluster_profile(window(spark, sf))))
 
@@ -552,15 +571,36 @@ def _(spark, sf):
     return _anomaly_columns(anomalies.metric_outliers(window(spark, sf)))
 
 
+def _ranked(spark, sf, max_clusters=None) -> DataFrame:
+    found = anomalies.find_anomalies(window(spark, sf), max_clusters=max_clusters)
+    return _anomaly_columns(found, F.col("anomaly_rank").cast("bigint").alias("anomaly_rank"))
+
+
 @query("c11_anomalies_ranked")
 def _(spark, sf):
-    found = anomalies.find_anomalies(window(spark, sf))
-    return _anomaly_columns(found, F.col("anomaly_rank").cast("bigint").alias("anomaly_rank"))
+    return _ranked(spark, sf, LARGEST)
+
+
+@query("c11_anomalies_ranked_all")
+def _(spark, sf):
+    return _ranked(spark, sf)
 
 
 @query("c12_log_insight")
 def _(spark, sf):
-    rows = insight.log_insight(t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW, filters=IGNORE)
+    return _insight_columns(insight.log_insight(
+        t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW, max_clusters=LARGEST, filters=IGNORE
+    ))
+
+
+@query("c12_log_insight_all")
+def _(spark, sf):
+    return _insight_columns(insight.log_insight(
+        t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW, filters=IGNORE
+    ))
+
+
+def _insight_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "asset_id", "analyzed_events",
         text(F.transform("clusters", lambda c: c["cluster_id"])).alias("cluster_ids"),
@@ -691,14 +731,25 @@ def _(spark, sf):
     return rows.select("asset_id", "seq", "source", "severity", "message", ntz("ts"))
 
 
-@query("e04_runbook_hints")
-def _(spark, sf):
-    rows = incidents.asset_hints(t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW)
+def _hints(spark, sf, max_clusters=None) -> DataFrame:
+    rows = incidents.asset_hints(
+        t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW, max_clusters=max_clusters
+    )
     return rows.select(
         "asset_id", F.col("hint_rank").cast("bigint").alias("hint_rank"), "title", "rationale", "action", "confidence"
     )
 
 
+@query("e04_runbook_hints")
+def _(spark, sf):
+    return _hints(spark, sf, HINT_LARGEST)
+
+
+@query("e04_runbook_hints_all")
+def _(spark, sf):
+    return _hints(spark, sf)
+
+
 EDGE_COLUMNS = ["asset_id", "source_a", "source_b", "shared_signatures", "co_occurrence_score", "example_signature"]
 
 
@@ -730,12 +781,29 @@ def _brief_columns(rows: DataFrame) -> DataFrame:
     )
 
 
+DEPTH = {"brief_clusters": BRIEF_LARGEST, "hint_clusters": HINT_LARGEST}
+
+
 @query("e07_incident_briefs")
+def _(spark, sf):
+    return _brief_columns(
+        incidents.incident_briefs(t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW, **DEPTH)
+    )
+
+
+@query("e07_incident_briefs_all")
 def _(spark, sf):
     return _brief_columns(incidents.incident_briefs(t.events(spark, sf), t.asset_ids(spark, sf), limit=WINDOW))
 
 
 @query("e08_incident_overview")
+def _(spark, sf):
+    return _brief_columns(incidents.incident_overview(
+        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW, min_confidence=0.9, **DEPTH
+    ))
+
+
+@query("e08_incident_overview_all")
 def _(spark, sf):
     return _brief_columns(incidents.incident_overview(
         t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW, min_confidence=0.9
@@ -980,6 +1048,14 @@ def _(spark, sf):
 
 
 @query("h04_brief_csv")
+def _(spark, sf):
+    briefs = incidents.incident_overview(
+        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW, **DEPTH
+    )
+    return exports.csv_lines(briefs, exports.BRIEF_CSV, quote_all=True)
+
+
+@query("h04_brief_csv_all")
 def _(spark, sf):
     briefs = incidents.incident_overview(t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW)
     return exports.csv_lines(briefs, exports.BRIEF_CSV, quote_all=True)

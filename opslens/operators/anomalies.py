@@ -132,14 +132,22 @@ def cluster_profile(window: DataFrame) -> DataFrame:
     return with_cluster_rank(_with_rates(rows))
 
 
-def rare_patterns(profile: DataFrame, *, max_clusters: int = 30) -> DataFrame:
-    """Small clusters among the top ones with a critical event or a suspicious first message (C-06)."""
-    return _findings(profile.filter(f"cluster_rank <= {int(max_clusters)}"), RARE)
+def among_largest(max_clusters: int | None) -> str:
+    """SQL condition: the cluster is one of the asset's max_clusters largest; any cluster for None."""
+    return "true" if max_clusters is None else f"cluster_rank <= {int(max_clusters)}"
 
 
-def burst_patterns(profile: DataFrame, *, max_clusters: int = 30) -> DataFrame:
-    """Top clusters that fill the recent part of the window but were rare before (C-09)."""
-    return _findings(profile.filter(f"cluster_rank <= {int(max_clusters)}"), BURST)
+def rare_patterns(profile: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
+    """Small clusters with a critical event or a suspicious first message (C-06).
+
+    All clusters are looked at, or the max_clusters largest of an asset.
+    """
+    return _findings(profile.filter(among_largest(max_clusters)), RARE)
+
+
+def burst_patterns(profile: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
+    """Clusters that fill the recent part of the window but were rare before (C-09); max_clusters as above."""
+    return _findings(profile.filter(among_largest(max_clusters)), BURST)
 
 
 def _with_median(window: DataFrame) -> DataFrame:
@@ -173,8 +181,8 @@ def metric_outliers(window: DataFrame) -> DataFrame:
     return _findings(metric_stats(window), OUTLIER)
 
 
-def detect(window: DataFrame, *, max_clusters: int = 30) -> DataFrame:
-    """Findings of all detectors on one window, not ranked yet.
+def detect(window: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
+    """Findings of all detectors on one window, not ranked yet; max_clusters as for rare_patterns.
 
     Every row counts for its cluster and, if it carries a sample, for its metric. Both kinds of
     groups are formed by one aggregation, so the events are read and cut to the window once.
@@ -191,7 +199,7 @@ def detect(window: DataFrame, *, max_clusters: int = 30) -> DataFrame:
         *_profile_aggregates(), *_metric_aggregates("role = 'metric'")
     )
     ranked = with_cluster_rank(_with_robust_z(_with_rates(stats)), "role")
-    top = f"role = 'cluster' AND cluster_rank <= {int(max_clusters)}"
+    top = f"role = 'cluster' AND {among_largest(max_clusters)}"
     return _findings(
         ranked, f"if({top}, {RARE}, NULL)", f"if({top}, {BURST}, NULL)", f"if(role = 'metric', {OUTLIER}, NULL)"
     )
@@ -203,14 +211,13 @@ def rank_anomalies(found: DataFrame, m: int = 20, *, max_clusters: int | None =
     max_clusters narrows the findings to those of larger clusters, so that one detection can serve
     several depths.
     """
-    rows = found if max_clusters is None else found.filter(f"cluster_rank <= {int(max_clusters)}")
-    return rows.selectExpr(
+    return found.filter(among_largest(max_clusters)).selectExpr(
         "*", "row_number() OVER (PARTITION BY asset_id ORDER BY confidence DESC, kind_order, first_seq) AS anomaly_rank"
     ).filter(f"anomaly_rank <= {int(m)}")
 
 
-def find_anomalies(window: DataFrame, *, max_clusters: int = 30, max_anomalies: int = 20) -> DataFrame:
-    """All detectors on one window, ranked per asset."""
+def find_anomalies(window: DataFrame, *, max_clusters: int | None = None, max_anomalies: int = 20) -> DataFrame:
+    """All detectors on all clusters of one window (or the largest), the max_anomalies best of an asset ranked."""
     return rank_anomalies(detect(window, max_clusters=max_clusters), max_anomalies)
 
 

@@ -139,6 +139,7 @@ def with_cluster_rank(table: DataFrame, *inside: str) -> DataFrame:
     )
 
 
-def top_clusters(table: DataFrame, k: int = 30) -> DataFrame:
-    """The k largest clusters of every asset (C-05)."""
-    return with_cluster_rank(table).filter(f"cluster_rank <= {int(k)}")
+def top_clusters(table: DataFrame, k: int | None = 30) -> DataFrame:
+    """The k largest clusters of every asset (C-05); all of them, ranked, for None."""
+    ranked = with_cluster_rank(table)
+    return ranked if k is None else ranked.filter(f"cluster_rank <= {int(k)}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from opslens.functions.text import quoted
-from opslens.operators.anomalies import REASON, detect, rank_anomalies
+from opslens.operators.anomalies import REASON, among_largest, detect, rank_anomalies
 from opslens.operators.clusters import analysis_window
 from opslens.operators.dependency import dependency_edges, first_assets
 from opslens.operators.rules import (
@@ -17,14 +17,16 @@ from opslens.operators.rules import (
 from opslens.plans.newest import newest_events
 
 QUIET = "No significant incident patterns in current window"
-BRIEF_CLUSTERS, HINT_CLUSTERS, TOP = 10, 15, 3
+TOP = 3
 
 
-def asset_hints(events: DataFrame, assets: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """Runbook hints of every asset in assets(asset_id), from 15 clusters and 15 anomalies."""
+def asset_hints(
+    events: DataFrame, assets: DataFrame, *, limit: int | None = None, max_clusters: int | None = None
+) -> DataFrame:
+    """Runbook hints of every asset in assets(asset_id), from findings in all clusters or the largest ones."""
     newest = newest_events(events, limit)
-    found = detect(analysis_window(newest, limit=limit, salt=1), max_clusters=HINT_CLUSTERS)
-    return runbook_hints(rank_anomalies(found, HINT_CLUSTERS), correlations(newest, salt=1), assets)
+    found = detect(analysis_window(newest, limit=limit, salt=1), max_clusters=max_clusters)
+    return runbook_hints(rank_anomalies(found, HINT_ANOMALIES), correlations(newest, salt=1), assets)
 
 
 def _first(rank: str, text: str, n: int, name: str, only: str = "true") -> Column:
@@ -33,25 +35,30 @@ def _first(rank: str, text: str, n: int, name: str, only: str = "true") -> Colum
     return F.expr(f"transform(sort_array({rows}), x -> x.t) AS {name}")
 
 
-def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int | None = None) -> DataFrame:
+def incident_briefs(
+    events: DataFrame, assets: DataFrame, *, limit: int | None = None, brief_clusters: int | None = None,
+    hint_clusters: int | None = None,
+) -> DataFrame:
     """One row per asset: headline, confidence, top reasons, actions and dependency hotspots.
 
-    The hints look at 15 clusters, the brief itself at 10; one detection serves both. Each branch
-    ends in one row per asset before anything is joined.
+    The brief itself looks at the brief_clusters largest clusters, its hints at the hint_clusters largest,
+    each at all of them for None; one detection serves both. Each branch ends in one row per asset before
+    anything is joined.
     """
     newest = newest_events(events, limit)
     order = "ORDER BY confidence DESC, kind_order, first_seq"
-    own = f"cluster_rank <= {BRIEF_CLUSTERS}"
+    own, hinted = among_largest(brief_clusters), among_largest(hint_clusters)
+    deepest = None if None in (brief_clusters, hint_clusters) else max(brief_clusters, hint_clusters)
     anomalies = (
-        detect(analysis_window(newest, limit=limit, salt=1), max_clusters=HINT_CLUSTERS)
+        detect(analysis_window(newest, limit=limit, salt=1), max_clusters=deepest)
         .selectExpr(
-            "*", f"row_number() OVER (PARTITION BY asset_id {order}) AS hint_place",
+            "*", f"row_number() OVER (PARTITION BY asset_id, {hinted} {order}) AS hint_place",
             f"row_number() OVER (PARTITION BY asset_id, {own} {order}) AS own_place",
         )
         .groupBy("asset_id").agg(
             _first("own_place", REASON, TOP, "anomaly_reasons", only=own),
             F.expr(f"max(CASE WHEN {own} THEN confidence END) AS top_anomaly"),
-            _first("hint_place", ANOMALY_ACTION, HINT_ANOMALIES, "anomaly_actions"),
+            _first("hint_place", ANOMALY_ACTION, HINT_ANOMALIES, "anomaly_actions", only=hinted),
         )
     )
     rules = asset_facts(newest, salt=1).selectExpr(
@@ -87,12 +94,14 @@ def incident_briefs(events: DataFrame, assets: DataFrame, *, limit: int | None =
 
 def incident_overview(
     events: DataFrame, assets: DataFrame, *, limit_per_asset: int | None = None, max_assets: int | None = None,
-    min_confidence: float = 0.0,
+    min_confidence: float = 0.0, brief_clusters: int | None = None, hint_clusters: int | None = None,
 ) -> DataFrame:
     """Briefs of all assets (or the first max_assets) with at least min_confidence, most certain first."""
     looked_at = first_assets(assets, max_assets)
     scope = events.join(looked_at, "asset_id", "left_semi")
     floor = min(max(min_confidence, 0.0), 1.0)
-    return incident_briefs(scope, looked_at, limit=limit_per_asset).filter(
+    return incident_briefs(
+        scope, looked_at, limit=limit_per_asset, brief_clusters=brief_clusters, hint_clusters=hint_clusters
+    ).filter(
         F.col("confidence") >= floor
     ).orderBy(F.col("confidence").desc(), "asset_id")

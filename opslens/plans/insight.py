@@ -22,11 +22,11 @@ def log_insight(
     assets: DataFrame,
     *,
     limit: int | None = None,
-    max_clusters: int = 30,
+    max_clusters: int | None = None,
     max_anomalies: int = 20,
     filters=None,
 ) -> DataFrame:
-    """One nested row per asset: analysed events, clusters, anomalies, summary lines.
+    """One nested row per asset: analysed events, clusters (all, or the largest), anomalies, summary lines.
 
     assets: (asset_id). An asset without events, or with all of them ignored, has empty lists.
     """
@@ -59,7 +59,7 @@ def log_insight(
     )
     lines = F.array_compact(F.array(
         F.concat(F.lit("Events analysed: "), F.col("analyzed_events").cast("string"), F.lit(" (whole history)" if limit is None else f" (limit {limit})")),
-        F.concat(F.lit("Clusters: "), F.size("clusters").cast("string"), F.lit(f" (top {max_clusters})")),
+        F.concat(F.lit("Clusters: "), F.size("clusters").cast("string"), F.lit(" (all)" if max_clusters is None else f" (top {max_clusters})")),
         F.concat(F.lit("Anomalies: "), F.size("anomalies").cast("string"), F.lit(f" (top {max_anomalies})")),
         F.when(F.col("excluded_events") > 0, F.concat(F.lit("Excluded by ignore rules: "), excluded)),
         F.when(F.size("anomalies") > 0, F.concat(F.lit("Top reason: "), F.get("anomalies", F.lit(0))["reason"])),
@@ -81,7 +81,7 @@ def asset_summaries(
     *,
     limit_per_asset: int | None = None,
     max_assets: int | None = None,
-    max_clusters: int = 30,
+    max_clusters: int | None = None,
     max_anomalies: int = 20,
     filters=None,
 ) -> DataFrame:

@@ -223,3 +223,40 @@ def test_alerts_and_recommendation(make_events, ids):
     empty, full = rules.recommendations(events, ids("s", "e")).orderBy("asset_id").collect()
     assert (full.risk_score, full.risk_level, len(full.actions)) == (0.95, "high", 3)
     assert (empty.risk_score, empty.risk_level) == (0.05, "low")
+
+
+def many_clusters(make_events):
+    """40 clusters of two or more events, then a rare critical one that comes last by size, in one asset."""
+    words = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    rows = [("big", "linux", f"routine {w} done", "info") for w in words for _ in range(2)]
+    return make_events(rows + [("big", "linux", "kernel panic on the disk", "critical")])
+
+
+def test_detectors_see_clusters_of_any_rank(make_events, ids):
+    events = many_clusters(make_events)
+    window = clusters.analysis_window(events)
+    profile = anomalies.cluster_profile(window)
+    assert profile.filter("critical_count > 0").first().cluster_rank == 41
+    for found in (anomalies.rare_patterns(profile), anomalies.detect(window), anomalies.find_anomalies(window)):
+        assert [(r.kind, r.severity) for r in found.collect()] == [("rare_pattern", "critical")]
+    assert anomalies.rare_patterns(profile, max_clusters=30).count() == 0
+    doc = insight.log_insight(events, ids("big")).first()
+    assert (len(doc.clusters), len(doc.anomalies)) == (41, 1) and "Clusters: 41 (all)" in doc.summary
+    late = make_events(
+        [("b", "linux", f"m {a}{b}", "info") for a in "abcdefgh" for b in "vwxyz" for _ in range(50)]
+        + [("b", "app", "spike", "info")] * 3)
+    burst = anomalies.cluster_profile(clusters.analysis_window(late)).filter("cluster_rank = 41").selectExpr(
+        "*", "0.5D AS now").drop("recent_rate").withColumnRenamed("now", "recent_rate")
+    assert [r.kind for r in anomalies.burst_patterns(burst).collect()] == ["burst_pattern"]
+
+
+def test_hints_and_briefs_see_clusters_of_any_rank(make_events, ids):
+    events = many_clusters(make_events)
+    hints = incidents.asset_hints(events, ids("big")).collect()
+    assert [h.title for h in hints] == ["rare_pattern: critical"]
+    brief = incidents.incident_briefs(events, ids("big")).first()
+    assert brief.headline == anomalies.REASONS["rare_pattern"]
+    cut = incidents.incident_briefs(events, ids("big"), brief_clusters=10, hint_clusters=15).first()
+    assert (cut.headline, cut.anomaly_reasons) == (incidents.QUIET, [])
+    mixed = incidents.incident_briefs(events, ids("big"), brief_clusters=10).first()
+    assert mixed.headline == incidents.QUIET and "rare_pattern" in mixed.runbook_actions[0]
