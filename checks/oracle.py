@@ -944,3 +944,5 @@ for _name in (
     "e07_incident_briefs", "e08_incident_overview", "h04_brief_csv",
 ):
     ORACLE[f"{_name}_all"] = every_cluster(_name).replace("' (top 30) |", "' (all) |")
+for _name in ("c13_analytics_overview", "c13_overview_totals"):
+    ORACLE[f"{_name}_all"] = every_cluster(_name).replace(" QUALIFY anomaly_rank <= 20", "")

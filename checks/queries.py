@@ -609,20 +609,28 @@ def _insight_columns(rows: DataFrame) -> DataFrame:
     )
 
 
+def _overview(spark, sf, **depth) -> tuple[DataFrame, DataFrame]:
+    return insight.analytics_overview(t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW, **depth)
+
+
 @query("c13_analytics_overview")
 def _(spark, sf):
-    ranked, _ = insight.analytics_overview(
-        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW
-    )
-    return ranked
+    return _overview(spark, sf, max_clusters=LARGEST, max_anomalies=20)[0]
+
+
+@query("c13_analytics_overview_all")
+def _(spark, sf):
+    return _overview(spark, sf)[0]
 
 
 @query("c13_overview_totals")
 def _(spark, sf):
-    _, totals = insight.analytics_overview(
-        t.events(spark, sf), t.asset_ids(spark, sf), limit_per_asset=WINDOW
-    )
-    return totals
+    return _overview(spark, sf, max_clusters=LARGEST, max_anomalies=20)[1]
+
+
+@query("c13_overview_totals_all")
+def _(spark, sf):
+    return _overview(spark, sf)[1]
 
 
 # --- D: noise policies ---------------------------------------------------------------------------

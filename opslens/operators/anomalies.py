@@ -205,6 +205,10 @@ def detect(window: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
     )
 
 
+# SQL: sort key of a finding within its asset, best first
+BEST_FIRST = "struct(-confidence AS c, kind_order, first_seq)"
+
+
 def rank_anomalies(found: DataFrame, m: int = 20, *, max_clusters: int | None = None) -> DataFrame:
     """The m most confident findings per asset, in `anomaly_rank` order (C-11).
 

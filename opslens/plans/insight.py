@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from opslens.functions.text import severity_rank
-from opslens.operators.anomalies import REASON, find_anomalies
+from opslens.operators.anomalies import BEST_FIRST, REASON, detect, find_anomalies, rank_anomalies
 from opslens.operators.clusters import (
     analysis_window, clusters, excluded_counts, ranked_documents, top_clusters, with_signature,
 )
@@ -82,25 +82,28 @@ def asset_summaries(
     limit_per_asset: int | None = None,
     max_assets: int | None = None,
     max_clusters: int | None = None,
-    max_anomalies: int = 20,
+    max_anomalies: int | None = None,
     filters=None,
 ) -> DataFrame:
-    """Per looked-at asset: analysed events, kept anomalies by kind and severity, top anomaly."""
+    """Per looked-at asset: analysed events, anomalies by kind and severity, top anomaly.
+
+    All findings of an asset count, or its max_anomalies best.
+    """
     looked_at = first_assets(assets, max_assets)
     limit = limit_per_asset
     scope = events.join(looked_at, "asset_id", "left_semi")
     window = analysis_window(newest_events(scope, limit), limit=limit, filters=filters, salt=1)
-    found = find_anomalies(
-        window, max_clusters=max_clusters, max_anomalies=max_anomalies
-    )
+    found = detect(window, max_clusters=max_clusters)
+    if max_anomalies is not None:
+        found = rank_anomalies(found, max_anomalies)
     kinds = [
         F.count_if(F.col("kind") == kind).alias(kind)
         for kind in ("rare_pattern", "burst_pattern", "metric_outlier")
     ]
     per_asset = found.groupBy("asset_id").agg(
         F.count("*").alias("anomalies_total"),
-        F.min_by("severity", "anomaly_rank").alias("top_severity"),
-        F.min_by("reason_code", "anomaly_rank").alias("top_reason_code"),
+        F.min_by("severity", F.expr(BEST_FIRST)).alias("top_severity"),
+        F.min_by("reason_code", F.expr(BEST_FIRST)).alias("top_reason_code"),
         *kinds,
         F.count_if(F.col("severity") == "warning").alias("warning"),
         F.count_if(F.col("severity") == "critical").alias("critical"),

@@ -260,3 +260,18 @@ def test_hints_and_briefs_see_clusters_of_any_rank(make_events, ids):
     assert (cut.headline, cut.anomaly_reasons) == (incidents.QUIET, [])
     mixed = incidents.incident_briefs(events, ids("big"), brief_clusters=10).first()
     assert mixed.headline == incidents.QUIET and "rare_pattern" in mixed.runbook_actions[0]
+
+
+def test_overview_counts_all_findings(make_events, ids):
+    def rows(asset, n):
+        names = [f"{asset} {a}{b} failed" for a in "abcdefgh" for b in "vwxyz"][:n]
+        return [(asset, "linux", name, "warning") for name in names] + [(asset, "linux", "panic here", "critical")]
+
+    events = make_events(rows("fewer", 34) + rows("more", 39))
+    ranked, totals = insight.analytics_overview(events, ids("fewer", "more"))
+    assert [(r.asset_id, r.anomalies_total, r.warning, r.critical, r.top_severity) for r in ranked.collect()] == [
+        ("more", 40, 39, 1, "critical"), ("fewer", 35, 34, 1, "critical")
+    ]
+    assert totals.first().total_anomalies == 75
+    cut = insight.overview_totals(insight.asset_summaries(events, ids("fewer", "more"), max_anomalies=20)).first()
+    assert cut.total_anomalies == 40
