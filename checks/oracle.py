@@ -946,3 +946,4 @@ for _name in (
     ORACLE[f"{_name}_all"] = every_cluster(_name).replace("' (top 30) |", "' (all) |")
 for _name in ("c13_analytics_overview", "c13_overview_totals"):
     ORACLE[f"{_name}_all"] = every_cluster(_name).replace(" QUALIFY anomaly_rank <= 20", "")
+ORACLE["k05_csb_report_all"] = ORACLE["k05_csb_report"].replace(" ORDER BY seq DESC LIMIT 20000", "")

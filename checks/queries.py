@@ -1107,13 +1107,22 @@ def _(spark, sf):
     return csb.chain_tail(_fields(spark, sf)).select("seq", "timestamp", "kind", "command", text("sscc").alias("sscc"))
 
 
-@query("k05_csb_report")
-def _(spark, sf):
+def _report(spark, sf, **depth) -> DataFrame:
     events = csb.csb_to_events(csb.parse_csb(t.csb_lines(spark, sf)))
-    rows = csb.csb_report(events, "t0:csb", user="berg", limit=20000)
+    rows = csb.csb_report(events, "t0:csb", user="berg", **depth)
     return rows.select(
         "asset_id", "total_lines", "matched_lines", F.col("filters")["user"].alias("user_filter"),
         text("users_touched").alias("users"), text("scripts_touched").alias("scripts"),
         F.size("errors").cast("bigint").alias("errors"), F.size("chain").cast("bigint").alias("chain"),
         F.element_at("chain", 1)["seq"].alias("chain_from"), F.element_at("chain", -1)["seq"].alias("chain_to"),
     )
+
+
+@query("k05_csb_report")
+def _(spark, sf):
+    return _report(spark, sf, limit=20000)
+
+
+@query("k05_csb_report_all")
+def _(spark, sf):
+    return _report(spark, sf)

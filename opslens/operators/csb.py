@@ -20,8 +20,6 @@ ERROR = r'SYS\+ERRINFO;!:[^\n]*L1\+(\d+)\+\d+\+"([^"]+)"'
 TIME_FORMAT = "dd.MM.yyyy HH:mm:ss.SSS"
 SOURCE = "csb_merp_txt"
 ERROR_WORDS = ("sys+errinfo", "error", "ошиб")
-MAX_ERRORS = 100
-MAX_CHAIN = 500
 
 
 def parse_csb(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -85,11 +83,10 @@ def csb_ingest_summary(
 
 
 def csb_lines_of(events: DataFrame, asset_id: str, limit: int | None = None) -> DataFrame:
-    """The warehouse lines among the newest events of one asset: raw lines before parsing."""
-    newest = (
-        events.filter(F.col("asset_id") == asset_id)
-        .orderBy(F.col("seq").desc()).limit(at_least_one(limit))
-    )
+    """The warehouse lines among one asset's newest events (all for None): raw lines before parsing."""
+    newest = events.filter(F.col("asset_id") == asset_id)
+    if at_least_one(limit) is not None:
+        newest = newest.orderBy(F.col("seq").desc()).limit(limit)
     return newest.filter(F.col("source") == SOURCE).select("seq", F.col("message").alias("value"))
 
 
@@ -154,9 +151,16 @@ def csb_report(
     sscc: str | None = None,
     script: str | None = None,
     user: str | None = None,
-    limit: int = 3000,
+    limit: int | None = None,
+    max_errors: int | None = 100,
+    max_chain: int | None = 500,
 ) -> DataFrame:
-    """One nested row: totals, filter echo, touched sets, errors, chain. Bounded by `limit` lines."""
+    """One nested row: totals, filter echo, touched sets, errors, chain.
+
+    Totals and touched sets cover all lines of the asset, or those among its newest `limit` events. Only the
+    shown lists are shortened, to the first max_errors errors and the last max_chain lines (None: whole lists
+    in the one row); the whole lists as tables are chain_errors and chain_tail.
+    """
     lines = csb_lines_of(events, asset_id, limit)
     chain = chain_filter(
         extract_csb_fields(parse_csb(lines)), sscc=sscc, script=script, user=user
@@ -166,13 +170,13 @@ def csb_report(
         F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(name)
         for kind, name in (("sscc", "sscc_touched"), ("script", "scripts_touched"), ("user", "users_touched"))
     ])
-    errors = chain_errors(chain, MAX_ERRORS).agg(
+    errors = chain_errors(chain, max_errors).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("seq", "error_code", "error_message"))),
             lambda e: F.struct(e["error_code"].alias("code"), e["error_message"].alias("message")),
         ).alias("errors")
     )
-    tail = chain_tail(chain, MAX_CHAIN).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("chain"))
+    tail = chain_tail(chain, max_chain).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("chain"))
     totals = lines.agg(F.count("*").alias("total_lines"))
     matched = chain.agg(F.count("*").alias("matched_lines"))
     out = totals.select(one, "*")

@@ -302,3 +302,17 @@ def test_normalize_all(spark):
     assert sorted(r.source for r in merged.collect()) == ["csb_merp_txt", "ilo_iml", "windows_eventlog"]
     with pytest.raises(ValueError):
         normalize.normalize_all()
+
+
+def test_csb_report_covers_every_line(spark):
+    row = "03.03.2026 10:17:%02d.638  S1 ID 7 Query SYS+LOGIN;!:a:L2+%d+1+1+\"Ann\"+\"Lee\""
+    old = [row % (i % 60, 4000) for i in range(20)]
+    new = [row % (i % 60, 4001) for i in range(3100)]
+    events = csb.csb_to_events(csb.parse_csb(lines(spark, old + new)))
+    doc = csb.csb_report(events, "m").first()
+    assert (doc.total_lines, doc.matched_lines) == (3120, 3120)
+    assert doc.users_touched == ["4000 Ann Lee", "4001 Ann Lee"]
+    assert len(doc.chain) == 500
+    assert len(csb.csb_report(events, "m", max_chain=None).first().chain) == 3120
+    newest = csb.csb_report(events, "m", limit=30, max_chain=5).first()
+    assert (newest.total_lines, newest.users_touched, len(newest.chain)) == (30, ["4001 Ann Lee"], 5)
