@@ -44,8 +44,13 @@ def at_least_one(limit: int | None) -> int | None:
     return limit
 
 
+def never_null(name: str) -> Column:
+    """The long column `name`; a null is an error, where a join on it would lose the row without a word."""
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"{name} is null; number or quarantine such rows first")).cast("long"))
+
+
 def with_position(df: DataFrame, key: str, order: str, *, buckets: int = 4096) -> DataFrame:
-    """Adds pos (from 1, in the order of a unique integer column) and total per key.
+    """Adds pos (from 1, in the order of a unique integer column) and total per key. A null there is an error.
 
     Each key's range of `order` is cut into buckets. Rows are ranked inside a bucket, and the counts of the
     buckets before are added, so a key of any size is spread over its buckets.
@@ -54,7 +59,7 @@ def with_position(df: DataFrame, key: str, order: str, *, buckets: int = 4096) -
         F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("total"))
     width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets)
     cut = df.join(span, F.col(key).eqNullSafe(F.col("_k"))).withColumn(
-        "_b", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_k", "_lo", "_hi")
+        "_b", F.floor((never_null(order) - F.col("_lo")) / width)).drop("_k", "_lo", "_hi")
     before = W.partitionBy("_k").orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
     starts = cut.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).count().select(
         "_k", "_kb", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
-from opslens.functions.ranking import BLOCK_ROWS, running
+from opslens.functions.ranking import BLOCK_ROWS, never_null, running
 from opslens.session import ship, stage
 
 ship(__name__)
@@ -144,12 +144,12 @@ def dedup_events(
 ) -> DataFrame:
     """Drop repeats of an event that follow the last kept one within window_sec seconds.
 
-    Needs unique arrival numbers in `seq`, times in `ts` and the identity of a row in `key` (not null).
+    Needs unique arrival numbers in `seq` (a null is an error), times in `ts` and the identity of a row in `key` (not null).
     Runs one job when called: it writes the rows that may be kept to the shared folder.
     """
     window_us = int(window_sec * 1_000_000)
     rows = events.select(
-        F.col(key).alias("fp"), "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+        F.col(key).alias("fp"), never_null("seq").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
     )
     group = ["fp", "island", "chunk"]
     # read by four branches below, hence written once

@@ -24,13 +24,15 @@ def _range(name: str, low: int, high: int | None = None) -> Column:
 
 
 # rule name -> condition an accepted row fulfils
-EVENT_RULES = {
+BARE_EVENT_RULES = {
     "asset_id": lambda: F.col("asset_id").isNotNull(),
     "source": lambda: F.col("source").isNotNull(),
     "message": lambda: F.col("message").isNotNull(),
     "severity": lambda: _member("severity", S.SEVERITIES),
     "ts": lambda: F.col("ts").isNotNull(),
 }
+# an event without an arrival number would meet nothing in joins and orders by seq
+EVENT_RULES = BARE_EVENT_RULES | {"seq": lambda: F.col("seq").isNotNull()}
 ASSET_RULES = {
     "id": lambda: F.col("id").isNotNull(),
     "name": lambda: F.col("name").isNotNull(),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opslens import schemas as S
 from opslens.functions.ranking import with_position
 from opslens.operators import access, collectors, dashboard, ingest, normalize, policies, tables
+from opslens.operators.dedup import dedup_events
 from opslens.sinks import exports
 from opslens.sources import batches, text_logs
 from opslens.streaming import feeds
@@ -388,3 +389,39 @@ def test_positions_over_buckets(spark):
     got = with_position(rows, "k", "seq", buckets=7).collect()
     assert sorted((str(r.k), r.seq, r.pos, r.total) for r in got) == sorted(
         (str(k), s * s, s + 1, 50) for k in ("x", None) for s in range(50))
+
+
+def test_a_null_seq_is_never_lost_without_a_word(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "s", "m", "info", "2024-01-01"), (None, "a", "s", "n", "info", "2024-01-01")],
+        "seq long, asset_id string, source string, message string, severity string, ts string",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    ok, bad = ingest.validate(rows, ingest.EVENT_RULES)
+    assert [r.message for r in ok.collect()] == ["m"]
+    assert [(r.message, r.errors) for r in bad.collect()] == [("n", ["seq"])]
+    assert ingest.validate(rows.drop("seq"), ingest.BARE_EVENT_RULES)[0].count() == 2
+    with pytest.raises(Exception, match="seq is null"):
+        with_position(rows, "asset_id", "seq").collect()
+    with pytest.raises(Exception, match="seq is null"):
+        dedup_events(ingest.with_fingerprint(rows.withColumns({"metric": F.lit(None).cast("string"), "value": F.lit(1.0)})))
+
+
+def test_unnumbered_batches_are_numbered_over_reads_and_in_streams(spark, tmp_path):
+    event = '{"asset_id":"a","source":"s","message":"%s"}'
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.json").write_text("".join(f'{{"events":[{event % f"{i}{j}x"},{event % f"{i}{j}y"}]}}\n' for j in range(2)))
+    reads = [batches.read_event_batches(spark, str(folder)) for _ in range(2)]
+    both = reads[0].unionByName(reads[1]).collect()
+    assert len({r.seq for r in both}) == len(both) == 24 and all(r.seq < 0 for r in both)
+    in_file = [r.message for r in sorted(both[:12], key=lambda r: r.seq) if r.message[0] == "0"]
+    assert in_file == ["00x", "00y", "01x", "01y"]
+    out = str(tmp_path / "out")
+    stream = batches.stream_event_batches(spark, str(folder), max_files=1)
+    run = stream.writeStream.foreachBatch(
+        lambda df, epoch: batches.number_events(df, epoch).write.mode("append").parquet(out)
+    ).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = [r.seq for r in spark.read.parquet(out).collect()]
+    assert len(set(got)) == len(got) == 12 and None not in got
