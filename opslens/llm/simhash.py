@@ -12,7 +12,8 @@ forest in the task that finds them, so output grows with the members of a list,
 Lists above `block` members are cut into blocks, and each pair of blocks is a group of its own.
 
 A text without words has fingerprint zero and links like any other; null is such a text. Repeated rows share
-a fingerprint. Rows with a null doc_id get a fingerprint and no component (null). Other columns play no part.
+a fingerprint. Rows that repeat a doc_id with an unlike text are documents of their own. Rows with a null doc_id
+get a fingerprint, which links like any other, and no component (null). Other columns play no part.
 """
 
 from __future__ import annotations
@@ -78,15 +79,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), computed where the documents are read."""
+    """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed long), computed where documents are read."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(batches, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(batches, "doc_id long, text_key long, fp long")
 
 
 def _forest(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
@@ -185,17 +186,22 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that a document reaches by links, itself included."""
+    """doc_id, text_key, fp, node, component_id: the smallest doc_id that a document reaches by links, itself included.
+
+    Links join fingerprints, so rows that repeat a doc_id with an unlike text stay apart: such components may
+    have the same component_id, but differ in `node`, their smallest fingerprint.
+    """
     prints = stage(with_fingerprint(docs), "fingerprints")
     first = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-heads")
-    found = links(first.select("fp"), block)
-    a, b = first.toDF("a", "id_a"), first.toDF("b", "id_b")
-    by_id = found.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    root = smallest_reachable(by_id)
-    heads = first.join(root, F.col("first") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("root", "first").alias("component_id"))
-    return prints.join(heads, F.col("fp") == F.col("_fp")).select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    root = smallest_reachable(links(first.select("fp"), block)).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    linked = first.join(root, F.col("fp") == F.col("_fp")).select("fp", "_root", "first")
+    named = linked.groupBy(F.col("_root").alias("_node")).agg(F.min("first").alias("_id"))
+    heads = linked.join(named, F.col("_root") == F.col("_node")).select(F.col("fp").alias("_fp"), "_node", "_id")
+    alone = first.join(heads, F.col("fp") == F.col("_fp"), "left_anti").select(
+        F.col("fp").alias("_fp"), F.col("fp").alias("_node"), F.col("first").alias("_id"))
+    return prints.join(union_all(heads, alone), F.col("fp") == F.col("_fp")).select(
+        "doc_id", "text_key", "fp", F.col("_node").alias("node"),
+        F.when(F.col("doc_id").isNotNull(), F.col("_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -204,10 +210,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id, and a single row of it.
+    """One row of each component: that of the smallest doc_id, and of its texts in the component the smallest.
 
     Rows with a null doc_id belong to no component and stay.
     """
-    heads = components(docs).filter("doc_id = component_id").select(F.col("component_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("_head"), "left_semi").dropDuplicates(["doc_id"])
-    return union_all(kept, docs.filter(F.col("doc_id").isNull()))
+    heads = components(docs).filter("doc_id = component_id").select(
+        F.col("component_id").alias("_head"), F.col("text_key").alias("_key"), F.col("node").alias("_node")).distinct()
+    same = (F.col("doc_id") == F.col("_head")) & (F.xxhash64("text") == F.col("_key"))
+    order = F.struct("text", F.xxhash64(*docs.columns))
+    kept = docs.join(heads, same).groupBy("_head", "_node").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return union_all(kept.select("_row.*"), docs.filter(F.col("doc_id").isNull()))

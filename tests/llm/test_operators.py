@@ -198,6 +198,27 @@ def test_simhash(docs, rows, empty):
     assert simhash.digest(empty).count() == 0
 
 
+def test_simhash_keeps_unlike_texts_of_one_doc_id(spark):
+    rng = random.Random(9)
+    say = lambda: " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(200))
+    x, y, z = say(), say(), say()
+    table = [(1, x), (1, y), (1, y), (2, x), (3, y.upper()), (4, z), (None, z), (4, z.upper())]
+    rows = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text) for r in simhash.apply(rows).collect() if r.doc_id is not None)
+    assert kept == sorted([(1, x), (1, y), (4, min(z, z.upper()))])
+    by_text = {(r.doc_id, r.fp): r.component_id for r in simhash.components(rows).collect()}
+    assert len({r.node for r in simhash.components(rows).collect()}) == 3
+    assert {k[0]: v for k, v in by_text.items()} == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
+
+
+def test_simhash_goes_on_through_a_row_without_id(spark, monkeypatch):
+    chain = [0b1111, 0, 0b11110000]  # the middle one links the others, its only row has no doc_id
+    prints = spark.createDataFrame([(1, 1, chain[0]), (None, 2, chain[1]), (2, 3, chain[2])], "doc_id long, text_key long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs: docs)
+    got = {r.doc_id: r.component_id for r in simhash.components(prints).collect()}
+    assert got == {1: 1, 2: 1, None: None}
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_simhash_links_connect_all_near_fingerprints(spark, block):
     assert all(any(set(t) <= set(q) for t in simhash.TRIPLES) for q in itertools.combinations(range(8), 4))
