@@ -31,7 +31,7 @@ from opslens.session import stage
 
 SHINGLE = 5
 PERMUTATIONS = 256
-BANDS, BAND_ROWS = 32, 8  # a pair of likeness 0.8 shares a band with a probability of 0.997
+BANDS, BAND_ROWS = 64, 4  # a pair of likeness 0.8 shares no band with a probability of 2.3e-15
 SIMILAR = 0.8
 EMPTY = np.uint16(0xFFFF)
 STEP = 4096
@@ -207,7 +207,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Links are looked for between representatives of different shingle sets. In a band's bucket every
     member is first held against the smallest one. Only members that are not like it are then held against all
-    the others, so a group of copies costs its members, and no link between classes is lost.
+    the others, so a group of copies costs its members. Bands are the only source of candidates: a pair of likeness
+    s shares none of them, and may be missed, with a probability of (1 - s**BAND_ROWS)**BANDS, which is below
+    1e-14 at 0.8. Candidates are verified exactly.
     Rows with a null doc_id are left out.
     """
     every = stage(shingled(docs.filter(F.col("doc_id").isNotNull())), "shingles")

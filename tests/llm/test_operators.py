@@ -219,6 +219,11 @@ def test_simhash_goes_on_through_a_row_without_id(spark, monkeypatch):
     assert got == {1: 1, 2: 1, None: None}
 
 
+def test_minhash_bands_miss_next_to_nothing():
+    assert minhash.BANDS * minhash.BAND_ROWS == minhash.PERMUTATIONS
+    assert (1 - minhash.SIMILAR**minhash.BAND_ROWS) ** minhash.BANDS < 1e-14
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_simhash_links_connect_all_near_fingerprints(spark, block):
     assert all(any(set(t) <= set(q) for t in simhash.TRIPLES) for q in itertools.combinations(range(8), 4))
