@@ -1107,7 +1107,7 @@ def _(spark, sf):
     return csb.chain_tail(_fields(spark, sf)).select("seq", "timestamp", "kind", "command", text("sscc").alias("sscc"))
 
 
-def _report(spark, sf, **depth) -> DataFrame:
+def _warehouse_report(spark, sf, **depth) -> DataFrame:
     events = csb.csb_to_events(csb.parse_csb(t.csb_lines(spark, sf)))
     rows = csb.csb_report(events, "t0:csb", user="berg", **depth)
     return rows.select(
@@ -1120,9 +1120,9 @@ def _report(spark, sf, **depth) -> DataFrame:
 
 @query("k05_csb_report")
 def _(spark, sf):
-    return _report(spark, sf, limit=20000)
+    return _warehouse_report(spark, sf, limit=20000)
 
 
 @query("k05_csb_report_all")
 def _(spark, sf):
-    return _report(spark, sf)
+    return _warehouse_report(spark, sf)
