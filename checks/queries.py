@@ -58,8 +58,8 @@ def staged(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def window(spark: SparkSession, sf: str, filters=None) -> DataFrame:
-    return clusters.analysis_window(t.events(spark, sf), limit=WINDOW, filters=filters)
+def window(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.analysis_window(t.events(spark, sf), limit=WINDOW)
 
 
 # --- A: sources, checks, normalisers -------------------------------------------------------------
@@ -488,7 +488,7 @@ CLUSTER_COLUMNS = [
 
 @query("c04_clusters")
 def _(spark, sf):
-    return clusters.clusters(window(spark, sf)).select(*CLUSTER_COLUMNS)
+    return clusters.clusters(clusters.analysis_rows(t.events(spark, sf), limit=WINDOW)).select(*CLUSTER_COLUMNS)
 
 
 @query("c04_cluster_totals")
@@ -498,7 +498,7 @@ def _(spark, sf):
 
 @query("c05_top_clusters")
 def _(spark, sf):
-    top = clusters.top_clusters(clusters.clusters(window(spark, sf)), 10)
+    top = clusters.top_clusters(clusters.cluster_totals(t.events(spark, sf)), 10)
     return top.select(*CLUSTER_COLUMNS, F.col("cluster_rank").cast("bigint").alias("cluster_rank"))
 
 
@@ -529,7 +529,8 @@ def _(spark, sf):
 
 @query("c07_split_recent")
 def _(spark, sf):
-    return window(spark, sf).select("seq", "asset_id", F.col("pos").cast("bigint").alias("pos"), "total", "is_recent")
+    rows = clusters.split_recent(t.events(spark, sf), limit=WINDOW)
+    return rows.select("seq", "asset_id", F.col("pos").cast("bigint").alias("pos"), "total", "is_recent")
 
 
 @query("c08_hourly_baseline")
@@ -1071,7 +1072,7 @@ def _(spark, sf):
 
 @query("h05_json_documents")
 def _(spark, sf):
-    top = clusters.top_clusters(clusters.clusters(window(spark, sf)), 10)
+    top = clusters.top_clusters(clusters.cluster_totals(t.events(spark, sf)), 10)
     nested = top.groupBy("asset_id").agg(
         F.sort_array(F.collect_list(F.struct(
             F.col("cluster_rank").alias("rank"), F.col("cluster_id").alias("id"), F.col("events_count").alias("n"),

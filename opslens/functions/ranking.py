@@ -52,21 +52,19 @@ def never_null(name: str) -> Column:
 def with_position(df: DataFrame, key: str, order: str, *, buckets: int = 4096) -> DataFrame:
     """Adds pos (from 1, in the order of a unique integer column) and total per key. A null there is an error.
 
-    Each key's range of `order` is cut into buckets. Rows are ranked inside a bucket, and the counts of the
-    buckets before are added, so a key of any size is spread over its buckets.
+    The order axis is cut into buckets of `buckets` numbers, so a bucket never holds more rows than that, however
+    sparse or far apart the numbers of a key are. Rows are ranked inside a bucket, and the counts of the
+    buckets before are added.
     """
-    span = df.groupBy(F.col(key).alias("_k")).agg(
-        F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("total"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets)
-    cut = df.join(span, F.col(key).eqNullSafe(F.col("_k"))).withColumn(
-        "_b", F.floor((never_null(order) - F.col("_lo")) / width)).drop("_k", "_lo", "_hi")
-    before = W.partitionBy("_k").orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    starts = cut.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).count().select(
-        "_k", "_kb", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    cut = df.withColumn("_b", F.floor(never_null(order) / F.lit(buckets)).cast("long"))
+    sizes = cut.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count("*").alias("_n"))
+    starts = running(sizes, "_k", "_kb", {"_start": ("sum", F.col("_n"))}, include_current=False, block_rows=buckets)
+    totals = sizes.groupBy(F.col("_k").alias("_t")).agg(F.sum("_n").alias("total"))
     inside = F.row_number().over(W.partitionBy(key, "_b").orderBy(order))
-    return cut.withColumn("_rank", inside).join(
-        starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))
-    ).withColumn("pos", F.col("_start") + F.col("_rank")).drop("_k", "_kb", "_b", "_start", "_rank")
+    placed = cut.withColumn("_rank", inside).join(
+        starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    return placed.join(totals, F.col(key).eqNullSafe(F.col("_t"))).withColumn(
+        "pos", F.col("_start") + F.col("_rank")).select(*df.columns, "total", "pos")
 
 
 def running(
@@ -85,7 +83,7 @@ def running(
     block_rows numbers, so a window never holds more than block_rows rows however hot the key is;
     what came before a block is joined in as one row per (key, block). Sparse numbers make many blocks, so the
     blocks are summed up in blocks of blocks in turn: with two levels only one row per block_rows**2
-    numbers of a key meets in a window. The key must not be null.
+    numbers of a key meets in a window.
     """
     block = f"_block{levels}"
     blocked = df.withColumn(block, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
@@ -104,14 +102,14 @@ def running(
         earlier = W.partitionBy(key).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
         before = before.withColumns(
             {f"_p_{name}": how[kind](f"_b_{name}").over(earlier) for name, (kind, _) in specs.items()})
-    before = before.select(F.col(key).alias("_k"), F.col(block).alias("_kb"), *[f"_p_{name}" for name in specs])
+    before = before.select(F.col(key).alias("_rk"), F.col(block).alias("_rb"), *[f"_p_{name}" for name in specs])
 
     here = W.partitionBy(key, block).orderBy(order).rowsBetween(
         W.unboundedPreceding, W.currentRow if include_current else -1
     )
     out = blocked.withColumns(
         {f"_l_{name}": how[kind](f"_v_{name}").over(here) for name, (kind, _) in specs.items()}
-    ).join(before, (F.col(key) == F.col("_k")) & (F.col(block) == F.col("_kb")))
+    ).join(before, F.col(key).eqNullSafe(F.col("_rk")) & (F.col(block) == F.col("_rb")))
     for name, (kind, _) in specs.items():
         local, prior = F.col(f"_l_{name}"), F.col(f"_p_{name}")
         if kind == "sum":

@@ -1,7 +1,9 @@
 """Rare patterns, bursts, metric outliers and their ranking (C-06, C-08 ... C-11).
 
-Everything works on the analysis window (clusters.analysis_window) of all assets at once. Findings
-have one shape: asset_id, kind, severity, confidence, reason_code, related_cluster_id,
+Everything works on the analysis window (clusters.analysis_window) of all assets at once. Rows of a window meet one
+aggregation with map-side combine, `cells`: events per (cluster, hour, recent or older) and samples per
+(metric, value). All detectors read that table; no sort or window function ever holds the rows of an asset.
+Findings have one shape: asset_id, kind, severity, confidence, reason_code, related_cluster_id,
 related_metric, evidence, kind_order, first_seq, cluster_rank.
 """
 
@@ -10,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.merging import union_all
+from opslens.functions.selection import medians
 from opslens.functions.text import SUSPICIOUS_WORDS, any_word, cluster_id, quoted
 from opslens.operators.clusters import CLUSTER, severity_counts, with_cluster_rank
+from opslens.schemas import SEVERITIES
+from opslens.session import stage
 
 # fixed values of the detectors
 RARE_SHARE = 0.05
@@ -94,22 +100,38 @@ def _findings(rows: DataFrame, *candidates: str) -> DataFrame:
     return found.select("asset_id", "a.*")
 
 
+def hourly_counts(window: DataFrame) -> DataFrame:
+    """(asset, source, signature, hour): older events in that hour of day, and those of the cluster (C-08)."""
+    cells = window.groupBy(*CLUSTER, "hour").agg(F.count_if(~F.col("is_recent")).alias("older_in_hour_of_cluster"))
+    return cells.selectExpr("*", "sum(older_in_hour_of_cluster) OVER (PARTITION BY asset_id, hour) AS older_in_hour")
+
+
 def with_hourly_baseline(window: DataFrame) -> DataFrame:
-    """Add, for each row's hour of day, the older events and the older events of its cluster (C-08)."""
-    return window.selectExpr(
-        "*", "count_if(NOT is_recent) OVER (PARTITION BY asset_id, hour) AS older_in_hour",
-        "count_if(NOT is_recent) OVER (PARTITION BY asset_id, source, signature, hour) AS older_in_hour_of_cluster",
-    )
+    """Rows of a window with the counts of hourly_counts for their hour."""
+    return window.join(hourly_counts(window), [*CLUSTER, "hour"])
 
 
-def _profile_aggregates() -> list[Column]:
-    at_last = "struct(hour, older_in_hour, older_in_hour_of_cluster)"
-    return [F.expr(e) for e in (
-        "count(*) AS events_count", "min(seq) AS first_seq", "min_by(message, seq) AS example_message",
-        "max(total) AS total", "max(recent_rows) AS recent_rows", "count_if(is_recent) AS recent_count",
-        "min(if(is_recent, seq, NULL)) AS first_recent_seq",
-        f"max_by({at_last}, if(is_recent, seq, NULL)) AS last",
-    )] + severity_counts()
+def cells(window: DataFrame, *, clusters: bool = True, metrics: bool = True) -> DataFrame:
+    """What all detectors need of a window, written to the shared folder once.
+
+    role 'cluster': events n per (asset, source, signature, hour, is_recent). role 'metric': samples n per (asset,
+    metric, value). Both with their first and last seq, so that cells can be merged further.
+    """
+    roles = []
+    if clusters:
+        roles.append("struct('cluster' AS role, source, signature, hour, is_recent, cast(NULL AS string) AS metric, "
+                     "cast(NULL AS double) AS value)")
+    if metrics:
+        roles.append(f"if({SAMPLE}, struct('metric' AS role, cast(NULL AS string) AS source, cast(NULL AS string) AS signature, "
+                     "cast(NULL AS int) AS hour, cast(NULL AS boolean) AS is_recent, metric, cast(value AS double) AS value), NULL)")
+    rows = window.withColumn("g", F.expr(f"explode(array_compact(array({', '.join(roles)})))"))
+    return stage(
+        rows.select("asset_id", "g.*", "seq", "severity", "total", "recent_rows", F.expr("if(g.role = 'cluster', message, NULL) AS message"))
+        .groupBy("asset_id", "role", "source", "signature", "hour", "is_recent", "metric", "value").agg(
+            F.expr("count(*) AS n"), F.expr("min(seq) AS first_seq"), F.expr("max(seq) AS last_seq"),
+            F.expr("min_by(message, seq) AS example_message"), F.expr("max(total) AS total"),
+            F.expr("max(recent_rows) AS recent_rows"), *severity_counts()),
+        "cells")
 
 
 def _with_rates(rows: DataFrame) -> DataFrame:
@@ -122,14 +144,31 @@ def _with_rates(rows: DataFrame) -> DataFrame:
     ).drop("last").withColumn("cluster_id", cluster_id())
 
 
+def profile_of(table: DataFrame) -> DataFrame:
+    """cluster_profile from cells. Cells of an asset, not its rows, meet in the task of the asset."""
+    older = "sum(if(is_recent, 0, n))"
+    counted = table.filter("role = 'cluster'").repartition("asset_id").selectExpr(
+        "*", f"{older} OVER (PARTITION BY asset_id, hour) AS older_in_hour",
+        f"{older} OVER (PARTITION BY asset_id, source, signature, hour) AS older_in_hour_of_cluster",
+    )
+    rows = counted.groupBy(*CLUSTER).agg(
+        *[F.expr(e) for e in (
+            "sum(n) AS events_count", "min(first_seq) AS first_seq", "min_by(example_message, first_seq) AS example_message",
+            "max(total) AS total", "max(recent_rows) AS recent_rows", "sum(if(is_recent, n, 0)) AS recent_count",
+            "min(if(is_recent, first_seq, NULL)) AS first_recent_seq",
+            "max_by(struct(hour, older_in_hour, older_in_hour_of_cluster), if(is_recent, last_seq, NULL)) AS last",
+            *(f"sum({s}_count) AS {s}_count" for s in SEVERITIES),
+        )])
+    return with_cluster_rank(_with_rates(rows))
+
+
 def cluster_profile(window: DataFrame) -> DataFrame:
     """Clusters of an analysis window with their recent and older rate and their rank.
 
     hourly_baseline is the rate among the older events of the hour of day of the cluster's last
-    recent event.
+    recent event. Runs one job when called (cells).
     """
-    rows = with_hourly_baseline(window).groupBy(*CLUSTER).agg(*_profile_aggregates())
-    return with_cluster_rank(_with_rates(rows))
+    return profile_of(cells(window, metrics=False))
 
 
 def among_largest(max_clusters: int | None) -> str:
@@ -150,30 +189,25 @@ def burst_patterns(profile: DataFrame, *, max_clusters: int | None = None) -> Da
     return _findings(profile.filter(among_largest(max_clusters)), BURST)
 
 
-def _with_median(window: DataFrame) -> DataFrame:
-    return window.selectExpr(
-        "*", f"median(if({SAMPLE}, value, NULL)) OVER (PARTITION BY asset_id, metric) AS med"
-    )
-
+def metric_stats_of(table: DataFrame) -> DataFrame:
+    """metric_stats from cells: two exact selections, of the median and of the median distance from it.
 
-def _metric_aggregates(counts: str) -> list[Column]:
-    """Statistics of one metric over the rows for which the condition `counts` holds."""
-    return [F.expr(e) for e in (
-        f"count(if({counts}, value, NULL)) AS samples", f"min(if({counts}, seq, NULL)) AS metric_seq",
-        f"max(if({counts}, med, NULL)) AS median_value", f"median(if({counts}, abs(value - med), NULL)) AS mad",
-        f"max_by(value, if({counts}, seq, NULL)) AS last_value",
-    )]
-
-
-def _with_robust_z(stats: DataFrame) -> DataFrame:
+    Runs one job when called: the medians, a row per metric, are written before distances from them are taken.
+    """
+    keys = ["asset_id", "metric"]
+    values = table.filter("role = 'metric'").select(*keys, "value", "n", "first_seq", "last_seq")
+    middle = stage(medians(values, keys).withColumnRenamed("median", "median_value"), "medians")
+    apart = values.join(middle, keys).select(*keys, F.expr("abs(value - median_value) AS value"), "n")
+    spread = medians(apart, keys).select(*keys, F.col("median").alias("mad"))
+    ends = values.groupBy(*keys).agg(
+        F.expr("min(first_seq) AS metric_seq"), F.expr("max_by(value, last_seq) AS last_value"))
     z = f"abs(last_value - median_value) / ({MAD_SCALE}D * mad)"
-    return stats.selectExpr("*", f"if(mad <> 0, {z}, NULL) AS robust_z")
+    return middle.join(spread, keys).join(ends, keys).selectExpr("*", f"if(mad <> 0, {z}, NULL) AS robust_z")
 
 
 def metric_stats(window: DataFrame) -> DataFrame:
     """Per (asset, metric) of a window: values, median, median absolute deviation, last value, robust z."""
-    rows = _with_median(window.filter(SAMPLE)).groupBy("asset_id", "metric")
-    return _with_robust_z(rows.agg(*_metric_aggregates("true")))
+    return metric_stats_of(cells(window, clusters=False))
 
 
 def metric_outliers(window: DataFrame) -> DataFrame:
@@ -181,30 +215,19 @@ def metric_outliers(window: DataFrame) -> DataFrame:
     return _findings(metric_stats(window), OUTLIER)
 
 
-def detect(window: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
-    """Findings of all detectors on one window, not ranked yet; max_clusters as for rare_patterns.
-
-    Every row counts for its cluster and, if it carries a sample, for its metric. Both kinds of
-    groups are formed by one aggregation, so the events are read and cut to the window once.
-    """
-    groups = f"""array_compact(array(
-        struct('cluster' AS role, source, signature, cast(NULL AS string) AS metric),
-        if({SAMPLE}, struct('metric' AS role, cast(NULL AS string) AS source,
-                            cast(NULL AS string) AS signature, metric), NULL)))"""
-    rows = (
-        _with_median(with_hourly_baseline(window))
-        .withColumn("g", F.expr(f"explode({groups})")).drop("source", "signature", "metric").select("*", "g.*")
-    )
-    stats = rows.groupBy("asset_id", "role", "source", "signature", "metric").agg(
-        *_profile_aggregates(), *_metric_aggregates("role = 'metric'")
-    )
-    ranked = with_cluster_rank(_with_robust_z(_with_rates(stats)), "role")
-    top = f"role = 'cluster' AND {among_largest(max_clusters)}"
-    return _findings(
-        ranked, f"if({top}, {RARE}, NULL)", f"if({top}, {BURST}, NULL)", f"if(role = 'metric', {OUTLIER}, NULL)"
+def findings_of(table: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
+    """Findings of all detectors from cells, not ranked yet."""
+    return union_all(
+        _findings(profile_of(table).filter(among_largest(max_clusters)), RARE, BURST),
+        _findings(metric_stats_of(table), OUTLIER),
     )
 
 
+def detect(window: DataFrame, *, max_clusters: int | None = None) -> DataFrame:
+    """Findings of all detectors on one window, not ranked yet; max_clusters as for rare_patterns."""
+    return findings_of(cells(window), max_clusters=max_clusters)
+
+
 # SQL: sort key of a finding within its asset, best first
 BEST_FIRST = "struct(-confidence AS c, kind_order, first_seq)"
 

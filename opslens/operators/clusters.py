@@ -1,10 +1,9 @@
 """Analysis window and message clusters (C-01 ... C-05, C-07).
 
-Everything here is keyed by asset. `analysis_window` cuts each asset to its newest `limit` events
-first (spread over salted tasks while it does), and leaves the rows partitioned by
-asset. All later windows and aggregates of the log analytics reuse that partitioning: the clusters,
-the burst rates and the metric statistics of all assets need no further shuffle, and no task holds
-more than `limit` rows of an asset.
+`analysis_rows` cuts each asset to its newest `limit` events (spread over salted tasks while it does) and drops ignored
+ones. `analysis_window` adds which rows belong to the recent part. That needs one number per asset, the arrival
+number where the recent part begins; it is found by counting (functions.selection), so no row is numbered or
+sorted, and later aggregates of the rows combine on the map side.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.ranking import SALT_BUCKETS, at_least_one, latest_per_asset, with_position
+from opslens.functions.selection import newest_cutoff
 from opslens.functions.text import cluster_id, quoted, share, signature
 from opslens.schemas import SEVERITIES
 
@@ -82,55 +82,62 @@ def excluded_counts(events: DataFrame, filters=None) -> DataFrame:
     )
 
 
-def analysis_window(
+# SQL: size of the recent part of `total` rows
+RECENT_ROWS = "least(greatest(10, total div 3), total)"
+
+
+def analysis_rows(
     events: DataFrame, *, limit: int | None = None, filters=None, salt: int = SALT_BUCKETS
 ) -> DataFrame:
-    """Newest `limit` events per asset (all for None) minus the ignored ones, numbered by arrival.
+    """Newest `limit` events per asset (all for None) minus the ignored ones, with signature and hour of day.
 
-    filters as for flag_ignored, salt as for top_n_per_key. Adds signature, hour, pos (1 = oldest),
-    total (events left), recent_rows (size of the recent part: a third of the window, 10 at least)
-    and is_recent (C-07). A whole history is numbered in buckets, a bounded window in one go.
+    filters as for flag_ignored, salt as for top_n_per_key.
     """
     newest = with_signature(latest_per_asset(events, at_least_one(limit), salt=salt))
-    rows = apply_ignore(newest, filters).selectExpr("*", "hour(cast(ts AS timestamp)) AS hour")
-    if limit is None:
-        numbered = with_position(rows, "asset_id", "seq")
-    else:
-        numbered = rows.selectExpr(
-            "*", "row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS pos",
-            "count(*) OVER (PARTITION BY asset_id) AS total",
-        )
-    return numbered.selectExpr("*", "least(greatest(10, total div 3), total) AS recent_rows").selectExpr(
-        "*", "pos > total - recent_rows AS is_recent"
-    )
+    return apply_ignore(newest, filters).selectExpr("*", "hour(cast(ts AS timestamp)) AS hour")
 
 
-def clusters(window: DataFrame) -> DataFrame:
-    """One row per (asset, source, signature) of an analysis window (C-04)."""
-    return window.groupBy(*CLUSTER).agg(
-        F.expr("count(*) AS events_count"),
-        F.expr("min(seq) AS first_seq"),
-        F.expr("min_by(message, seq) AS example_message"),
-        F.expr("max(total) AS total"),
+def analysis_window(
+    events: DataFrame, *, limit: int | None = None, filters=None, salt: int = SALT_BUCKETS
+) -> DataFrame:
+    """analysis_rows with total (rows of the asset), recent_rows (a third of them, 10 at least) and is_recent (C-07)."""
+    rows = analysis_rows(events, limit=limit, filters=filters, salt=salt)
+    cut = newest_cutoff(rows, "asset_id", "seq", RECENT_ROWS)
+    return rows.join(cut, "asset_id").withColumn("is_recent", F.col("seq") >= F.col("cutoff")).drop("cutoff")
+
+
+def split_recent(
+    events: DataFrame, *, limit: int | None = None, filters=None, salt: int = SALT_BUCKETS
+) -> DataFrame:
+    """analysis_window with every row numbered, too: pos (1 = oldest). For reading a window row by row."""
+    rows = analysis_rows(events, limit=limit, filters=filters, salt=salt)
+    return with_position(rows, "asset_id", "seq").withColumn("recent_rows", F.expr(RECENT_ROWS)).withColumn(
+        "is_recent", F.expr("pos > total - recent_rows"))
+
+
+def _cluster_aggregates() -> list[Column]:
+    return [
+        F.expr("count(*) AS events_count"), F.expr("min(seq) AS first_seq"), F.expr("min_by(message, seq) AS example_message"),
         *severity_counts(),
-    ).withColumns({"cluster_id": cluster_id(), "share": share("events_count", "total")})
+    ]
 
 
-def cluster_totals(events: DataFrame) -> DataFrame:
-    """Clusters of the whole history, without a window: (asset, source, signature) totals and shares.
+def clusters(window: DataFrame) -> DataFrame:
+    """One row per (asset, source, signature) of analysis rows or an analysis window (C-04).
 
     Plain aggregates with map-side combine; nothing of an asset but its clusters is brought together.
     """
-    rows = with_signature(events).groupBy(*CLUSTER).agg(
-        F.expr("count(*) AS events_count"), F.expr("min(seq) AS first_seq"),
-        F.expr("min_by(message, seq) AS example_message"), *severity_counts(),
-    )
-    totals = rows.groupBy("asset_id").agg(F.expr("sum(events_count) AS total"))
-    return rows.join(totals, "asset_id").withColumns(
+    rows = window.groupBy(*CLUSTER).agg(*_cluster_aggregates())
+    return rows.withColumn("total", F.expr("sum(events_count) OVER (PARTITION BY asset_id)")).withColumns(
         {"cluster_id": cluster_id(), "share": share("events_count", "total")}
     )
 
 
+def cluster_totals(events: DataFrame) -> DataFrame:
+    """Clusters of the whole history: (asset, source, signature) totals and shares."""
+    return clusters(with_signature(events))
+
+
 def with_cluster_rank(table: DataFrame, *inside: str) -> DataFrame:
     """Add cluster_rank: most events first, the earlier first appearance on ties."""
     keys = ", ".join(["asset_id", *inside])

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from opslens.functions.text import severity_rank
-from opslens.operators.anomalies import BEST_FIRST, REASON, detect, find_anomalies, rank_anomalies
-from opslens.operators.clusters import (
-    analysis_window, clusters, excluded_counts, ranked_documents, top_clusters, with_signature,
-)
+from opslens.functions.text import severity_rank, share
+from opslens.operators.anomalies import BEST_FIRST, REASON, among_largest, cells, findings_of, profile_of, rank_anomalies
+from opslens.operators.clusters import analysis_window, ranked_documents
 from opslens.operators.dependency import first_assets
 from opslens.plans.newest import newest_events
 
@@ -28,27 +26,31 @@ def log_insight(
 ) -> DataFrame:
     """One nested row per asset: analysed events, clusters (all, or the largest), anomalies, summary lines.
 
-    assets: (asset_id). An asset without events, or with all of them ignored, has empty lists.
+    assets: (asset_id). An asset without events, or with all of them ignored, has empty lists. Clusters, findings and
+    counts come from one table of cells.
     """
     newest = newest_events(events, limit)
-    window = analysis_window(newest, limit=limit, filters=filters, salt=1)
-    cluster_rows = top_clusters(clusters(window), max_clusters).groupBy("asset_id").agg(
+    table = cells(analysis_window(newest, limit=limit, filters=filters, salt=1))
+    shown = profile_of(table).filter(among_largest(max_clusters)).withColumn("share", share("events_count", "total"))
+    cluster_rows = shown.groupBy("asset_id").agg(
         ranked_documents(
             "cluster_rank", ["cluster_id", "source", "signature", "example_message", "events_count", "share"]
         ).alias("clusters")
     )
     anomaly_rows = (
-        find_anomalies(window, max_clusters=max_clusters, max_anomalies=max_anomalies)
+        rank_anomalies(findings_of(table, max_clusters=max_clusters), max_anomalies)
         .withColumn("reason", F.expr(REASON))
         .groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct(
             "anomaly_rank", "kind", "severity", "confidence", "reason_code", "reason", "evidence",
             "related_cluster_id", "related_metric",
         ))).alias("anomalies"))
     )
-    counts = excluded_counts(with_signature(newest), filters)
+    seen = newest.groupBy("asset_id").agg(F.count("*").alias("total_events"))
     rows = (
         assets.select("asset_id").distinct()
-        .join(counts, "asset_id", "left")
+        .join(seen, "asset_id", "left")
+        .join(_analysed(table), "asset_id", "left")
+        .withColumn("excluded_events", F.expr("total_events - coalesce(analyzed_events, 0)"))
         .join(cluster_rows, "asset_id", "left")
         .join(anomaly_rows, "asset_id", "left")
     )
@@ -69,12 +71,17 @@ def log_insight(
         F.coalesce("analyzed_events", F.lit(0)).alias("analyzed_events"),
         "clusters", "anomalies",
         F.when(F.col("total_events").isNull(), F.array(F.lit(NO_DATA)))
-        .when(F.col("analyzed_events") == 0,
+        .when(F.col("analyzed_events").isNull(),
               F.array(F.concat(F.lit("All events are excluded by ignore rules: "), excluded)))
         .otherwise(lines).alias("summary"),
     )
 
 
+def _analysed(table: DataFrame) -> DataFrame:
+    """(asset_id, analyzed_events) from cells."""
+    return table.filter("role = 'cluster'").groupBy("asset_id").agg(F.sum("n").alias("analyzed_events"))
+
+
 def asset_summaries(
     events: DataFrame,
     assets: DataFrame,
@@ -92,8 +99,8 @@ def asset_summaries(
     looked_at = first_assets(assets, max_assets)
     limit = limit_per_asset
     scope = events.join(looked_at, "asset_id", "left_semi")
-    window = analysis_window(newest_events(scope, limit), limit=limit, filters=filters, salt=1)
-    found = detect(window, max_clusters=max_clusters)
+    table = cells(analysis_window(newest_events(scope, limit), limit=limit, filters=filters, salt=1))
+    found = findings_of(table, max_clusters=max_clusters)
     if max_anomalies is not None:
         found = rank_anomalies(found, max_anomalies)
     kinds = [
@@ -108,11 +115,10 @@ def asset_summaries(
         F.count_if(F.col("severity") == "warning").alias("warning"),
         F.count_if(F.col("severity") == "critical").alias("critical"),
     )
-    analysed = window.groupBy("asset_id").agg(F.count("*").alias("analyzed_events"))
     counts = ["analyzed_events", "anomalies_total", "rare_pattern", "burst_pattern", "metric_outlier",
               "warning", "critical"]
     return (
-        looked_at.join(analysed, "asset_id", "left").join(per_asset, "asset_id", "left")
+        looked_at.join(_analysed(table), "asset_id", "left").join(per_asset, "asset_id", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     )
 

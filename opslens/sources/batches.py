@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opslens.functions.merging import union_all
 from opslens.schemas import EVENT_BATCH
+from opslens.session import stage
 
 BATCH_BITS = 24
 # unnumbered events: 30 bits for the read, 32 for the place in it, all below 0
 READ_BITS, PLACE_BITS = 30, 32
+RUN_BITS = 33  # of a running id: the place in its task
 EPOCH = 1_704_067_200  # 2024-01-01, the first second that read ids count from
 _last_read = 0
 
@@ -27,20 +30,23 @@ def new_read_id() -> int:
 def number_events(events: DataFrame, read_id: int) -> DataFrame:
     """Fill null seq with negative numbers in the order the rows are read, unique over reads of other read_id.
 
-    Not for streams, but for their micro-batches: number_events(df, epoch) in foreachBatch. Partitions have
-    consecutive running ids, so rows meet only a table with one row per partition.
+    Not for streams, but for their micro-batches: number_events(df, epoch) in foreachBatch. Unnumbered rows are
+    written to the shared folder once with their running ids, since a second evaluation of a plan may deal rows out
+    differently; numbers come from what was written. Runs one job when called; numbered rows are not copied.
     """
     if not 0 <= read_id < 1 << READ_BITS:
         raise ValueError(f"read_id must be from 0 to {(1 << READ_BITS) - 1}")
-    rows = events.withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    parts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    held = stage(events.filter("seq IS NULL").withColumn("_at", F.monotonically_increasing_id()), "unnumbered-events")
+    rows = held.withColumn("_p", F.shiftright("_at", RUN_BITS))
+    # running ids of one task are consecutive, so rows meet only a table with one row per task
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    parts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select(
+        "_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_at") - F.col("_first")
     place = F.when(place < 1 << PLACE_BITS, place).otherwise(
         F.raise_error(F.lit("too many events for one read; read fewer files at a time")).cast("long"))
-    seq = F.coalesce("seq", F.lit(-(1 << 62) + (read_id << PLACE_BITS)) + place)
-    return rows.join(parts, "_p").withColumn("seq", seq).select(*events.columns)
+    named = rows.join(parts, "_p").withColumn("seq", F.lit(-(1 << 62) + (read_id << PLACE_BITS)) + place)
+    return union_all(events.filter("seq IS NOT NULL"), named.select(*events.columns))
 
 
 def explode_batches(batches: DataFrame, now: Column | None = None, *, read_id: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.functions.ranking import latest_per_asset
+from opslens.functions.selection import medians
 from opslens.functions.text import cluster_id, signature
 from opslens.operators import anomalies, clusters, dependency, rules
 from opslens.plans import incidents, insight
@@ -275,3 +276,49 @@ def test_overview_counts_all_findings(make_events, ids):
     assert totals.first().total_anomalies == 75
     cut = insight.overview_totals(insight.asset_summaries(events, ids("fewer", "more"), max_anomalies=20)).first()
     assert cut.total_anomalies == 40
+
+
+def _hot_rows(spark, n=30_000):
+    """One hot asset; numbered rows, ten unnumbered ones far below, and a metric of repeated, signed and huge values."""
+    return spark.range(-10, n, 1, 8).selectExpr(
+        "if(id < 0, -4611686018427387904 + id, id * 3) AS seq", "if(id % 50 = 0, concat('a', id % 7), 'hot') AS asset_id",
+        "'s' AS source", "concat('m', id % 5) AS message", "'cpu' AS metric",
+        "CASE WHEN id % 1000 = 0 THEN 1e300 WHEN id % 3 = 0 THEN 7.25D ELSE (id * 7919 % 20011) / 13D - 300 END AS value",
+        "'info' AS severity", "timestamp_seconds(1700000000 + id * 60) AS ts")
+
+
+def test_cutoff_and_positions_agree_with_sorting(spark):
+    rows = _hot_rows(spark)
+    window = clusters.analysis_window(rows)
+    plain = rows.selectExpr("asset_id", "seq", "row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS p",
+                            "count(*) OVER (PARTITION BY asset_id) AS t").selectExpr(
+        "asset_id", "seq", "p", "t", "p > t - least(greatest(10, t div 3), t) AS r")
+    want = {(r.asset_id, r.seq): (r.p, r.t, r.r) for r in plain.collect()}
+    assert {(r.asset_id, r.seq): r.is_recent for r in window.collect()} == {k: v[2] for k, v in want.items()}
+    numbered = clusters.split_recent(rows).collect()
+    assert {(r.asset_id, r.seq): (r.pos, r.total, r.is_recent) for r in numbered} == want
+
+
+def test_positions_never_bring_a_key_together(spark):
+    rows = _hot_rows(spark).filter("asset_id = 'hot'")
+    sizes = [r["count"] for r in rows.groupBy(F.floor(F.col("seq") / 4096)).count().collect()]
+    assert max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
+@pytest.mark.parametrize("extra", ["", "UNION ALL SELECT 'k', double('NaN'), 3L", "UNION ALL SELECT 'k', double('-Infinity'), 900L"])
+def test_medians_agree_with_the_built_in(spark, extra):
+    rows = spark.sql("SELECT 'k' AS g, value AS v, 1L AS n FROM {r} UNION ALL SELECT 'one', 4.5D, 1L UNION ALL "
+                     "SELECT 'two', 1D, 1L UNION ALL SELECT 'two', 2D, 1L UNION ALL SELECT 'zero', 0D, 4L UNION ALL "
+                     f"SELECT 'zero', -0.5D, 4L {extra}", r=_hot_rows(spark, 4000))
+    got = {r.g: (r.samples, r["median"]) for r in medians(rows, ["g"], "v", "n").collect()}
+    each = rows.selectExpr("g", "v", "explode(sequence(1L, n)) AS i")
+    assert got == {r.g: (r.s, r.m) for r in each.groupBy("g").agg(F.count("*").alias("s"), F.median("v").alias("m")).collect()}
+
+
+def test_detection_has_no_window_over_rows(spark):
+    """Rows meet aggregates only: the window functions of detection read cells."""
+    window = clusters.analysis_window(_hot_rows(spark))
+    rows = window._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in rows and rows.count("Window [") == rows.count("Window [sum(n")
+    found = anomalies.detect(window)._jdf.queryExecution().optimizedPlan().toString()
+    assert "message" not in found.replace("example_message", "")

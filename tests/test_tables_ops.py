@@ -425,3 +425,31 @@ def test_unnumbered_batches_are_numbered_over_reads_and_in_streams(spark, tmp_pa
     run.awaitTermination()
     got = [r.seq for r in spark.read.parquet(out).collect()]
     assert len(set(got)) == len(got) == 12 and None not in got
+
+
+@pytest.mark.parametrize("shuffled", ["repartition", "dropDuplicates", "foreachBatch"])
+def test_no_event_is_lost_by_numbering_after_a_shuffle(spark, tmp_path, shuffled):
+    """Adaptive execution merges partitions differently each time a plan runs."""
+    rows = spark.range(0, 40_000, 1, 16).selectExpr(
+        "cast(if(id % 5 = 0, id, NULL) AS bigint) AS seq", "concat('a', id % 7) AS asset_id", "id AS key")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        if shuffled == "foreachBatch":
+            source, out = str(tmp_path / "in"), str(tmp_path / "out")
+            rows.write.parquet(source)
+
+            def land(df, epoch):
+                batches.number_events(df.repartition("asset_id"), epoch).write.mode("append").parquet(out)
+
+            spark.readStream.schema(rows.schema).parquet(source).writeStream.foreachBatch(land).option(
+                "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+            got = spark.read.parquet(out)
+        else:
+            dealt = rows.repartition("asset_id") if shuffled == "repartition" else rows.dropDuplicates(["key"])
+            got = batches.number_events(dealt, 3)
+        row = got.selectExpr("count(*) AS n", "count(DISTINCT seq) AS numbers", "count(DISTINCT key) AS keys",
+                             "count_if(seq = key) AS kept").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(row) == (40_000, 40_000, 40_000, 8_000)
