@@ -6,16 +6,19 @@ import public_tokenizers
 
 import corpus_pipeline
 from opslens.llm import (
+    lexical_search,
     line_dedup,
     minhash,
     mixing,
     packing,
+    phrases,
     quality_model,
     quality_rules,
     sharding,
     simhash,
     token_files,
     toxicity,
+    url_filters,
 )
 from opslens.llm.common import table
 
@@ -32,6 +35,9 @@ QUERIES = {
     "op8_quality_model": lambda spark, d: quality_model.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality_rules.digest(table(spark, d, "documents")),
+    "op11_phrases": lambda spark, d: phrases.collocations(table(spark, d, "documents")),
+    "op12_url_filters": lambda spark, d: url_filters.digest(table(spark, d, "pages")),
+    "op13_lexical_search": lambda spark, d: lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -85,4 +91,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 10 * n_dup_lines > 5 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
             OR 10 * n_shouts > n_words) AS kept
 FROM f""",
+    "op11_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING n >= 30),
+t AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, k, w, a, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT x.lang, x.phrase, x.a, x.j, f.n AS l, r.n AS r, CAST(2000000::HUGEINT * x.a // (f.n + r.n) AS BIGINT) AS score
+      FROM x JOIN f ON f.lang = x.lang AND f.phrase = array_to_string(w[1:j], ' ')
+             JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS b FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, t.n AS n, score
+FROM b JOIN t USING (lang) LEFT JOIN i USING (lang, phrase)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a QUALIFY rank <= 2000""",
+    "op12_url_filters": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM u),
+p AS (SELECT row_number() OVER () AS i, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(coalesce(rest, ''), length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (SELECT i, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+             arg_max(verdict, length(rule_host || rule_path)) AS verdict
+      FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (i)""",
+    "op13_lexical_search": r"""
+WITH t AS (SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT d, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT d, sum(tf) AS n FROM f GROUP BY d),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM l),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM f, s GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+m AS (SELECT d, 50 + (50 * CAST(n AS BIGINT) * docs) // words AS m FROM l, s),
+c AS (SELECT item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (d) GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM c QUALIFY rank <= 50""",
 }
