@@ -1,13 +1,16 @@
 """Phrase collocations: phrases of two to four words that occur together more often than apart.
 
-Counting is by a HAT-trie per task. Every word position adds its window, the word and up to three after it in
-the same piece. The upper levels of the trie are nodes by word id; below them hang hash containers of packed window
-rests, and a container that grows over BURST entries bursts into a node of containers. When the trie holds HELD entries, its
-subtrees leave as sorted runs, one per prefix bucket (hash of language and first two words), and the word ids start
-anew, so memory is bounded. Runs are written to the shared folder. All runs of a bucket meet in one task and are merged
-word by word; a phrase's count is the sum over the windows that begin with it. Buckets with more than MERGE windows,
-such as that of a very frequent word pair, are split by the words that follow; what such parts count of a shared
-beginning is summed up afterwards. All windows are counted; only phrases under `least` in the end are dropped.
+Phrases are counted in three passes: words, pairs, then phrases of three and four. A phrase that occurs `least` times
+consists of words and pairs that do, so a pass leaves out windows with a word (second pass) or a pair (third pass) that
+a blocked Bloom filter of the frequent ones denies. The filter is bounded (FILTER_BLOCKS, 32 MB) and never denies a
+frequent one, so counts stay exact.
+
+Each pass counts with a HAT-trie per task. A word position adds its window, the word and those after it in the same
+piece. The upper levels of the trie are nodes by word id; below them hang hash containers of packed window rests, and a
+container that grows over BURST entries bursts into a node of containers. When the trie holds HELD entries, its
+subtrees leave as sorted runs and the word ids start anew, so memory is bounded. A run holds the phrases of one length
+in one prefix bucket, a hash of language and words; a phrase is one row of a run however often it occurs, so no
+phrase is too frequent for a task. All runs of a bucket are merged word by word in one task.
 
 Defined results: a null or empty text has no words, a null language counts as 'und'. Rows may repeat and each counts. Ids and
 other columns are no input. An empty table gives no rows. Counts are exact; products are decimals of 38 digits.
@@ -24,24 +27,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.merging import union_all
 from opslens.functions.ranking import top_n_per_key
 from opslens.llm import hashing
+from opslens.llm.bloom import BlockedFilter, build_filter
+from opslens.llm.common import shuffle_partitions
 from opslens.llm.words import Words, byte_class, slices
 from opslens.session import stage
 
 LONGEST = 4
-BUCKETS = 512
 BURST = 4096
 HELD = 1_200_000
-MERGE = 600_000
+FILTER_BLOCKS = 1 << 20
 CHUNK = 1_000_000
 ID_BITS = 20
 # fixed values: what ends a piece, and what else ends a word
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 SEPARATORS = BREAKS + " \t"
 
-PAIRS, WORDS = 0, 1  # kinds of runs: windows of two words or more; words with their counts
-RUN = "bucket int, kind int, windows long, run binary"
+RUN = "bucket int, size int, run binary"
+COUNTED = "lang string, phrase string, size int, n long"
 
 
 class HatTrie:
@@ -106,26 +111,24 @@ class HatTrie:
 
 
 def pack(languages: list[str], words: list[str], columns: list[np.ndarray]) -> bytes:
-    """A run: its languages and words, then language, word numbers from 1 (0: none) and count per window."""
+    """A run: its languages and words, then language, word numbers and count per phrase."""
     table = pa.table({"x": pa.array(languages + words)})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     head = sink.getvalue().to_pybytes()
-    sizes = np.array([len(head), len(languages), len(columns[0]) if columns else 0], np.int64)
-    raw = b"".join([sizes.tobytes(), head, *(c.astype(np.int32).tobytes() for c in columns[:-1]), columns[-1].astype(np.int64).tobytes()])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    sizes = np.array([len(head), len(languages), len(columns[0]), len(columns) - 1], np.int64)
+    body = (*(c.astype(np.int32).tobytes() for c in columns[:-1]), columns[-1].astype(np.int64).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), head, *body]))
 
 
 def unpack(run: bytes) -> tuple[pa.Array, pa.Array, list[np.ndarray]]:
     raw = zstandard.ZstdDecompressor().decompress(run)
-    head, languages, n = np.frombuffer(raw, np.int64, 3).tolist()
-    names = pa.ipc.open_stream(raw[24:24 + head]).read_all()["x"].combine_chunks()
-    at, columns = 24 + head, []
-    for _ in range(LONGEST + 1):
-        columns.append(np.frombuffer(raw, np.int32, n, at))
-        at += 4 * n
-    columns.append(np.frombuffer(raw, np.int64, n, at))
+    head, languages, n, narrow = np.frombuffer(raw, np.int64, 4).tolist()
+    names = pa.ipc.open_stream(raw[32:32 + head]).read_all()["x"].combine_chunks()
+    at = 32 + head
+    columns = [np.frombuffer(raw, np.int32, n, at + 4 * n * i) for i in range(narrow)]
+    columns.append(np.frombuffer(raw, np.int64, n, at + 4 * n * narrow))
     return names.slice(0, languages), names.slice(languages), columns
 
 
@@ -136,10 +139,22 @@ def word_hash(words: pa.Array) -> np.ndarray:
     return hashing.span_hashes(data, ends[:-1], ends[1:]) if len(words) else np.zeros(0, np.uint64)
 
 
+def phrase_hash(languages: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Hash of phrases from the hashes of their language and words."""
+    h = hashing.mix(languages)
+    for i, word in enumerate(words):
+        h = hashing.mix(h + np.uint64(2 * i + 3) * word)
+    return h
+
+
 class Counter:
-    """The trie of a task with its word ids and languages."""
+    """The trie of a task with its word ids and languages, for windows of `longest` words.
 
-    def __init__(self) -> None:
+    known: filters of frequent words, and of frequent pairs, or None. Phrases of `sizes` words leave in runs.
+    """
+
+    def __init__(self, sizes: tuple[int, ...], buckets: int, words: BlockedFilter | None, pairs: BlockedFilter | None) -> None:
+        self.sizes, self.buckets, self.words, self.pairs = sizes, buckets, words, pairs
         self.start()
 
     def start(self) -> None:
@@ -147,40 +162,68 @@ class Counter:
 
     def add(self, texts: pa.Array, languages: list[str]) -> Iterator[pa.RecordBatch]:
         words = Words(texts, byte_class(SEPARATORS), byte_class(BREAKS))
-        for i in range(0, len(words.number), CHUNK):
-            yield from self._add(words, i, min(i + CHUNK, len(words.number)), languages)
-
-    def _add(self, words: Words, begin: int, end: int, languages: list[str]) -> Iterator[pa.RecordBatch]:
+        if not len(words.number):
+            return
+        names, code = np.unique(np.array(languages), return_inverse=True)
+        code = code[words.text]
+        # of each position: the phrase may go on with the next word
+        joined = np.append(words.piece[1:] == words.piece[:-1], False)
+        if self.words is not None:
+            h = word_hash(words.words)[words.number]
+            of_language = word_hash(pa.array(names))[code]
+            common = self.words.may_hold(phrase_hash(of_language, [h]))
+            joined[:-1] &= common[1:] & common[:-1]
+            if self.pairs is not None:
+                at = np.flatnonzero(joined)
+                joined[at] = self.pairs.may_hold(phrase_hash(of_language[at], [h[at], h[at + 1]]))
+        number, found = words.number, words.words
+        if self.sizes[0] > 1:
+            # words outside all windows need no id
+            used = joined.copy()
+            used[1:] |= joined[:-1]
+            some = np.flatnonzero(np.bincount(number[used], minlength=len(found)))
+            place = np.zeros(len(found), np.int64)
+            place[some] = np.arange(len(some))
+            number, found = np.where(used, place[number], -1), found.take(pa.array(some))
+        for i in range(0, len(number), CHUNK):
+            yield from self._add(number, found, joined, code, names.tolist(), i, min(i + CHUNK, len(number)))
+
+    def _add(self, number, found, joined, code, names: list[str], begin: int, end: int) -> Iterator[pa.RecordBatch]:
         """The windows that start at the words from begin to end; the last ones reach beyond."""
         reach = slice(begin, end + LONGEST - 1)
-        number, found = words.number[reach], words.words
-        if len(words.number) > CHUNK:
-            used, number = np.unique(number, return_inverse=True)
-            found = found.take(pa.array(used))
+        local = number[reach]
+        if len(number) > CHUNK:
+            some, local = np.unique(local, return_inverse=True)
+            local = local - (some[0] < 0)
+            found = found.take(pa.array(some[some >= 0]))
         found = found.to_pylist()
         if len(self.ids) + len(found) >= 1 << ID_BITS:  # a chunk holds fewer words than there are ids
             yield from self.spill()
         ids, langs = self.ids, self.languages
-        known = np.array([ids.setdefault(w, len(ids) + 1) for w in found], np.int64)
-        code = np.array([langs.setdefault(x, len(langs)) for x in languages], np.int64)
-        w, piece = known[number], words.piece[reach]
+        known = np.array([ids.setdefault(w, len(ids) + 1) for w in found] + [0], np.int64)
+        language = np.array([langs.setdefault(x, len(langs)) for x in names], np.int64)
+        w, go_on = known[local], joined[reach]
         rest = np.zeros(len(w), np.int64)
-        for k in range(1, LONGEST):
-            here = np.zeros(len(w), np.int64)
+        alive = np.ones(len(w), bool)
+        for k in range(1, self.sizes[-1]):
             if len(w) > k:
-                here[:-k] = np.where(piece[k:] == piece[:-k], w[k:], 0)
-            rest |= here << (LONGEST - 1 - k) * ID_BITS
-        first = (code[words.text[reach]] << ID_BITS) | w
-        w, first, rest = w[: end - begin], first[: end - begin], rest[: end - begin]
+                alive[:-k] &= go_on[k - 1:-1]
+                rest[:-k] |= np.where(alive[:-k], w[k:], 0) << (LONGEST - 1 - k) * ID_BITS
+        first = (language[code[reach]] << ID_BITS) | w
+        enough = rest if self.sizes[0] < 2 else rest >> (LONGEST - self.sizes[0]) * ID_BITS & (1 << ID_BITS) - 1
+        at = np.arange(end - begin) if self.sizes[0] < 2 else np.flatnonzero(enough[: end - begin])
+        first, rest = first[at], rest[at]
+        if not len(at):
+            return
         order = np.lexsort((rest, first))
         first, rest = first[order], rest[order]
         cut = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
-        self.trie.add(first[cut], rest[cut], np.diff(np.append(cut, len(w))))
+        self.trie.add(first[cut], rest[cut], np.diff(np.append(cut, len(at))))
         if self.trie.size >= HELD:
             yield from self.spill()
 
     def spill(self) -> Iterator[pa.RecordBatch]:
-        """All subtrees as sorted runs, one per bucket and kind."""
+        """All subtrees as sorted runs, one per bucket and phrase length."""
         first, rest, count = self.trie.spill()
         languages, words = list(self.languages), pa.array(list(self.ids), pa.large_string())
         self.start()
@@ -190,44 +233,40 @@ class Counter:
         h = np.concatenate(([0], word_hash(words))).astype(np.uint64)
         of_language = word_hash(pa.array(languages, pa.large_string()))
         columns = [first >> ID_BITS, first & mask, rest >> 2 * ID_BITS, rest >> ID_BITS & mask, rest & mask]
-        one = hashing.mix(of_language[columns[0]] + np.uint64(3) * h[columns[1]])
-        begins = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        zero = np.zeros(len(begins), np.int64)
-        alone = [columns[0][begins], columns[1][begins], zero, zero, zero, np.add.reduceat(count, begins)]
-        pairs = columns[2] > 0
-        two = hashing.mix(one + np.uint64(5) * h[columns[2]])
+        differs = np.zeros(len(first), bool)
+        differs[0] = True
         out: list[tuple] = []
-        for kind, bucket, columns in (
-            (PAIRS, (two[pairs] % np.uint64(BUCKETS)).astype(np.int64), [c[pairs] for c in (*columns, count)]),
-            (WORDS, (one[begins] % np.uint64(BUCKETS)).astype(np.int64), alone),
-        ):
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            for b in range(BUCKETS):
+        for size in range(LONGEST + 1):
+            differs[1:] |= columns[size][1:] != columns[size][:-1]
+            if size not in self.sizes:
+                continue
+            at = np.flatnonzero(differs)
+            total = np.add.reduceat(count, at)
+            whole = columns[size][at] > 0
+            at, total = at[whole], total[whole]
+            phrase = [c[at] for c in columns[: size + 1]]
+            bucket = phrase_hash(of_language[phrase[0]], [h[c] for c in phrase[1:]]) % np.uint64(self.buckets)
+            order = np.argsort(bucket.astype(np.int64), kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
                 rows = order[edges[b]:edges[b + 1]]
-                if len(rows):
-                    part = [c[rows] for c in columns]
-                    used, number = np.unique(np.concatenate(part[1:LONGEST + 1]), return_inverse=True)
-                    named = words.take(pa.array(used[used > 0] - 1)).to_pylist()
-                    number = number + (0 if used[0] == 0 else 1)
-                    local = [part[0], *np.split(number, LONGEST), part[-1]]
-                    out.append((b, kind, len(rows), pack(languages, named, local)))
-        yield _run_batch(out)
-
-
-def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([
-        pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-        pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()),
-    ], names=["bucket", "kind", "windows", "run"])
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """Sorted runs of docs(text, lang): bucket, kind, windows, run."""
+                used, local = np.unique(np.concatenate([c[rows] for c in phrase[1:]]), return_inverse=True)
+                named = words.take(pa.array(used - 1)).to_pylist()
+                out.append((b, size, pack(languages, named, [phrase[0][rows], *np.split(local, size), total[rows]])))
+        yield pa.record_batch([
+            pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()),
+        ], names=["bucket", "size", "run"])
+
+
+def runs(
+    docs: DataFrame, sizes: tuple[int, ...], buckets: int, words: BlockedFilter | None = None, pairs: BlockedFilter | None = None
+) -> DataFrame:
+    """Sorted runs of the phrases of docs(text, lang) with so many words: bucket, size, run."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    sent = docs.sparkSession.sparkContext.broadcast([x and x.bits for x in (words, pairs)])  # 2 * FILTER_BLOCKS * 32 bytes at most
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
+        counter = Counter(sizes, buckets, *(None if bits is None else BlockedFilter(bits) for bits in sent.value))
         for batch in stream:
             for begin, part in slices(batch.column("text")):
                 yield from counter.add(part, batch.column("lang").slice(begin, len(part)).to_pylist())
@@ -236,98 +275,76 @@ def runs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, RUN)
 
 
-def split_runs(held: DataFrame, parts: dict[tuple[int, int], int]) -> DataFrame:
-    """held with `part`: runs of large buckets are cut by the hash of the words after the first two, or the word alone."""
+def merge_runs(least: int):
+    """All runs of a bucket and phrase length -> lang, phrase, size, n of the phrases with n >= least.
 
-    def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            out, part_of = [], []
-            for bucket, kind, windows, run in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "windows", "run"))):
-                n = parts.get((bucket, kind), 1)
-                if n == 1:
-                    out.append((bucket, kind, windows, run))
-                    part_of.append(0)
-                    continue
-                languages, words, columns = unpack(run)
-                h = np.concatenate(([0], word_hash(words))).astype(np.uint64)
-                last = hashing.mix(h[columns[3]] + np.uint64(7) * h[columns[4]]) if kind == PAIRS else hashing.mix(h[columns[1]])
-                at = (last % np.uint64(n)).astype(np.int64)
-                for p in range(n):
-                    some = [c[at == p] for c in columns]
-                    if len(some[0]):
-                        out.append((bucket, kind, len(some[0]), pack(languages.to_pylist(), words.to_pylist(), some)))
-                        part_of.append(p)
-            rows = _run_batch(out)
-            yield pa.record_batch([*rows.columns, pa.array(part_of, pa.int32())], names=[*rows.schema.names, "part"])
-
-    return held.mapInArrow(cut, RUN + ", part int")
-
-
-def merge_runs(least: int, parts: dict[tuple[int, int], int]):
-    """All runs of a bucket (or a part of it) -> lang, phrase, size, n.
-
-    Phrases under `least` go if the bucket holds all of them. The words of a bucket also add up to its share of
-    all words of a language, size 0.
+    Words also add up to the bucket's share of all words of a language, size 0.
     """
 
     def merge(group: pa.Table) -> pa.Table:
-        kind = group["kind"][0].as_py()
-        shared = parts.get((group["bucket"][0].as_py(), kind), 1) > 1
-        texts, codes, columns = [], [], []
+        size = group["size"][0].as_py()
+        texts, columns = [], []
         begin = 0
         for run in group["run"]:
             languages, words, held = unpack(run.as_py())
             texts.append(pa.concat_arrays([languages, words]))
-            held[0] = held[0] + begin
-            for i in range(1, LONGEST + 1):
-                held[i] = np.where(held[i] > 0, held[i] + (begin + len(languages) - 1), -1)
+            columns.append([held[0] + begin, *(c + (begin + len(languages)) for c in held[1:-1]), held[-1]])
             begin += len(texts[-1])
-            columns.append(held)
         coded = pa.chunked_array(texts).combine_chunks().dictionary_encode()
-        code = np.append(coded.indices.to_numpy(), -1)  # -1: no word
-        names = coded.dictionary
-        words = [code[np.concatenate([c[i] for c in columns])] for i in range(LONGEST + 1)]
-        count = np.concatenate([c[LONGEST + 1] for c in columns])
+        code, names = coded.indices.to_numpy(), coded.dictionary
+        words = [code[np.concatenate([c[i] for c in columns])] for i in range(size + 1)]
+        count = np.concatenate([c[-1] for c in columns])
         order = np.lexsort(words[::-1])
         words, count = [w[order] for w in words], count[order]
         differs = np.zeros(len(count), bool)
         differs[0] = True
-        langs, phrases, sizes, totals = [], [], [], []
-        for size in range(LONGEST + 1):
-            differs[1:] |= words[size][1:] != words[size][:-1]
-            if (kind == PAIRS and size < 2) or (kind == WORDS and size > 1):
-                continue
-            at = np.flatnonzero(differs)
-            total = np.add.reduceat(count, at)
-            keep = words[size][at] >= 0 if size else np.ones(len(at), bool)
-            if size and not (shared and kind == PAIRS and size < LONGEST):
-                keep &= total >= least
-            at, total = at[keep], total[keep]
-            langs.append(names.take(pa.array(words[0][at])))
-            parts_of = [names.take(pa.array(words[i][at])) for i in range(1, size + 1)]
-            phrases.append(pc.binary_join_element_wise(*parts_of, " ") if size else pa.nulls(len(at), names.type))
-            sizes.append(np.full(len(at), size))
-            totals.append(total)
-        return pa.table({
-            "lang": pa.chunked_array(langs).cast(pa.string()), "phrase": pa.chunked_array(phrases).cast(pa.string()),
-            "size": pa.array(np.concatenate(sizes).astype(np.int32)), "n": pa.array(np.concatenate(totals).astype(np.int64)),
-        })
+        for w in words:
+            differs[1:] |= w[1:] != w[:-1]
+        at = np.flatnonzero(differs)
+        total = np.add.reduceat(count, at)
+        at, total = at[total >= least], total[total >= least]
+        lang, n, sizes = names.take(pa.array(words[0][at])), total, np.full(len(at), size)
+        phrase = pc.binary_join_element_wise(*(names.take(pa.array(w[at])) for w in words[1:]), " ")
+        if size == 1:
+            of_language = np.bincount(words[0], weights=count).astype(np.int64)  # exact below 2**53 words a bucket
+            seen = np.flatnonzero(of_language)
+            lang = pa.concat_arrays([lang, names.take(pa.array(seen))])
+            phrase = pa.concat_arrays([phrase, pa.nulls(len(seen), phrase.type)])
+            n, sizes = np.append(n, of_language[seen]), np.append(sizes, np.zeros(len(seen), np.int64))
+        return pa.table({"lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string()), "size": pa.array(sizes.astype(np.int32)),
+                         "n": pa.array(n.astype(np.int64))})
 
     return merge
 
 
-def counts(docs: DataFrame, least: int, merge_windows: int = MERGE) -> DataFrame:
+def filter_of(table: DataFrame) -> BlockedFilter:
+    """Filter of the phrases of a table(lang, phrase)."""
+
+    def hashes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            split = pc.split_pattern(batch.column("phrase"), " ")
+            h, size = word_hash(split.flatten()), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            words = [h[begin + i] for i in range(int(size[0]))] if len(size) else []
+            yield pa.record_batch([pa.array(phrase_hash(word_hash(batch.column("lang")), words).view(np.int64))], names=["h"])
+
+    return build_filter(table.select("lang", "phrase").mapInArrow(hashes, "h long"), FILTER_BLOCKS)
+
+
+def counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, phrase, size, n of all phrases of one to four words with n >= least; size 0 is the language itself, always there."""
-    held = stage(runs(docs), "phrase-runs")
-    sizes = held.groupBy("bucket", "kind").agg(F.sum("windows").alias("windows")).filter(F.col("windows") > merge_windows)
-    # a row per bucket and kind at most
-    parts = {(r.bucket, r.kind): -(-r.windows // merge_windows) for r in sizes.collect()}
-    dealt = split_runs(held, parts) if parts else held.withColumn("part", F.lit(0))
-    merged = dealt.groupBy("bucket", "kind", "part").applyInArrow(
-        merge_runs(least, parts), "lang string, phrase string, size int, n long")
-    return stage(
-        merged.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0)),
-        "phrase-counts")
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+
+    def frequent(sizes: tuple[int, ...], *known: BlockedFilter) -> DataFrame:
+        held = runs(docs, sizes, buckets, *known)
+        return stage(held.groupBy("bucket", "size").applyInArrow(merge_runs(least), COUNTED), "phrase-counts")
+
+    alone = frequent((1,))
+    words = filter_of(alone.filter("size = 1"))
+    pairs = frequent((2,), words)
+    longer = frequent((3, 4), words, filter_of(pairs))
+    languages = alone.filter("size = 0").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return union_all(alone.filter("size = 1"), pairs, longer, languages)
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside_percent: int = 80) -> DataFrame:

@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
+from opslens.llm.bloom import BlockedFilter, build_filter
 from opslens.llm.common import ascii_lower, whole
 
 BLOCKS = 1 << 18
-RULES_PER_BLOCK = 16
-WORDS = 8
 
 
 def canonical(pages: DataFrame) -> DataFrame:
@@ -51,40 +50,6 @@ def listed(rules: DataFrame) -> DataFrame:
     ).withColumn("key", F.concat("rule_host", "rule_path"))
 
 
-class BlockedFilter:
-    """Bits of the listed keys' hashes: blocks of WORDS 32-bit words."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-
-    @staticmethod
-    def places(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        """Block of each hash, and its bit in each word."""
-        block = (h >> np.uint64(40)).astype(np.int64) % blocks
-        bit = (h[:, None] >> np.arange(0, 5 * WORDS, 5, dtype=np.uint64)) & np.uint64(31)
-        return block, np.uint32(1) << bit.astype(np.uint32)
-
-    def may_hold(self, h: np.ndarray) -> np.ndarray:
-        block, bit = self.places(h, len(self.bits))
-        return ((self.bits[block] & bit) == bit).all(axis=1)
-
-
-def build_filter(keys: DataFrame, most: int = BLOCKS) -> BlockedFilter:
-    """Filter of the distinct texts in `key`; Spark merges the bits per block, at most `most` blocks come back."""
-    rows = keys.count()
-    blocks = 1
-    while blocks < most and blocks * RULES_PER_BLOCK < rows:
-        blocks *= 2
-    h = keys.select(F.xxhash64("key").alias("h"))
-    words = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {5 * i}) & 31 AS int))")).alias(f"w{i}") for i in range(WORDS)]
-    found = h.groupBy(F.expr(f"shiftrightunsigned(h, 40) % {blocks}L").alias("block")).agg(*words).toArrow()
-    bits = np.zeros((blocks, WORDS), np.uint32)
-    at = found["block"].to_numpy()
-    for i in range(WORDS):
-        bits[at, i] = found[f"w{i}"].to_numpy().astype(np.uint32)
-    return BlockedFilter(bits)
-
-
 def possible_hits(urls: DataFrame, shapes: list[tuple[int, int]], known: BlockedFilter) -> DataFrame:
     """urls with `hits`, the candidate texts that the filter cannot exclude."""
     sent = urls.sparkSession.sparkContext.broadcast(known.bits)  # BLOCKS * 32 bytes at most
@@ -120,7 +85,7 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
         F.size(F.split("rule_host", r"\.")).alias("labels"), F.char_length("rule_path").alias("length")).distinct().collect()]
     if not shapes:
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
-    passed = possible_hits(urls, shapes, build_filter(known))
+    passed = possible_hits(urls, shapes, build_filter(known.select(F.xxhash64("key").alias("h")), BLOCKS))
     # a verdict depends on host and path only: what the filter passed is looked up once per canonical url
     asked = passed.filter("size(hits) > 0").select("host", "path", "hits").distinct()
     best = F.expr("struct(char_length(key) AS size, char_length(rule_host) AS host_size, key AS rule, rule_verdict)")

@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from opslens.llm import lexical_search, phrases, url_filters
+from opslens.llm.bloom import build_filter
 from opslens.llm.queries import ORACLE, QUERIES
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -83,11 +84,10 @@ def phrase_rows(rows, least, top):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_phrases_agree_with_brute_force(spark, limits, small):
-    """Small limits make containers burst, tries spill often and buckets split."""
+    """Small limits make containers burst, tries spill often, texts come in chunks and filters let nearly all through."""
     rows = sentences(3, 300, 40) + EDGES * 2
     if small:
-        table = phrases.counts
-        limits(phrases, BURST=4, HELD=500, BUCKETS=3, CHUNK=70, counts=lambda docs, least: table(docs, least, 200))
+        limits(phrases, BURST=4, HELD=500, CHUNK=70, FILTER_BLOCKS=1)
     got = phrases.collocations(made(spark, rows).repartition(3), least=5, top=40)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = phrase_rows(rows, 5, 40)
@@ -160,19 +160,18 @@ def test_a_long_list_of_urls(spark, monkeypatch, blocks):
     rules = sorted({(pick.choice(hosts), pick.choice(paths), "allow") for _ in range(150)})
     rules = [(h, p, "block" if (len(h) + len(p)) % 2 else "allow") for h, p, _ in rules]
     urls = [(i, f"http://{pick.choice(hosts)}.{pick.choice(hosts)}{pick.choice(paths)}{pick.choice(['', '/z', '?q'])}") for i in range(800)]
-    build = url_filters.build_filter
-    monkeypatch.setattr(url_filters, "build_filter", lambda keys: build(keys, blocks))
+    monkeypatch.setattr(url_filters, "BLOCKS", blocks)
     listed = spark.createDataFrame(rules + [(None, "/", "block"), rules[0]], "host string, path string, verdict string")
     got = url_filters.judge(spark.createDataFrame(urls, "page_id long, url string"), listed)
     assert sorted((tuple(r) for r in got.collect()), key=str) == verdicts(urls, rules)
 
 
 def test_the_filter_holds_what_is_listed_and_little_else(spark):
-    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
-    known = url_filters.build_filter(keys)
-    hashes = lambda df: df.select(F.xxhash64("key").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
-    assert known.may_hold(hashes(keys)).all()
-    assert known.may_hold(hashes(spark.range(5000, 15000).select(F.concat(F.lit("k"), "id").alias("key")))).mean() < 0.02
+    keys = spark.range(15000).select("id", F.xxhash64(F.concat(F.lit("k"), "id")).alias("h"))
+    known = build_filter(keys.filter("id < 5000"), 1 << 18)
+    assert len(known.bits) == 512
+    h = np.array([r.h for r in keys.orderBy("id").collect()]).view(np.uint64)
+    assert known.may_hold(h[:5000]).all() and known.may_hold(h[5000:]).mean() < 0.02
 
 
 def terms_of(text):
