@@ -21,15 +21,22 @@ class BlockedFilter:
         self.bits = bits
 
     @staticmethod
-    def places(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        """Block of each hash, and its bit in each word."""
+    def places(h: np.ndarray, blocks: int, words: slice = slice(0, WORDS)) -> tuple[np.ndarray, np.ndarray]:
+        """Block of each hash, and its bit in each of the words."""
         block = (h >> np.uint64(40)).astype(np.int64) % blocks
-        bit = (h[:, None] >> np.arange(0, 5 * WORDS, 5, dtype=np.uint64)) & np.uint64(31)
+        bit = (h[:, None] >> np.arange(0, 5 * WORDS, 5, dtype=np.uint64)[words]) & np.uint64(31)
         return block, np.uint32(1) << bit.astype(np.uint32)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
-        block, bit = self.places(h, len(self.bits))
-        return ((self.bits[block] & bit) == bit).all(axis=1)
+        """Two words of the block decide most absent keys; the others are looked at for what is left."""
+        held = np.ones(len(h), bool)
+        block, bit = self.places(h, len(self.bits), slice(0, 2))
+        for i in (0, 1):
+            held &= (self.bits[block, i] & bit[:, i]) == bit[:, i]
+        some = np.flatnonzero(held)
+        block, bit = self.places(h[some], len(self.bits))
+        held[some] = ((self.bits[block] & bit) == bit).all(axis=1)
+        return held
 
 
 def build_filter(hashes: DataFrame, most: int) -> BlockedFilter:

@@ -94,7 +94,7 @@ class HatTrie:
                 table[r] = seen + c
 
     def spill(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """first, rest, count of all windows, sorted; the trie is empty afterwards."""
+        """first, rest, count of all windows; the trie is empty afterwards."""
         firsts, sizes, rests, counts = [], [], [], []
         for key, (table, deep) in self.root.items():
             held = table.values() if deep else (table,)
@@ -105,9 +105,19 @@ class HatTrie:
                 counts.extend(part.values())
         self.root, self.size = {}, 0
         first = np.repeat(np.array(firsts, np.int64), sizes)
-        rest, count = np.array(rests, np.int64), np.array(counts, np.int64)
-        order = np.lexsort((rest, first))
-        return first[order], rest[order], count[order]
+        return first, np.array(rests, np.int64), np.array(counts, np.int64)
+
+
+def distinct(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different windows and how often each occurs."""
+    low = (LONGEST - 2) * ID_BITS
+    if first.max() < 1 << 62 - ID_BITS and not (rest & (1 << low) - 1).any():  # two words or fewer: one key
+        key, count = np.unique(first << ID_BITS | rest >> low, return_counts=True)
+        return key >> ID_BITS, (key & (1 << ID_BITS) - 1) << low, count
+    order = np.lexsort((rest, first))
+    first, rest = first[order], rest[order]
+    cut = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
+    return first[cut], rest[cut], np.diff(np.append(cut, len(first)))
 
 
 def pack(languages: list[str], words: list[str], columns: list[np.ndarray]) -> bytes:
@@ -117,19 +127,20 @@ def pack(languages: list[str], words: list[str], columns: list[np.ndarray]) -> b
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     head = sink.getvalue().to_pybytes()
-    sizes = np.array([len(head), len(languages), len(columns[0]), len(columns) - 1], np.int64)
-    body = (*(c.astype(np.int32).tobytes() for c in columns[:-1]), columns[-1].astype(np.int64).tobytes())
+    kind = np.uint16 if len(languages) + len(words) < 1 << 16 else np.uint32
+    sizes = np.array([len(head), len(languages), len(columns[0]), len(columns) - 1, kind().itemsize], np.int64)
+    body = (columns[-1].astype(np.int64).tobytes(), *(c.astype(kind).tobytes() for c in columns[:-1]))
     return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), head, *body]))
 
 
 def unpack(run: bytes) -> tuple[pa.Array, pa.Array, list[np.ndarray]]:
     raw = zstandard.ZstdDecompressor().decompress(run)
-    head, languages, n, narrow = np.frombuffer(raw, np.int64, 4).tolist()
-    names = pa.ipc.open_stream(raw[32:32 + head]).read_all()["x"].combine_chunks()
-    at = 32 + head
-    columns = [np.frombuffer(raw, np.int32, n, at + 4 * n * i) for i in range(narrow)]
-    columns.append(np.frombuffer(raw, np.int64, n, at + 4 * n * narrow))
-    return names.slice(0, languages), names.slice(languages), columns
+    head, languages, n, narrow, size = np.frombuffer(raw, np.int64, 5).tolist()
+    names = pa.ipc.open_stream(raw[40:40 + head]).read_all()["x"].combine_chunks()
+    at, kind = 40 + head, np.uint16 if size == 2 else np.uint32
+    count = np.frombuffer(raw, np.int64, n, at)
+    columns = [np.frombuffer(raw, kind, n, at + 8 * n + size * n * i).astype(np.int64) for i in range(narrow)]
+    return names.slice(0, languages), names.slice(languages), [*columns, count]
 
 
 def word_hash(words: pa.Array) -> np.ndarray:
@@ -169,13 +180,17 @@ class Counter:
         # of each position: the phrase may go on with the next word
         joined = np.append(words.piece[1:] == words.piece[:-1], False)
         if self.words is not None:
-            h = word_hash(words.words)[words.number]
-            of_language = word_hash(pa.array(names))[code]
-            common = self.words.may_hold(phrase_hash(of_language, [h]))
+            h, of_language = word_hash(words.words), word_hash(pa.array(names))
+            place, common = code * len(h) + words.number, np.zeros(len(names) * len(h), bool)
+            common[place] = True
+            met = np.flatnonzero(common)
+            common[met] = self.words.may_hold(phrase_hash(of_language[met // len(h)], [h[met % len(h)]]))
+            common = common[place]
             joined[:-1] &= common[1:] & common[:-1]
             if self.pairs is not None:
                 at = np.flatnonzero(joined)
-                joined[at] = self.pairs.may_hold(phrase_hash(of_language[at], [h[at], h[at + 1]]))
+                pair = [h[words.number[at]], h[words.number[at + 1]]]
+                joined[at] = self.pairs.may_hold(phrase_hash(of_language[code[at]], pair))
         number, found = words.number, words.words
         if self.sizes[0] > 1:
             # words outside all windows need no id
@@ -215,10 +230,7 @@ class Counter:
         first, rest = first[at], rest[at]
         if not len(at):
             return
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
-        cut = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
-        self.trie.add(first[cut], rest[cut], np.diff(np.append(cut, len(at))))
+        self.trie.add(*distinct(first, rest))
         if self.trie.size >= HELD:
             yield from self.spill()
 
@@ -229,11 +241,20 @@ class Counter:
         self.start()
         if not len(first):
             return
+        # words in byte order take less room in a run
+        in_order = pc.sort_indices(words)
+        words = words.take(in_order)
+        place = np.zeros(len(words) + 1, np.int64)
+        place[in_order.to_numpy().astype(np.int64) + 1] = np.arange(1, len(words) + 1)
         mask = (1 << ID_BITS) - 1
+        columns = [place[x & mask] for x in (first, rest >> 2 * ID_BITS, rest >> ID_BITS, rest)]
+        key = columns[0] << ID_BITS | columns[1]
+        order = np.argsort((first >> ID_BITS) << 2 * ID_BITS | key) if self.sizes[-1] <= 2 and len(languages) < 1 << 22 else np.lexsort(
+            (columns[3], columns[2], key, first >> ID_BITS))
+        columns, count = [(first >> ID_BITS)[order], *(c[order] for c in columns)], count[order]
         h = np.concatenate(([0], word_hash(words))).astype(np.uint64)
         of_language = word_hash(pa.array(languages, pa.large_string()))
-        columns = [first >> ID_BITS, first & mask, rest >> 2 * ID_BITS, rest >> ID_BITS & mask, rest & mask]
-        differs = np.zeros(len(first), bool)
+        differs = np.zeros(len(count), bool)
         differs[0] = True
         out: list[tuple] = []
         for size in range(LONGEST + 1):
@@ -333,7 +354,7 @@ def filter_of(table: DataFrame) -> BlockedFilter:
 
 def counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, phrase, size, n of all phrases of one to four words with n >= least; size 0 is the language itself, always there."""
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)
 
     def frequent(sizes: tuple[int, ...], *known: BlockedFilter) -> DataFrame:
         held = runs(docs, sizes, buckets, *known)
