@@ -6,7 +6,7 @@ a blocked Bloom filter of the frequent ones denies. The filter is bounded (FILTE
 frequent one, so counts stay exact.
 
 Each pass counts with a HAT-trie per task. A word position adds its window, the word and those after it in the same
-piece. The upper levels of the trie are nodes by word id; below them hang hash containers of packed window rests, and a
+piece. The upper levels of the trie are nodes by word id; below them hang hash containers of packed windows, and a
 container that grows over BURST entries bursts into a node of containers. When the trie holds HELD entries, its
 subtrees leave as sorted runs and the word ids start anew, so memory is bounded. A run holds the phrases of one length
 in one prefix bucket, a hash of language and words; a phrase is one row of a run however often it occurs, so no
@@ -18,6 +18,7 @@ other columns are no input. An empty table gives no rows. Counts are exact; prod
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,13 @@ from opslens.session import stage
 
 LONGEST = 4
 BURST = 4096
-HELD = 1_200_000
+HELD = 800_000
 FILTER_BLOCKS = 1 << 20
 CHUNK = 1_000_000
 ID_BITS = 20
+SECOND_BITS = 8
+UNKNOWN, BURSTED = -1, 1
+NEW = (None, UNKNOWN)
 # fixed values: what ends a piece, and what else ends a word
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 SEPARATORS = BREAKS + " \t"
@@ -50,62 +54,73 @@ COUNTED = "lang string, phrase string, size int, n long"
 
 
 class HatTrie:
-    """Counts of windows: a node is a dict of word id to node or container, a container a dict of packed rest to count."""
+    """Counts of windows: a word of language and word id, and the packed ids of up to three words after it.
 
-    def __init__(self) -> None:
-        self.root: dict[int, dict] = {}
+    The root is a node by blocks of first words. A block starts as one hash container (a dict of packed key to count);
+    one of more than BURST keys bursts into a node with a container per first word, and such a container into one per block
+    of second words. So rare words share a container and frequent ones have a subtree.
+    """
+
+    def __init__(self, rest_bits: int = (LONGEST - 1) * ID_BITS) -> None:
+        self.rest_bits = rest_bits
+        self.unused = (LONGEST - 1) * ID_BITS - rest_bits
+        self.first_bits = min(6 if rest_bits else 12, 62 - rest_bits)
+        # a container below the root is named by the key without these bits
+        self.below = (rest_bits, max(0, rest_bits - ID_BITS + SECOND_BITS))
+        self.root: dict[int, tuple[dict, int]] = {}
         self.size = 0
 
     def add(self, first: np.ndarray, rest: np.ndarray, count: np.ndarray) -> None:
-        """Distinct windows sorted by `first` (language and first word); rest packs the next three ids, ID_BITS each."""
-        cut = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        ends = np.append(cut[1:], len(first)).tolist()
-        rests, counts = rest.tolist(), count.tolist()
-        for key, i, j in zip(first[cut].tolist(), cut.tolist(), ends):
-            held = self.root.get(key)
-            if held is None:
-                held = self.root[key] = ({}, 0)
-            table, deep = held
-            if deep:
-                self._add_below(table, rests[i:j], counts[i:j])
+        """Distinct windows sorted by `first` and `rest`; rest packs the next three ids, ID_BITS each."""
+        key = (first & (1 << self.first_bits) - 1) << self.rest_bits | rest >> self.unused
+        self._put(self.root, first >> self.first_bits, key, count, 0)
+
+    def _put(self, node: dict[int, tuple[dict, int]], name: np.ndarray, key: np.ndarray, count: np.ndarray, level: int) -> None:
+        begin = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+        ends = np.append(begin[1:], len(name)).tolist()
+        keys, counts = key.tolist(), count.tolist()
+        for child, i, j in zip(name[begin].tolist(), begin.tolist(), ends):
+            table, deep = node.get(child, NEW)
+            if deep == BURSTED:
+                self._put(table, key[i:j] >> self.below[level], key[i:j], count[i:j], level + 1)
                 continue
+            if deep == UNKNOWN:
+                table = {}
+                node[child] = (table, 0)
             before = len(table)
             get = table.get
-            for r, c in zip(rests[i:j], counts[i:j]):
-                table[r] = get(r, 0) + c
+            for k, c in zip(keys[i:j], counts[i:j]):
+                table[k] = get(k, 0) + c
             self.size += len(table) - before
-            if len(table) > BURST:
-                self.root[key] = (self._burst(table), 1)
-
-    def _burst(self, table: dict[int, int]) -> dict[int, dict[int, int]]:
-        node: dict[int, dict[int, int]] = {}
-        for r, c in table.items():
-            node.setdefault(r >> 2 * ID_BITS, {})[r] = c
+            if len(table) > BURST and level < len(self.below):
+                node[child] = (self._burst(table, self.below[level]), BURSTED)
+
+    @staticmethod
+    def _burst(table: dict[int, int], shift: int) -> dict[int, tuple[dict, int]]:
+        node: dict[int, tuple[dict, int]] = {}
+        for k, c in table.items():
+            node.setdefault(k >> shift, ({}, 0))[0][k] = c
         return node
 
-    def _add_below(self, node: dict, rests: list[int], counts: list[int]) -> None:
-        for r, c in zip(rests, counts):
-            table = node.setdefault(r >> 2 * ID_BITS, {})
-            seen = table.get(r)
-            if seen is None:
-                self.size += 1
-                table[r] = c
-            else:
-                table[r] = seen + c
-
     def spill(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """first, rest, count of all windows; the trie is empty afterwards."""
-        firsts, sizes, rests, counts = [], [], [], []
-        for key, (table, deep) in self.root.items():
-            held = table.values() if deep else (table,)
-            firsts.append(key)
-            sizes.append(sum(map(len, held)))
-            for part in held:
-                rests.extend(part.keys())
-                counts.extend(part.values())
+        blocks, sizes, parts = [], [], []
+        for block, held in self.root.items():
+            todo = [held]
+            while todo:
+                table, deep = todo.pop()
+                if deep:
+                    todo += table.values()
+                    continue
+                blocks.append(block)
+                sizes.append(len(table))
+                parts.append(table)
+        n = sum(sizes)
+        key = np.fromiter(itertools.chain.from_iterable(parts), np.int64, n)
+        count = np.fromiter(itertools.chain.from_iterable(t.values() for t in parts), np.int64, n)
         self.root, self.size = {}, 0
-        first = np.repeat(np.array(firsts, np.int64), sizes)
-        return first, np.array(rests, np.int64), np.array(counts, np.int64)
+        first = np.repeat(np.array(blocks, np.int64), sizes) << self.first_bits | key >> self.rest_bits
+        return first, (key & (1 << self.rest_bits) - 1) << self.unused, count
 
 
 def distinct(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +135,9 @@ def distinct(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[cut], rest[cut], np.diff(np.append(cut, len(first)))
 
 
-def pack(languages: list[str], words: list[str], columns: list[np.ndarray]) -> bytes:
+def pack(languages: pa.Array, words: pa.Array, columns: list[np.ndarray]) -> bytes:
     """A run: its languages and words, then language, word numbers and count per phrase."""
-    table = pa.table({"x": pa.array(languages + words)})
+    table = pa.table({"x": pa.concat_arrays([languages, words])})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -169,7 +184,7 @@ class Counter:
         self.start()
 
     def start(self) -> None:
-        self.trie, self.ids, self.languages = HatTrie(), {}, {}
+        self.trie, self.ids, self.languages = HatTrie((self.sizes[-1] - 1) * ID_BITS), {}, {}
 
     def add(self, texts: pa.Array, languages: list[str]) -> Iterator[pa.RecordBatch]:
         words = Words(texts, byte_class(SEPARATORS), byte_class(BREAKS))
@@ -237,7 +252,7 @@ class Counter:
     def spill(self) -> Iterator[pa.RecordBatch]:
         """All subtrees as sorted runs, one per bucket and phrase length."""
         first, rest, count = self.trie.spill()
-        languages, words = list(self.languages), pa.array(list(self.ids), pa.large_string())
+        names, words = pa.array(list(self.languages), pa.large_string()), pa.array(list(self.ids), pa.large_string())
         self.start()
         if not len(first):
             return
@@ -249,11 +264,11 @@ class Counter:
         mask = (1 << ID_BITS) - 1
         columns = [place[x & mask] for x in (first, rest >> 2 * ID_BITS, rest >> ID_BITS, rest)]
         key = columns[0] << ID_BITS | columns[1]
-        order = np.argsort((first >> ID_BITS) << 2 * ID_BITS | key) if self.sizes[-1] <= 2 and len(languages) < 1 << 22 else np.lexsort(
+        order = np.argsort((first >> ID_BITS) << 2 * ID_BITS | key) if self.sizes[-1] <= 2 and len(names) < 1 << 22 else np.lexsort(
             (columns[3], columns[2], key, first >> ID_BITS))
         columns, count = [(first >> ID_BITS)[order], *(c[order] for c in columns)], count[order]
         h = np.concatenate(([0], word_hash(words))).astype(np.uint64)
-        of_language = word_hash(pa.array(languages, pa.large_string()))
+        of_language = word_hash(names)
         differs = np.zeros(len(count), bool)
         differs[0] = True
         out: list[tuple] = []
@@ -267,13 +282,13 @@ class Counter:
             at, total = at[whole], total[whole]
             phrase = [c[at] for c in columns[: size + 1]]
             bucket = phrase_hash(of_language[phrase[0]], [h[c] for c in phrase[1:]]) % np.uint64(self.buckets)
-            order = np.argsort(bucket.astype(np.int64), kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64))
+            bucket = bucket.astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=self.buckets)))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 rows = order[edges[b]:edges[b + 1]]
                 used, local = np.unique(np.concatenate([c[rows] for c in phrase[1:]]), return_inverse=True)
-                named = words.take(pa.array(used - 1)).to_pylist()
-                out.append((b, size, pack(languages, named, [phrase[0][rows], *np.split(local, size), total[rows]])))
+                out.append((b, size, pack(names, words.take(pa.array(used - 1)), [phrase[0][rows], *np.split(local, size), total[rows]])))
         yield pa.record_batch([
             pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()),
         ], names=["bucket", "size", "run"])
@@ -325,7 +340,7 @@ def merge_runs(least: int):
         total = np.add.reduceat(count, at)
         at, total = at[total >= least], total[total >= least]
         lang, n, sizes = names.take(pa.array(words[0][at])), total, np.full(len(at), size)
-        phrase = pc.binary_join_element_wise(*(names.take(pa.array(w[at])) for w in words[1:]), " ")
+        phrase = pc.binary_join_element_wise(*(names.take(pa.array(w[at])) for w in words[1:]), pa.scalar(" ", names.type))
         if size == 1:
             of_language = np.bincount(words[0], weights=count).astype(np.int64)  # exact below 2**53 words a bucket
             seen = np.flatnonzero(of_language)

@@ -51,7 +51,8 @@ class Words:
         first[at_edge] = inside[at_edge]
         starts = np.flatnonzero(first)
         kept = LOWER[raw[inside]]
-        before = np.cumsum(inside)
+        narrow = np.int32 if size < 1 << 31 else np.int64
+        before = np.cumsum(inside, dtype=narrow)
         begins = before[starts] - 1 if len(starts) else np.zeros(0, np.int64)
         bounds = np.append(begins, len(kept)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
@@ -60,4 +61,4 @@ class Words:
         self.words = coded.dictionary
         self.text = np.searchsorted(edge, starts, "right") - 1
         if breaks is not None:
-            self.piece = np.cumsum(breaks[raw])[starts] + self.text if size else starts
+            self.piece = np.cumsum(breaks[raw], dtype=narrow)[starts] + self.text if size else starts
