@@ -1,7 +1,7 @@
 """Packing of documents into sequences of a fixed capacity by Karmarkar-Karp differencing.
 
 A document is its token ids and an end id. It is cut into full pieces of `capacity` ids, which are sequences
-of their own, and a rest; a rest gives up a piece of half and then one of a quarter of the capacity if it is
+of their own and take no part in the grouping, and a rest; a rest gives up a piece of half and then one of a quarter of the capacity if it is
 longer, since small pieces balance better (1 % of padding instead of 3.5 %). Rests are dealt at random into blocks of about BLOCK pieces, and each block
 is partitioned into windows by multiway differencing: every piece starts as a partial partition with one
 filled window; again and again the two partial partitions with the largest imbalance are merged, the
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.merging import union_all
 from opslens.llm.tokens import tokenizer
 from opslens.session import stage
 
@@ -31,6 +32,7 @@ CAPACITY = 2048
 END_ID = 1
 BLOCK = 512
 WINDOW_BITS = 24
+FULL = 1 << 62
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -114,27 +116,28 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """The pieces with sequence_id and offset. Every column of theirs is kept."""
     held = stage(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    loose = held.filter(F.col("length") < capacity).count()
-    blocks = max(1, -(-loose // block))
+    # a full piece is a sequence of its own, numbered by its row
+    full = held.filter(F.col("length") >= capacity).select(
+        *parts.columns, F.col("_row").bitwiseOR(F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    loose = held.filter(F.col("length") < capacity)
+    blocks = max(1, -(-loose.count() // block))
     group = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")
 
     def solve(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("_row", "ascending")])
         sizes = rows["length"].to_pylist()
         window, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        full = sum(n >= capacity for n in sizes)
-        window[:full] = np.arange(full)
-        for k, members in enumerate(windows_of(sizes[full:], capacity)):
+        for k, members in enumerate(windows_of(sizes, capacity)):
             at = 0
             for i in members:
-                window[full + i], offset[full + i] = full + k, at
-                at += sizes[full + i]
+                window[i], offset[i] = k, at
+                at += sizes[i]
         number = (rows["_block"].to_numpy().astype(np.int64) << WINDOW_BITS) + window
         return rows.drop_columns(["_row", "_block"]).append_column("sequence_id", pa.array(number)).append_column(
             "offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return held.withColumn("_block", group).groupBy("_block").applyInArrow(solve, schema)
+    return union_all(full, loose.withColumn("_block", group).groupBy("_block").applyInArrow(solve, schema))
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
