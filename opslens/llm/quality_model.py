@@ -8,9 +8,11 @@ nothing with either dictionary), fitted on labelled texts that neither dictionar
 labels' own frequency, turns it into a probability.
 
 The model is fitted in one task on at most SAMPLE_ROWS labelled documents per class (those with the smallest
-MD5 of their doc_id). Labels of rows in the held-out fold are never read. A null or empty text
+MD5 of their doc_id; of a repeated doc_id the text with the smallest MD5), of at most SAMPLE_BYTES each. Labels of rows
+in the held-out fold are never read. A null or empty text
 compresses to nothing and scores what the curve gives for no difference and no compression. Repeated rows get equal
-scores; ids and other columns are no input. Without labelled rows of both classes fitting is an error.
+scores; ids and other columns are no input. Without labelled rows of both classes all score the share of good labels,
+a half if there are none.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
+from opslens.llm.common import whole
 
 SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 1 << 16
 PIECE = 2048
 DICT_BYTES = 64 * 1024
 LEVEL = 3
@@ -40,15 +44,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """text, label of at most `rows` documents per class from outside the held-out fold."""
+    """doc_id, label, text of at most `rows` documents per class from outside the held-out fold, one text per doc_id."""
     known = labels.filter(~held_out(F.col("doc_id"))).filter("doc_id IS NOT NULL")
     pick = [
         known.filter(F.col(label) == k).select(F.col("doc_id").alias("_id"), F.lit(k).alias("label"))
         .distinct().orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(rows)
         for k in (0, 1)
     ]
-    return docs.join(F.broadcast(union_all(*pick)), F.col("doc_id") == F.col("_id")).select(  # at most 2 * rows ids
-        "doc_id", F.col("text").cast("string"), "label")
+    found = docs.join(F.broadcast(union_all(*pick)), F.col("doc_id") == F.col("_id")).select(  # at most 2 * rows ids
+        "doc_id", "label", whole(F.col("text").cast("string")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text"))
+
+
+def fitted(sample: DataFrame, train, schema: str) -> Row | None:
+    """What train(texts, labels) gives in the one task that the sample, and nothing before it, is brought to."""
+
+    def fit_all(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(stream)
+        if batches:
+            rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("label", "ascending")])
+            yield train([t.encode() for t in rows["text"].to_pylist()], rows["label"].to_numpy())
+
+    return sample.repartition(1).mapInArrow(fit_all, schema).first()
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -98,13 +115,18 @@ def curve(model: dict, measures: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(measures @ model["curve"][:-1] + model["curve"][-1], -30, 30)))
 
 
+def untrained(odds: float) -> dict:
+    """Scores the share of good labels, whatever the text."""
+    return {"good": b" " * 8, "bad": b" " * 8, "curve": np.array([0.0, 0.0, np.log(odds)])}
+
+
 def fit_texts(texts: list[bytes], label: np.ndarray, odds: float = 1.0) -> dict:
     """Every second text of a class builds the dictionaries, the others the curve; odds: how many good rows a bad one has."""
     turn = np.zeros(len(label), int)
     for k in (0, 1):
         turn[label == k] = np.arange((label == k).sum()) % 2
     if len(set(label.tolist())) < 2:
-        raise ValueError("labelled rows of both classes are needed")
+        return untrained(odds)
     pick = lambda k, t: [x for x, a, b in zip(texts, label, turn) if a == k and b == t]
     model = {"good": dictionary(pick(1, 0)), "bad": dictionary(pick(0, 0))}
     other = turn == 1 if len(set(label[turn == 1].tolist())) == 2 else turn >= 0
@@ -121,15 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         F.count_if(F.col(label) == 1).alias("good"), F.count_if(F.col(label) == 0).alias("bad")).first()
     odds = (seen["good"] + 1) / (seen["bad"] + 1)
 
-    def train(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = pa.Table.from_batches(list(stream)).sort_by("doc_id")
-        texts = [(t or "").encode() for t in sample["text"].to_pylist()]
-        model = fit_texts(texts, sample["label"].to_numpy(), odds)
-        yield pa.record_batch([pa.array([pickle.dumps(model)])], names=["model"])
+    def train(texts: list[bytes], label: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([pickle.dumps(fit_texts(texts, label, odds))])], names=["model"])
 
-    sample = labelled_sample(docs, labels, label, rows)
-    found = sample.coalesce(1).mapInArrow(train, "model binary").first()
-    return pickle.loads(found["model"])
+    found = fitted(labelled_sample(docs, labels, label, rows), train, "model binary")
+    return pickle.loads(found["model"]) if found else untrained(odds)
 
 
 def with_score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:

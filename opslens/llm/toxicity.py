@@ -8,7 +8,7 @@ at least SEEN_IN documents of the sample and in clearly more toxic than other on
 
 The model is fitted in one task on at most SAMPLE_ROWS labelled documents per class, chosen and held out
 as in quality_model. A null or empty text has no sentence and scores 0. Repeated rows get equal
-scores; ids and other columns are no input. Without labelled rows of both classes fitting is an error.
+scores; ids and other columns are no input. Without labelled rows of both classes nothing is learned: all score below 1e-9.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm import hashing
-from opslens.llm.quality_model import held_out, labelled_sample
+from opslens.llm.quality_model import fitted, held_out, labelled_sample
 
 SAMPLE_ROWS = 2000
 FILTER_BITS = 22
@@ -80,6 +80,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+UNTRAINED = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+
+
 def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
@@ -102,7 +105,7 @@ def telling(number: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarra
 def fit_texts(texts: list[bytes], label: np.ndarray) -> Model:
     """Weights and bias by full-batch Adam on the noisy-or's log loss; classes weigh the same."""
     if len(set(label.tolist())) < 2:
-        raise ValueError("labelled rows of both classes are needed")
+        return UNTRAINED
     parts, s0 = [], 0
     for i, j in hashing.text_groups(texts):
         number, sentence, doc, _ = features(texts[i:j])
@@ -131,15 +134,14 @@ def fit_texts(texts: list[bytes], label: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """The model, fitted in a task; what comes back are at most MAX_FEATURES hashes with weights, and a bias."""
 
-    def train(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = pa.Table.from_batches(list(stream)).sort_by("doc_id")
-        texts = [(t or "").encode().translate(LOWER) for t in sample["text"].to_pylist()]
-        found = fit_texts(texts, sample["label"].to_numpy())
-        yield pa.record_batch([pa.array([found.keys.tobytes()]), pa.array([found.weights.tobytes()]), pa.array([found.bias])],
-                              names=["keys", "weights", "bias"])
+    def train(texts: list[bytes], label: np.ndarray) -> pa.RecordBatch:
+        found = fit_texts([t.translate(LOWER) for t in texts], label)
+        return pa.record_batch([pa.array([found.keys.tobytes()]), pa.array([found.weights.tobytes()]), pa.array([found.bias])],
+                               names=["keys", "weights", "bias"])
 
-    sample = labelled_sample(docs, labels, label, rows)
-    found = sample.coalesce(1).mapInArrow(train, "keys binary, weights binary, bias double").first()
+    found = fitted(labelled_sample(docs, labels, label, rows), train, "keys binary, weights binary, bias double")
+    if found is None:
+        return UNTRAINED
     return Model(np.frombuffer(found["keys"], np.uint64), np.frombuffer(found["weights"], np.float64), found["bias"])
 
 
