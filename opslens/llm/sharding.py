@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from opslens.llm.common import whole
 
 SLOT_BLOCKS = 1024
+EQUAL_ROWS = 1 << 16
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -29,8 +30,8 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     weight = F.array(*[F.lit(float(w)) for w in weights])
 
     def score(shard: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, shard), 11)
-        return F.struct((-F.get(weight, shard) / F.log((bits + 0.5) / F.lit(2.0**53))).alias("score"), shard.alias("shard"))
+        bits = F.shiftrightunsigned(F.xxhash64(key, shard), 12)  # 52 bits and a half are exact, so u is never 1
+        return F.struct((-F.get(weight, shard) / F.log((bits + 0.5) / F.lit(2.0**52))).alias("score"), shard.alias("shard"))
 
     return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), score))["shard"]
 
@@ -42,24 +43,28 @@ def with_shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", n
 def with_slot(rows: DataFrame, key: str = "doc_id", shard: str = "shard", blocks: int = SLOT_BLOCKS) -> DataFrame:
     """Adds slot: a gapless number from 0 within each shard.
 
-    A shard's rows are numbered in `blocks` hash blocks of their key; where a block begins is the sum of
+    A shard's rows are numbered in `blocks` hash blocks; where a block begins is the sum of
     the counts before it. So a shard of any size is spread over up to `blocks` tasks, and what passes one
-    window is `blocks` counts.
+    window is `blocks` counts. Rows of one key differ in their block if they differ at all; equal rows are numbered as one
+    row with a count and told apart afterwards.
     """
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(blocks)).cast("int"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    rest = [c for c in rows.columns if c not in (shard, key, "_n")]
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit("slot"), F.col(key), *rest), F.lit(blocks)).cast("int"))
     before = W.partitionBy("_shard").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        rows.groupBy(F.col(shard).alias("_shard"), F.col("_block").alias("_of")).count()
-        .withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .drop("count")
+        rows.groupBy(F.col(shard).alias("_shard"), F.col("_block").alias("_of")).agg(F.sum("_n").alias("_size"))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .drop("_size")
     )
-    rest = [c for c in rows.columns if c not in (shard, "_block", key)]
-    here = W.partitionBy(shard, "_block").orderBy(key, *rest)
-    numbered = rows.withColumn("_rank", F.row_number().over(here) - 1)
+    here = W.partitionBy(shard, "_block").orderBy(key, *rest).rowsBetween(W.unboundedPreceding, -1)
+    numbered = rows.withColumn("_rank", F.coalesce(F.sum("_n").over(here), F.lit(0)))
     return (
         numbered.join(starts, (F.col(shard) == F.col("_shard")) & (F.col("_block") == F.col("_of")))
-        .withColumn("slot", F.col("_start") + F.col("_rank"))
-        .drop("_block", "_shard", "_of", "_start", "_rank")
+        .withColumn("_some", F.explode(F.expr(f"sequence(0L, (_n - 1) div {EQUAL_ROWS})")))
+        .withColumn("_copy", F.explode(F.expr(f"sequence(_some * {EQUAL_ROWS}, least(_n, (_some + 1) * {EQUAL_ROWS}) - 1)")))
+        .withColumn("slot", F.col("_start") + F.col("_rank") + F.col("_copy"))
+        .drop("_n", "_some", "_copy", "_block", "_shard", "_of", "_start", "_rank")
     )
 
 
