@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule rejects a document on a few counts of its text. What a rule costs and how much it rejects is
-estimated on a bounded random sample, and the rules run in descending order of rejection per cost, both
+Every rule rejects a document on a few counts of its text. What a rule costs (its counts are timed) and how much it
+rejects is estimated on a bounded random sample, and the rules run in descending order of rejection per cost, both
 taken over the documents that the rules before them leave. A document leaves the cascade at the first rule
 that rejects it, so later counts are not made for it. The order changes the work only; a document is kept if no
 rule rejects it.
@@ -14,13 +14,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from time import perf_counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.common import let, strip, whole, words
+from opslens.session import stage
 
 SAMPLE_ROWS = 2000
+TIMED_ROWS = 8000
+LEAST_COST = 1e-7
 INDEX_BITS = 28
 
 
@@ -85,18 +89,6 @@ COUNTS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-# What a count takes, in nanoseconds (measured, rough) for each character, word and line of the text.
-COSTS: dict[str, tuple[float, float, float]] = {
-    "n_words": (0, 1, 0),
-    "word_chars": (2, 20, 0),
-    "n_symbols": (8, 0, 0),
-    "n_dup_lines": (2, 0, 100),
-    "n_repeat_words": (0, 500, 0),
-    "n_lines": (2, 0, 50),
-    "n_shouts": (8, 0, 0),
-}
-
-
 @dataclass(frozen=True)
 class Rule:
     """rejects: from the counts; uses: the counts."""
@@ -122,30 +114,50 @@ def counts_of(text: Column, w: Column, names: Sequence[str]) -> dict[str, Column
     return {name: COUNTS[name](text, w) for name in names}
 
 
+def costs(sample: DataFrame, rows: int, names: Sequence[str]) -> dict[str, float]:
+    """Seconds a document of each count, timed over a sample(text, _w) of so many rows, repeated up to TIMED_ROWS."""
+    times = max(1, -(-TIMED_ROWS // rows))
+    many = sample.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def took(value: Column) -> float:
+        def once() -> float:
+            begin = perf_counter()
+            many.agg(F.sum(value)).collect()
+            return perf_counter() - begin
+
+        return min(once(), once())
+
+    reading = took(F.size("_w") + F.char_length("text"))
+    values = counts_of(F.col("text"), F.col("_w"), names)
+    return {name: max(LEAST_COST, (took(value) - reading) / (rows * times)) for name, value in values.items()}
+
+
 def ranked(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules in descending order of rejection per cost, estimated on about sample_rows random rows.
 
-    The sample comes back as sums per set of rejecting rules. Each turn takes the rule that rejects the most
-    of what is left per nanosecond and drops what it rejects. Rules that reject nothing more run last, the
-    cheapest first. An empty table leaves the rules as given. The draw is seeded; ties keep the given order.
+    The sample is written once. What comes back are the time of each count and the rows per set of rejecting rules. Each turn takes the
+    rule that rejects the most of what is left per second and drops what it rejects. Rules that reject nothing more
+    run last, the cheapest first. An empty table leaves the rules as given. The draw is seeded; ties keep the given order.
     """
     n = docs.count()
     if not n:
         return list(rules)
-    some = docs.select("text").sample(min(1.0, sample_rows / n), seed=42).withColumn("_w", words(F.col("text")))
-    every = sorted({u for r in rules for u in r.uses} | {"n_words", "n_lines"})
-    counted = some.select(F.char_length(whole(F.col("text"))).alias("_chars"), *[
-        v.alias(k) for k, v in counts_of(F.col("text"), F.col("_w"), every).items()])
+    drawn = docs.select(whole(F.col("text")).alias("text")).sample(min(1.0, sample_rows / n), seed=42)
+    some = stage(drawn.repartition(1).withColumn("_w", words(F.col("text"))), "rule-sample")
+    every = sorted({u for r in rules for u in r.uses})
+    counted = some.select(*[v.alias(k) for k, v in counts_of(F.col("text"), F.col("_w"), every).items()])
     verdicts = F.array(*[r.rejects({u: F.col(u) for u in r.uses}) for r in rules])
-    left = counted.groupBy(verdicts.alias("by")).agg(
-        F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("_chars", "n_words", "n_lines")]).collect()
+    left = counted.groupBy(verdicts.alias("by")).agg(F.count("*").alias("rows")).collect()
+    if not left:
+        return list(rules)
+    cost = costs(some, sum(g["rows"] for g in left), every)
     order: list[Rule] = []
     while len(order) < len(rules):
-        size = [sum(g[c] for g in left) for c in ("_chars", "n_words", "n_lines")]
+        size = sum(g["rows"] for g in left)
 
         def worth(i: int) -> tuple[float, float]:
-            cost = 1.0 + sum(unit * x for u in rules[i].uses for unit, x in zip(COSTS.get(u, (1, 0, 0)), size))
-            return sum(g["rows"] for g in left if g["by"][i]) / cost, -cost
+            seconds = sum(cost[u] for u in rules[i].uses)
+            return sum(g["rows"] for g in left if g["by"][i]) / (max(1, size) * seconds), -seconds
 
         best = max((i for i, r in enumerate(rules) if r not in order), key=worth)
         order.append(rules[best])
@@ -180,8 +192,10 @@ def digest(docs: DataFrame) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     more = [u for u in sorted({u for r in RULES for u in r.uses}) if u not in base]
     held = docs.select("doc_id", "text", words(F.col("text")).alias("_w"))
-    counted = held.select("doc_id", *[v.alias(k) for k, v in counts_of(F.col("text"), F.col("_w"), [*base, *more]).items()])
-    cols = {u: F.col(u) for u in (*base, *more)}
+    text, w = F.col("text"), F.col("_w")
+    counted = held.select("doc_id", "text", "_w", *[v.alias(k) for k, v in counts_of(text, w, base).items()])
+    # the base counts are asked for; the others are made as far as the cascade comes to them
+    cols = {u: F.col(u) for u in base} | counts_of(text, w, more)
     failed = [r.rejects(cols) for r in RULES if r.name in BASE]
     return counted.select(
         "doc_id", *base, (failed[0] | failed[1]).alias("base_failed"),
