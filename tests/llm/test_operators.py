@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from opslens.llm import (
@@ -28,6 +33,7 @@ from opslens.llm import (
     token_files,
     toxicity,
 )
+from opslens.llm.common import words
 from opslens.llm.tokens import tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -438,3 +444,82 @@ def test_rules_run_by_rejection_per_cost(docs):
     order = [r.name for r in quality_rules.ranked(docs)]
     assert sorted(order) == sorted(r.name for r in quality_rules.RULES) and order[0] == "too_short"
     assert order.index("repeats_itself") > 0
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_model])
+def test_classifiers_without_documents_or_labels(spark, empty, module):
+    docs, labels, rows, _ = labelled(spark, 30)
+    assert module.digest(empty, labels).count() == 0
+    for known in (labels.filter("false"), labels.filter("toxic = 1 AND quality = 1")):
+        out = module.digest(docs, known).collect()
+        assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+        assert module is quality_model or all(r.score < 1e-9 for r in out)
+
+
+def test_the_fit_reads_a_bounded_sample(spark):
+    """Ids of many rows bring one text, long texts stay out, and only the sample comes to one task."""
+    docs, labels, rows, truth = labelled(spark, 60)
+    more = docs.selectExpr("doc_id", "concat(text, ' x') AS text", *docs.columns[2:])
+    long = docs.filter("doc_id = 2").selectExpr("doc_id", "repeat('z', 70000) AS text", *docs.columns[2:])
+    got = quality_model.labelled_sample(docs.union(docs).union(more).union(long), labels, "toxic", 5).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10 and all(len(r.text) < 70000 for r in got)
+    assert sum(r.label for r in got) == 5
+
+
+def test_noisy_or_and_size_difference_by_hand():
+    p, doc = np.array([0.1, 0.5, 0.9, 0.0]), np.array([0, 0, 2, 2])
+    assert np.allclose(toxicity.noisy_or(p, doc, 3), [1 - 0.9 * 0.5, 0, 0.9])
+    good, bad = b"the river runs to the sea " * 40, b"BUY NOW!! CHEAP!! " * 60
+    both = quality_model.Compressors(good, bad)
+    for text in (b"", b"the river runs", b"BUY CHEAP!! NOW!!" * 300):
+        sizes = []
+        for content in (bad, good):
+            one = zstandard.ZstdCompressor(
+                level=quality_model.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(one.compress(text[i:i + 2048])) for i in range(0, len(text), 2048)))
+        want = (sizes[0] - sizes[1]) / (sum(sizes) + 64)
+        assert both.measures(text)[0] == pytest.approx(want)
+
+
+def winner(key, shards):
+    def score(s):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", s), seed=h) >> 12) + 0.5) / 2.0**52
+        return -1 / math.log(u), s
+
+    return max(map(score, range(shards)))[1]
+
+
+def test_shards_by_brute_force(spark, rows):
+    """With rows that repeat an id, equal or not, and ids that are null."""
+    many = [r[:5] for r in rows + rows[:3] * 40] + [(rows[0][0], "another text", "en", "s", 12), (None, "x", None, None, 1), (None, "y", None, None, 1)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sharding.digest(docs).collect()
+    assert sorted((r.doc_id or -1, r.text_crc32) for r in out) == sorted((r[0] or -1, zlib.crc32((r[1] or "").encode())) for r in many)
+    for r in out:
+        if r.doc_id is not None:
+            assert (r.shard, r.grown_shard) == (winner(r.doc_id, 24), winner(r.doc_id, 25))
+    assert len({r.shard for r in out if r.doc_id is None}) == 1
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
+def test_slots_of_very_many_equal_rows(spark):
+    same = spark.range(200000).selectExpr("1L AS doc_id", "'x' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    out = sharding.digest(same).agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("top"), F.min("slot").alias("low")).first()
+    assert tuple(out) == (200000, 199999, 0)
+
+
+def test_full_pieces_stay_out_of_the_groups(spark):
+    """One document of many full pieces: each is a sequence of its own, and no group is made for them."""
+    parts = spark.range(3000).selectExpr("7L AS doc_id", "id * 2048 AS start", "if(id = 2999, 5L, 2048L) AS length")
+    out = packing.pack(parts).collect()
+    assert len({r.sequence_id for r in out}) == 3000 and all(r.offset == 0 for r in out)
+    assert sum(r.sequence_id >= packing.FULL for r in out) == 2999
+
+
+def test_costs_are_timed_on_the_sample(docs):
+    sample = docs.selectExpr("coalesce(text, '') AS text").withColumn("_w", words(F.col("text")))
+    cost = quality_rules.costs(sample, docs.count(), list(quality_rules.COUNTS))
+    assert set(cost) == set(quality_rules.COUNTS) and min(cost.values()) >= quality_rules.LEAST_COST
+    assert cost["n_repeat_words"] > cost["n_words"]
