@@ -120,7 +120,7 @@ def _(spark, sf):
 def _(spark, sf):
     # five keys hold all rows, so their islands take the chunked path
     events = t.events(spark, sf).withColumn("fingerprint", F.col("source"))
-    return dedup_events(events, 3600, short_island_rows=50, block_rows=4096).select("seq", "source", ntz("ts"))
+    return dedup_events(events, 3600, short_island_rows=50, chunk_rows=4096, block_rows=4096).select("seq", "source", ntz("ts"))
 
 
 @query("a06_dedup_stream")

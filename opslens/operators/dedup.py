@@ -9,20 +9,23 @@ from being one sequential walk per fingerprint:
    time at once.
 2. A remaining row more than W after its predecessor is always kept, so the chain restarts there.
    The rows from one restart to the next form an island; islands are independent.
-3. In an island cut into time chunks, the chain inside a chunk depends on the chunks before only
-   through the last kept time. Each chunk is therefore reduced to a table entry -> last kept time.
-
-Short islands are folded as one sorted array in the JVM. Long ones, which a hot fingerprint makes,
-are walked chunk by chunk in parallel; only the chunk tables pass through a fold per island.
+3. In an island cut into chunks of rows, the chain inside a chunk depends on the chunks before only
+   through the last kept time. Each chunk is therefore a monotone step function: last kept time before it
+   -> last kept time after it.
+
+Short islands are folded as one sorted array in the JVM. Long ones, which a hot fingerprint makes, are cut into chunks of
+at most CHUNK_ROWS rows. The step functions of FANOUT neighbouring chunks are composed into one, those of FANOUT such groups
+again, and so on up to one group per island; on the way down each group hands its children the last kept time before them.
+A function only has steps for the rows of one window, so a task holds FANOUT times the rows of a window at most.
+Then all chunks are walked at the same time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opslens.functions.merging import union_all
@@ -31,8 +34,13 @@ from opslens.session import ship, stage
 
 ship(__name__)
 
-SHORT_ISLAND_ROWS = 10_000
-CHUNK_WINDOWS = 64
+SHORT_ISLAND_ROWS = 2_000
+CHUNK_ROWS = 1 << 16
+FANOUT = 16
+NEVER = -(1 << 62)  # nothing was kept before
+
+MAP = "fp string, island bigint, node bigint, begin bigint, entry bigint, last bigint"
+BEFORE = "fp string, island bigint, node bigint, before bigint"
 
 
 def _islands(rows: DataFrame, window_us: int, block_rows: int) -> DataFrame:
@@ -64,56 +72,90 @@ def _fold(rows: Column, window_us: int) -> Column:
     return F.aggregate(rows, start, step, lambda state: state["kept"])
 
 
-def _chunk_table(window_us: int):
-    """One (fp, island, chunk) -> its entries: a chain that kept `entry` first keeps `last` last."""
+def _shortest(entry: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries that lead to the same last row only the latest is needed."""
+    keep = np.append(last[1:] != last[:-1], True)[: len(last)]
+    return entry[keep], last[keep]
+
+
+def steps(t: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a chunk with the sorted times t: (entry, last).
+
+    A chain enters at the first row after (last kept before) + W and then keeps `last` last. It enters no later than at
+    the first row more than W after the chunk's first one. If even the last entry is too early, nothing is kept.
+    """
+    follow = np.searchsorted(t, t + window_us, side="right")
+    last = t.copy()
+    for i in range(len(t) - 1, -1, -1):
+        if follow[i] < len(t):
+            last[i] = last[follow[i]]
+    entries = min(len(t), int(np.searchsorted(t, t[0] + window_us, side="right")) + 1)
+    return _shortest(t[:entries], last[:entries])
+
+
+def passed(entry: np.ndarray, last: np.ndarray, before: np.ndarray, window_us: int) -> np.ndarray:
+    """The last kept times after a chunk, given those before it."""
+    at = np.searchsorted(entry, before + window_us, side="right")
+    return np.where(at < len(entry), last[np.minimum(at, len(entry) - 1)], before)
+
+
+def composed(
+    begin: int, first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray], window_us: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a chunk that begins at `begin` and of the one after it, as one."""
+    entry, last = first[0], passed(*then, first[1], window_us)
+    if entry[-1] <= begin + window_us:  # a chain may still be silent through all of the first one
+        some = int(np.searchsorted(then[0], begin + window_us, side="right")) + 1
+        entry, last = np.append(entry, then[0][:some]), np.append(last, then[1][:some])
+    return _shortest(entry, last)
+
+
+def _children(pdf: pd.DataFrame) -> list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]:
+    """node, begin and step function of the nodes in a group, in order."""
+    pdf = pdf.sort_values(["node", "entry"])
+    node, entry, last = (pdf[c].to_numpy(np.int64) for c in ("node", "entry", "last"))
+    begin = pdf["begin"].to_numpy(np.int64)
+    cut = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    return [(int(node[i]), int(begin[i]), (entry[i:j], last[i:j])) for i, j in zip(cut, np.append(cut[1:], len(node)))]
+
 
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk_map(window_us: int):
+    """Rows of one (fp, island, node) -> its step function."""
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy(np.int64))
-        follow = np.searchsorted(t, t + window_us, side="right")
-        last = t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if follow[i] < len(t):
-                last[i] = last[follow[i]]
-        # the chain enters at the first row after (last kept before the chunk) + W, hence no later
-        # than at the first row more than W after the chunk's first row
-        entries = min(len(t), int(np.searchsorted(t, t[0] + window_us, side="right")) + 1)
-        # of entries leading to the same last row only the latest is needed
-        head, tail = t[:entries], last[:entries]
-        keep = np.append(tail[1:] != tail[:-1], True)
+        entry, last = steps(t, window_us)
+        return pd.DataFrame({"fp": key[0], "island": key[1], "node": key[2], "begin": t[0], "entry": entry, "last": last})
+
+    return table
+
+
+def _join_maps(window_us: int):
+    """Step functions of one group of nodes -> the group's."""
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (_, begin, whole), *rest = _children(pdf)
+        for _, _, one in rest:
+            whole = composed(begin, whole, one, window_us)
         return pd.DataFrame({
-            "fp": pdf["fp"].iloc[0], "island": pdf["island"].iloc[0], "chunk": pdf["chunk"].iloc[0],
-            "entry": head[keep], "last": tail[keep],
-        })
+            "fp": key[0], "island": key[1], "node": key[2], "begin": begin, "entry": whole[0], "last": whole[1]})
 
     return table
 
 
-def _chain_entries(window_us: int):
-    """Sorted chunk tables of whole islands -> the last kept time before each chunk."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island = chunk = None
-        kept = before = None
-        entered = False
-        for pdf in batches:
-            out = []
-            for fp, isl, chk, entry, last in zip(
-                pdf["fp"], pdf["island"], pdf["chunk"], pdf["entry"], pdf["last"]
-            ):
-                if (fp, isl) != island:
-                    island, chunk, kept = (fp, isl), None, None
-                if chk != chunk:
-                    chunk, before, entered = chk, kept, False
-                    out.append((fp, isl, chk, before))
-                # a row of the chunk is kept if it lies more than W after the last kept row; any
-                # entry up to `entry` leads to the same last row
-                if not entered and (before is None or entry > before + window_us):
-                    kept, entered = last, True
-            yield pd.DataFrame(out, columns=["fp", "island", "chunk", "before"]).astype(
-                {"before": "Int64"}
-            )
+def _hand_down(window_us: int):
+    """Step functions of one group of nodes, and the last kept time before the group -> that before each node."""
 
-    return walk
+    def sweep(key: tuple, maps: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        kept = np.array([before["before"].iloc[0] if len(before) else NEVER], np.int64)
+        nodes, out = [], []
+        for node, _, one in _children(maps):
+            nodes.append(node)
+            out.append(int(kept[0]))
+            kept = passed(*one, kept, window_us)
+        return pd.DataFrame({"fp": key[0], "island": key[1], "node": nodes, "before": out})
+
+    return sweep
 
 
 def _chunk_walk(window_us: int):
@@ -122,8 +164,7 @@ def _chunk_walk(window_us: int):
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t = pdf["t"].to_numpy(np.int64)
-        before = pdf["before"].iloc[0]
-        i = 0 if pd.isna(before) else int(np.searchsorted(t, int(before) + window_us, side="right"))
+        i = int(np.searchsorted(t, pdf["before"].iloc[0] + window_us, side="right"))
         kept = []
         while i < len(t):
             kept.append(i)
@@ -133,52 +174,64 @@ def _chunk_walk(window_us: int):
     return walk
 
 
+def _before_each(maps: DataFrame, nodes: int, window_us: int, fanout: int) -> DataFrame:
+    """The last kept time before each node: up the tree by composition, down again by application."""
+    group = ["fp", "island", F.expr(f"node div {fanout} AS up")]
+    maps = stage(maps, "dedup-steps")
+    if nodes > fanout:
+        parents = maps.groupBy(*group).applyInPandas(_join_maps(window_us), MAP)
+        above = _before_each(parents, -(-nodes // fanout), window_us, fanout)
+    else:  # one group per island: nothing before it
+        above = maps.sparkSession.createDataFrame([], BEFORE)
+    known = above.groupBy("fp", "island", "node")
+    return maps.groupBy(*group).cogroup(known).applyInPandas(_hand_down(window_us), BEFORE)
+
+
 def dedup_events(
     events: DataFrame,
     window_sec: float = 300,
     key: str = "fingerprint",
     *,
     short_island_rows: int = SHORT_ISLAND_ROWS,
-    chunk_windows: int = CHUNK_WINDOWS,
+    chunk_rows: int = CHUNK_ROWS,
+    fanout: int = FANOUT,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Drop repeats of an event that follow the last kept one within window_sec seconds.
 
     Needs unique arrival numbers in `seq` (a null is an error), times in `ts` and the identity of a row in `key` (not null).
-    Runs one job when called: it writes the rows that may be kept to the shared folder.
+    Runs jobs when called: it writes the rows that may be kept to the shared folder, and if an island is longer than
+    short_island_rows the step functions of each level of the tree.
     """
     window_us = int(window_sec * 1_000_000)
     rows = events.select(
         F.col(key).alias("fp"), never_null("seq").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
     )
     group = ["fp", "island", "chunk"]
-    # read by four branches below, hence written once
+    # read by the branches below, hence written once; rows of an island grow in seq and in time, so a chunk is a stretch of both
     islands = stage(
-        _islands(rows, window_us, block_rows)
-        .withColumn("chunk", F.expr(f"(t - island) div {chunk_windows * window_us}")),
-        "dedup-islands",
+        _islands(rows, window_us, block_rows).withColumn("chunk", F.expr(f"seq div {chunk_rows}")), "dedup-islands"
     )
     # island sizes by way of chunk sizes: joined back per chunk, so that a long island stays spread out
     chunks = islands.groupBy(*group).agg(F.count("*").alias("n"))
     sizes = chunks.groupBy("fp", "island").agg(F.sum("n").alias("size"))
     long_chunks = chunks.join(sizes.filter(F.col("size") > short_island_rows), ["fp", "island"], "left_semi")
+    # a row per chunk_rows rows of an island meets in this window
+    place = F.row_number().over(W.partitionBy("fp", "island").orderBy("chunk")) - 1
+    numbered = stage(long_chunks.select(*group, place.cast("long").alias("node")), "dedup-chunks")
 
     # rows of a short island meet in one array of at most short_island_rows entries
     short = (
-        islands.join(long_chunks, group, "left_anti")
+        islands.join(numbered, group, "left_anti")
         .groupBy("fp", "island")
         .agg(F.sort_array(F.collect_list(F.struct("t", "seq"))).alias("rows"))
         .select(F.explode(_fold(F.col("rows"), window_us)).alias("seq"))
     )
-
-    long = islands.join(long_chunks, group, "left_semi")
-    tables = long.groupBy(*group).applyInPandas(
-        _chunk_table(window_us), "fp string, island bigint, chunk bigint, entry bigint, last bigint"
-    )
-    entries = (
-        tables.repartition("fp", "island")
-        .sortWithinPartitions("fp", "island", "chunk", "entry")
-        .mapInPandas(_chain_entries(window_us), "fp string, island bigint, chunk bigint, before bigint")
-    )
-    walked = long.join(entries, group).groupBy(*group).applyInPandas(_chunk_walk(window_us), "seq bigint")
+    most = numbered.agg(F.max("node")).first()[0]
+    if most is None:
+        return events.join(short, "seq", "left_semi")
+    long = islands.join(numbered, group).drop("chunk")
+    node = ["fp", "island", "node"]
+    before = _before_each(long.groupBy(*node).applyInPandas(_chunk_map(window_us), MAP), most + 1, window_us, fanout)
+    walked = long.join(before, node).groupBy(*node).applyInPandas(_chunk_walk(window_us), "seq bigint")
     return events.join(union_all(short, walked), "seq", "left_semi")

@@ -196,10 +196,6 @@ def normalize_snmp(raw: DataFrame) -> DataFrame:
     )
 
 
-def _keys(names) -> str:
-    return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-
-
 MAP = "'map<string,string>'"
 
 
@@ -212,22 +208,19 @@ def redfish_entries(payloads: DataFrame, *, limit: int | None = None) -> DataFra
     """Device payloads (JSON text in `payload`) -> one row per log entry, its keys in the map `entry`.
 
     `is_link` marks entries of a payload that holds nothing but links to its entries; all of
-    those are followed, or the first `limit`. Members that are no objects are dropped.
+    those are followed, or the first `limit`. Members that are no objects are dropped. A payload is parsed once, to a VARIANT.
     """
     followed = "true" if at_least_one(limit) is None else f"entry_no < {limit}"
-    direct = [f"from_json(doc['{key}'], 'array<string>')" for key in LIST_KEYS]
-    linked = (
-        f"get(filter(flatten(transform({_keys(LINK_KEYS)}, l -> transform({_keys(LINK_MEMBER_KEYS)}, k -> "
-        f"from_json(from_json(doc[l], {MAP})[k], 'array<string>')))), x -> x IS NOT NULL), 0)"
-    )
-    alone = " OR ".join(f"map_contains_key(doc, '{name}')" for name in ("Message", "Severity", "Name"))
+    paths = [*LIST_KEYS, *[f"{link}.{member}" for link in LINK_KEYS for member in LINK_MEMBER_KEYS]]
+    lists = ", ".join(f"try_variant_get(doc, '$.{path}', 'array<variant>')" for path in paths)
+    alone = " OR ".join(f"variant_get(doc, '$.{name}', 'variant') IS NOT NULL" for name in ("Message", "Severity", "Name"))
     bare = "coalesce(map_contains_key(m, '@odata.id') AND NOT map_contains_key(m, 'Message'), false)"
     wide = (
-        payloads.withColumn("doc", F.expr(f"from_json(payload, {MAP})"))
-        .withColumn("members", F.expr(f"coalesce({', '.join(direct)}, {linked})"))
+        payloads.withColumn("doc", F.expr("try_parse_json(payload)"))
+        .withColumn("members", F.expr(f"coalesce({lists})"))
         .withColumn("entries", F.expr(
-            f"CASE WHEN size(members) > 0 THEN transform(members, e -> from_json(e, {MAP})) "
-            f"WHEN {alone} THEN array(doc) END"
+            f"CASE WHEN size(members) > 0 THEN transform(members, e -> try_variant_get(e, '$', {MAP})) "
+            f"WHEN {alone} THEN array(try_variant_get(doc, '$', {MAP})) END"
         ))
         .withColumn("is_link", F.expr(f"forall(entries, m -> {bare})"))
     )

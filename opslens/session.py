@@ -18,6 +18,8 @@ PLAN_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # the per-asset stages are heavy on CPU and light on bytes: do not merge their partitions to 1 MB
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # a device payload that repeats a key still counts, with the last value (normalize.redfish_entries)
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # row_number() <= n is pruned before the shuffle only up to this n (Spark's default is 1000,
     # the largest analysis window is 2000)
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",

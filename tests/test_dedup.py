@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.operators.dedup import dedup_events
+from opslens.operators.dedup import NEVER, composed, dedup_events, passed, steps
 from opslens.operators.ingest import with_fingerprint
 from opslens.functions.ranking import running
 from opslens.streaming.dedup import dedup_stream, kept_positions
@@ -63,7 +63,7 @@ def test_matches_the_loop_on_random_rows(spark, seed, short_rows):
         fp = "hot" if rng.random() < 0.35 else f"fp{rng.randrange(12)}"
         rows.append((seq, fp, clock - rng.choice([0, 0, 0, 50, 700])))
     got = dedup_events(
-        frame(spark, rows), 300, short_island_rows=short_rows, chunk_windows=2, block_rows=64
+        frame(spark, rows), 300, short_island_rows=short_rows, chunk_rows=16, fanout=2, block_rows=64
     )
     assert seqs(got) == loop(rows, 300)
 
@@ -71,8 +71,40 @@ def test_matches_the_loop_on_random_rows(spark, seed, short_rows):
 def test_dense_hot_fingerprint(spark):
     rng = random.Random(7)
     rows = [(i, "hot", t) for i, t in enumerate(sorted(rng.randrange(0, 40_000) for _ in range(3000)))]
-    got = dedup_events(frame(spark, rows), 300, short_island_rows=10, chunk_windows=3, block_rows=128)
-    assert seqs(got) == loop(rows, 300)
+    for chunk_rows, fanout in ((64, 3), (300, 16)):
+        got = dedup_events(frame(spark, rows), 300, short_island_rows=10, chunk_rows=chunk_rows, fanout=fanout, block_rows=128)
+        assert seqs(got) == loop(rows, 300)
+
+
+def test_sparse_and_negative_numbers_in_the_tree(spark):
+    rng = random.Random(5)
+    times = sorted(rng.randrange(0, 9_000) for _ in range(900))
+    rows = [((i - 400) * 100_003, "hot", t) for i, t in enumerate(times)]
+    got = dedup_events(frame(spark, rows), 60, short_island_rows=3, chunk_rows=1_000_000, fanout=2, block_rows=1 << 20)
+    assert seqs(got) == loop(rows, 60)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_composed_steps_are_the_walk_over_both_chunks(seed):
+    """Any number of chunks, grouped any way, for every last kept time that may come before them."""
+    rng = random.Random(seed)
+    t = np.array(sorted(rng.sample(range(rng.choice([80, 400, 3000])), 60)), np.int64)
+    window = rng.choice([0, 3, 25, 90, 5000])
+    cuts = sorted(rng.sample(range(1, 60), rng.randrange(1, 9)))
+    chunks = np.split(t, cuts)
+    whole = steps(chunks[0], window)
+    for one in chunks[1:]:
+        whole = composed(int(t[0]), whole, steps(one, window), window)
+    right = steps(chunks[-1], window)
+    for i in range(len(chunks) - 2, -1, -1):
+        right = composed(int(chunks[i][0]), steps(chunks[i], window), right, window)
+    for before in [NEVER, *range(-window - 5, int(t[0]))]:
+        last = before
+        for x in t.tolist():
+            if x > last + window:
+                last = x
+        for entry, after in (whole, right):
+            assert passed(entry, after, np.array([before]), window)[0] == last
 
 
 def test_fingerprint_ignores_time_and_null_metric(make_events):
