@@ -23,7 +23,7 @@ from opslens.llm.common import let, strip, whole, words
 from opslens.session import stage
 
 SAMPLE_ROWS = 2000
-TIMED_ROWS = 8000
+TIMED_ROWS = 2000
 LEAST_COST = 1e-7
 INDEX_BITS = 28
 
