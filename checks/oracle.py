@@ -847,6 +847,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT count(*) FILTER (WHERE result = 'deny') AS deny
               FROM (SELECT * FROM audit ORDER BY id DESC LIMIT 200)) WHERE deny >= 20"""),
     "g05_reject_events": sql("rej", "SELECT id, ts, reason, issuer, client FROM rej"),
+    "g05_newest_rejects": sql("rej", "SELECT id, ts, reason, issuer, client FROM rej ORDER BY id DESC LIMIT 100"),
     "g05_reject_telemetry": sql("rej", """
         SELECT 'reason' AS part, reason AS name, count(*) AS n FROM rej GROUP BY reason
         UNION ALL SELECT 'client', issuer || '|' || client, count(*) FROM rej GROUP BY issuer, client"""),
@@ -885,6 +886,46 @@ ORACLE: dict[str, str] = {
             || ',"id":"' || cluster_id || '","n":' || events_count || '}', ',' ORDER BY cluster_rank) || ']}' AS document
         FROM cl WHERE cluster_rank <= 10 GROUP BY asset_id"""),
 
+    "h05_dashboard": sql("assets last10 alerts corr", """
+        SELECT t.tenant, to_json({
+          'tenant': t.tenant,
+          'overview': (SELECT {'assets_total': (SELECT count(*) FROM assets), 'events_total': count(*),
+            'critical_assets': count(DISTINCT CASE WHEN severity = 'critical' THEN asset_id END), 'events_filtered': c.total} FROM ev),
+          'sources': {'windows': c.windows, 'syslog': c.syslog, 'agentless': c.agentless,
+            'windows_pct': floor(c.windows::DOUBLE / greatest(1, c.total) * 100)::BIGINT,
+            'syslog_pct': floor(c.syslog::DOUBLE / greatest(1, c.total) * 100)::BIGINT,
+            'agentless_pct': floor(c.agentless::DOUBLE / greatest(1, c.total) * 100)::BIGINT},
+          'trend': {'labels': (SELECT list(strftime(day, '%Y-%m-%d') ORDER BY day) FROM days d WHERE d.tenant = t.tenant),
+            'values': (SELECT list(n ORDER BY day) FROM days d WHERE d.tenant = t.tenant)},
+          'severity': {'info': c.info, 'warning': c.warning, 'critical': c.critical},
+          'top_assets': (SELECT list({'asset_id': asset_id, 'events': n} ORDER BY n DESC, asset_id) FROM (
+            SELECT asset_id, count(*) AS n FROM shown s WHERE s.tenant = t.tenant GROUP BY asset_id ORDER BY n DESC, asset_id LIMIT 5)),
+          'recent_alerts': (SELECT list({'source': source, 'message': message, 'severity': severity,
+              'timestamp': strftime(ts, '%Y-%m-%d %H:%M:%S')} ORDER BY ts DESC, seq DESC) FROM (
+            SELECT * FROM shown s WHERE s.tenant = t.tenant AND severity <> 'info' ORDER BY ts DESC, seq DESC LIMIT 7)),
+          'assets_table': (SELECT list({'id': id, 'asset_type': asset_type, 'location': coalesce(location, '-'),
+              'events': (SELECT count(*) FROM last10 x WHERE x.asset_id = id),
+              'alerts': (SELECT count(*) FROM alerts x WHERE x.asset_id = id),
+              'insights': (SELECT count(*) FROM corr x WHERE x.asset_id = id)} ORDER BY id)
+            FROM assets WHERE starts_with(id, t.tenant || ':')),
+          'filters': {'period_days': 10, 'asset_id': '', 'source': '', 'tenant_id': t.tenant},
+          'filter_options': {
+            'assets': (SELECT list({'id': id, 'name': name} ORDER BY id) FROM assets WHERE starts_with(id, t.tenant || ':')),
+            'sources': (SELECT list(DISTINCT source ORDER BY source) FROM ev WHERE starts_with(asset_id, t.tenant || ':')),
+            'roles': ['viewer', 'operator', 'admin']},
+          'role': 'operator',
+          'permissions': {'show_worker_health': true, 'show_recent_alerts': true, 'show_collectors_link': true,
+            'show_diagnostics_link': true, 'show_filters': true}})::VARCHAR AS document
+        FROM (SELECT DISTINCT split_part(id, ':', 1) AS tenant FROM assets) t JOIN counts c USING (tenant)""").replace(
+            "\nSELECT t.tenant", """,
+shown AS (SELECT *, split_part(asset_id, ':', 1) AS tenant FROM last10),
+days AS (SELECT tenant, ts::DATE AS day, count(*) AS n FROM shown GROUP BY tenant, ts::DATE),
+counts AS (SELECT tenant, count(*) AS total, count(*) FILTER (WHERE source = 'windows_eventlog') AS windows,
+  count(*) FILTER (WHERE source = 'syslog') AS syslog, count(*) FILTER (WHERE source LIKE 'agentless_%') AS agentless,
+  count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'warning') AS warning,
+  count(*) FILTER (WHERE severity = 'critical') AS critical FROM shown GROUP BY tenant)
+SELECT t.tenant"""),
+
     "k01_chain_filter": sql("csbp", """
         SELECT seq, 'user' AS by FROM csbp WHERE contains(lower(payload), '48 ann')
           OR contains(lower(user_id || ' ' || user_name), '48 ann')

@@ -21,6 +21,7 @@ from opslens.operators import access, anomalies, clusters, collectors, csb, dash
 from opslens.operators import ingest, normalize, policies, rules
 from opslens.operators import tables as keyed
 from opslens.operators.dedup import dedup_events
+from opslens.plans import dashboard as dashboards
 from opslens.plans import incidents, insight
 from opslens.session import shared_dir, tune
 from opslens.sinks import exports
@@ -981,6 +982,11 @@ def _(spark, sf):
     return access.reject_events(t.rejects(spark, sf))
 
 
+@query("g05_newest_rejects")
+def _(spark, sf):
+    return access.reject_telemetry(t.rejects(spark, sf))[2].select("id", "ts", "reason", "issuer", "client")
+
+
 @query("g05_reject_telemetry")
 def _(spark, sf):
     by_reason, by_client, _ = access.reject_telemetry(t.rejects(spark, sf))
@@ -1081,6 +1087,12 @@ def _(spark, sf):
     return exports.json_documents(nested, "asset_id")
 
 
+@query("h05_dashboard")
+def _(spark, sf):
+    rows = dashboards.dashboard_documents(t.assets(spark, sf), t.events(spark, sf), now=NOW, period_days=10, role="operator")
+    return exports.json_documents(rows, "tenant")
+
+
 # --- K: chain report -----------------------------------------------------------------------------
 
 

@@ -144,10 +144,10 @@ def _join_maps(window_us: int):
 
 
 def _hand_down(window_us: int):
-    """Step functions of one group of nodes, and the last kept time before the group -> that before each node."""
+    """Step functions of one group of nodes, and the last kept time before the group, if any -> that before each node."""
 
-    def sweep(key: tuple, maps: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        kept = np.array([before["before"].iloc[0] if len(before) else NEVER], np.int64)
+    def sweep(key: tuple, maps: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+        kept = np.array([NEVER if before is None else before["before"].iloc[0]], np.int64)
         nodes, out = [], []
         for node, _, one in _children(maps):
             nodes.append(node)
@@ -177,14 +177,12 @@ def _chunk_walk(window_us: int):
 def _before_each(maps: DataFrame, nodes: int, window_us: int, fanout: int) -> DataFrame:
     """The last kept time before each node: up the tree by composition, down again by application."""
     group = ["fp", "island", F.expr(f"node div {fanout} AS up")]
+    if nodes <= fanout:  # one group per island, nothing before it
+        return maps.groupBy(*group).applyInPandas(lambda key, pdf: _hand_down(window_us)(key, pdf), BEFORE)
     maps = stage(maps, "dedup-steps")
-    if nodes > fanout:
-        parents = maps.groupBy(*group).applyInPandas(_join_maps(window_us), MAP)
-        above = _before_each(parents, -(-nodes // fanout), window_us, fanout)
-    else:  # one group per island: nothing before it
-        above = maps.sparkSession.createDataFrame([], BEFORE)
-    known = above.groupBy("fp", "island", "node")
-    return maps.groupBy(*group).cogroup(known).applyInPandas(_hand_down(window_us), BEFORE)
+    parents = maps.groupBy(*group).applyInPandas(_join_maps(window_us), MAP)
+    above = _before_each(parents, -(-nodes // fanout), window_us, fanout).groupBy("fp", "island", "node")
+    return maps.groupBy(*group).cogroup(above).applyInPandas(_hand_down(window_us), BEFORE)
 
 
 def dedup_events(

@@ -85,6 +85,11 @@ def _rule_counts(rules: Sequence[Correlation]) -> list[Column]:
     return [F.expr(f"count_if({_matches(rule)}) AS rule_{i}") for i, rule in enumerate(rules)]
 
 
+def fact_columns(rules: Sequence[Correlation] = DEFAULT_RULES) -> list[Column]:
+    """Aggregates alert_i (a flag) and rule_i (a count); flags of parts add up by OR, counts by sum."""
+    return [*_alert_flags(), *_rule_counts(rules)]
+
+
 def asset_facts(
     events: DataFrame, rules: Sequence[Correlation] = DEFAULT_RULES, *, limit: int | None = None,
     salt: int = SALT_BUCKETS,
@@ -94,7 +99,7 @@ def asset_facts(
         F.count("*").alias("events_total"),
         F.expr("count_if(severity = 'critical') AS critical_count"),
         F.expr("count_if(severity = 'warning') AS warning_count"),
-        *_alert_flags(), *_rule_counts(rules),
+        *fact_columns(rules),
     )
 
 

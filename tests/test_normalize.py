@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators import csb, ingest, normalize
 from opslens.operators.dedup import dedup_events
+from opslens.session import tune
 from opslens.sources import batches, tail, text_logs
 
 AT = dt.datetime(2024, 5, 1, 12, 0, 0)
@@ -316,3 +317,10 @@ def test_csb_report_covers_every_line(spark):
     assert len(csb.csb_report(events, "m", max_chain=None).first().chain) == 3120
     newest = csb.csb_report(events, "m", limit=30, max_chain=5).first()
     assert (newest.total_lines, newest.users_touched, len(newest.chain)) == (30, ["4001 Ann Lee"], 5)
+
+
+def test_redfish_payload_that_repeats_a_key(spark):
+    tune(spark)
+    rows = [(1, "t", "a", '{"Members": [{"Id": 1, "Message": "old", "Message": "new"}, 7, "x", null]}', None)]
+    docs = spark.createDataFrame(rows, "payload_id bigint, target_id string, asset_id string, payload string, collected_ts timestamp")
+    assert [r.entry["Message"] for r in normalize.redfish_entries(docs).collect()] == ["new"]
