@@ -23,6 +23,9 @@ PLAN_SETTINGS = {
     # row_number() <= n is pruned before the shuffle only up to this n (Spark's default is 1000,
     # the largest analysis window is 2000)
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # state of streaming.dedup lives outside the heap and needs this store
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # spark.checkpoint.dir itself cannot be set once the session runs

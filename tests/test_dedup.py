@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opslens.operators.dedup import NEVER, composed, dedup_events, passed, steps
 from opslens.operators.ingest import with_fingerprint
 from opslens.functions.ranking import running
-from opslens.streaming.dedup import dedup_stream, kept_positions
+from opslens.streaming.dedup import dedup_stream, kept_positions, rising
 
 SCHEMA = "seq bigint, fingerprint string, ts timestamp"
 BASE = dt.datetime(2024, 1, 1)
@@ -147,16 +147,53 @@ def test_kept_positions_carries_state():
     assert kept_positions(np.array([500, 602, 300, 903]), last, 300) == ([1, 3], 903)
 
 
+def _stream_run(spark, tmp_path, **options):
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    run = (
+        dedup_stream(source, **options).writeStream.format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return run.lastProgress
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, f"fp{rng.randrange(3)}", i * 40 - rng.choice([0, 0, 500])) for i in range(1, 200)]
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in range(4):
-        frame(spark, rows[part * 50:(part + 1) * 50]).coalesce(1).write.mode("append").parquet(source)
-        run = (
-            dedup_stream(spark.readStream.schema(SCHEMA).parquet(source)).writeStream.format("parquet")
-            .option("path", out).option("checkpointLocation", str(tmp_path / "state"))
-            .trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
-    assert seqs(spark.read.parquet(out)) == loop(rows, 300)
+        frame(spark, rows[part * 50:(part + 1) * 50]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        _stream_run(spark, tmp_path)
+    assert seqs(spark.read.parquet(str(tmp_path / "out"))) == loop(rows, 300)
+
+
+def test_stream_takes_frames_out_of_order(spark, tmp_path):
+    """One fingerprint, many small frames, rows of which come in any order."""
+    rng = random.Random(4)
+    rows = [(i, "hot", i * 7 - rng.choice([0, 0, 90])) for i in range(1, 600)]
+    mixed = rng.sample(rows, len(rows))
+    frame(spark, mixed).repartition(5).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        _stream_run(spark, tmp_path, window_sec=30)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seqs(spark.read.parquet(str(tmp_path / "out"))) == loop(rows, 30)
+
+
+def test_stream_releases_state_and_keeps_the_same_rows(spark, tmp_path):
+    rows = [(i, f"fp{i}", i * 100) for i in range(1, 40)] + [(40, "fp39", 3950), (41, "fp38", 4200)]
+    parts = [rows[:20], rows[20:41], [(42, "end", 9000)], [(43, "end", 9001)]]
+    held = []
+    for part in parts:
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        held.append(_stream_run(spark, tmp_path, late="200 seconds").stateOperators[0].numRowsTotal)
+    assert seqs(spark.read.parquet(str(tmp_path / "out"))) == loop(rows + [(42, "end", 9000), (43, "end", 9001)], 300)
+    state = spark.read.format("statestore").option("stateVarName", "last_kept").load(str(tmp_path / "state"))
+    assert [r.key[0] for r in state.select("key").collect()] == ["end"], held
+
+
+def test_rising_rows():
+    seq, t = np.array([3, 1, 2, 4]), np.array([50, 10, 40, 50])
+    assert rising(seq, t, 10).tolist() == [2, 0]
+    assert rising(seq[:0], t[:0], 0).tolist() == []
