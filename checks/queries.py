@@ -10,11 +10,13 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import tables as t
 from opslens import schemas as S
+from opslens.functions.merging import union_all
 from opslens.functions.ranking import latest_per_asset
 from opslens.functions.text import cluster_id, signature
 from opslens.operators import access, anomalies, clusters, collectors, csb, dashboard, dependency
@@ -25,9 +27,11 @@ from opslens.plans import dashboard as dashboards
 from opslens.plans import incidents, insight
 from opslens.session import shared_dir, tune
 from opslens.sinks import exports
+from opslens.sinks.keyed import KeyedTable
 from opslens.sources import batches, tail, text_logs
 from opslens.streaming import dedup as stream_dedup
 from opslens.streaming import feeds
+from opslens.streaming.ingest import ingest_stream, read_sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -144,6 +148,41 @@ def _(spark, sf):
     return spark.read.schema(kept.schema).parquet(out).select("seq", "asset_id", ntz("ts"))
 
 
+@query("a06_ingest_chain")
+def _(spark, sf):
+    # four runs of one stream, each over a quarter of the batches; the third dies before its batch counts and starts again
+    landed, out = staged(spark, "landed"), staged(spark, "ingest")
+    severity = F.when(F.col("seq") % 97 == 0, "fatal").otherwise(F.col("severity"))
+    rows = t.events(spark, sf).withColumns({"severity": severity, "batch_id": F.floor(F.col("seq") / 100)})
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
+    event = F.struct("asset_id", "source", "message", "metric", "value", "severity", stamp)
+    packed = rows.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("seq", event.alias("e")))).alias("b"))
+    last = rows.agg(F.max("batch_id")).first()[0]
+    quarter = F.least(F.lit(3), F.floor(F.col("batch_id") * 4 / last))
+
+    def run(**options):
+        stream = batches.stream_event_batches(spark, landed)
+        ingest_stream(stream, t.registered(spark, sf), out, out + "-state", window_sec=10 * 86400, **options).start().awaitTermination()
+
+    def die(epoch):
+        raise RuntimeError("killed")
+
+    for k in range(4):
+        quartered = packed.filter(quarter == k).select("batch_id", F.transform("b", lambda r: r["e"]).alias("events"))
+        quartered.write.mode("append").json(landed)
+        if k == 2:
+            try:
+                run(on_written=die)
+            except StreamingQueryException:
+                pass
+        run()
+    sinks = [
+        read_sink(spark, out, name).select(F.lit(name).alias("sink"), "seq", "asset_id", "severity", ntz("ts"))
+        for name in ("accepted", "quarantined", "orphans")
+    ]
+    return union_all(*sinks)
+
+
 @query("a07_latest_per_asset")
 def _(spark, sf):
     return latest_per_asset(t.events(spark, sf), 100).select("seq", "asset_id", "message")
@@ -394,6 +433,21 @@ def _(spark, sf):
     return keyed.upsert(base, updates, ["id"], "at")
 
 
+@query("b01_keyed_table")
+def _(spark, sf):
+    # a written table: customers, then the newest order of each, then those in debt removed
+    customers = t.table(spark, sf, "customer")
+    base = customers.selectExpr("c_custkey AS id", "c_mktsegment AS status", "c_acctbal AS amount", "0 AS at")
+    updates = t.table(spark, sf, "orders").selectExpr(
+        "o_custkey + 10 AS id", "o_orderstatus AS status", "o_totalprice AS amount", "o_orderkey AS at"
+    )
+    kept = KeyedTable(spark, staged(spark, "customers"), base.drop("at").schema, ["id"], buckets=16)
+    kept.upsert(base, "at")
+    kept.upsert(updates, "at")
+    kept.delete(customers.filter("c_acctbal < 0").selectExpr("c_custkey AS id"))
+    return kept.read()
+
+
 @query("b01_insert_or_ignore")
 def _(spark, sf):
     states = _state(spark, sf).select("target_id", "failure_streak")
