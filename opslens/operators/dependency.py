@@ -31,14 +31,32 @@ def dependency_edges(
 ) -> DataFrame:
     """Per asset the k strongest source pairs by shared signatures, in `edge_rank` order.
 
-    The join is keyed by (asset, signature), so only sources that really share a message meet; with
-    at most `limit` (source, signature) rows per asset the pairs of an asset are bounded too, and
-    they are counted before they leave the task.
+    The join is keyed by (asset, signature), so only sources that really share a message meet, and pairs are
+    counted before they leave the task. Sources that log the same messages are alike, and k + 1 of them stand
+    for all (_standing), so thousands of sources with the same few messages do not make millions of pairs.
     """
     return _edges(_sized(asset_signatures(events, limit=limit, salt=salt)), k)
 
 
+def _standing(sized: DataFrame, k: int) -> DataFrame:
+    """Signatures that several sources share, of those sources that can be in one of the k strongest pairs.
+
+    Take sources of one asset with as many signatures and the same shared ones. Let y be one that has k + 1 others before
+    it by name. Put any of these but x in the place of y in a pair (x, y): shared signatures and score stay, and the names
+    come earlier. So at least k pairs rank before (x, y), and y is not needed. Sets are compared by 128 bits of hash.
+    """
+    held = sized.groupBy("asset_id", "signature").agg(F.count("*").alias("holders")).filter("holders > 1")
+    shared = sized.join(held.drop("holders"), ["asset_id", "signature"])
+    sets = shared.groupBy("asset_id", "source", "signatures").agg(
+        F.bit_xor(F.xxhash64("signature")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "signature")).alias("_y")
+    )
+    by_name = W.partitionBy("asset_id", "signatures", "_x", "_y").orderBy("source")
+    first = sets.withColumn("_at", F.row_number().over(by_name)).filter(F.col("_at") <= k + 1)
+    return shared.join(first.select("asset_id", "source"), ["asset_id", "source"], "left_semi")
+
+
 def _edges(sized: DataFrame, k: int) -> DataFrame:
+    sized = _standing(sized, k)
     left = sized.select(
         "asset_id", "signature", F.col("source").alias("source_a"), F.col("signatures").alias("size_a")
     )

@@ -1,5 +1,6 @@
 """C: signatures, clusters, detectors, insight, overview; E: rules, edges, briefs, risk."""
 
+import itertools
 import random
 
 import pytest
@@ -161,6 +162,49 @@ def test_edges_do_not_depend_on_input_order(make_events, spark):
     assert sorted(forward) == sorted(backward) and len(forward) == 6
 
 
+def strongest(rows, k):
+    """The k best source pairs of every asset, from all pairs."""
+    sets = {}
+    for asset, source, message, _ in rows:
+        sets.setdefault(asset, {}).setdefault(source, set()).add(message)
+    out = []
+    for asset, of in sets.items():
+        pairs = []
+        for a, b in itertools.combinations(sorted(of), 2):
+            both = of[a] & of[b]
+            if both:
+                pairs.append((-len(both), -round(len(both) / min(len(of[a]), len(of[b])), 3), a, b, min(both)))
+        out += [(asset, rank, a, b, -n, -score, least) for rank, (n, score, a, b, least) in enumerate(sorted(pairs)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_strongest_pairs_among_alike_sources(make_events, seed):
+    rng = random.Random(seed)
+    kinds = [[w for w in "abcdefg" if rng.random() < 0.4] or ["a"] for _ in range(4)]
+    rows = []
+    for asset in ("one", "two"):
+        for n in range(30):
+            words = kinds[rng.randrange(4)] + rng.choice([[], ["own" + chr(97 + n % 26)], ["z"]])
+            rows += [(asset, f"s{n:02d}", f"m{w} x", "info") for w in words]
+    for k in (1, 3, 20):
+        got = dependency.dependency_edges(make_events(rows), k=k).collect()
+        assert sorted((r.asset_id, r.edge_rank, r.source_a, r.source_b, r.shared_signatures, r.co_occurrence_score,
+                       r.example_signature) for r in got) == strongest(rows, k)
+
+
+def test_thousands_of_sources_with_one_message_make_few_pairs(spark):
+    # each has the hot message, half of them one of their own too
+    events = spark.range(5000).selectExpr(
+        "id AS seq", "'hot' AS asset_id", "concat('s', lpad(id, 4, '0')) AS source",
+        "explode(if(id % 2 = 0, array('hot message'), array('hot message', concat('own ', translate(id, '0123456789', 'abcdefghij'))))) AS message",
+        "'info' AS severity")
+    sized = dependency._sized(dependency.asset_signatures(events))
+    assert dependency._standing(sized, 20).count() == 42
+    got = [(r.source_a, r.source_b) for r in dependency.dependency_edges(events).orderBy("edge_rank").collect()]
+    assert got == [("s0000", f"s{n:04d}") for n in range(1, 21)]
+
+
 def test_dependency_overview(make_events, ids):
     events = make_events([
         ("over-a", "linux", "cache miss hot", "warning"), ("over-a", "app", "cache miss hot", "warning"),
