@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from opslens.functions.ranking import SALT_BUCKETS, at_least_one, latest_per_asset
 from opslens.functions.text import share
 from opslens.operators.clusters import CLUSTER, with_signature
+from opslens.session import stage
 
 
 def asset_signatures(events: DataFrame, *, limit: int | None = None, salt: int = SALT_BUCKETS) -> DataFrame:
@@ -34,8 +35,9 @@ def dependency_edges(
     The join is keyed by (asset, signature), so only sources that really share a message meet, and pairs are
     counted before they leave the task. Sources that log the same messages are alike, and k + 1 of them stand
     for all (_standing), so thousands of sources with the same few messages do not make millions of pairs.
+    Runs a job when called: distinct signatures go to the shared folder, so that events are read once.
     """
-    return _edges(_sized(asset_signatures(events, limit=limit, salt=salt)), k)
+    return _edges(stage(_sized(asset_signatures(events, limit=limit, salt=salt)), "dependency-signatures"), k)
 
 
 def _standing(sized: DataFrame, k: int) -> DataFrame:
@@ -84,9 +86,9 @@ def _edges(sized: DataFrame, k: int) -> DataFrame:
 def dependency_map(events: DataFrame, *, limit: int | None = None, k: int = 20) -> DataFrame:
     """One nested row per asset: number of sources, number of edges kept, the edges.
 
-    Both sides of the edges and the number of sources come from one exchange of distinct signatures.
+    Both sides of the edges and the number of sources come from one written table of distinct signatures.
     """
-    sized = _sized(asset_signatures(events, limit=limit))
+    sized = stage(_sized(asset_signatures(events, limit=limit)), "dependency-signatures")
     sources = sized.groupBy("asset_id").agg(F.count_if("opens").alias("total_sources"))
     edges = _edges(sized, k).groupBy("asset_id").agg(
         F.count("*").alias("total_edges"),
