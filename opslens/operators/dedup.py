@@ -13,8 +13,12 @@ from being one sequential walk per fingerprint:
    through the last kept time. Each chunk is therefore a monotone step function: last kept time before it
    -> last kept time after it.
 
-Short islands are folded as one sorted array in the JVM. Long ones, which a hot fingerprint makes, are cut into chunks of
-at most CHUNK_ROWS rows. The step functions of FANOUT neighbouring chunks are composed into one, those of FANOUT such groups
+Keys with few rows need none of this: their rows are sorted once, in one shuffle, where a window finds the restarts and an
+island is folded as one array in the JVM. Which keys have many rows comes from counts per 64-bit hash of the key; keys that
+share a hash only go the longer way together.
+
+The rows of the others are spread out however many one key has. Short islands are folded as one sorted array in the JVM, long
+ones are cut into chunks of at most CHUNK_ROWS rows. The step functions of FANOUT neighbouring chunks are composed into one, those of FANOUT such groups
 again, and so on up to one group per island; on the way down each group hands its children the last kept time before them.
 A function only has steps for the rows of one window, so a task holds FANOUT times the rows of a window at most.
 Then all chunks are walked at the same time.
@@ -38,26 +42,37 @@ SHORT_ISLAND_ROWS = 2_000
 CHUNK_ROWS = 1 << 16
 FANOUT = 16
 NEVER = -(1 << 62)  # nothing was kept before
+SLICE = 256
 
 MAP = "fp string, island bigint, node bigint, begin bigint, entry bigint, last bigint"
 BEFORE = "fp string, island bigint, node bigint, before bigint"
 
 
 def _islands(rows: DataFrame, window_us: int, block_rows: int) -> DataFrame:
-    """(fp, seq, t) rows that may be kept, each with the start time of its island."""
+    """(fp, seq, t) rows that may be kept, each with the start time of its island and its place among those of its key."""
     newest = running(
         rows, "fp", "seq", {"prev": ("max", F.col("t"))}, include_current=False, block_rows=block_rows
     )
-    growing = newest.filter(F.col("prev").isNull() | (F.col("t") > F.col("prev")))
-    restart = F.when(F.col("prev").isNull() | (F.col("t") - F.col("prev") > window_us), F.col("t"))
-    return running(growing, "fp", "seq", {"island": ("max", restart)}, block_rows=block_rows).drop("prev")
+    growing = newest.filter(_grows())
+    start = F.when(_restarts(window_us), F.col("t"))
+    specs = {"island": ("max", start), "place": ("sum", F.lit(1).cast("long"))}
+    return running(growing, "fp", "seq", specs, block_rows=block_rows).drop("prev")
 
 
-def _fold(rows: Column, window_us: int) -> Column:
-    """Sorted array of (t, seq) -> array of the kept seq."""
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept")
-    )
+def _grows() -> Column:
+    return F.col("prev").isNull() | (F.col("t") > F.col("prev"))
+
+
+def _restarts(window_us: int) -> Column:
+    return F.col("prev").isNull() | (F.col("t") - F.col("prev") > window_us)
+
+
+def _fold(rows: Column, window_us: int, before: Column | None = None) -> Column:
+    """Sorted array of (t, seq), and the last kept time before it, if any -> array of the kept seq.
+
+    Goes by slices, as a growing array is copied with each row that is kept.
+    """
+    last = F.lit(None).cast("long") if before is None else before
 
     def step(state, row):
         keep = state["last"].isNull() | (row["t"] - state["last"] > window_us)
@@ -69,7 +84,33 @@ def _fold(rows: Column, window_us: int) -> Column:
             ),
         ).otherwise(state)
 
-    return F.aggregate(rows, start, step, lambda state: state["kept"])
+    def part(state, i):
+        start = F.struct(state["last"].alias("last"), F.array().cast("array<bigint>").alias("kept"))
+        return F.aggregate(
+            F.slice(rows, i * SLICE + 1, SLICE), start, step,
+            lambda one: F.struct(one["last"].alias("last"), F.concat(state["kept"], F.array(one["kept"])).alias("kept")),
+        )
+
+    start = F.struct(last.alias("last"), F.array().cast("array<array<bigint>>").alias("kept"))
+    slices = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / F.lit(SLICE)).cast("int"))
+    return F.aggregate(slices, start, part, lambda state: F.flatten(state["kept"]))
+
+
+def _of_small_keys(rows: DataFrame, window_us: int) -> DataFrame:
+    """(seq) kept rows of keys that have few rows each: one shuffle by key, a window over each."""
+    order = W.partitionBy("fp").orderBy("seq")
+    newest = rows.withColumn("prev", F.max("t").over(order.rowsBetween(W.unboundedPreceding, -1))).filter(_grows())
+    marked = newest.withColumn("restart", _restarts(window_us))
+    island = F.max(F.when(F.col("restart"), F.col("t"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    marked = marked.withColumn("island", island)
+    # the first row of an island is kept, what follows it within the window is up to the chain
+    follow = (
+        marked.filter(~F.col("restart"))
+        .groupBy("fp", "island")
+        .agg(F.sort_array(F.collect_list(F.struct("t", "seq"))).alias("rows"))
+        .select(F.explode(_fold(F.col("rows"), window_us, F.col("island"))).alias("seq"))
+    )
+    return union_all(marked.filter("restart").select("seq"), follow)
 
 
 def _shortest(entry: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +226,7 @@ def _before_each(maps: DataFrame, nodes: int, window_us: int, fanout: int) -> Da
     return maps.groupBy(*group).cogroup(above).applyInPandas(_hand_down(window_us), BEFORE)
 
 
-def dedup_events(
+def kept_rows(
     events: DataFrame,
     window_sec: float = 300,
     key: str = "fingerprint",
@@ -195,20 +236,29 @@ def dedup_events(
     fanout: int = FANOUT,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Drop repeats of an event that follow the last kept one within window_sec seconds.
-
-    Needs unique arrival numbers in `seq` (a null is an error), times in `ts` and the identity of a row in `key` (not null).
-    Runs jobs when called: it writes the rows that may be kept to the shared folder, and if an island is longer than
-    short_island_rows the step functions of each level of the tree.
-    """
+    """(seq) the numbers of the events that dedup_events keeps, under the same conditions."""
     window_us = int(window_sec * 1_000_000)
-    rows = events.select(
-        F.col(key).alias("fp"), never_null("seq").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
-    )
+    # read by the branches below, hence written once
+    rows = stage(
+        events.select(
+            F.col(key).alias("fp"), never_null("seq").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+        ),
+        "dedup-rows",
+    ).withColumn("hash", F.xxhash64("fp"))
+    counts = rows.groupBy("hash").agg(F.count("*").alias("n"))
+    # a row per large_rows rows at most
+    large_rows = max(short_island_rows, chunk_rows // 4)
+    large = stage(counts.filter(F.col("n") > large_rows).select("hash"), "dedup-large-keys")
+    if large.isEmpty():
+        return _of_small_keys(rows.drop("hash"), window_us)
+    small = _of_small_keys(rows.join(large, "hash", "left_anti").drop("hash"), window_us)
+    spread = rows.join(large, "hash", "left_semi").drop("hash")
+
     group = ["fp", "island", "chunk"]
-    # read by the branches below, hence written once; rows of an island grow in seq and in time, so a chunk is a stretch of both
+    # rows of an island grow in seq and in time and have consecutive places, so a chunk is a stretch of all three
     islands = stage(
-        _islands(rows, window_us, block_rows).withColumn("chunk", F.expr(f"seq div {chunk_rows}")), "dedup-islands"
+        _islands(spread, window_us, block_rows).withColumn("chunk", F.expr(f"(place - 1) div {chunk_rows}")).drop("place"),
+        "dedup-islands",
     )
     # island sizes by way of chunk sizes: joined back per chunk, so that a long island stays spread out
     chunks = islands.groupBy(*group).agg(F.count("*").alias("n"))
@@ -227,9 +277,20 @@ def dedup_events(
     )
     most = numbered.agg(F.max("node")).first()[0]
     if most is None:
-        return events.join(short, "seq", "left_semi")
+        return union_all(small, short)
     long = islands.join(numbered, group).drop("chunk")
     node = ["fp", "island", "node"]
     before = _before_each(long.groupBy(*node).applyInPandas(_chunk_map(window_us), MAP), most + 1, window_us, fanout)
     walked = long.join(before, node).groupBy(*node).applyInPandas(_chunk_walk(window_us), "seq bigint")
-    return events.join(union_all(short, walked), "seq", "left_semi")
+    return union_all(small, short, walked)
+
+
+def dedup_events(events: DataFrame, window_sec: float = 300, key: str = "fingerprint", **sizes: int) -> DataFrame:
+    """Drop repeats of an event that follow the last kept one within window_sec seconds.
+
+    Needs unique arrival numbers in `seq` (a null is an error), times in `ts` and the identity of a row in `key` (not null).
+    Runs jobs when called: it writes key, number and time of all rows to the shared folder, and of keys with many rows those
+    that may be kept and, if an island is longer than short_island_rows, the step functions of each level of the tree.
+    sizes: those of kept_rows.
+    """
+    return events.join(kept_rows(events, window_sec, key, **sizes), "seq", "left_semi")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opslens.operators import dedup
 from opslens.operators.dedup import NEVER, composed, dedup_events, passed, steps
 from opslens.operators.ingest import with_fingerprint
 from opslens.functions.ranking import running
@@ -84,6 +85,42 @@ def test_sparse_and_negative_numbers_in_the_tree(spark):
     assert seqs(got) == loop(rows, 60)
 
 
+def test_keys_with_few_rows_need_no_blocks(spark, monkeypatch):
+    """One shuffle by key is enough for them; 700 rows of one island are folded over several slices."""
+    monkeypatch.setattr(dedup, "running", None)
+    rng = random.Random(11)
+    times = sorted(rng.randrange(0, 60_000) for _ in range(1400))
+    rows = [(i, f"fp{i % 2}", t) for i, t in enumerate(times)] + [(9000 + i, f"once{i}", i) for i in range(50)]
+    rows += [(9500, "late", 500), (9501, "late", 100), (9502, "late", 900)]
+    assert seqs(dedup_events(frame(spark, rows), 100)) == loop(rows, 100)
+
+
+def test_times_that_are_null_are_kept_until_one_is_known(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "a", BASE), (4, "a", None), (5, "b", BASE)]
+    for sizes in ({}, {"short_island_rows": 2, "chunk_rows": 4, "block_rows": 4}):
+        assert seqs(dedup_events(spark.createDataFrame(rows, SCHEMA), 300, **sizes)) == [1, 2, 3, 5]
+
+
+def test_chunks_hold_rows_not_numbers(spark, monkeypatch):
+    """Rows with numbers far apart share a chunk; keys with few rows beside a hot one stay right."""
+    staged = {}
+
+    def noted(df, name):
+        out = staged[name] = stage(df, name)
+        return out
+
+    stage = dedup.stage
+    monkeypatch.setattr(dedup, "stage", noted)
+    rng = random.Random(3)
+    times = sorted(rng.sample(range(9_000), 640))
+    rows = [(i * 1_000_003, "hot", t) for i, t in enumerate(times)]
+    rows += [(i * 1_000_003 + 1, f"fp{i % 40}", t) for i, t in enumerate(times[:300])]
+    got = dedup_events(frame(spark, rows), 60, short_island_rows=5, chunk_rows=64, fanout=4)
+    assert seqs(got) == loop(rows, 60)
+    # a place more or less, where a restart cuts a chunk in two
+    assert 10 <= staged["dedup-chunks"].count() <= 20
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_composed_steps_are_the_walk_over_both_chunks(seed):
     """Any number of chunks, grouped any way, for every last kept time that may come before them."""
