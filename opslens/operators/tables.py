@@ -25,11 +25,14 @@ def read_with_defaults(df: DataFrame, schema: T.StructType, defaults: dict | Non
     return df.select(*[column(field) for field in schema.fields])
 
 
-def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
+def upsert(
+    base: DataFrame, updates: DataFrame, keys: list[str], order: str, *, by: str | None = None, parts: int | None = None
+) -> DataFrame:
     """Table after the updates: per key the newest update by `order`, else the base row.
 
     One aggregation with map-side combine, so a key that is updated millions of times is reduced
-    before the shuffle.
+    before the shuffle. For updates of one row per key: with `by`, one of the keys, the rows are dealt out by it in
+    `parts` partitions and stay there.
     """
     columns = base.columns
     rest = [c for c in columns if c not in keys]
@@ -38,6 +41,8 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str) ->
         base.select(*columns, F.lit(0).alias("_new"), nothing.alias("_order")),
         updates.select(*columns, F.lit(1).alias("_new"), F.col(order).alias("_order")),
     )
+    if by:
+        merged = merged.repartition(parts, by)
     latest = F.max_by(F.struct(*rest), F.struct("_new", "_order"))
     return merged.groupBy(*keys).agg(latest.alias("_row")).select(*keys, "_row.*").select(*columns)
 

@@ -75,7 +75,10 @@ class KeyedTable:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def _change(self, changes: DataFrame, change, batch: int | None) -> list[int]:
-        """Rewrite the buckets of `changes` (one row per key, written already) by change(base rows, changes)."""
+        """Rewrite the buckets of `changes` (one row per key, written already) by change(base rows, changes, how many).
+
+        Both come with their bucket, and what it returns lies in as many partitions, dealt out by bucket.
+        """
         now = self.manifest()
         # at most one row per bucket
         touched = sorted(row[0] for row in self._with_bucket(changes).select(BUCKET).distinct().collect())
@@ -83,8 +86,9 @@ class KeyedTable:
         parts = {bucket: part for bucket, part in old.items() if int(bucket) not in touched}
         if touched:
             folder = f"data/{uuid.uuid4().hex}"
-            rows = change(self._read([old[str(b)] for b in touched if str(b) in old]), changes)
-            self._with_bucket(rows).repartition(len(touched), BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            base = self._with_bucket(self._read([old[str(b)] for b in touched if str(b) in old]))
+            rows = change(base, self._with_bucket(changes), len(touched))
+            rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
             written = [name for name in self._names(folder) if name.startswith(BUCKET + "=")]
             parts |= {name.split("=")[1]: f"{folder}/{name}" for name in written}
         self._commit({
@@ -107,11 +111,20 @@ class KeyedTable:
         rest = [n for n in names if n not in self.keys]
         newest = updates.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
         newest = stage(newest.select(*self.keys, "_row.*"), "table-updates")
-        return self._change(newest, lambda base, new: tables.upsert(base, new, self.keys, order), batch)
+        keys = [BUCKET, *self.keys]
+
+        def change(base: DataFrame, new: DataFrame, parts: int) -> DataFrame:
+            return tables.upsert(base, new, keys, order, by=BUCKET, parts=parts)
+
+        return self._change(newest, change, batch)
 
     def delete(self, ids: DataFrame, *, batch: int | None = None) -> list[int]:
         """Remove the rows whose key is in `ids`; returns the buckets that were rewritten."""
         if self.holds(batch):
             return []
         gone = stage(ids.select(*self.keys).distinct(), "table-deletes")
-        return self._change(gone, lambda base, gone: base.join(gone, self.keys, "left_anti"), batch)
+
+        def change(base: DataFrame, gone: DataFrame, parts: int) -> DataFrame:
+            return base.join(gone.drop(BUCKET), self.keys, "left_anti").repartition(parts, BUCKET)
+
+        return self._change(gone, change, batch)

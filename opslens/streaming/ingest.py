@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from opslens.operators import ingest
-from opslens.operators.dedup import dedup_events
+from opslens.operators.dedup import kept_rows
 from opslens.schemas import EVENT
 from opslens.session import shared_dir
 from opslens.sinks.exports import with_event_date
@@ -62,11 +62,14 @@ def ingest_batch(
         known, orphans = ingest.check_assets(valid, assets)
         _write(broken, f"{path}/quarantined/epoch={epoch}")
         _write(orphans, f"{path}/orphans/epoch={epoch}")
-        # a row not newer than last + W is dropped whatever else the batch brings, and the first one beyond is kept
-        printed = ingest.with_fingerprint(known).join(state.read(), "fingerprint", "left")
+        # a row not newer than last + W is dropped whatever else the batch brings, and the first one beyond is kept;
+        # whole rows wait for the numbers of the kept ones, only what decides meets the table of last kept times
+        printed = ingest.with_fingerprint(known)
+        slim = printed.select("fingerprint", "seq", "ts").join(state.read(), "fingerprint", "left")
         beyond = F.unix_micros("ts") > F.col("last_kept") + window_us
-        fresh = printed.filter(F.coalesce(beyond, F.lit(True))).drop("last_kept")
-        kept = with_event_date(dedup_events(fresh, window_sec)).select(*EVENT.names, "fingerprint", "event_date")
+        fresh = slim.filter(F.coalesce(beyond, F.lit(True)))
+        accepted = printed.join(kept_rows(fresh, window_sec), "seq", "left_semi")
+        kept = with_event_date(accepted).select(*EVENT.names, "fingerprint", "event_date")
         _write(kept.sortWithinPartitions("event_date", "asset_id"), f"{path}/accepted/epoch={epoch}", "event_date")
     finally:
         landed.unpersist()

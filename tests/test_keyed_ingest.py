@@ -166,3 +166,12 @@ def test_batch_without_rows_and_without_numbers(spark, tmp_path):
     ingest_batch(rows, 1, assets, out)
     assert [read_sink(spark, out, s).count() for s in ("accepted", "quarantined", "orphans")] == [1, 1, 1]
     assert read_sink(spark, out, "quarantined").first().errors == ["asset_id"]
+
+
+def test_a_change_deals_its_rows_out_once(spark):
+    """Rows of a keyed table are shuffled by bucket, and neither by key before nor by bucket after."""
+    base = spark.createDataFrame([(1, i, "old") for i in range(5)], "table_bucket int, id long, v string")
+    new = spark.createDataFrame([(1, 3, "new"), (2, 9, "new")], base.schema)
+    got = tables.upsert(base, new, ["table_bucket", "id"], "v", by="table_bucket", parts=2)
+    assert sorted((r.id, r.v) for r in got.collect()) == [(0, "old"), (1, "old"), (2, "old"), (3, "new"), (4, "old"), (9, "new")]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ") == 1
