@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from opslens import schemas as S
 from opslens.functions.merging import union_all
@@ -235,21 +236,21 @@ def hydrate_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
 
     Links without a document are dropped, unless no link of the payload (payload_id) has one.
     """
+    # links begin alike: sorted by their hash first, few are compared to the end
+    place, hashed = F.monotonically_increasing_id(), F.xxhash64("link").alias("_hash")
+    landed = docs.filter(F.col("odata_id").startswith("/")).select(F.col("odata_id").alias("link"), "body", place.alias("_place"))
     # of a document that landed twice the later one counts
-    landed = docs.filter(F.col("odata_id").startswith("/")).withColumn("_place", F.monotonically_increasing_id())
-    bodies = landed.groupBy(F.col("odata_id").alias("link"))
-    bodies = bodies.agg(F.max_by("body", "_place").alias("_body")).withColumn("_doc", F.expr(f"from_json(_body, {MAP})"))
-    bodies = bodies.filter(F.col("_doc").isNotNull()).drop("_body")
-    joined = entries.join(bodies, "link", "left")
-    resolved = (
-        joined.filter(F.col("_doc").isNotNull())
-        .groupBy("payload_id").agg(F.lit(True).alias("_any"))
-    )
+    bodies = landed.groupBy(hashed, "link").agg(F.max_by("body", "_place").alias("_body"))
+    bodies = bodies.withColumn("_doc", F.expr(f"from_json(_body, {MAP})")).filter(F.col("_doc").isNotNull()).drop("_body")
+    joined = entries.withColumn("_hash", F.xxhash64("link")).join(bodies, ["_hash", "link"], "left").withColumns(
+        {"_found": F.col("_doc").isNotNull(), "entry": F.coalesce("_doc", "entry")}).drop("_doc", "_hash")
+    # a payload came as one row; rows without a payload_id are payloads of their own, and are spread by their links
+    lone = F.when(F.col("payload_id").isNull(), F.xxhash64("link"))
+    some = F.max("_found").over(W.partitionBy("payload_id", lone)) & F.col("payload_id").isNotNull()
     return (
-        joined.join(resolved, "payload_id", "left")
-        .filter(~F.col("is_link") | F.col("_doc").isNotNull() | F.col("_any").isNull())
-        .withColumn("entry", F.coalesce("_doc", "entry"))
-        .drop("_doc", "_any", "link")
+        joined.withColumn("_any", some)
+        .filter(~F.col("is_link") | F.col("_found") | ~F.col("_any"))
+        .drop("_found", "_any", "link")
     )
 
 

@@ -324,3 +324,15 @@ def test_redfish_payload_that_repeats_a_key(spark):
     rows = [(1, "t", "a", '{"Members": [{"Id": 1, "Message": "old", "Message": "new"}, 7, "x", null]}', None)]
     docs = spark.createDataFrame(rows, "payload_id bigint, target_id string, asset_id string, payload string, collected_ts timestamp")
     assert [r.entry["Message"] for r in normalize.redfish_entries(docs).collect()] == ["new"]
+
+
+def test_links_are_joined_once(spark):
+    """No second pass over the payloads; rows without a payload_id each decide for themselves."""
+    links = [(1, "/a"), (1, "/b"), (None, "/a"), (None, "/b"), (2, "/c"), (2, "/d")]
+    entries = spark.createDataFrame(links, "payload_id long, link string").select(
+        "payload_id", "link", F.lit(True).alias("is_link"), F.create_map(F.lit("@odata.id"), "link").alias("entry"))
+    docs = spark.createDataFrame([("/a", '{"Message":"old"}'), ("/a", '{"Message":"new"}'), ("/b", "broken")], "odata_id string, body string").coalesce(1)
+    got = normalize.hydrate_links(entries, docs)
+    assert sorted((r.payload_id or 0, r.entry.get("Message") or r.entry["@odata.id"]) for r in got.collect()) == [
+        (0, "/b"), (0, "new"), (1, "new"), (2, "/c"), (2, "/d")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
