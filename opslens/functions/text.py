@@ -60,9 +60,13 @@ def severity_rank(column: str = "severity") -> Column:
     return F.expr(f"CASE {column} WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END")
 
 
+# what (?U)\s matches
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def share(part: str, whole: str, digits: int = 3) -> Column:

@@ -142,8 +142,10 @@ def advance_cursor(records: DataFrame, state: DataFrame, batch: int = 50) -> tup
 
 def normalize_ssh(raw: DataFrame) -> DataFrame:
     """(asset_id, metrics_raw, log_raw, collected_ts) -> load metrics and log events."""
-    first = F.split(strip(F.col("metrics_raw")), r"\r\n|\r|\n")[0]
-    parts = F.split(strip(first), r"(?U)\s+")
+    # columns of their own: the generator below would evaluate them anew wherever it names them
+    raw = raw.withColumn("_first", F.split(strip(F.col("metrics_raw")), r"\r\n|\r|\n")[0])
+    raw = raw.withColumn("_parts", F.split(strip(F.col("_first")), r"(?U)\s+"))
+    first, parts = F.col("_first"), F.col("_parts")
 
     def entry(source, message, metric=None, value=None):
         return F.struct(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators import csb, ingest, normalize
+from opslens.functions.text import strip
 from opslens.operators.dedup import dedup_events
 from opslens.session import tune
 from opslens.sources import batches, tail, text_logs
@@ -326,6 +327,25 @@ def test_redfish_payload_that_repeats_a_key(spark):
     assert [r.entry["Message"] for r in normalize.redfish_entries(docs).collect()] == ["new"]
 
 
+def test_strip_takes_what_the_unicode_class_takes(spark):
+    every = spark.range(1, 0x10000).filter("id < 55296 OR id > 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    rows = every.select(F.concat("c", F.lit(" \n"), "c", F.lit("a"), "c", F.lit("b"), "c", F.lit("\r\n"), "c").alias("v"))
+    slow = F.regexp_replace("v", r"(?U)^\s+|\s+$", "")
+    assert rows.filter(strip(F.col("v")) != slow).count() == 0
+    assert rows.filter(strip(F.col("v")) != F.col("v")).count() == 25
+    assert spark.sql("SELECT '' AS v UNION ALL SELECT ' \n ' UNION ALL SELECT NULL").select(strip(F.col("v")).alias("s")).filter("s = ''").count() == 2
+
+
+def test_ssh_text_is_taken_apart_once(spark):
+    """The generator names two columns made before it, and no expression over the raw text."""
+    raw = spark.createDataFrame([("a", " 0.5  0.4 0.3 1/100 7 \nx", "b", dt.datetime(2024, 1, 1))], "asset_id string, metrics_raw string, log_raw string, collected_ts timestamp")
+    out = normalize.normalize_ssh(raw)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "metrics_raw" not in next(line for line in plan.splitlines() if "Generate" in line)
+    assert [r.value for r in out.collect()] == [0.5, 0.4, 0.3, None]
+
+
 def test_links_are_joined_once(spark):
     """No second pass over the payloads; rows without a payload_id each decide for themselves."""
     links = [(1, "/a"), (1, "/b"), (None, "/a"), (None, "/b"), (2, "/c"), (2, "/d")]
